@@ -114,7 +114,7 @@ def preprocess(df: DataFrame, order_col: str = "_ord") -> DataFrame:
 
 def drop_report(df: DataFrame, order_col: str = "_ord") -> DataFrame:
     """Rows removed by each rule, in the order the rules run: ``(rule, dropped)``."""
-    n = coerce_numeric(df.withColumn("_dup", F.lit(False)))
+    n = coerce_numeric(df)
     first = dedup_orders(n, order_col)
     kept = first.agg(
         F.count("*").alias("kept"),
