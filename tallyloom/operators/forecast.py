@@ -7,7 +7,7 @@ exponentially weighted mean and the least-squares line need no filled grid.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyloom.functions.calendar import shift
 from tallyloom.functions.numeric import safe_ratio
@@ -21,13 +21,6 @@ DEFAULT_WINDOW = 7
 DEFAULT_ALPHA = 0.3
 
 
-def effective_alpha(alpha: float) -> float:
-    """Weight of the newest point: smoothing runs with span 1/alpha, i.e. 2·alpha/(1+alpha)."""
-    if not 0 < alpha <= 1:
-        raise ValueError("alpha must be in (0, 1]")
-    return 2.0 * alpha / (1.0 + alpha)
-
-
 def check_methods(methods: list[str] | None) -> list[str]:
     if methods is None:
         return list(METHODS)
@@ -49,7 +42,7 @@ def levels(
     Needs ``(series_key…, y, idx, n)`` and, when present, keeps ``stop``. Points at or after
     position ``n`` are not used. The line is kept as mean and slope around the middle.
     """
-    a = effective_alpha(alpha)
+    a = series.effective_alpha(alpha)
     idx, y, size = F.col("idx"), F.col("y"), F.col(n)
     used = idx.isNotNull() & (idx < size)
 
@@ -220,3 +213,21 @@ def as_arrays(forecast: DataFrame, series_key: list[str] | None = None) -> DataF
     return forecast.groupBy(*key, "method").agg(
         F.transform(steps, lambda s: s["yhat"]).alias("values")
     )
+
+
+def save_baseline(g: DataFrame, path: str, window_size: int = DEFAULT_WINDOW,
+                  alpha: float = DEFAULT_ALPHA) -> None:
+    """Keep the fitted series and the two parameters; an empty fit is an error."""
+    g.write.mode("overwrite").parquet(f"{path}/series")
+    spark = g.sparkSession
+    if spark.read.parquet(f"{path}/series").isEmpty():
+        raise ValueError("No trained model to save: the series is empty")
+    spark.createDataFrame(
+        [(window_size, alpha)], "window_size int, alpha double"
+    ).write.mode("overwrite").parquet(f"{path}/params")
+
+
+def load_baseline(spark: SparkSession, path: str) -> tuple[DataFrame, int, float]:
+    """(series, window_size, alpha) of a saved fit."""
+    params = spark.read.parquet(f"{path}/params").first()
+    return spark.read.parquet(f"{path}/series"), params["window_size"], params["alpha"]

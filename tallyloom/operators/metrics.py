@@ -60,3 +60,7 @@ def by_horizon(
         predicted.select(horizon, *row_key, yhat), [horizon, *row_key]
     )
     return evaluate(pairs, [horizon], y, yhat)
+
+
+def horizons(df: DataFrame, horizon: str = "horizon") -> DataFrame:
+    return df.select(horizon).distinct()

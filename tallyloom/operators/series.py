@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tallyloom.functions.calendar import (
     check_freq, grid_ceil, grid_floor, shift, steps_between,
 )
+from tallyloom.operators import ordered
 
 AGGREGATES = {"sum": F.sum, "mean": F.avg, "max": F.max}
 
@@ -168,3 +169,22 @@ def sma_series(g: DataFrame, series_key: list[str], periods: int) -> DataFrame:
     frame = w.orderBy("idx").rowsBetween(-(periods - 1), 0)
     full = F.col("idx") >= periods - 1
     return g.withColumn("sma", F.when(full, F.avg("y").over(frame)))
+
+
+def effective_alpha(alpha: float) -> float:
+    """Weight of the newest point: smoothing runs with span 1/alpha, i.e. 2·alpha/(1+alpha)."""
+    if not 0 < alpha <= 1:
+        raise ValueError("alpha must be in (0, 1]")
+    return 2.0 * alpha / (1.0 + alpha)
+
+
+def es_series(
+    g: DataFrame, series_key: list[str], alpha: float = 0.3, name: str = "es"
+) -> DataFrame:
+    """Exponentially smoothed series along the grid."""
+    return ordered.ewm(g, series_key, "y", {name: effective_alpha(alpha)}, pos_col="idx")
+
+
+def last_value(g: DataFrame, series_key: list[str], value_col: str) -> DataFrame:
+    """Value of each series at its last grid point."""
+    return g.groupBy(*series_key).agg(F.max_by(value_col, "idx").alias(value_col))

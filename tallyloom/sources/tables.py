@@ -19,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _row_id():
+def row_id():
     """Text whose order is a total order of the line items; equal only for exact copies."""
     parts = [
         ("l_orderkey", 12), ("l_linenumber", 3), ("l_partkey", 12), ("l_suppkey", 12),
@@ -71,7 +71,7 @@ def sales(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
         "status": lambda: F.col("l_linestatus"),
         "customer_id": lambda: F.col("o_custkey").cast("string"),
         "warehouse_id": lambda: F.col("n_name"),
-        "row_id": _row_id,
+        "row_id": row_id,
     }
     return df.select(*[exprs[c]().alias(c) for c in want])
 

@@ -34,7 +34,7 @@ def _cell(v):
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return repr(v + 0.0)
+        return repr(v)
     if isinstance(v, (list, tuple)):
         return tuple(_cell(x) for x in v)
     if isinstance(v, dict):
