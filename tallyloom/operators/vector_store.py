@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tallyloom.functions import vectors as vec
 from tallyloom.operators import ordered
@@ -102,3 +102,9 @@ def to_json(store: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def pairwise_similarity(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.withColumn("similarity", vec.cosine(F.col(a), F.col(b)))
+
+
+def batch_similarity(store: DataFrame, query: Column, name: str = "similarity") -> DataFrame:
+    """Cosine of one query vector with every row; 0 where either has no length."""
+    both = store.withColumn("_query", query)
+    return both.withColumn(name, vec.cosine(F.col("embedding"), F.col("_query"))).drop("_query")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["demand"]
+MODULES = ["vectors", "texts"]
 
 
 def _merged(attribute: str) -> dict:

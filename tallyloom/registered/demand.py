@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyloom.functions.numeric import round_even
 from tallyloom.operators import forecast, metrics, series
 from tallyloom.plans import demand
 from tallyloom.registered.common import Family, r, shown, with_sales
 from tallyloom.session import scratch_path
 from tallyloom.sources import files
-from tallyloom.sources.tables import sales, sales_text, table
+from tallyloom.sources.tables import row_id, sales, sales_text, table
 
 _f = Family()
 QUERIES, SQL = _f.queries, _f.sql
@@ -294,6 +295,7 @@ def _summary_sql():
                 f"FROM {t} ", f"FROM {t}_{name} ").replace(f"FROM {t},", f"FROM {t}_{name},").replace(
                 f"JOIN {t} ", f"JOIN {t}_{name} ").replace(f"FROM {t})", f"FROM {t}_{name})")
         return (sql.replace(" g AS", f" g_{name} AS").replace("FROM g ", f"FROM g_{name} ")
+                .replace("FROM g)", f"FROM g_{name})")
                 .replace(" f AS (", f" f_{name} AS (").replace("FROM st\n", f"FROM st_{name}\n"))
 
     def chain(key, v, name):
@@ -306,21 +308,24 @@ def _summary_sql():
             ("periods", "CAST(count(*) AS DOUBLE)")))
     return with_sales(
         chain(None, "quantity", "q") + chain(None, value, "r") + chain("category", "quantity", "c")
-        + " " + stats
+        + named(_scores_sql(None), "e") + " " + stats
         + f""" UNION ALL SELECT 'quantity_forecast', '', method, CAST(step AS VARCHAR),
             {r('yhat')} FROM f_q
           UNION ALL SELECT 'revenue_forecast', '', method, CAST(step AS VARCHAR),
             {r('yhat', 2)} FROM f_r
           UNION ALL SELECT 'category_forecast', category, method, CAST(step AS VARCHAR),
-            {r('yhat')} FROM f_c""")
+            {r('yhat')} FROM f_c
+          UNION ALL SELECT 'metrics', '', method, 'mae', {r('mae')} FROM m
+          UNION ALL SELECT 'metrics', '', method, 'rmse', {r('rmse')} FROM m
+          UNION ALL SELECT 'metrics', '', method, 'r2', {r('r2')} FROM m""")
 
 
 @_f.add("forecast_summary", _summary_sql())
 def forecast_summary(spark, sf_dir):
     df = sales(spark, sf_dir, "order_date", "quantity", "unit_price", "discount", "category")
-    out = demand.summary(df, 7).filter(F.col("section") != "metrics")
+    # mape divides by zero days plus 1e-8: numbers near 1e10 that no two engines sum alike
+    out = demand.summary(df, 7).filter(F.col("item") != "mape")
     money = F.col("section") == "revenue_forecast"
-    from tallyloom.functions.numeric import round_even
     value = F.when(money, round_even(F.col("value"), 2)).otherwise(round_even(F.col("value"), 6))
     return out.withColumn("value", value + F.lit(0.0))
 
@@ -429,7 +434,6 @@ def evaluate_model(spark, sf_dir):
   FROM (SELECT l_linenumber AS horizon, l_quantity AS y, l_extendedprice / 15e2 AS f FROM lineitem)
   GROUP BY horizon""")
 def evaluate_by_horizon(spark, sf_dir):
-    from tallyloom.sources.tables import row_id
     rows = table(spark, sf_dir, "lineitem").withColumn("row_id", row_id()).withColumn(
         "horizon", F.col("l_linenumber"))
     actual = rows.select("horizon", "row_id", F.col("l_quantity").alias("y"))
