@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["vectors", "texts"]
+MODULES = ["cleaning", "featuring", "demand", "vectors", "texts", "files", "models"]
 
 
 def _merged(attribute: str) -> dict:

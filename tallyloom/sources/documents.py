@@ -58,10 +58,7 @@ def scan_files(spark: SparkSession, paths: str | list[str], recursive: bool = Fa
 
 
 def text_documents(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
-    reader = spark.read.option("wholetext", "true")
-    if recursive:
-        reader = reader.option("recursiveFileLookup", "true")
-    df = reader.text(path)
+    df = spark.read.text(path, wholetext=True, recursiveFileLookup=recursive)
     p = F.col("_metadata.file_path")
     return df.select(
         _newlines(F.col("value")).alias("content"), p.alias("source"),
