@@ -1,4 +1,4 @@
-"""Word terms of a text: lower case, no accents, words and pairs of neighbouring words."""
+"""Words of a text: lower case, no accents, and the word that follows each."""
 
 from __future__ import annotations
 
@@ -59,16 +59,8 @@ def words(c: Column, exact_accents: bool = False) -> Column:
     return F.regexp_extract_all(strip_accents(F.lower(c), exact_accents), F.lit(WORD), F.lit(1))
 
 
-def with_pairs(tokens: Column) -> Column:
-    """Words, then all pairs of neighbours joined by a blank."""
-    n = F.size(tokens)
-    pairs = F.zip_with(
-        F.slice(tokens, F.lit(1), F.greatest(n - 1, F.lit(0))),
-        F.slice(tokens, F.lit(2), F.greatest(n - 1, F.lit(0))),
-        lambda a, b: F.concat(a, F.lit(" "), b),
+def with_next(tokens: Column) -> Column:
+    """Array of (a, b): every word and the one after it, null after the last."""
+    return F.arrays_zip(
+        tokens.alias("a"), F.slice(tokens, F.lit(2), F.size(tokens)).alias("b")
     )
-    return F.concat(tokens, pairs)
-
-
-def terms(c: Column, exact_accents: bool = False) -> Column:
-    return with_pairs(words(F.coalesce(c, F.lit("")), exact_accents))

@@ -9,48 +9,66 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tallyloom.functions.text import with_pairs, words
+from tallyloom.functions.text import with_next, words
 from tallyloom.session import settle
 
 MAX_FEATURES = 1000
+
+# Most rows of a term table that every task may be sent.
 BROADCAST_TERMS = 100_000
 
 
-def _exploded(
-    docs: DataFrame, text_col: str, exact_accents: bool, keep: list[str], distinct: bool = False
+def _words(
+    docs: DataFrame, text_col: str, exact_accents: bool, keep: list[str], pairs: bool
 ) -> DataFrame:
-    """One row per term of a text.
+    """One row ``(keep…, a[, b])`` per word; b is the word after it, null at the end.
 
     Words get a projection of their own, and the outer explode keeps the planner from
     adding a filter on the array below it: either would run the regex again.
     """
     split = words(F.coalesce(F.col(text_col), F.lit("")), exact_accents)
-    terms = with_pairs(F.col("_words"))
-    return (
-        docs.select(*keep, split.alias("_words"))
-        .select(*keep, F.explode_outer(F.array_distinct(terms) if distinct else terms).alias("term"))
-        .filter(F.col("term").isNotNull())
-    )
+    split_docs = docs.select(*keep, split.alias("_w"))
+    if not pairs:
+        out = split_docs.select(*keep, F.explode_outer("_w").alias("a"))
+    else:
+        out = split_docs.select(*keep, with_next(F.col("_w")).alias("_z")).select(
+            *keep, F.explode_outer("_z").alias("_p")
+        ).select(*keep, F.col("_p.a").alias("a"), F.col("_p.b").alias("b"))
+    return out.filter(F.col("a").isNotNull())
 
 
-def _known(exploded: DataFrame, vocab: DataFrame, max_features: int) -> DataFrame:
-    small = F.broadcast(vocab) if max_features <= BROADCAST_TERMS else vocab
-    return exploded.join(small, "term")
+def _pair_text():
+    return F.concat("a", F.lit(" "), "b")
 
 
 def top_terms(
     docs: DataFrame, text_col: str = "content", max_features: int = MAX_FEATURES,
-    exact_accents: bool = False,
+    exact_accents: bool = False, broadcast_terms: int = BROADCAST_TERMS,
 ) -> DataFrame:
-    """``(term, corpus_count)`` of the most frequent terms, ties by term.
+    """``(term, corpus_count)`` of the most frequent words and pairs, ties by term.
 
-    Counts combine on the map side, so a term that is everywhere does not pile up.
+    Words are counted first. A pair is at most as frequent as either of its words, so only
+    pairs of words that reach the count of the last kept word can be among the top; the
+    others are not counted, which keeps the table of all distinct pairs out of the shuffle.
+    All counts combine on the map side, so a term that is everywhere does not pile up.
     """
-    grams = _exploded(docs, text_col, exact_accents, [])
-    return (
-        grams.groupBy("term").agg(F.count("*").alias("corpus_count"))
-        .orderBy(F.desc("corpus_count"), F.asc("term")).limit(max_features)
+    single = settle(
+        _words(docs, text_col, exact_accents, [], False).groupBy(F.col("a").alias("term"))
+        .agg(F.count("*").alias("corpus_count")), "words",
     )
+    order = [F.desc("corpus_count"), F.asc("term")]
+    last = single.orderBy(*order).limit(max_features).agg(
+        F.count("*").alias("n"), F.min("corpus_count").alias("least")
+    ).first()
+    least = last["least"] if last["n"] == max_features else 0
+    frequent = single.filter(F.col("corpus_count") >= least)
+    both = _words(docs, text_col, exact_accents, [], True).filter(F.col("b").isNotNull())
+    if frequent.limit(broadcast_terms + 1).count() <= broadcast_terms:
+        for c in ("a", "b"):
+            both = both.join(F.broadcast(frequent.select(F.col("term").alias(c))), c, "left_semi")
+    pairs = both.groupBy("a", "b").agg(F.count("*").alias("corpus_count")).select(
+        _pair_text().alias("term"), "corpus_count")
+    return frequent.unionByName(pairs).orderBy(*order).limit(max_features)
 
 
 def _numbered_top(docs, text_col, max_features, exact_accents) -> DataFrame:
@@ -68,9 +86,11 @@ def term_counts(
 
     Unknown terms go before the shuffle; a text's own terms are counted on the map side.
     """
-    grams = _exploded(docs, text_col, exact_accents, [key])
-    known = _known(grams, numbered.select("term", "term_id"), max_features)
-    return known.groupBy(key, "term_id").agg(F.count("*").alias("tf"))
+    both = _words(docs, text_col, exact_accents, [key], True)
+    grams = both.select(key, F.explode(F.array(F.col("a"), _pair_text())).alias("term"))
+    known = numbered.select("term", "term_id")
+    known = F.broadcast(known) if max_features <= BROADCAST_TERMS else known
+    return grams.join(known, "term").groupBy(key, "term_id").agg(F.count("*").alias("tf"))
 
 
 def _vocabulary(docs: DataFrame, numbered: DataFrame, seen: DataFrame) -> DataFrame:
@@ -83,29 +103,30 @@ def _vocabulary(docs: DataFrame, numbered: DataFrame, seen: DataFrame) -> DataFr
     return settle(vocab, "vocabulary")
 
 
+def _fit_counts(docs, key, text_col, max_features, exact_accents):
+    """(vocabulary, term counts per text), both written once."""
+    numbered = _numbered_top(docs, text_col, max_features, exact_accents)
+    counts = settle(
+        term_counts(docs, numbered, key, text_col, max_features, exact_accents), "counts"
+    )
+    seen = counts.groupBy("term_id").agg(F.count("*").alias("doc_count"))
+    return _vocabulary(docs, numbered, seen), counts
+
+
 def fit(
-    docs: DataFrame, text_col: str = "content", max_features: int = MAX_FEATURES,
-    exact_accents: bool = False,
+    docs: DataFrame, key: str = "ord", text_col: str = "content",
+    max_features: int = MAX_FEATURES, exact_accents: bool = False,
 ) -> DataFrame:
     """Vocabulary ``(term, term_id, corpus_count, doc_count, idf)``, written once."""
-    numbered = _numbered_top(docs, text_col, max_features, exact_accents)
-    per_doc = _exploded(docs, text_col, exact_accents, [], distinct=True)
-    seen = _known(per_doc, numbered.select("term", "term_id"), max_features)
-    seen = seen.groupBy("term_id").agg(F.count("*").alias("doc_count"))
-    return _vocabulary(docs, numbered, seen)
+    return _fit_counts(docs, key, text_col, max_features, exact_accents)[0]
 
 
 def fit_transform(
     docs: DataFrame, key: str = "ord", text_col: str = "content",
     max_features: int = MAX_FEATURES, exact_accents: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """(vocabulary, vectors) in two passes over the texts; the term counts are written once."""
-    numbered = _numbered_top(docs, text_col, max_features, exact_accents)
-    counts = settle(
-        term_counts(docs, numbered, key, text_col, max_features, exact_accents), "counts"
-    )
-    seen = counts.groupBy("term_id").agg(F.count("*").alias("doc_count"))
-    vocab = _vocabulary(docs, numbered, seen)
+    """(vocabulary, vectors); the term counts are written once and serve both."""
+    vocab, counts = _fit_counts(docs, key, text_col, max_features, exact_accents)
     return vocab, vectors(docs, counts, vocab, key, max_features)
 
 
