@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tallyloom.operators import ordered, series
+from tallyloom.session import settle
 
 LAGS = [1, 7, 14, 30]
 WINDOWS = [7, 14, 30]
@@ -70,9 +71,9 @@ def interaction(df: DataFrame, order_cols: list[str] | None = None) -> DataFrame
         key = F.concat_ws("_", text("category"), text("region"))
         out = out.withColumn("_pair", key)
         first = out.groupBy("_pair").agg(F.min(F.struct(*order)).alias("_first"))
-        codes = ordered.positions(first, [], ["_first"]).select(
+        codes = settle(ordered.positions(first, [], ["_first"]).select(
             "_pair", F.col("_pos").alias("category_region_group")
-        )
+        ), "codes")
         out = out.join(codes, "_pair").drop("_pair")
     return out
 
@@ -83,26 +84,27 @@ def group_stats(
     """Spread statistics of a key's rows to the rows.
 
     Aggregate and join back rather than a window: the aggregate combines on the map side,
-    and a key with very many rows is never gathered in one task.
+    and a key with very many rows is never gathered in one task. The statistics are written,
+    so the planner knows their size and leaves the rows where they are if they are few.
     """
-    stats = df.filter(F.col(key).isNotNull()).groupBy(key).agg(
+    stats = settle(df.filter(F.col(key).isNotNull()).groupBy(key).agg(
         *[c.alias(n) for n, c in aggregates.items()]
-    )
+    ), "stats")
     return df.join(stats, key, "left")
 
 
 def aggregations(df: DataFrame) -> DataFrame:
     """Quantity and revenue sums and means by category and region, mean by supplier."""
-    out = series.revenue(df)
+    out, rev = df, series.revenue_of(df)
     for key in ("category", "region"):
         if key in df.columns:
             out = group_stats(out, key, {
                 f"{key}_qty_sum": F.sum("quantity"), f"{key}_qty_mean": F.avg("quantity"),
-                f"{key}_revenue_sum": F.sum("revenue"), f"{key}_revenue_mean": F.avg("revenue"),
+                f"{key}_revenue_sum": F.sum(rev), f"{key}_revenue_mean": F.avg(rev),
             })
     if "supplier_id" in df.columns:
         out = group_stats(out, "supplier_id", {"supplier_avg_qty": F.avg("quantity")})
-    return out if "revenue" in df.columns else out.drop("revenue")
+    return out
 
 
 def _for_groups(df, group_cols, order_cols, build) -> DataFrame:
@@ -114,11 +116,9 @@ def _for_groups(df, group_cols, order_cols, build) -> DataFrame:
         return build(ordered.positions(df, [], order_cols), [], "").drop("_pos")
     out = df
     for g in group_cols:
-        before = set(out.columns)
-        out = build(ordered.positions(out, [g], order_cols), [g], f"_{g}").drop("_pos")
-        out = out.withColumns({
-            c: F.when(F.col(g).isNotNull(), F.col(c)) for c in out.columns if c not in before
-        })
+        grouped = out.filter(F.col(g).isNotNull())
+        done = build(ordered.positions(grouped, [g], order_cols), [g], f"_{g}").drop("_pos")
+        out = done.unionByName(out.filter(F.col(g).isNull()), allowMissingColumns=True)
     return out
 
 

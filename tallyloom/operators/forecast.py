@@ -170,42 +170,46 @@ def split_time(g: DataFrame, fraction: float = 0.8) -> DataFrame:
     )
 
 
-def backtest_points(
-    df: DataFrame,
-    fraction: float = 0.8,
-    date_col: str = "order_date",
-    value_col: str = "quantity",
-    freq: str = "D",
-    series_key: list[str] | None = None,
-    window_size: int = DEFAULT_WINDOW,
-    alpha: float = DEFAULT_ALPHA,
-    mode: str = "asfreq",
+def backtest_grid(
+    g: DataFrame, series_key: list[str], fraction: float = 0.8,
+    window_size: int = DEFAULT_WINDOW, alpha: float = DEFAULT_ALPHA,
 ) -> DataFrame:
-    """Test points with the forecast of every method: ``(series_key…, method, idx, y, yhat)``."""
-    key = series_key or []
-    g = split_time(series.prepare_series(df, key, date_col, value_col, freq, mode), fraction)
-    slot = key or ["_one"]
-    if not key:
-        g = g.withColumn("_one", F.lit(1))
-    lv = levels(g, slot, window_size, alpha, n="cut")
-    test = g.filter(F.col("split") == "test").select(*slot, "idx", "y")
-    joined = test.join(lv, slot)
+    """Test points with the forecast of every method: ``(series_key…, idx, y, method, yhat)``."""
+    parts = split_time(g, fraction)
+    slot = series_key or ["_one"]
+    if not series_key:
+        parts = parts.withColumn("_one", F.lit(1))
+    lv = levels(parts, slot, window_size, alpha, n="cut")
+    test = parts.filter(F.col("split") == "test").select(*slot, "idx", "y")
     values = _method_values(list(METHODS), F.col("idx"))
-    return joined.select(*key, "idx", "y", _explode_methods(values))
+    return test.join(lv, slot).select(*series_key, "idx", "y", _explode_methods(values))
 
 
-def evaluate(df: DataFrame, fraction: float = 0.8, series_key: list[str] | None = None,
-             **kw) -> DataFrame:
-    """Metrics per series and method on the last part of the grid."""
-    key = series_key or []
-    scored = backtest_points(df, fraction, series_key=key, **kw)
+def evaluate_grid(g: DataFrame, series_key: list[str], fraction: float = 0.8, **kw) -> DataFrame:
+    """Metrics per series and method on the last part of a filled grid."""
     y, p = F.col("y"), F.col("yhat")
-    return scored.groupBy(*key, "method").agg(
+    return backtest_grid(g, series_key, fraction, **kw).groupBy(*series_key, "method").agg(
         metrics.mae(y, p).alias("mae"), metrics.rmse(y, p).alias("rmse"),
         metrics.r2(y, p).alias("r2"), metrics.mape_pct_eps(y, p).alias("mape"),
     )
 
 
+def evaluate(
+    df: DataFrame,
+    fraction: float = 0.8,
+    series_key: list[str] | None = None,
+    date_col: str = "order_date",
+    value_col: str = "quantity",
+    freq: str = "D",
+    mode: str = "asfreq",
+    **kw,
+) -> DataFrame:
+    """Metrics per series of an order table and method on the last part of its grid."""
+    key = series_key or []
+    g = series.prepare_series(df, key, date_col, value_col, freq, mode)
+    return evaluate_grid(g, key, fraction, **kw)
+
+
 def as_arrays(forecast: DataFrame, series_key: list[str] | None = None) -> DataFrame:
     """Long forecast → one array per series and method, in step order."""
     key = series_key or []

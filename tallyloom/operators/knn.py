@@ -8,7 +8,6 @@ query and a vector is ever a row.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -86,10 +85,18 @@ class _TopK:
         self.o = np.empty(0, np.int64)
         self.s = np.empty(0, np.float64)
 
+    def add_batch(self, batch: pa.RecordBatch, names: list[str]) -> None:
+        """Score a batch in slices, so that neither matrix grows with the batch."""
+        dim = self.queries.shape[1]
+        step = max(1, _CELLS // max(dim, len(self.queries), 1))
+        for i in range(0, batch.num_rows, step):
+            part = batch.slice(i, step)
+            ords = part.column("ord").to_numpy(zero_copy_only=False).astype(np.int64)
+            self.add(ords, _matrix([part.column(n) for n in names], dim))
+
     def add(self, ords: np.ndarray, vectors: np.ndarray) -> None:
-        step = max(1, _CELLS // max(1, len(self.queries)))
-        for i in range(0, len(ords), step):
-            s = _scores(self.queries, vectors[i:i + step], self.metric)
+        if len(self.queries):
+            s = _scores(self.queries, vectors, self.metric)
             n = s.shape[1]
             if n > self.k:
                 least = np.partition(s, n - self.k, axis=1)[:, n - self.k]
@@ -98,7 +105,7 @@ class _TopK:
                 q, c = np.nonzero(np.ones_like(s, dtype=bool))
             self.q, self.o, self.s = _best(
                 np.concatenate([self.q, q]),
-                np.concatenate([self.o, ords[i:i + step][c]]),
+                np.concatenate([self.o, ords[c]]),
                 np.concatenate([self.s, s[q, c]]),
                 self.k,
             )
@@ -136,12 +143,8 @@ def _partial_shared(queries, vectors, rows, k, metric, dim, sparse) -> DataFrame
     def score(batches):
         ids, matrix = shared.value
         top = _TopK(matrix, k, metric)
-        step = max(1, _CELLS // dim)
-        for whole in batches:
-            for i in range(0, whole.num_rows, step):
-                b = whole.slice(i, step)
-                top.add(b.column("ord").to_numpy(zero_copy_only=False).astype(np.int64),
-                        _matrix([b.column(n) for n in names], dim))
+        for batch in batches:
+            top.add_batch(batch, names)
         yield pa.RecordBatch.from_arrays(
             [pa.array(ids[top.q]), pa.array(top.o), pa.array(top.s)],
             names=["query_id", "ord", "score"],
@@ -168,14 +171,14 @@ def _partial_blocks(queries, vectors, k, metric, dim, sparse, query_block, vecto
     v = spread(vectors.select(F.col("ord").cast("bigint"), *names), "ord", "_vb", n_v, "_qb", n_q)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        def matrix(t):
-            return _matrix([t.column(n).combine_chunks() for n in names], dim)
-
-        empty = not left.num_rows or not right.num_rows
-        top = _TopK(matrix(left) if left.num_rows else np.zeros((0, dim)), k, metric)
+        if left.num_rows:
+            matrix = _matrix([left.column(n).combine_chunks() for n in names], dim)
+        else:
+            matrix = np.zeros((0, dim))
+        top = _TopK(matrix, k, metric)
         ids = left.column("query_id").to_numpy().astype(np.int64)
-        if not empty:
-            top.add(right.column("ord").to_numpy().astype(np.int64), matrix(right))
+        for batch in right.to_batches():
+            top.add_batch(batch, names)
         return pa.table({"query_id": ids[top.q], "ord": top.o, "score": top.s})
 
     return q.groupBy("_qb", "_vb").cogroup(v.groupBy("_qb", "_vb")).applyInArrow(

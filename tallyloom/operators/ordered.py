@@ -24,7 +24,8 @@ def positions(
 
     One range shuffle on (keys, order_cols), so hot keys spread over many tasks. The
     sorted rows are written once; the place is the offset of the (key, partition) run plus
-    the place inside the run.
+    the place inside the run. The table of runs has one row per partition and key change;
+    it is written too, so the planner joins it by its true size. Keys must not be null.
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -34,7 +35,7 @@ def positions(
         .sortWithinPartitions(*cols)
         .withColumn("_mid", F.monotonically_increasing_id())
     )
-    ranged = settle(ranged)
+    ranged = settle(ranged, "ranged")
     run = F.shiftright("_mid", 33).alias("_run")
     runs = ranged.groupBy(*keys, run).agg(
         F.count("*").alias("_len"), F.min("_mid").alias("_first")
@@ -43,15 +44,10 @@ def positions(
     before = F.coalesce(
         F.sum("_len").over(over_runs.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     )
-    runs = runs.select(*keys, "_run", (before - F.col("_first")).alias("_shift"))
-    numbered = ranged.withColumn("_run", run)
-    on = F.col("l._run") == F.col("r._run")
-    for k in keys:
-        on = on & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
+    runs = settle(runs.select(*keys, "_run", (before - F.col("_first")).alias("_shift")), "runs")
     return (
-        numbered.alias("l").join(runs.alias("r"), on)
-        .select(*[F.col(f"l.{c}") for c in df.columns],
-                (F.col("l._mid") + F.col("r._shift")).alias("_pos"))
+        ranged.withColumn("_run", run).join(runs, [*keys, "_run"])
+        .select(*df.columns, (F.col("_mid") + F.col("_shift")).alias("_pos"))
     )
 
 
@@ -126,7 +122,8 @@ def ewm(
         out = out.withColumn("_block", F.floor(F.col(pos_col) / size)).withColumn(
             "_j", (F.col(pos_col) % size).cast("int")
         )
-        w = Window.partitionBy(*keys, "_block").orderBy(pos_col)
+        w = Window.partitionBy(*keys, "_block").orderBy(pos_col).rowsBetween(
+            Window.unboundedPreceding, 0)
         totals, handed, sums = [], [], {}
         reach = 1
         for i, (name, a) in enumerate(group.items()):
@@ -151,23 +148,20 @@ def ewm(
             .groupBy(*keys, (F.col("_block") + F.col("_m") + 1).alias("_block"))
             .agg(*handed)
         )
-        on = F.col("l._block") == F.col("r._block")
-        for k in keys:
-            on = on & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
-        right = carry.select(*[F.col(k) for k in [*keys, "_block"]],
-                             *[F.col(f"_c{i}") for i in range(len(group))])
-        joined = out.withColumns(sums) if sums else out
-        cols = [F.col(f"l.{c}") for c in out.columns if c not in ("_block", "_j")]
+        names = [*keys, "_block"]
+        cols = [c for c in out.columns if c not in ("_block", "_j")]
+        # the rows are already laid out by (keys, block) for the running sums
+        joined = (out.withColumns(sums) if sums else out).join(carry, names, "left")
         results = []
         for i, (name, a) in enumerate(group.items()):
             b = 1.0 - a
             if b == 0.0:
-                results.append(F.col(f"l.{value_col}").cast("double").alias(name))
+                results.append(x.alias(name))
                 continue
-            from_before = F.coalesce(F.col(f"r._c{i}"), F.lit(0.0)) * F.pow(
-                F.lit(b), F.col("l._j") + 1
+            from_before = F.coalesce(F.col(f"_c{i}"), F.lit(0.0)) * F.pow(
+                F.lit(b), F.col("_j") + 1
             )
-            own = F.col(f"l._s{i}") * F.pow(F.lit(b), F.col("l._j"))
+            own = F.col(f"_s{i}") * F.pow(F.lit(b), F.col("_j"))
             results.append((from_before + own).alias(name))
-        out = joined.alias("l").join(right.alias("r"), on, "left").select(*cols, *results)
+        out = joined.select(*cols, *results)
     return out

@@ -42,21 +42,22 @@ def daily(df, series_key, date_col="order_date", value_col="quantity") -> DataFr
     return aggregate_by_date(df, series_key, date_col, value_col, "sum")
 
 
-def revenue(df: DataFrame, null_discount_as_zero: bool = False) -> DataFrame:
-    """Add ``revenue`` = quantity · unit_price · (1 − discount).
+def revenue_of(df: DataFrame, null_discount_as_zero: bool = False) -> Column:
+    """quantity · unit_price · (1 − discount) of the rows of ``df``.
 
-    A missing discount makes revenue null (such rows add 0 to sums) unless asked otherwise.
+    A missing discount makes it null (such rows add 0 to sums) unless asked otherwise.
     """
-    if "discount" not in df.columns:
-        discount: Column = F.lit(0.0)
-    else:
+    discount: Column = F.lit(0.0)
+    if "discount" in df.columns:
         discount = F.col("discount").cast("double")
         if null_discount_as_zero:
             discount = F.coalesce(discount, F.lit(0.0))
-    return df.withColumn(
-        "revenue",
-        F.col("quantity").cast("double") * F.col("unit_price").cast("double") * (1 - discount),
-    )
+    return F.col("quantity").cast("double") * F.col("unit_price").cast("double") * (1 - discount)
+
+
+def revenue(df: DataFrame, null_discount_as_zero: bool = False) -> DataFrame:
+    """Add ``revenue``."""
+    return df.withColumn("revenue", revenue_of(df, null_discount_as_zero))
 
 
 def _on_period(points: DataFrame, series_key: list[str], freq: str, mode: str) -> DataFrame:
@@ -136,6 +137,19 @@ def prepare_series(
     return grid(daily(df, key, date_col, value_col), key, freq, mode)
 
 
+def grid_stats(g: DataFrame, series_key: list[str]) -> DataFrame:
+    """Per series: mean, std (sample), min, max, periods and date_range of a filled grid."""
+    text = F.concat(
+        F.min("t").cast("string"), F.lit(" 00:00:00 to "), F.max("t").cast("string"),
+        F.lit(" 00:00:00"),
+    )
+    return g.groupBy(*series_key).agg(
+        F.avg("y").alias("mean"), F.stddev_samp("y").alias("std"),
+        F.min("y").alias("min"), F.max("y").alias("max"),
+        F.count("*").alias("periods"), text.alias("date_range"),
+    )
+
+
 def fit_stats(
     df: DataFrame,
     series_key: list[str] | None = None,
@@ -144,18 +158,9 @@ def fit_stats(
     freq: str = "D",
     mode: str = "asfreq",
 ) -> DataFrame:
-    """Per series: mean, std (sample), min, max, periods and date_range of the filled grid."""
+    """Statistics of each series of an order table."""
     key = series_key or []
-    g = prepare_series(df, key, date_col, value_col, freq, mode)
-    text = F.concat(
-        F.min("t").cast("string"), F.lit(" 00:00:00 to "), F.max("t").cast("string"),
-        F.lit(" 00:00:00"),
-    )
-    return g.groupBy(*key).agg(
-        F.avg("y").alias("mean"), F.stddev_samp("y").alias("std"),
-        F.min("y").alias("min"), F.max("y").alias("max"),
-        F.count("*").alias("periods"), text.alias("date_range"),
-    )
+    return grid_stats(prepare_series(df, key, date_col, value_col, freq, mode), key)
 
 
 def last_points(g: DataFrame, series_key: list[str], window_size: int) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from tallyloom.operators import clean, features, forecast, forest, requests, series
+from tallyloom.session import settle
 
 
 def forecast_job(orders: DataFrame, periods: int = 7, freq: str = "D",
@@ -36,37 +39,49 @@ def summary(orders: DataFrame, periods: int = 7) -> DataFrame:
     """Fit statistics, quantity, revenue and category forecasts and metrics in one table:
     ``(section, series, method, item, value)``.
 
-    Each section reads the daily sums it needs; the date text of the fit statistics is left to
-    ``series.fit_stats``.
+    The orders are read once, for daily sums by category that are written; totals are sums
+    of these. The date text of the fit statistics is left to ``series.fit_stats``.
     """
-    none = F.lit("").alias("series")
+    t = F.to_date("order_date")
+    cells = settle(
+        orders.withColumn("t", t).filter(F.col("t").isNotNull()).groupBy("category", "t").agg(
+            F.coalesce(F.sum(F.col("quantity").cast("double")), F.lit(0.0)).alias("quantity"),
+            F.coalesce(F.sum(series.revenue_of(orders)), F.lit(0.0)).alias("revenue"),
+        ), "cells",
+    )
+    total = cells.groupBy("t").agg(F.sum("quantity").alias("y"))
+    money = cells.groupBy("t").agg(F.sum("revenue").alias("y"))
+    by_category = cells.filter(F.col("category").isNotNull()).select(
+        "category", "t", F.col("quantity").alias("y"))
+    g = series.grid(total, [])
 
     def rows(df, section, name, method, item, value):
-        return df.select(F.lit(section).alias("section"), name, method.alias("method"),
-                         item.cast("string").alias("item"), value.alias("value"))
-
-    stats = series.fit_stats(orders).select(F.inline(F.array(*[
-        F.struct(F.lit(n).alias("item"), F.col(n).cast("double").alias("value"))
-        for n in ("mean", "std", "min", "max", "periods")
-    ])))
-    measures = ["mae", "rmse", "r2", "mape"]
-    tested = forecast.evaluate(orders).select("method", F.inline(F.array(*[
-        F.struct(F.lit(n).alias("item"), F.col(n).alias("value")) for n in measures
-    ])))
+        return df.select(F.lit(section).alias("section"), name.alias("series"),
+                         method.alias("method"), item.cast("string").alias("item"),
+                         value.alias("value"))
+
+    def items(names):
+        return F.inline(F.array(*[
+            F.struct(F.lit(n).alias("item"), F.col(n).cast("double").alias("value"))
+            for n in names
+        ]))
+
+    none = F.lit("")
+    item, value, method = F.col("item"), F.col("value"), F.col("method")
+    stats = series.grid_stats(g, []).select(items(["mean", "std", "min", "max", "periods"]))
+    tested = forecast.evaluate_grid(g, []).select("method", items(["mae", "rmse", "r2", "mape"]))
     parts = [
-        rows(stats, "fit_statistics", none, F.lit(""), F.col("item"), F.col("value")),
-        rows(forecast.predict(orders, periods), "quantity_forecast", none,
-             F.col("method"), F.col("step"), F.col("yhat")),
-        rows(forecast.of_revenue(orders, periods), "revenue_forecast", none,
-             F.col("method"), F.col("step"), F.col("yhat")),
-        rows(forecast.by_category(orders, periods), "category_forecast",
-             F.col("category").alias("series"), F.col("method"), F.col("step"), F.col("yhat")),
-        rows(tested, "metrics", none, F.col("method"), F.col("item"), F.col("value")),
+        rows(stats, "fit_statistics", none, none, item, value),
+        rows(tested, "metrics", none, method, item, value),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    for section, points, key, name in (
+        ("quantity_forecast", total, [], none),
+        ("revenue_forecast", money, [], none),
+        ("category_forecast", by_category, ["category"], F.col("category")),
+    ):
+        f = forecast.forecast_points(points, key, periods)
+        parts.append(rows(f, section, name, method, F.col("step"), F.col("yhat")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def training_rows(orders: DataFrame, horizon: int = 7, **families) -> tuple[DataFrame, list[str]]:

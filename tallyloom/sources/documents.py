@@ -49,11 +49,22 @@ def _print_json(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"content": content, "error": errors}, dtype=object)
 
 
-def scan_files(spark: SparkSession, paths: str | list[str], recursive: bool = False) -> DataFrame:
-    """All files as ``(path, content binary)``; sub-folders only when ``recursive``."""
-    reader = spark.read.format("binaryFile")
-    if recursive:
-        reader = reader.option("recursiveFileLookup", "true")
+def _glob(suffix_: str) -> str:
+    """File name pattern of a suffix in any case."""
+    return "*." + "".join(f"[{c}{c.upper()}]" for c in suffix_[1:])
+
+
+def scan_files(
+    spark: SparkSession, paths: str | list[str], recursive: bool = False,
+    suffix_: str | None = None,
+) -> DataFrame:
+    """Files as ``(path, content binary)``; sub-folders only when ``recursive``.
+
+    With a suffix only such files are listed, so no other file is opened.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
+    if suffix_:
+        reader = reader.option("pathGlobFilter", _glob(suffix_))
     return reader.load(paths).select("path", "content")
 
 
@@ -67,8 +78,7 @@ def text_documents(spark: SparkSession, path: str, recursive: bool = False) -> D
 
 
 def json_documents(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
-    files = scan_files(spark, path, recursive).filter(suffix(F.col("path")) == ".json")
-    return _from_json(files)
+    return _from_json(scan_files(spark, path, recursive, ".json"))
 
 
 def _rows(files: DataFrame, kind: str, content: Column, error: Column) -> DataFrame:
@@ -134,10 +144,8 @@ def load_files(
     Files of other types are left out when a folder is listed (``only_known``) and become
     error rows when they were asked for by name.
     """
-    files = scan_files(spark, paths, recursive).withColumn("_suffix", suffix(F.col("path")))
-
-    def of(s: str) -> DataFrame:
-        return files.filter(F.col("_suffix") == s)
+    def of(suffix_: str) -> DataFrame:
+        return scan_files(spark, paths, recursive, suffix_)
 
     out = (
         _from_text(of(".txt")).unionByName(_from_json(of(".json")))
@@ -145,7 +153,9 @@ def load_files(
     )
     if only_known:
         return out
-    other = files.filter(~F.col("_suffix").isin(list(SUFFIX_TYPES)))
+    # only the paths are read here
+    other = scan_files(spark, paths, recursive).withColumn("_suffix", suffix(F.col("path")))
+    other = other.filter(~F.col("_suffix").isin(list(SUFFIX_TYPES)))
     return out.unionByName(_rows(
         other, "unknown", F.lit(None).cast("string"),
         F.concat(F.lit("Unsupported file format: "), F.col("_suffix")),
