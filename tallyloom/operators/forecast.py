@@ -58,7 +58,7 @@ def levels(
         total(y * first_weight * F.pow(F.lit(1.0 - a), size - 1 - idx)).alias("es"),
         total(y).alias("_sum"),
         total(y * (idx - (size - 1) / 2.0)).alias("_sxy"),
-    )
+    ).filter(F.col("n") > 0)  # no points at all: no series, also when there is no key
     m = F.col("n").cast("double")
     return sums.select(
         *series_key, "n", *(["stop"] if keep else []),

@@ -147,7 +147,7 @@ def grid_stats(g: DataFrame, series_key: list[str]) -> DataFrame:
         F.avg("y").alias("mean"), F.stddev_samp("y").alias("std"),
         F.min("y").alias("min"), F.max("y").alias("max"),
         F.count("*").alias("periods"), text.alias("date_range"),
-    )
+    ).filter(F.col("periods") > 0)
 
 
 def fit_stats(
