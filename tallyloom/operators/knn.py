@@ -87,28 +87,27 @@ class _TopK:
 
     def add_batch(self, batch: pa.RecordBatch, names: list[str]) -> None:
         """Score a batch in slices, so that neither matrix grows with the batch."""
+        if not len(self.queries):
+            return
         dim = self.queries.shape[1]
-        step = max(1, _CELLS // max(dim, len(self.queries), 1))
+        step = max(1, _CELLS // max(dim, len(self.queries)))
         for i in range(0, batch.num_rows, step):
             part = batch.slice(i, step)
             ords = part.column("ord").to_numpy(zero_copy_only=False).astype(np.int64)
             self.add(ords, _matrix([part.column(n) for n in names], dim))
 
     def add(self, ords: np.ndarray, vectors: np.ndarray) -> None:
-        if len(self.queries):
-            s = _scores(self.queries, vectors, self.metric)
-            n = s.shape[1]
-            if n > self.k:
-                least = np.partition(s, n - self.k, axis=1)[:, n - self.k]
-                q, c = np.nonzero(s >= least[:, None])
-            else:
-                q, c = np.nonzero(np.ones_like(s, dtype=bool))
-            self.q, self.o, self.s = _best(
-                np.concatenate([self.q, q]),
-                np.concatenate([self.o, ords[c]]),
-                np.concatenate([self.s, s[q, c]]),
-                self.k,
-            )
+        s = _scores(self.queries, vectors, self.metric)
+        n = s.shape[1]
+        if n > self.k:
+            least = np.partition(s, n - self.k, axis=1)[:, n - self.k]
+            q, c = np.nonzero(s >= least[:, None])
+        else:
+            q, c = np.nonzero(np.ones_like(s, dtype=bool))
+        self.q, self.o, self.s = _best(
+            np.concatenate([self.q, q]), np.concatenate([self.o, ords[c]]),
+            np.concatenate([self.s, s[q, c]]), self.k,
+        )
 
 
 def _vector_columns(sparse: bool) -> list[str]:

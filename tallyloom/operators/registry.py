@@ -92,10 +92,8 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
     """Registry events at ``path``; lines that cannot be read are skipped, no folder is empty."""
     from pyspark.errors import AnalysisException
 
-    schema = T.StructType([*SCHEMA.fields, T.StructField("_bad", T.StringType())])
     try:
-        raw = spark.read.schema(schema).option("mode", "PERMISSIVE").option(
-            "columnNameOfCorruptRecord", "_bad").json(path)
+        raw = spark.read.schema(SCHEMA).option("mode", "PERMISSIVE").json(path)
     except AnalysisException:
         return empty(spark)
-    return raw.filter(F.col("_bad").isNull()).select(*COLUMNS)
+    return raw.filter(F.col("type").isNotNull() & F.col("name").isNotNull())
