@@ -41,9 +41,13 @@ def _string_fields(df: DataFrame, keep: tuple[str, ...] = ()) -> list[str]:
     ]
 
 
+# White space of all scripts, by rule from the Unicode data.
+_SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+
+
 def strip(c: Column) -> Column:
     """Remove white space of any kind on both sides."""
-    return F.regexp_replace(F.regexp_replace(c, r"^(?U)\s+", ""), r"(?U)\s+$", "")
+    return F.btrim(c, F.lit(_SPACES))
 
 
 def clean_strings(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -37,14 +37,19 @@ def temporal(df: DataFrame, date_col: str = "order_date") -> DataFrame:
     return df.withColumns(dict(zip(TEMPORAL, cols)))
 
 
-def price(df: DataFrame) -> DataFrame:
-    """Price and discount features; a family member needs its columns to exist."""
+def price(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
+    """Price and discount features; a family member needs its columns to exist.
+
+    ``source`` (also of the families below) has the same rows as ``df`` with a shorter plan;
+    statistics over all rows are taken from it.
+    """
     new = {}
+    base = source or df
     if "unit_price" in df.columns:
         p = F.col("unit_price")
         # one row of statistics, read as scalar subqueries
-        mean = df.agg(F.avg("unit_price")).scalar()
-        std = df.agg(F.stddev_samp("unit_price")).scalar()
+        mean = base.agg(F.avg("unit_price")).scalar()
+        std = base.agg(F.stddev_samp("unit_price")).scalar()
         new["unit_price_normalized"] = (p - mean) / (std + F.lit(1e-8))
         new["unit_price_log"] = F.log1p(p)
     if "discount" in df.columns:
@@ -55,7 +60,9 @@ def price(df: DataFrame) -> DataFrame:
     return df.withColumns(new)
 
 
-def interaction(df: DataFrame, order_cols: list[str] | None = None) -> DataFrame:
+def interaction(
+    df: DataFrame, order_cols: list[str] | None = None, source: DataFrame | None = None
+) -> DataFrame:
     """Products of columns, and a code per (category, region) by first appearance."""
     out = df
     if {"quantity", "unit_price"} <= set(df.columns):
@@ -70,7 +77,8 @@ def interaction(df: DataFrame, order_cols: list[str] | None = None) -> DataFrame
 
         key = F.concat_ws("_", text("category"), text("region"))
         out = out.withColumn("_pair", key)
-        first = out.groupBy("_pair").agg(F.min(F.struct(*order)).alias("_first"))
+        first = (source or df).groupBy(key.alias("_pair")).agg(
+            F.min(F.struct(*order)).alias("_first"))
         codes = settle(ordered.positions(first, [], ["_first"]).select(
             "_pair", F.col("_pos").alias("category_region_group")
         ), "codes")
@@ -93,17 +101,33 @@ def group_stats(
     return df.join(stats, key, "left")
 
 
-def aggregations(df: DataFrame) -> DataFrame:
-    """Quantity and revenue sums and means by category and region, mean by supplier."""
-    out, rev = df, series.revenue_of(df)
-    for key in ("category", "region"):
-        if key in df.columns:
-            out = group_stats(out, key, {
-                f"{key}_qty_sum": F.sum("quantity"), f"{key}_qty_mean": F.avg("quantity"),
-                f"{key}_revenue_sum": F.sum(rev), f"{key}_revenue_mean": F.avg(rev),
-            })
-    if "supplier_id" in df.columns:
-        out = group_stats(out, "supplier_id", {"supplier_avg_qty": F.avg("quantity")})
+def aggregations(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
+    """Quantity and revenue sums and means by category and region, mean by supplier.
+
+    All keys are aggregated in one pass over the rows by grouping sets.
+    """
+    keys = [k for k in ("category", "region", "supplier_id") if k in df.columns]
+    if not keys:
+        return df
+    rev = series.revenue_of(df)
+    sets = settle(
+        (source or df).groupingSets([[k] for k in keys], *keys).agg(
+            F.grouping_id().alias("_set"),
+            F.sum("quantity").alias("qty_sum"), F.avg("quantity").alias("qty_mean"),
+            F.sum(rev).alias("revenue_sum"), F.avg(rev).alias("revenue_mean"),
+        ), "sets",
+    )
+    measures = ("qty_sum", "qty_mean", "revenue_sum", "revenue_mean")
+    out = df
+    for i, key in enumerate(keys):
+        # in the grouping id every key but this one has its bit set
+        own = (2 ** len(keys) - 1) ^ 2 ** (len(keys) - 1 - i)
+        part = sets.filter((F.col("_set") == own) & F.col(key).isNotNull())
+        if key == "supplier_id":
+            part = part.select(key, F.col("qty_mean").alias("supplier_avg_qty"))
+        else:
+            part = part.select(key, *[F.col(m).alias(f"{key}_{m}") for m in measures])
+        out = out.join(settle(part, "stats"), key, "left")
     return out
 
 
@@ -174,17 +198,10 @@ def all_features(
     The row-order families share one numbering of the rows.
     """
     order = _order(order_cols)
-    out = df
-    if temporal_:
-        out = temporal(out)
-    if aggregations_:
-        out = aggregations(out)
-    if prices:
-        out = price(out)
-    if interactions:
-        out = interaction(out, order[-1:])
+    out = base = df
     if lags or rolling_ or ewma_:
-        out = ordered.positions(out, [], order)
+        # numbering writes the rows, so the families below read them instead of the input plan
+        out = base = ordered.positions(df, [], order)
         if ewma_:
             out = ordered.ewm(out, [], "quantity", _span_alphas("quantity", SPANS, ""))
         if lags or rolling_:
@@ -192,6 +209,14 @@ def all_features(
                 out, [], "quantity", LAGS if lags else [], WINDOWS if rolling_ else []
             )
         out = out.drop("_pos")
+    if temporal_:
+        out = temporal(out)
+    if aggregations_:
+        out = aggregations(out, base)
+    if prices:
+        out = price(out, base)
+    if interactions:
+        out = interaction(out, order[-1:], base)
     names = [c for c in out.columns if c not in df.columns]
     numeric = [
         f.name for f in out.schema.fields

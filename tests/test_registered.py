@@ -6,7 +6,8 @@ from oracle_check import compare, duck
 from tallyloom import registered
 
 QUERIES, SQL = registered.queries(), registered.oracle_sql()
-SLOW = {n for n in QUERIES if n.startswith("rf_") or n == "topn_importance"} - {"rf_prepare"}
+MODELS = {n for n in QUERIES if n.startswith("rf_") or n == "topn_importance"}
+NO_SQL = MODELS - {"rf_prepare", "rf_save_load"}
 
 
 @pytest.fixture(scope="module")
@@ -19,10 +20,10 @@ def test_every_sql_has_a_query():
 
 
 def test_only_model_queries_lack_sql():
-    assert set(QUERIES) - set(SQL) == SLOW
+    assert set(QUERIES) - set(SQL) == NO_SQL
 
 
-@pytest.mark.parametrize("name", sorted(SQL))
+@pytest.mark.parametrize("name", sorted(set(SQL) - {"rf_save_load"}))
 def test_query_equals_sql(spark, con, sf, name):
     problem, _ = compare(spark, con, sf, QUERIES[name], SQL[name])
     assert problem is None
