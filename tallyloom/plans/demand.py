@@ -19,18 +19,19 @@ def forecast_job(orders: DataFrame, periods: int = 7, freq: str = "D",
 def forecast_requests_job(orders: DataFrame, asked: DataFrame) -> DataFrame:
     """Forecast per accepted request ``(request_id, periods, freq)`` on one order table.
 
-    The three grids are forecast once for the longest horizon; requests pick their rows.
+    The orders are read once. The three grids are forecast for the longest horizon, at most
+    3 · 365 · 4 rows that every task may have; requests pick their rows.
     """
     ok = requests.accepted(requests.split_forecast(asked)).select("request_id", "periods", "freq")
     top = requests.FORECAST_RANGES["periods"][1]
-    points = series.daily(clean.numeric_only(orders), [])
+    points = settle(series.daily(clean.numeric_only(orders), []), "daily")
     tables = [
         forecast.forecast_points(points, [], top, f).withColumn("freq", F.lit(f))
         for f in requests.FREQUENCIES
     ]
-    every = tables[0].unionByName(tables[1]).unionByName(tables[2])
+    every = reduce(DataFrame.unionByName, tables)
     return (
-        ok.join(every, "freq").filter(F.col("step") <= F.col("periods"))
+        ok.join(F.broadcast(every), "freq").filter(F.col("step") <= F.col("periods"))
         .select("request_id", "freq", "method", "step", "t", "yhat")
     )
 

@@ -286,29 +286,32 @@ def forecast_evaluate(spark, sf_dir):
     return shown(forecast.evaluate(df, series_key=["category"]).drop("mape"))
 
 
-def _summary_sql():
-    value = "quantity * unit_price * (1 - discount)"
+def _named(sql, name):
+    """The same CTEs under names of their own."""
+    for t in ("daily", "bounds", "slots", "lv", "st"):
+        sql = sql.replace(f" {t} AS", f" {t}_{name} AS").replace(
+            f"FROM {t} ", f"FROM {t}_{name} ").replace(f"FROM {t},", f"FROM {t}_{name},").replace(
+            f"JOIN {t} ", f"JOIN {t}_{name} ").replace(f"FROM {t})", f"FROM {t}_{name})")
+    return (sql.replace(" g AS", f" g_{name} AS").replace("FROM g ", f"FROM g_{name} ")
+            .replace("FROM g)", f"FROM g_{name})")
+            .replace(" f AS (", f" f_{name} AS (").replace("FROM st\n", f"FROM st_{name}\n"))
 
-    def named(sql, name):
-        for t in ("daily", "bounds", "slots", "lv", "st"):
-            sql = sql.replace(f" {t} AS", f" {t}_{name} AS").replace(
-                f"FROM {t} ", f"FROM {t}_{name} ").replace(f"FROM {t},", f"FROM {t}_{name},").replace(
-                f"JOIN {t} ", f"JOIN {t}_{name} ").replace(f"FROM {t})", f"FROM {t}_{name})")
-        return (sql.replace(" g AS", f" g_{name} AS").replace("FROM g ", f"FROM g_{name} ")
-                .replace("FROM g)", f"FROM g_{name})")
-                .replace(" f AS (", f" f_{name} AS (").replace("FROM st\n", f"FROM st_{name}\n"))
 
-    def chain(key, v, name):
-        return named(daily_sql(key, v) + grid_sql(key) + levels_sql(key) + steps_sql(key, 7), name)
+def _chain(key, value, name, freq="D", periods=7):
+    return _named(daily_sql(key, value) + grid_sql(key, freq) + levels_sql(key)
+                  + steps_sql(key, periods, freq), name)
 
+
+def _summary_sql():
+    value = "quantity * unit_price * (1 - discount)"
     stats = " UNION ALL ".join(
         f"SELECT 'fit_statistics' AS section, '' AS series, '' AS method, '{n}' AS item, "
         f"{r(e)} AS value FROM g_q" for n, e in (
             ("mean", "avg(y)"), ("std", "stddev_samp(y)"), ("min", "min(y)"), ("max", "max(y)"),
             ("periods", "CAST(count(*) AS DOUBLE)")))
     return with_sales(
-        chain(None, "quantity", "q") + chain(None, value, "r") + chain("category", "quantity", "c")
-        + named(_scores_sql(None), "e") + " " + stats
+        _chain(None, "quantity", "q") + _chain(None, value, "r")
+        + _chain("category", "quantity", "c") + _named(_scores_sql(None), "e") + " " + stats
         + f""" UNION ALL SELECT 'quantity_forecast', '', method, CAST(step AS VARCHAR),
             {r('yhat')} FROM f_q
           UNION ALL SELECT 'revenue_forecast', '', method, CAST(step AS VARCHAR),
@@ -357,6 +360,23 @@ def forecast_job(spark, sf_dir):
     return shown(demand.forecast_job(sales_text(spark, sf_dir)))
 
 
+@_f.add("forecast_requests", with_sales(
+    "".join(_chain(None, "quantity", f.lower(), f, 24) for f in NEXT) + f""",
+    asked AS (SELECT c_custkey AS request_id, c_nationkey AS periods,
+      CASE c_custkey % 3 WHEN 0 THEN 'D' WHEN 1 THEN 'W' ELSE 'M' END AS freq FROM customer),
+    every AS (SELECT 'D' AS freq, * FROM f_d UNION ALL SELECT 'W', * FROM f_w
+      UNION ALL SELECT 'M', * FROM f_m)
+    SELECT request_id, freq, method, CAST(step AS INTEGER) AS step, t, {r('yhat')} AS yhat
+    FROM asked JOIN every USING (freq) WHERE periods BETWEEN 1 AND 365 AND step <= periods"""))
+def forecast_requests(spark, sf_dir):
+    key = F.col("c_custkey") % 3
+    asked = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("request_id"), F.col("c_nationkey").alias("periods"),
+        F.when(key == 0, "D").when(key == 1, "W").otherwise("M").alias("freq"))
+    orders = sales(spark, sf_dir, "order_date", "quantity", "unit_price")
+    return shown(demand.forecast_requests_job(orders, asked))
+
+
 @_f.add("sink_forecast", with_sales(
     daily_sql("category") + grid_sql("category") + levels_sql("category")
     + steps_sql("category", 7) + f""", a AS (SELECT category, method,

@@ -28,26 +28,27 @@ def _folder(spark, sf_dir, name, write):
     return _FOLDERS[key]
 
 
-def _one_file_each(df, key):
-    """One file per row, in a folder named by the key."""
-    return df.repartition(key).write.partitionBy(key)
+def _one_file_each(df):
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks).write.option("maxRecordsPerFile", 1)
 
 
 def _text_folder(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", "html")
-    return _folder(spark, sf_dir, "pages-text", lambda p: _one_file_each(pages, "page_id").text(p))
+    """Pages, one text file each, on ten shelves (sub-folders)."""
+    pages = table(spark, sf_dir, "pages").select("html", (F.col("page_id") % 10).alias("shelf"))
+    return _folder(spark, sf_dir, "pages-text",
+                   lambda p: _one_file_each(pages).partitionBy("shelf").text(p))
 
 
 def _json_folder(spark, sf_dir):
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
-    return _folder(spark, sf_dir, "labels-json", lambda p: _one_file_each(labels, "doc_id").json(p))
+    return _folder(spark, sf_dir, "labels-json", lambda p: _one_file_each(labels).json(p))
 
 
-def _csv_folder(spark, sf_dir, name="customers-csv", extension="csv"):
+def _csv_folder(spark, sf_dir, name="nations-csv", extension="csv"):
     nations = table(spark, sf_dir, "nation")
-    return _folder(
-        spark, sf_dir, name,
-        lambda p: _one_file_each(nations, "n_nationkey").option("extension", extension).csv(p))
+    return _folder(spark, sf_dir, name,
+                   lambda p: _one_file_each(nations).option("extension", extension).csv(p))
 
 
 def _sales_csv(spark, sf_dir):
@@ -55,10 +56,6 @@ def _sales_csv(spark, sf_dir):
                    lambda p: files.write_sales_csv(sales_text(spark, sf_dir), p))
 
 
-def _key_in_path(path, key):
-    return F.regexp_extract(path, f"{key}=(\\d+)", 1).cast("bigint").alias(key)
-
-
 @_f.add("src_csv_sales", with_sales_text(" SELECT * EXCLUDE (row_id) FROM sales_text"))
 def src_csv_sales(spark, sf_dir):
     return clean.validate_columns(files.read_sales_csv(spark, _sales_csv(spark, sf_dir)))
@@ -78,23 +75,21 @@ def src_sales_numeric(spark, sf_dir):
 _LINES = "replace(replace(html, chr(13) || chr(10), chr(10)), chr(13), chr(10)) || chr(10)"
 
 
-@_f.add("src_text", f"""SELECT page_id, {_LINES} AS content, 'text' AS type,
+@_f.add("src_text", f"""SELECT {_LINES} AS content, 'text' AS type,
     CAST(1 AS INTEGER) AS named FROM pages""")
 def src_text(spark, sf_dir):
     docs = documents.text_documents(spark, _text_folder(spark, sf_dir), recursive=True)
     meta = F.col("metadata")
     named = (F.endswith(F.col("source"), meta["filename"]) & (meta["path"] == F.col("source")))
-    return docs.select(_key_in_path(F.col("source"), "page_id"), "content",
-                       meta["type"].alias("type"), named.cast("int").alias("named"))
+    return docs.select("content", meta["type"].alias("type"), named.cast("int").alias("named"))
 
 
-@_f.add("src_json_doc", """SELECT CAST(doc_id AS BIGINT) AS doc_id, '{' || chr(10) || '  "quality": '
-    || quality || ',' || chr(10) || '  "toxic": ' || toxic || chr(10) || '}' AS content,
-    'json' AS type FROM labels""")
+@_f.add("src_json_doc", """SELECT '{' || chr(10) || '  "doc_id": ' || doc_id || ',' || chr(10)
+    || '  "quality": ' || quality || ',' || chr(10) || '  "toxic": ' || toxic || chr(10) || '}'
+    AS content, 'json' AS type FROM labels""")
 def src_json_doc(spark, sf_dir):
     docs = documents.good(documents.json_documents(spark, _json_folder(spark, sf_dir), True))
-    return docs.select(_key_in_path(F.col("source"), "doc_id"), "content",
-                       F.col("metadata")["type"].alias("type"))
+    return docs.select("content", F.col("metadata")["type"].alias("type"))
 
 
 def _make_extractor():
@@ -102,8 +97,7 @@ def _make_extractor():
     return lambda blob: blob.decode("utf-8").split("\f")
 
 
-@_f.add("src_pdf_doc", f"""SELECT page_id,
-    regexp_replace(regexp_replace({_LINES}, '^\\s+', ''), '\\s+$', '') AS content,
+@_f.add("src_pdf_doc", f"""SELECT regexp_replace(regexp_replace({_LINES}, '^\\s+', ''), '\\s+$', '') AS content,
     CAST(1 AS INTEGER) AS placeholder, 'pdf' AS type FROM pages""")
 def src_pdf_doc(spark, sf_dir):
     scanned = documents.scan_files(spark, _text_folder(spark, sf_dir), recursive=True)
@@ -113,7 +107,7 @@ def src_pdf_doc(spark, sf_dir):
             F.lit(documents.PDF_PLACEHOLDER), F.col("metadata")["filename"]
         )).cast("int").alias("placeholder"))
     return real.join(shown, "source").select(
-        _key_in_path(F.col("source"), "page_id"), "content", "placeholder",
+        "content", "placeholder",
         F.col("metadata")["type"].alias("type"))
 
 
@@ -144,21 +138,20 @@ def src_documents(spark, sf_dir):
     return parts[0].unionByName(parts[1])
 
 
-@_f.add("src_dir_recursive", f"SELECT page_id, md5({_LINES}) AS content, 'text' AS type FROM pages")
+@_f.add("src_dir_recursive", f"SELECT md5({_LINES}) AS content, 'text' AS type FROM pages")
 def src_dir_recursive(spark, sf_dir):
     docs = documents.good(documents.load_files(spark, _text_folder(spark, sf_dir), recursive=True))
-    return docs.select(_key_in_path(F.col("source"), "page_id"), F.md5("content").alias("content"),
-                       F.col("metadata")["type"].alias("type"))
+    return docs.select(F.md5("content").alias("content"), F.col("metadata")["type"].alias("type"))
 
 
 @_f.add("rag_load", DOCS_SQL.replace("documents", "page_docs").replace(
     "WITH ", f"WITH page_docs AS (SELECT page_id AS doc_id, {_LINES} AS text FROM pages), ", 1) + f"""
-  SELECT doc_id AS page_id, {_SUMMARY} FROM page_docs LEFT JOIN doc_vec ON doc_id = ord
-  GROUP BY doc_id""")
+  SELECT md5(any_value(text)) AS content, {_SUMMARY} FROM page_docs
+  LEFT JOIN doc_vec ON doc_id = ord GROUP BY doc_id""")
 def rag_load(spark, sf_dir):
     index = answers.index_folder(spark, _text_folder(spark, sf_dir), recursive=True)
-    keys = index.documents.select("ord", _key_in_path(F.col("source"), "page_id"))
-    return _vector_summary(index.vectors.join(keys, "ord"), "page_id")
+    texts = index.documents.select("ord", F.md5("content").alias("content"))
+    return _vector_summary(index.vectors.join(texts, "ord"), "content")
 
 
 # --- registry: events of users act on models named after them ---------------------------

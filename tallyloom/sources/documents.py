@@ -33,9 +33,12 @@ def _newlines(c: Column) -> Column:
     return F.regexp_replace(c, "\r\n?", "\n")
 
 
-@F.pandas_udf(T.StructType([
+_READ = T.StructType([
     T.StructField("content", T.StringType()), T.StructField("error", T.StringType()),
-]))
+])
+
+
+@F.pandas_udf(_READ)
 def _print_json(texts: pd.Series) -> pd.DataFrame:
     """JSON printed again with indent 2; text that is no JSON gives an error."""
     content, errors = [], []
@@ -49,22 +52,23 @@ def _print_json(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"content": content, "error": errors}, dtype=object)
 
 
-def _glob(suffix_: str) -> str:
-    """File name pattern of a suffix in any case."""
-    return "*." + "".join(f"[{c}{c.upper()}]" for c in suffix_[1:])
+def _glob(suffixes: list[str]) -> str:
+    """File name pattern of suffixes in any case."""
+    parts = ["".join(f"[{c}{c.upper()}]" for c in s[1:]) for s in suffixes]
+    return "*.{" + ",".join(parts) + "}"
 
 
 def scan_files(
     spark: SparkSession, paths: str | list[str], recursive: bool = False,
-    suffix_: str | None = None,
+    suffixes: list[str] | None = None,
 ) -> DataFrame:
     """Files as ``(path, content binary)``; sub-folders only when ``recursive``.
 
-    With a suffix only such files are listed, so no other file is opened.
+    With suffixes only such files are listed, so no other file is opened.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
-    if suffix_:
-        reader = reader.option("pathGlobFilter", _glob(suffix_))
+    if suffixes:
+        reader = reader.option("pathGlobFilter", _glob(suffixes))
     return reader.load(paths).select("path", "content")
 
 
@@ -78,61 +82,63 @@ def text_documents(spark: SparkSession, path: str, recursive: bool = False) -> D
 
 
 def json_documents(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
-    return _from_json(scan_files(spark, path, recursive, ".json"))
+    files = scan_files(spark, path, recursive, [".json"])
+    return _documents(files.withColumn("_suffix", F.lit(".json")), None)
 
 
-def _rows(files: DataFrame, kind: str, content: Column, error: Column) -> DataFrame:
-    return files.select(
-        content.alias("content"), F.col("path").alias("source"),
-        _metadata(F.col("path"), F.lit(kind)).alias("metadata"), error.alias("error"),
-    )
+def pdf_documents(files: DataFrame, make_extractor=None) -> DataFrame:
+    """Files ``(path, content)``, all taken as PDF, → documents."""
+    return _documents(files.withColumn("_suffix", F.lit(".pdf")), make_extractor)
 
 
-def _from_text(files: DataFrame) -> DataFrame:
-    text = F.col("content").cast("string")
-    valid = F.is_valid_utf8(text)
-    return _rows(
-        files, "text", F.when(valid, _newlines(text)),
-        F.when(~valid, F.lit("not valid utf-8")),
-    )
-
+def _extractor_udf(make_extractor: Callable[[], Callable[[bytes], list[str]]]):
+    @F.pandas_udf(_READ)
+    def extract(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        pages = make_extractor()
+        for blobs in batches:
+            content, errors = [], []
+            for blob in blobs:
+                try:
+                    content.append(
+                        None if blob is None
+                        else "\n".join(p or "" for p in pages(bytes(blob))).strip())
+                    errors.append(None)
+                except Exception as e:  # one broken file must not end the job
+                    content.append(None)
+                    errors.append(f"{type(e).__name__}: {e}")
+            yield pd.DataFrame({"content": content, "error": errors}, dtype=object)
 
-def _from_json(files: DataFrame) -> DataFrame:
-    printed = files.withColumn("_j", _print_json(F.col("content").cast("string")))
-    return _rows(printed, "json", F.col("_j.content"), F.col("_j.error"))
+    return extract
 
 
-def pdf_documents(
-    files: DataFrame, make_extractor: Callable[[], Callable[[bytes], list[str]]] | None = None
-) -> DataFrame:
-    """PDF files ``(path, content)`` → documents.
+def _documents(files: DataFrame, make_extractor) -> DataFrame:
+    """``(path, content, _suffix)`` → documents in one projection over one scan.
 
     ``make_extractor`` runs once per task and returns ``pages(bytes) -> page texts``; pages
-    are joined by line ends and stripped. Without one, a placeholder names the file.
+    are joined by line ends and stripped. Without one, a placeholder names the PDF file.
+    Only the JSON and PDF bytes go to Python.
     """
+    kind, path, raw = F.col("_suffix"), F.col("path"), F.col("content")
+    nothing = F.lit(None).cast("string")
+    text = raw.cast("string")
+    valid = F.is_valid_utf8(text)
+    df = files.withColumn("_json", _print_json(F.when(kind == ".json", text)))
     if make_extractor is None:
-        return _rows(
-            files, "pdf", F.concat(F.lit(PDF_PLACEHOLDER), _name(F.col("path"))),
-            F.lit(None).cast("string"),
-        )
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pages = make_extractor()
-        for b in batches:
-            out = {"path": b["path"], "text": [], "error": []}
-            for blob in b["content"]:
-                try:
-                    out["text"].append("\n".join(p or "" for p in pages(blob)).strip())
-                    out["error"].append(None)
-                except Exception as e:  # one broken file must not end the job
-                    out["text"].append(None)
-                    out["error"].append(f"{type(e).__name__}: {e}")
-            yield pd.DataFrame(out)
-
-    texts = files.select("path", "content").mapInPandas(
-        run, "path string, text string, error string"
+        pdf, pdf_error = F.concat(F.lit(PDF_PLACEHOLDER), _name(path)), nothing
+    else:
+        df = df.withColumn("_pdf", _extractor_udf(make_extractor)(F.when(kind == ".pdf", raw)))
+        pdf, pdf_error = F.col("_pdf.content"), F.col("_pdf.error")
+    types = F.create_map(*[F.lit(x) for pair in SUFFIX_TYPES.items() for x in pair])
+    return df.select(
+        F.when(kind == ".json", F.col("_json.content")).when(kind == ".pdf", pdf)
+        .when((kind == ".txt") & valid, _newlines(text)).alias("content"),
+        path.alias("source"),
+        _metadata(path, F.coalesce(F.element_at(types, kind), F.lit("unknown"))).alias("metadata"),
+        F.when(kind == ".json", F.col("_json.error")).when(kind == ".pdf", pdf_error)
+        .when((kind == ".txt") & ~valid, F.lit("not valid utf-8"))
+        .when(~kind.isin(list(SUFFIX_TYPES)),
+              F.concat(F.lit("Unsupported file format: "), kind)).alias("error"),
     )
-    return _rows(texts, "pdf", F.col("text"), F.col("error"))
 
 
 def load_files(
@@ -142,24 +148,16 @@ def load_files(
     """Every file by its suffix; ``error`` is set where a file could not be read.
 
     Files of other types are left out when a folder is listed (``only_known``) and become
-    error rows when they were asked for by name.
+    error rows when they were asked for by name; of those only the path is read.
     """
-    def of(suffix_: str) -> DataFrame:
-        return scan_files(spark, paths, recursive, suffix_)
-
-    out = (
-        _from_text(of(".txt")).unionByName(_from_json(of(".json")))
-        .unionByName(pdf_documents(of(".pdf"), make_extractor))
-    )
+    files = scan_files(spark, paths, recursive, list(SUFFIX_TYPES))
+    known = _documents(files.withColumn("_suffix", suffix(F.col("path"))), make_extractor)
     if only_known:
-        return out
-    # only the paths are read here
-    other = scan_files(spark, paths, recursive).withColumn("_suffix", suffix(F.col("path")))
-    other = other.filter(~F.col("_suffix").isin(list(SUFFIX_TYPES)))
-    return out.unionByName(_rows(
-        other, "unknown", F.lit(None).cast("string"),
-        F.concat(F.lit("Unsupported file format: "), F.col("_suffix")),
-    ))
+        return known
+    other = scan_files(spark, paths, recursive).select(
+        "path", suffix(F.col("path")).alias("_suffix"), F.lit(None).cast("binary").alias("content"))
+    return known.unionByName(
+        _documents(other.filter(~F.col("_suffix").isin(list(SUFFIX_TYPES))), None))
 
 
 def good(documents: DataFrame) -> DataFrame:
