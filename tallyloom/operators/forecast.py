@@ -44,7 +44,7 @@ def levels(
     """
     a = series.effective_alpha(alpha)
     idx, y, size = F.col("idx"), F.col("y"), F.col(n)
-    used = idx.isNotNull() & (idx < size)
+    used = idx < size
 
     def total(x: Column) -> Column:
         return F.coalesce(F.sum(F.when(used, x)), F.lit(0.0))

@@ -60,67 +60,63 @@ def revenue(df: DataFrame, null_discount_as_zero: bool = False) -> DataFrame:
     return df.withColumn("revenue", revenue_of(df, null_discount_as_zero))
 
 
-def _on_period(points: DataFrame, series_key: list[str], freq: str, mode: str) -> DataFrame:
-    """Daily points → points at grid dates.
-
-    ``asfreq`` picks values that fall on grid dates, ``resample`` sums each period.
-    """
-    check_freq(freq)
-    if mode not in GRID_MODES:
-        raise ValueError(f"unknown grid mode {mode!r}; valid: {', '.join(GRID_MODES)}")
-    if mode == "asfreq" or freq == "D":
-        return points
-    return (
-        points.withColumn("t", grid_ceil(F.col("t"), freq))
-        .groupBy(*series_key, "t").agg(F.sum("y").alias("y"))
-    )
+def _in_series(series_key: list[str]):
+    """Window over one series in time order; a series has at most one row per calendar day."""
+    return Window.partitionBy(*(series_key or [F.lit(0)])).orderBy("t")
 
 
 def series_points(
     points: DataFrame, series_key: list[str], freq: str = "D", mode: str = "asfreq"
 ) -> DataFrame:
-    """Observed points with their grid position: ``(series_key…, t, y, idx, n, start, stop)``.
+    """Daily points → points on grid dates: ``(series_key…, t, y, idx, n, start, stop)``.
 
-    The grid itself is not built: unobserved grid points are 0, so sums over the grid are
-    sums over the observed points. A point off the grid keeps its row with y = 0 and null
-    idx, so that a series with no value on its grid is still known. Series whose grid is
-    empty have no rows.
+    ``asfreq`` picks the values that fall on grid dates, ``resample`` sums each period. The
+    grid itself is not built: what has no row is 0, so sums over the grid are sums over
+    these rows. The first grid date always has a row. Series whose grid is empty have none.
     """
-    p = _on_period(points, series_key, freq, mode)
-    span = Window.partitionBy(*series_key) if series_key else Window.partitionBy(F.lit(0))
-    t = F.col("t")
+    check_freq(freq)
+    if mode not in GRID_MODES:
+        raise ValueError(f"unknown grid mode {mode!r}; valid: {', '.join(GRID_MODES)}")
+    p, last = points, F.col("t")
+    if freq != "D":
+        end = grid_ceil(F.col("t"), freq)
+        picked = F.col("y") if mode == "resample" else F.when(
+            end == F.col("t"), F.col("y")).otherwise(F.lit(0.0))
+        p = points.groupBy(*series_key, end.alias("_end")).agg(
+            F.sum(picked).alias("y"), F.max("t").alias("_last")
+        ).withColumnRenamed("_end", "t")
+        last = F.col("_last") if mode == "asfreq" else F.col("t")
+    whole = _in_series(series_key).rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing)
     return (
-        p.withColumn("start", grid_ceil(F.min("t").over(span), freq))
-        .withColumn("stop", grid_floor(F.max("t").over(span), freq))
-        .withColumn("n", steps_between(F.col("start"), F.col("stop"), freq) + 1)
-        .filter(F.col("start") <= F.col("stop"))
-        .withColumn("_on", grid_ceil(t, freq) == t)
-        .withColumn("idx", F.when(F.col("_on"), steps_between(F.col("start"), t, freq)))
-        .withColumn("y", F.when(F.col("_on"), F.col("y")).otherwise(F.lit(0.0)))
-        .drop("_on")
+        p.withColumn("start", F.min("t").over(whole))
+        .withColumn("stop", grid_floor(F.max(last).over(whole), freq))
+        .filter(F.col("t") <= F.col("stop"))
+        .select(
+            *series_key, "t", "y",
+            steps_between(F.col("start"), F.col("t"), freq).alias("idx"),
+            (steps_between(F.col("start"), F.col("stop"), freq) + 1).alias("n"),
+            "start", "stop",
+        )
     )
 
 
 def grid(
     points: DataFrame, series_key: list[str], freq: str = "D", mode: str = "asfreq"
 ) -> DataFrame:
-    """Complete grid per series: ``(series_key…, t, y, idx, n)``, gaps filled with 0."""
-    p = _on_period(points, series_key, freq, mode)
-    bounds = (
-        p.groupBy(*series_key)
-        .agg(
-            grid_ceil(F.min("t"), freq).alias("start"),
-            grid_floor(F.max("t"), freq).alias("stop"),
-        )
-        .filter(F.col("start") <= F.col("stop"))
-        .withColumn("n", steps_between(F.col("start"), F.col("stop"), freq) + 1)
-    )
-    slots = bounds.select(
-        *series_key, "start", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("idx")
-    ).select(*series_key, shift(F.col("start"), F.col("idx"), freq).alias("t"), "idx", "n")
-    return (
-        slots.join(p.select(*series_key, "t", "y"), [*series_key, "t"], "left")
-        .select(*series_key, "t", F.coalesce("y", F.lit(0.0)).alias("y"), "idx", "n")
+    """Complete grid per series: ``(series_key…, t, y, idx, n)``, gaps filled with 0.
+
+    Every point fills the gap up to the next one, so no second pass over the orders is
+    needed for the bounds and no join.
+    """
+    p = series_points(points, series_key, freq, mode)
+    following = F.lead("idx").over(_in_series(series_key))
+    filled = p.withColumn("_to", F.coalesce(following, F.col("n")) - 1).withColumn(
+        "_g", F.explode(F.sequence(F.col("idx"), F.col("_to"))))
+    return filled.select(
+        *series_key, shift(F.col("start"), F.col("_g"), freq).alias("t"),
+        F.when(F.col("_g") == F.col("idx"), F.col("y")).otherwise(F.lit(0.0)).alias("y"),
+        F.col("_g").alias("idx"), "n",
     )
 
 
