@@ -141,7 +141,8 @@ def src_documents(spark, sf_dir):
 @_f.add("src_dir_recursive", f"SELECT md5({_LINES}) AS content, 'text' AS type FROM pages")
 def src_dir_recursive(spark, sf_dir):
     docs = documents.good(documents.load_files(spark, _text_folder(spark, sf_dir), recursive=True))
-    return docs.select(F.md5("content").alias("content"), F.col("metadata")["type"].alias("type"))
+    return docs.select(F.md5("content").alias("content"),
+                       F.col("metadata")["type"].alias("type"))
 
 
 @_f.add("rag_load", DOCS_SQL.replace("documents", "page_docs").replace(

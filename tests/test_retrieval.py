@@ -6,7 +6,6 @@ import unicodedata
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.errors import PythonException
 from pyspark.sql import functions as F

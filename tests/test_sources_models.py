@@ -4,12 +4,11 @@ import json
 import os
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from tallyloom.operators import forest, registry, retrieval
+from tallyloom.operators import forest, registry
 from tallyloom.plans import answers
 from tallyloom.session import scratch_path, settle, shared_dir
 from tallyloom.sources import documents, files
