@@ -54,14 +54,22 @@ def clean_strings(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return df.withColumns({c: strip(F.col(c)) for c in _string_fields(df, keep)})
 
 
-def as_number(c: Column) -> Column:
-    """Number in a text, null for anything else (also for NaN)."""
+def as_number(c: Column, is_text: bool = True) -> Column:
+    """Number in a text, null for anything else (also for NaN).
+
+    A cast alone would also take "12d", "3f" and hexadecimal numbers.
+    """
     x = c.try_cast("double")
-    return F.when(F.isnan(x), F.lit(None)).otherwise(x)
+    if is_text:
+        x = F.when(~c.rlike(r"[0-9.][dDfF]\s*$|[xX]"), x)
+    return F.when(~F.isnan(x), x)
 
 
 def coerce_numeric(df: DataFrame) -> DataFrame:
-    return df.withColumns({c: as_number(F.col(c)) for c in NUMERIC_COLUMNS if c in df.columns})
+    text = _string_fields(df)
+    return df.withColumns({
+        c: as_number(F.col(c), c in text) for c in NUMERIC_COLUMNS if c in df.columns
+    })
 
 
 def _unparsed() -> Column:
@@ -88,11 +96,17 @@ def numeric_only(df: DataFrame) -> DataFrame:
     return coerce_numeric(df).filter(F.col("quantity").isNotNull())
 
 
-def clean_dates(df: DataFrame) -> DataFrame:
-    """Dates from text; what is no date becomes null, rows stay."""
-    return df.withColumns({
-        c: F.to_date(F.try_to_timestamp(F.col(c))) for c in DATE_COLUMNS if c in df.columns
-    })
+def clean_dates(df: DataFrame, formats: list[str] | None = None) -> DataFrame:
+    """Dates from text; what is no date becomes null, rows stay.
+
+    ISO dates are read unless other ``formats`` (date patterns, tried in turn) are given.
+    """
+    def parsed(c: str) -> Column:
+        if not formats:
+            return F.try_to_timestamp(F.col(c))
+        return F.coalesce(*[F.try_to_timestamp(F.col(c), F.lit(f)) for f in formats])
+
+    return df.withColumns({c: F.to_date(parsed(c)) for c in DATE_COLUMNS if c in df.columns})
 
 
 def add_derived(df: DataFrame) -> DataFrame:

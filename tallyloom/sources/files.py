@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyloom.operators import clean, forecast
 from tallyloom.sources.tables import SALES_COLUMNS
 
-SALES_TEXT = T.StructType([T.StructField(c, T.StringType()) for c in SALES_COLUMNS])
-
-
 def write_sales_csv(df: DataFrame, path: str) -> None:
     (
         df.select(*SALES_COLUMNS).write.mode("overwrite").option("header", "true")
@@ -18,9 +15,13 @@ def write_sales_csv(df: DataFrame, path: str) -> None:
     )
 
 
-def read_sales_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Order file with a header, all columns as text; a missing file is an error."""
-    return spark.read.schema(SALES_TEXT).option("header", "true").csv(path)
+def read_sales_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Order file, all columns as text under the names of its header.
+
+    A missing file is an error. ``multi_line`` allows line ends inside quotes, at the price
+    that a file is read by one task.
+    """
+    return spark.read.option("header", "true").option("multiLine", multi_line).csv(path)
 
 
 def read_sales_numeric(spark: SparkSession, path: str) -> DataFrame:

@@ -134,6 +134,22 @@ def test_missing_columns_are_named(spark):
         clean.validate_columns(df)
 
 
+def test_numbers_in_texts(spark):
+    texts = ["1", " 2.5 ", "-3e2", ".5", "7.", "12d", "1f", "0x1p3", "N/A", "", "nan", "inf", None, "1,000"]
+    df = spark.createDataFrame([(t,) for t in texts], "quantity string")
+    got = [r[0] for r in clean.coerce_numeric(df).collect()]
+    assert got == [1.0, 2.5, -300.0, 0.5, 7.0, None, None, None, None, None, None, math.inf, None, None]
+    numbers = spark.createDataFrame([(1.5,), (float("nan"),)], "quantity double")
+    assert [r[0] for r in clean.coerce_numeric(numbers).collect()] == [1.5, None]
+
+
+def test_date_formats(spark):
+    df = spark.createDataFrame([("2024-02-03",), ("03/02/2024",), ("?",)], "order_date string")
+    iso = [str(r[0]) for r in clean.clean_dates(df).collect()]
+    both = [str(r[0]) for r in clean.clean_dates(df, ["yyyy-MM-dd", "dd/MM/yyyy"]).collect()]
+    assert iso == ["2024-02-03", "None", "None"] and both == ["2024-02-03", "2024-02-03", "None"]
+
+
 def test_profile(spark):
     df = spark.createDataFrame([(1, None), (None, "x"), (3, None)], "a int, b string")
     got = [(r["column"], r["rows"], r["nulls"]) for r in clean.profile_nulls(df).collect()]

@@ -8,7 +8,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from tallyloom.operators import forest, registry
+from tallyloom.operators import clean, forest, registry
 from tallyloom.plans import answers
 from tallyloom.session import scratch_path, settle, shared_dir
 from tallyloom.sources import documents, files
@@ -111,6 +111,14 @@ def test_quotes_in_csv(spark, tmp_path):
     assert r["product_name"] == 'Monitor 27"' and r["discount"] is None and r["quantity"] == "3"
 
 
+def test_columns_go_by_the_header(spark, tmp_path):
+    (tmp_path / "o.csv").write_text("quantity,order_id\n3,O-1\n")
+    df = files.read_sales_csv(spark, str(tmp_path / "o.csv"))
+    assert df.first().asDict() == {"quantity": "3", "order_id": "O-1"}
+    with pytest.raises(ValueError, match="product_id"):
+        clean.validate_columns(df)
+
+
 def test_forecast_sinks(spark, tmp_path):
     f = spark.createDataFrame(
         [("a", "sma", 2, 2.5), ("a", "sma", 1, 1.5), ("b", "trend", 1, 0.0)],
