@@ -17,25 +17,34 @@ from tallyloom.session import settle
 BLOCK = 1024
 
 
+def _ranged(df: DataFrame, cols: list[str], partitions: int | None) -> DataFrame:
+    """Rows sorted over all partitions, with ``_mid`` = partition · 2³³ + place in it.
+
+    The input is written with a running number first. The number is the last sort column,
+    so even many exact copies of a row spread over the ranges, and a task that runs again
+    reads the same rows.
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = settle(df.withColumn("_tie", F.monotonically_increasing_id()), "input")
+    ranged = (
+        rows.repartitionByRange(n, *cols, "_tie")
+        .sortWithinPartitions(*cols, "_tie").drop("_tie")
+        .withColumn("_mid", F.monotonically_increasing_id())
+    )
+    return settle(ranged, "ranged")
+
+
 def positions(
     df: DataFrame, keys: list[str], order_cols: list[str], partitions: int | None = None
 ) -> DataFrame:
     """Add ``_pos``: 0-based place of a row inside its key, by ``order_cols``.
 
-    One range shuffle on (keys, order_cols), so hot keys spread over many tasks. The
-    sorted rows are written once; the place is the offset of the (key, partition) run plus
-    the place inside the run. The table of runs has one row per partition and key change;
-    it is written too, so the planner joins it by its true size. Keys must not be null.
+    One range shuffle on (keys, order_cols), so neither a hot key nor a hot date is sorted in
+    one task. The place is the offset of the (key, partition) run plus the place inside the
+    run. The table of runs has one row per partition and key change; it is written too, so
+    the planner joins it by its true size. Keys must not be null.
     """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cols = [*keys, *order_cols]
-    ranged = (
-        df.repartitionByRange(n, *cols)
-        .sortWithinPartitions(*cols)
-        .withColumn("_mid", F.monotonically_increasing_id())
-    )
-    ranged = settle(ranged, "ranged")
+    ranged = _ranged(df, [*keys, *order_cols], partitions)
     run = F.shiftright("_mid", 33).alias("_run")
     runs = ranged.groupBy(*keys, run).agg(
         F.count("*").alias("_len"), F.min("_mid").alias("_first")

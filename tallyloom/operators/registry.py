@@ -54,8 +54,10 @@ def metadata(log: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def list_models(log: DataFrame) -> DataFrame:
     """``(type, name)`` of all models; a type without models has one row with null name."""
+    names = latest(log).select(*KEY)
     types = log.sparkSession.createDataFrame([(t,) for t in MODEL_TYPES], "type string")
-    return types.join(latest(log).select(*KEY), "type", "left")
+    bare = types.join(names.select("type").distinct(), "type", "left_anti")
+    return names.unionByName(bare.withColumn("name", F.lit(None).cast("string")))
 
 
 def delete(log: DataFrame, wanted: DataFrame) -> DataFrame:

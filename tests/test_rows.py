@@ -54,6 +54,18 @@ def test_positions_do_not_gather_a_hot_key(spark, rows, frame):
     assert list(got["_pos"]) == list(want)
 
 
+def test_copies_spread_over_the_ranges(spark):
+    """A third of the rows are exact copies of one row."""
+    df = spark.range(12_000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"))
+    sizes = [r["count"] for r in ordered._ranged(df, ["k"], 8).groupBy(
+        F.shiftright("_mid", 33)).count().collect()]
+    assert sum(sizes) == 12_000 and max(sizes) < 2 * 12_000 / 8
+    places = ordered.positions(df, [], ["k"], partitions=8).agg(
+        F.count_distinct("_pos"), F.min("_pos"), F.max("_pos")).first()
+    assert tuple(places) == (12_000, 0, 11_999)
+
+
 @pytest.mark.parametrize("block", [8, 64, 1024])
 def test_lag_rolling_ewma_ungrouped(spark, rows, frame, block):
     p = ordered.positions(rows, [], ["order_date", "row_id"], partitions=5)
