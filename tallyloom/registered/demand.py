@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.numeric import round_even
 from tallyloom.operators import forecast, metrics, series
-from tallyloom.plans import demand
+from tallyloom.plans import demand, models
 from tallyloom.registered.common import Family, r, shown, with_sales
 from tallyloom.session import scratch_path
 from tallyloom.sources import files
@@ -46,12 +46,13 @@ def grid_sql(key: str | None, freq: str = "D") -> str:
       FROM slots g0 LEFT JOIN daily d ON {on} WHERE g0.t <= g0.e)"""
 
 
-def levels_sql(key: str | None, source: str = "g", n: str = "n", last: str = "max(t)") -> str:
+def levels_sql(key: str | None, source: str = "g", n: str = "n", last: str = "max(t)",
+               window: int = 7, a: str = ALPHA_SQL) -> str:
     k = f"{key}, " if key else ""
     group = f"GROUP BY {key}" if key else ""
     return f""", lv AS (SELECT {k}max({n}) AS n, {last} AS stop,
-        avg(y) FILTER (idx >= {n} - 7) AS sma,
-        list_reduce(list(y ORDER BY idx), lambda a, x: (1 - {ALPHA_SQL}) * a + {ALPHA_SQL} * x) AS es,
+        avg(y) FILTER (idx >= {n} - {window}) AS sma,
+        list_reduce(list(y ORDER BY idx), lambda b, x: (1 - {a}) * b + {a} * x) AS es,
         coalesce(regr_slope(y, idx), 0e0) AS slope,
         coalesce(regr_intercept(y, idx), avg(y)) AS icpt
       FROM {source} {group})"""
@@ -409,6 +410,22 @@ def baseline_save_load(spark, sf_dir):
                           F.lit(alpha).alias("alpha")))
 
 
+@_f.add("registry_load_forecast", with_sales(
+    daily_sql("region") + grid_sql("region") + levels_sql("region", window=5, a="(2e0 / 3e0)")
+    + steps_sql("region", 7) + f""" SELECT region, method, CAST(step AS INTEGER) AS step, t,
+      {r('yhat')} AS yhat FROM f"""))
+def registry_load_forecast(spark, sf_dir):
+    """Save and register a model, replace it, load it by name, forecast with its parameters."""
+    df = sales(spark, sf_dir, "order_date", "quantity", "region")
+    root = scratch_path(spark, "models")
+    g = series.prepare_series(df, ["region"])
+    models.save_baseline(g, root, "demand")
+    models.save_baseline(g, root, "demand", 5, 0.5, {"note": "shorter window"})
+    _, window_size, alpha = models.load_baseline(spark, root, "demand")
+    return shown(forecast.predict(df, 7, series_key=["region"], window_size=window_size,
+                                  alpha=alpha))
+
+
 # --- metrics --------------------------------------------------------------------------
 
 _PAIRS = "(SELECT l_returnflag AS k, l_quantity AS y, l_extendedprice / 15e2 AS f FROM lineitem)"

@@ -151,10 +151,13 @@ def replace_index(spark, sf_dir):
     return store.select("ord", "id", F.col("metadata")["label"].alias("label"))
 
 
-@_f.add("store_clear", "SELECT count(*) - count(*) AS n FROM embeddings")
+@_f.add("store_clear", _STORE)
 def store_clear(spark, sf_dir):
-    store = vector_store.create(_new_rows(spark, sf_dir), ["vec_id"])
-    return vector_store.size(vector_store.clear(store))
+    """A cleared store numbers from 0 again."""
+    rows = _new_rows(spark, sf_dir)
+    cleared = vector_store.clear(vector_store.create(rows, ["vec_id"]))
+    return vector_store.add(cleared, rows, ["vec_id"]).select(
+        "ord", "id", F.col("metadata")["label"].alias("label"))
 
 
 @_f.add("index_size", "SELECT count(*) AS n FROM embeddings")

@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tallyloom.operators import clean, forest, registry
-from tallyloom.plans import answers
+from tallyloom.plans import answers, models
 from tallyloom.session import scratch_path, settle, shared_dir
 from tallyloom.sources import documents, files
 from tallyloom.sources.tables import sales, sales_text
@@ -192,6 +192,32 @@ def test_forest(spark, planted, tmp_path):
     assert again.exceptAll(forest.predict(model, rows).select("row_id", "prediction")).count() == 0
 
 
+def test_model_life_cycle(spark, planted, tmp_path):
+    rows, names, model = planted
+    root = str(tmp_path)
+    assert models.log(spark, root).count() == 0
+    with pytest.raises(ValueError, match="not found"):
+        models.load_forest(spark, root, "f")
+    models.save_forest(model, names, root, "f", {"test_r2": 0.9}, {"by": "me"})
+    again, features = models.load_forest(spark, root, "f")
+    assert features == names
+    few = rows.limit(5)
+    assert ([r["prediction"] for r in forest.predict(again, few).collect()]
+            == [r["prediction"] for r in forest.predict(model, few).collect()])
+    g = spark.createDataFrame([(1.0, 0, 2), (3.0, 1, 2)], "y double, idx int, n int")
+    models.save_baseline(g, root, "b")
+    models.save_baseline(g, root, "b", 3, 0.4)
+    _, window, alpha = models.load_baseline(spark, root, "b")
+    assert (window, alpha) == (3, 0.4)
+    meta = json.loads(registry.get(models.log(spark, root), "baseline", "b").first()["metadata"])
+    assert meta["model_info"]["scaler_mean"] == 2.0 and meta["custom_metadata"] == {}
+    models.delete(spark, root, "baseline", "b")
+    left = {(r["type"], r["name"]) for r in registry.list_models(models.log(spark, root)).collect()}
+    assert left == {("baseline", None), ("random_forest", "f")}
+    with pytest.raises(ValueError):
+        models.delete(spark, root, "baseline", "b")
+
+
 def test_confidence(spark, planted):
     rows, names, model = planted
     few = rows.orderBy("row_id").limit(20)
