@@ -24,7 +24,7 @@ def _accent_table() -> tuple[str, str]:
     counterpart at the end of ``to`` and are therefore deleted.
     """
     source, target, deleted = [], [], []
-    for cp in range(0x80, 0xFFFE):
+    for cp in range(0x80, 0x20000):
         if 0xD800 <= cp <= 0xDFFF:
             continue
         c = chr(cp)

@@ -71,6 +71,19 @@ def test_words(spark):
     assert got == [re.findall(r"\w+", plain(s)) for s in samples]
 
 
+def test_every_one_character_plain_form(spark):
+    """All long-known letters of two planes whose plain form is one character."""
+    known = unicodedata.ucd_3_2_0  # the JVM's tables lag behind for the newest letters
+    letters = [chr(c) for c in range(0x80, 0x20000)
+               if known.category(chr(c)) in ("Ll", "Lu", "Lo", "Nd", "No")
+               and plain(chr(c)) != chr(c) and len(plain(chr(c))) == 1]
+    assert len(letters) > 2000
+    df = spark.createDataFrame([(c,) for c in letters], "s string")
+    got = [r[0] for r in df.select(tx.words(F.col("s"))).collect()]
+    wrong = [c for c, g in zip(letters, got) if g != re.findall(r"\w+", plain(c))]
+    assert wrong == []
+
+
 def test_exact_accents_expand_ligatures(spark):
     df = spark.createDataFrame([("ﬁne ½ Ǆ plain",)], "s string")
     assert df.select(tx.strip_accents(F.col("s"), exact=True)).first()[0] == tx._plain("ﬁne ½ Ǆ plain")
