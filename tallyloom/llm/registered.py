@@ -5,7 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyloom.llm import quality, secret_scan, sp_codec, token_counts
+from tallyloom import session
+from tallyloom.llm import (
+    chat_format, decontaminate, quality, secret_scan, sp_codec, token_counts, url_filter, warc,
+)
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
@@ -34,6 +37,48 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      public_tokenizers.path(PIECE_MODEL))
 
 
+# 4 -------------------------------------------------------------------------------------------
+
+_FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TEST_WORDS = "regexp_extract_all(" + _FOLD.format("coalesce(text, '')") + \
+    ", '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_CONTAMINATION_SQL = f"""
+WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_TEST_WORDS} AS ws FROM benchmark),
+windows AS (
+  SELECT DISTINCT item, n, array_to_string(ws[i:i + n - 1], ' ') AS w
+  FROM (SELECT item, ws, n, unnest(range(1, len(ws) - n + 2)) AS i
+    FROM (SELECT *, least(len(ws), {decontaminate.WINDOW}) AS n FROM items WHERE len(ws) > 0))),
+sizes AS (SELECT DISTINCT n FROM windows),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {_TEST_WORDS} AS ws FROM documents),
+places AS (
+  SELECT rid, n, i, array_to_string(ws[i:i + n - 1], ' ') AS w
+  FROM (SELECT rid, ws, n, unnest(range(1, len(ws) - n + 2)) AS i
+    FROM d, sizes WHERE len(ws) >= n)),
+hits AS (SELECT rid, places.n, i, item FROM places JOIN windows USING (n, w)),
+hit_words AS (
+  SELECT rid, count(DISTINCT p) AS n_hit
+  FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM hits) GROUP BY rid),
+hit_items AS (
+  SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT rid, item FROM hits WHERE item IS NOT NULL) GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+  coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit_words USING (rid) LEFT JOIN hit_items USING (rid)"""
+
+
+@query("op4_decontamination", _CONTAMINATION_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    span_words = F.aggregate(  # ends minus starts of a flat list
+        F.transform("spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0), lambda a, x: a + x)
+    return found.select(
+        "doc_id", "n_words", span_words.cast("long").alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"))
+
+
 # 5 -------------------------------------------------------------------------------------------
 
 @query("op5_sentencepiece")
@@ -157,3 +202,135 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *[count(k).alias(f"n_{k}") for k in base],
         F.sha2(listed(F.filter("spans", lambda x: x["kind"].isin(base))), 256).alias("base_sha256"),
         listed(F.col("spans")).alias("spans"))
+
+
+# 8 -------------------------------------------------------------------------------------------
+
+def _base32_sql(digest: str) -> str:
+    """Base32 of 40 hex digits: eight groups of 20 bits, four letters each."""
+    letters = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
+    group = f"CAST('0x' || substr({digest}, {{at}}, 5) AS INTEGER)"
+    return " || ".join(
+        f"substr({letters}, (({group.format(at=5 * g + 1)} >> {shift}) & 31) + 1, 1)"
+        for g in range(8) for shift in (15, 10, 5, 0))
+
+
+_WARC_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+firsts AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, {_base32_sql('h')} AS payload_digest,
+  CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first < page_id THEN first END AS refers_to
+FROM p JOIN firsts USING (h)"""
+
+
+@query("op8_warc", _WARC_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = session.scratch_path(spark, "warc")
+    index = warc.write_archives(read(spark, sf_dir, "pages"), folder)
+    return warc.read_archives(index, folder, payloads=False).select(
+        F.col("page").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"))
+
+
+# 9 -------------------------------------------------------------------------------------------
+
+def _url_sql() -> str:
+    """The same rounds, one common table per round."""
+    rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in url_filter.RULES)
+    fold = f"translate({{}}, '{url_filter.UPPER}', '{url_filter.LOWER}')"
+    link = url_filter.LINK.replace("'", "''")
+    rounds = "".join(f""",
+s{k + 1} AS (
+  SELECT host, {1 - url_filter.DAMPING!r}::DOUBLE * trusted + {url_filter.DAMPING}::DOUBLE * coalesce(t, 0e0) AS trust,
+    {1 - url_filter.DAMPING!r}::DOUBLE * blamed + {url_filter.DAMPING}::DOUBLE * coalesce(d, 0e0) AS distrust
+  FROM hosts LEFT JOIN (
+    SELECT "to" AS host, sum(arcs.t * trust) AS t, sum(arcs.d * distrust) AS d
+    FROM arcs JOIN s{k} ON "from" = host GROUP BY "to") USING (host))"""
+                     for k in range(url_filter.ROUNDS))
+    return f"""
+WITH rules(v, rule_host, rule_path) AS (VALUES {rules}),
+p AS (
+  SELECT row_number() OVER () AS rid, page_id, html, coalesce(substr(url, nullif(instr(url, '://'), 0) + 3), '') AS rest
+  FROM pages),
+h AS (
+  SELECT rid, page_id, html, {fold.format("regexp_extract(rest, '^[^/?#]*')")} AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+fits AS (
+  SELECT rid, v, rule_host || rule_path AS rule FROM h JOIN rules
+    ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)),
+firsts AS (
+  SELECT * FROM fits QUALIFY row_number() OVER (
+    PARTITION BY rid ORDER BY length(rule) DESC, CASE WHEN v = 'block' THEN 0 ELSE 1 END, rule) = 1),
+judged AS (SELECT rid, page_id, host, path, rule, v FROM h LEFT JOIN firsts USING (rid)),
+seeds AS (
+  SELECT host, count(*) FILTER (v = 'allow') AS allowed, count(*) FILTER (v = 'block') AS blocked
+  FROM judged WHERE host <> '' GROUP BY host),
+links AS (
+  SELECT host AS src, {fold.format("unnest(regexp_extract_all(coalesce(html, ''), '" + link + "', 1))")} AS dst
+  FROM h WHERE host <> ''),
+edges AS (SELECT src, dst, count(*) AS links FROM links WHERE src <> dst GROUP BY src, dst),
+total AS (SELECT greatest(sum(allowed), 1) AS a, greatest(sum(blocked), 1) AS b FROM seeds),
+hosts AS (
+  SELECT host, coalesce(allowed, 0) / (SELECT a FROM total)::DOUBLE AS trusted,
+    coalesce(blocked, 0) / (SELECT b FROM total)::DOUBLE AS blamed
+  FROM (SELECT src AS host FROM edges UNION SELECT dst FROM edges) FULL JOIN seeds USING (host)),
+arcs AS (
+  SELECT src AS "from", dst AS "to", links / sum(links) OVER (PARTITION BY src) AS t, 0e0 AS d FROM edges
+  UNION ALL
+  SELECT dst, src, 0e0, links / sum(links) OVER (PARTITION BY dst) FROM edges),
+s0 AS (SELECT host, trusted AS trust, blamed AS distrust FROM hosts){rounds}
+SELECT page_id, host, path, rule,
+  coalesce(v, CASE WHEN distrust > {url_filter.DISTRUST_RATIO} * trust THEN 'block' ELSE 'allow' END) AS verdict
+FROM judged LEFT JOIN s{url_filter.ROUNDS} USING (host)"""
+
+
+@query("op9_url_filters", _url_sql())
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    return url_filter.filter_urls(pages, url_filter.rules_table(spark)).select(
+        "page_id", "host", "path", "rule", "verdict")
+
+
+# 10 ------------------------------------------------------------------------------------------
+
+TRICKY = (-7, "\\### Assistant: </turn> ok")
+
+
+def _chat_sql() -> str:
+    template = chat_format.Template()
+    escaped = "{}"
+    for c, code in template.escapes:
+        escaped = f"replace({escaped}, '{c}', '{code}')"
+    before, after = template.begin.split("{role}")
+    marks = len(before) + len(after) + len(template.end)
+    learnt = ", ".join(f"'{r}'" for r in template.loss_roles)
+    order = "ORDER BY turn NULLS FIRST, role, text"
+    return f"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES ({TRICKY[0]}, 0, 'user', '{TRICKY[1]}'), ({TRICKY[0]}, 1, 'assistant', '{TRICKY[1]}'))
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' {order})) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role IN ({learnt})), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' {order}) FILTER (role IN ({learnt})), '')) AS loss_sha256,
+  CAST(sum({marks} + length({escaped.format('role')}) + length({escaped.format('text')})) AS BIGINT)
+    AS formatted_chars
+FROM rows GROUP BY conv_id"""
+
+
+@query("op10_chat_formatting", _chat_sql())
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.range(2).select(
+        F.lit(TRICKY[0]).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(TRICKY[1]).alias("text"))
+    chats = chat_format.read_back(chat_format.format_chats(rows.unionByName(more)))
+    learnt = F.array_join("learnt", "")
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(
+        t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return chats.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(turns, 256).alias("turns_sha256"), F.length(learnt).cast("long").alias("loss_chars"),
+        F.sha2(learnt, 256).alias("loss_sha256"), "formatted_chars")
