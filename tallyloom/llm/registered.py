@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyloom import session
 from tallyloom.llm import (
-    chat_format, decontaminate, quality, secret_scan, sp_codec, token_counts, url_filter, warc,
+    chat_format, decontaminate, jaccard_join, quality, secret_scan, sp_codec, token_counts, url_filter, warc,
 )
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -37,9 +37,42 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      public_tokenizers.path(PIECE_MODEL))
 
 
-# 4 -------------------------------------------------------------------------------------------
+# 3 -------------------------------------------------------------------------------------------
 
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_JACCARD_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all({_FOLD.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS ws
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT rid, array_to_string(ws[i:i + {jaccard_join.SHINGLE - 1}], ' ') AS s
+  FROM (SELECT rid, ws, unnest(range(1, greatest(len(ws) - {jaccard_join.SHINGLE - 1}, 1) + 1)) AS i
+    FROM d WHERE len(ws) > 0)),
+sizes AS (SELECT rid, count(*) AS n FROM shingles GROUP BY rid),
+shared AS (
+  SELECT x.rid AS a, y.rid AS b, count(*) AS k
+  FROM shingles x JOIN shingles y ON x.s = y.s AND x.rid < y.rid GROUP BY x.rid, y.rid),
+links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.rid = a JOIN sizes y ON y.rid = b
+  WHERE {100 + jaccard_join.PERCENT} * k >= {jaccard_join.PERCENT} * (x.n + y.n)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  SELECT rid AS a, rid AS b FROM d
+  UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM d LEFT JOIN sizes USING (rid) JOIN (
+  SELECT a AS rid, min(doc_id) AS component_id
+  FROM reach JOIN (SELECT rid AS b, doc_id FROM d) USING (b) GROUP BY a) USING (rid)"""
+
+
+@query("op3_ngram_jaccard_join", _JACCARD_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_groups(read(spark, sf_dir, "documents"))
+
+
+# 4 -------------------------------------------------------------------------------------------
+
 _TEST_WORDS = "regexp_extract_all(" + _FOLD.format("coalesce(text, '')") + \
     ", '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 _CONTAMINATION_SQL = f"""
