@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyloom import session
 from tallyloom.llm import (
-    chat_format, decontaminate, jaccard_join, quality, secret_scan, sp_codec, token_counts, url_filter, warc,
+    chat_format, decontaminate, jaccard_join, quality, secret_scan, sp_codec, token_counts, toxicity, url_filter,
+    warc,
 )
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -37,6 +38,15 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      public_tokenizers.path(PIECE_MODEL))
 
 
+# 2 -------------------------------------------------------------------------------------------
+
+@query("op2_toxicity")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    scored = toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 # 3 -------------------------------------------------------------------------------------------
 
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -118,15 +128,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(PIECE_MODEL)
     encoded = sp_codec.encode(read(spark, sf_dir, "documents"), path)
-    return digests(sp_codec.decode(encoded, path))
-
-
-def digests(rows: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of (doc_id, ids, text)."""
-    listed = F.concat_ws(",", F.col("ids").cast("array<string>"))
-    return rows.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(listed, 256).alias("ids_sha256"), F.sha2(F.col("text"), 256).alias("decoded_sha256"))
+    return sp_codec.digests(sp_codec.decode(encoded, path))
 
 
 # 6 -------------------------------------------------------------------------------------------
