@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from zlib import compress, crc32, decompress
 
@@ -11,13 +12,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallyloom import session
 from tallyloom.llm import pieces
-from tallyloom.llm.common import arrow_schema, as_schema, field, map_texts
+from tallyloom.llm.common import arrow_schema, as_schema, field, map_texts, partitions, sha256_hex
 
 # Bounds of a batch of documents: code points of text, and distinct chunks.
-BATCH_CHARS = 8_000_000
-BATCH_CHUNKS = 200_000
-# Entries of batch dictionaries that share a bucket of the distinct-chunk table.
-BUCKET_ENTRIES = 400_000
+BATCH_CHARS = 32_000_000
+BATCH_CHUNKS = 1_000_000
 # Ids in one outgoing record batch.
 EMIT_IDS = 4_000_000
 
@@ -38,101 +37,99 @@ def _unpack(data: bytes) -> np.ndarray:
         np.frombuffer(decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-def _coded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows of two kinds per batch of documents: the batch's distinct chunks (kind 0), and each
-    document as positions in that list (kind 1). Written once, so batches keep their numbers."""
+def _pack_chunks(chunks: list[str]) -> bytes:
+    """Chunks hold no plain space: it became a marker."""
+    return compress(" ".join([c[1:] for c in chunks]).encode(), 1)
+
+
+def _unpack_chunks(data: bytes) -> list[str]:
+    return [pieces.MARK + c for c in decompress(data).decode().split(" ")]
+
+
+def _coded(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFrame:
+    """Rows of two kinds per batch of documents: each document as numbers of its chunks (bucket
+    null), and the batch's distinct chunks with their numbers, one row per bucket of the
+    distinct-chunk table. Written once, so batches keep their numbers."""
     from pyspark import TaskContext
 
-    schema = as_schema([("batch", "long"), ("kind", "int"), field(docs, id_col),
-                        ("codes", "binary"), ("chunks", "array<string>")])
+    schema = as_schema([("batch", "long"), field(docs, id_col), ("bucket", "int"),
+                        ("codes", "binary"), ("chunks", "binary")])
     target = arrow_schema(schema)
 
+    def dictionary(number: int, chunks: list[str]) -> pa.RecordBatch:
+        own = np.fromiter((crc32(c.encode()) for c in chunks), np.uint32, len(chunks)) % buckets
+        order = np.argsort(own, kind="stable")
+        parts = np.split(order, np.flatnonzero(np.diff(own[order])) + 1)
+        n = len(parts)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([number] * n, pa.int64()), pa.nulls(n, target.field(1).type),
+             pa.array([int(own[p[0]]) for p in parts], pa.int32()),
+             pa.array([_pack(np.diff(p, prepend=0)) for p in parts], pa.binary()),
+             pa.array([_pack_chunks([chunks[i] for i in p.tolist()]) for p in parts], pa.binary())],
+            schema=target)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         codes, chars = _Codes(), 0
-
-        def dictionary():
-            return pa.RecordBatch.from_arrays(
-                [pa.array([number], pa.int64()), pa.array([0], pa.int32()),
-                 pa.nulls(1, target.field(2).type), pa.nulls(1, pa.binary()),
-                 pa.array([list(codes)], target.field(4).type)], schema=target)
-
         for b in batches:
-            ids, texts = b.column(0).cast(target.field(2).type), b.column(1)
-            at, start, packed = [], 0, []
+            ids, texts = b.column(0).cast(target.field(1).type), b.column(1)
+            start, packed = 0, []
             for i, t in enumerate(texts):
                 t = t.as_py() or ""
                 got = pieces.chunks(t)
                 packed.append(_pack(np.fromiter(map(codes.__getitem__, got), np.uint32, len(got))))
-                at.append(number)
                 chars += len(t)
                 full = chars >= BATCH_CHARS or len(codes) >= BATCH_CHUNKS
                 if full or i + 1 == len(texts):
                     n = i + 1 - start
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(at, pa.int64()), pa.array([1] * n, pa.int32()),
-                         ids.slice(start, n), pa.array(packed, pa.binary()),
-                         pa.nulls(n, target.field(4).type)], schema=target)
-                    at, start, packed = [], i + 1, []
+                        [pa.array([number] * n, pa.int64()), ids.slice(start, n),
+                         pa.nulls(n, pa.int32()), pa.array(packed, pa.binary()),
+                         pa.nulls(n, pa.binary())], schema=target)
+                    start, packed = i + 1, []
                 if full:
-                    yield dictionary()
+                    if codes:
+                        yield dictionary(number, list(codes))
                     number, codes, chars = number + 1, _Codes(), 0
-        if codes or chars:
-            yield dictionary()
+        if codes:
+            yield dictionary(number, list(codes))
 
     rows = docs.select(f"`{id_col}`", f"`{text_col}`").mapInArrow(run, schema)
     return session.settle(rows, "coded")
 
 
-def _segmented(dictionaries: DataFrame, model) -> DataFrame:
+def _segmented(dictionaries: DataFrame, model, buckets: int) -> DataFrame:
     """(batch, codes, lengths, ids) of the batches' chunks.
 
-    Dictionary entries meet in buckets by the chunk's checksum; a bucket's task holds its part of
-    the distinct-chunk table and segments each of its chunks once.
+    The rows of a bucket meet in one task, which holds this part of the distinct-chunk table and
+    segments each of its chunks once.
     """
-    entries = dictionaries.select(F.sum(F.size("chunks"))).first()[0] or 0
-    n = max(1, -(-entries // BUCKET_ENTRIES))
-    spread = as_schema([("bucket", "int"), ("batch", "long"), ("codes", "binary"),
-                        ("chunks", "array<string>")])
     back = as_schema([("batch", "long"), ("codes", "binary"), ("lengths", "binary"), ("ids", "binary")])
-    a_spread, a_back = arrow_schema(spread), arrow_schema(back)
-
-    def to_buckets(batches):
-        for b in batches:
-            for number, chunks in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                own = np.fromiter((crc32(c.encode()) % n for c in chunks), np.int32, len(chunks))
-                order = np.argsort(own, kind="stable")
-                cuts = np.flatnonzero(np.diff(own[order])) + 1
-                for part in np.split(order, cuts):
-                    if len(part):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([int(own[part[0]])], pa.int32()), pa.array([number], pa.int64()),
-                             pa.array([_pack(part)], pa.binary()),
-                             pa.array([[chunks[i] for i in part]], a_spread.field(3).type)],
-                            schema=a_spread)
+    target = arrow_schema(back)
 
     def segment(batches):
         encode = pieces.chunk_encoder(pieces.load(model.value))
-        table: dict[str, list[int]] = {}
+        table: dict[str, array] = {}
         bucket = None
         for b in batches:
-            for which, number, codes, chunks in zip(*(c.to_pylist() for c in b.columns)):
+            for i in range(b.num_rows):
+                which, number, codes, packed = (c[i].as_py() for c in b.columns)
                 if which != bucket:
                     table, bucket = {}, which
-                lengths, ids = [], []
-                for c in chunks:
+                lengths, ids = [], array("I")
+                for c in _unpack_chunks(packed):
                     got = table.get(c)
                     if got is None:
-                        got = table[c] = encode(c)
+                        got = table[c] = array("I", encode(c))
                     lengths.append(len(got))
                     ids += got
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([number], pa.int64()), pa.array([codes], pa.binary()),
                      pa.array([_pack(np.array(lengths, np.uint32))], pa.binary()),
-                     pa.array([_pack(np.array(ids, np.uint32))], pa.binary())], schema=a_back)
+                     pa.array([_pack(np.frombuffer(ids, np.uint32))], pa.binary())], schema=target)
 
-    return (dictionaries.select("batch", "chunks").mapInArrow(to_buckets, spread)
-            .repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(segment, back))
+    return (dictionaries.select("bucket", "batch", "codes", "chunks")
+            .repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(segment, back))
 
 
 def _positions(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,7 +137,8 @@ def _positions(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not parts:
         empty = np.zeros(0, np.int64)
         return empty, empty, empty.astype(np.int32)
-    codes, lengths, ids = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    codes = np.concatenate([np.cumsum(p[0]) for p in parts])
+    lengths, ids = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
     lengths = lengths.astype(np.int64)
     start, length = np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64)
     start[codes] = np.cumsum(lengths) - lengths
@@ -177,11 +175,12 @@ def encode(
             return lambda t: (sp.encode(t),)
         return map_texts(docs, text_col, [id_col], make, [("ids", "array<int>")])
 
-    coded = _coded(docs, id_col, text_col)
-    tables = _segmented(coded.filter("kind = 0"), shipped)
+    buckets = partitions(docs)
+    coded = _coded(docs, id_col, text_col, buckets)
+    tables = _segmented(coded.filter("bucket IS NOT NULL"), shipped, buckets)
     none = F.lit(None)
-    both = coded.filter("kind = 1").select(
-        "batch", "kind", F.col(f"`{id_col}`").alias("id"), "codes",
+    both = coded.filter("bucket IS NULL").select(
+        "batch", F.lit(1).alias("kind"), F.col(f"`{id_col}`").alias("id"), "codes",
         none.cast("binary").alias("lengths"), none.cast("binary").alias("ids")
     ).unionByName(tables.select(
         "batch", F.lit(0).alias("kind"), none.cast(field(docs, id_col).dataType).alias("id"),
@@ -243,3 +242,30 @@ def decode(
                 schema=target)
 
     return rows.select(f"`{id_col}`", f"`{ids_col}`").mapInArrow(run, schema)
+
+
+def digests(rows: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", text_col: str = "text"
+            ) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256): hex digests of the ids, as decimals with commas
+    between, and of the text; null lists and texts as empty ones."""
+    schema = as_schema([field(rows, id_col), ("n_tokens", "long"), ("ids_sha256", "string"),
+                        ("decoded_sha256", "string")])
+    target = arrow_schema(schema)
+
+    def run(batches):
+        decimal = _Decimals()
+        for b in batches:
+            lists, texts = b.column(1).to_pylist(), b.column(2).to_pylist()
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).cast(target.field(0).type),
+                 pa.array([len(x or ()) for x in lists], pa.int64()),
+                 pa.array([sha256_hex(b",".join(map(decimal.__getitem__, x or ()))) for x in lists]),
+                 pa.array([sha256_hex(t or "") for t in texts])], schema=target)
+
+    return rows.select(f"`{id_col}`", f"`{ids_col}`", f"`{text_col}`").mapInArrow(run, schema)
+
+
+class _Decimals(dict):
+    def __missing__(self, number: int) -> bytes:
+        text = self[number] = b"%d" % number
+        return text
