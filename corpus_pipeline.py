@@ -2,22 +2,62 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyloom import session
-from tallyloom.llm import quality
+from tallyloom.llm import decontaminate, jaccard_join, quality, secret_scan, sp_codec
 
-# What SQL cannot express (pieces of the tokenizer) is tested against a brute-force version.
+PIECE_MODEL = "piece_bpe_32k.model"
+
+# The last stage's pieces cannot be stated in SQL; the tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    """``n_chars`` brought up to date with the text."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, without their failing lines."""
-    return quality.cleaned(docs)
+    return _counted(quality.cleaned(docs))
+
+
+def jaccard_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked documents: the one with the smallest id.
+
+    Of rows with one id a single one stays. Rows without an id stay, one for each text.
+    """
+    groups = jaccard_join.jaccard_groups(docs)
+    keep = groups.filter("doc_id = component_id").select("doc_id").distinct()
+    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.filter("doc_id IS NULL").dropDuplicates(["text"])).select(*docs.columns)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark spans cut out; documents that are mostly benchmark removed."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _counted(decontaminate.decontaminated(docs, benchmark))
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets replaced by their kind."""
+    return _counted(secret_scan.redacted(docs))
+
+
+def sentencepiece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, ids, text): the ids of each document and the text they decode to."""
+    path = public_tokenizers.path(PIECE_MODEL)
+    return sp_codec.decode(sp_codec.encode(docs, path), path)
 
 
 STAGES = [
     ("quality rules", quality_rules),
+    ("n-gram Jaccard join", jaccard_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("secret scans", secret_scans),
+    ("SentencePiece encoding and decoding", sentencepiece_ids),
 ]
 
 
@@ -27,5 +67,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = session.settle(docs, name.replace(" ", "-"))
+            docs = session.settle(docs, f"stage-{i}")
     return docs
