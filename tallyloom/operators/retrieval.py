@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyloom.operators import knn as nn, ordered, tfidf
+from tallyloom.sources import versions
 
 
 @dataclass(frozen=True)
@@ -48,7 +49,7 @@ def build_index(
     named = with_ids(docs)
     vocab, vectors = tfidf.fit_transform(named, "ord", "content", max_features)
     if vocab.isEmpty():
-        raise ValueError("Cannot build index with empty document list")
+        raise ValueError("the documents hold no word to index")
     return Index(named, vectors, vocab, m, max_features)
 
 
@@ -64,17 +65,19 @@ def add_documents(index: Index, docs: DataFrame, order_cols: list[str]) -> Index
 
 
 def save(index: Index, path: str) -> None:
-    """Replace the index at ``path``."""
-    index.documents.write.mode("overwrite").parquet(f"{path}/documents")
-    index.vectors.write.mode("overwrite").parquet(f"{path}/vectors")
-    index.vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
+    """Replace the index at ``path``, which may be the one that ``index`` was loaded from.
+
+    Documents are laid out by number, so that a search reads few row groups of them.
+    """
+    versions.save(index.documents.sparkSession, path, {
+        "documents": index.documents.sortWithinPartitions("ord"), "vectors": index.vectors,
+        "vocabulary": index.vocabulary})
 
 
 def load(spark: SparkSession, path: str, metric: str = "cosine",
          max_features: int = tfidf.MAX_FEATURES) -> Index:
-    docs, vectors, vocab = (
-        spark.read.parquet(f"{path}/{n}") for n in ("documents", "vectors", "vocabulary")
-    )
+    """The saved index with all that streams have added to it so far."""
+    docs, vectors, vocab = versions.load(spark, path, "documents", "vectors", "vocabulary")
     return Index(docs, vectors, vocab, metric, max_features)
 
 

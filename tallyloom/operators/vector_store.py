@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from tallyloom.functions import vectors as vec
 from tallyloom.operators import ordered
 from tallyloom.operators.knn import check_metric
+from tallyloom.session import settle
+from tallyloom.sources import versions
 
 SCHEMA = "ord bigint, id string, embedding array<float>, metadata map<string,string>"
 
@@ -64,22 +66,23 @@ def clear(store: DataFrame) -> DataFrame:
 
 
 def save(store: DataFrame, path: str, dim: int, metric: str = "cosine") -> None:
-    """Vectors and a one-row description; an existing index is replaced."""
-    store.write.mode("overwrite").parquet(f"{path}/vectors")
-    written = store.sparkSession.read.parquet(f"{path}/vectors")
-    written.agg(
+    """Vectors and a one-row description replace what is at ``path``, which may be the table that
+    ``store`` was loaded from."""
+    spark = store.sparkSession
+    rows = settle(store, "vectors")
+    about = rows.agg(
         F.lit(dim).alias("embedding_dim"), F.lit(check_metric(metric)).alias("metric"),
-        F.count("*").alias("n"),
-    ).write.mode("overwrite").parquet(f"{path}/meta")
+        F.count("*").alias("n"))
+    versions.save(spark, path, {"vectors": rows, "meta": about})
 
 
 def load(spark: SparkSession, path: str) -> tuple[DataFrame, int, str]:
     """(vectors, dimension, metric); the row count must be the described one."""
-    store = spark.read.parquet(f"{path}/vectors")
-    meta = spark.read.parquet(f"{path}/meta").first()
+    store, about = versions.load(spark, path, "vectors", "meta")
+    meta = about.first()
     n = store.count()
     if n != meta["n"]:
-        raise ValueError(f"Loaded metadata does not match index size (ids={meta['n']}, index={n})")
+        raise ValueError(f"{path} holds {n} vectors, but its description says {meta['n']}")
     return store, meta["embedding_dim"], meta["metric"]
 
 

@@ -190,25 +190,72 @@ def add_documents(spark, sf_dir):
         "ord_id", F.struct("ord", "id")), "ord_id").select("ord_id.*", "n_terms", "weight_sum")
 
 
-@_f.add("add_documents_stream", DOCS_SQL + f""",
-  {grams_sql('x', 'pages', 'page_id', 'html')}, {vectors_sql('x')}
-  SELECT page_id AS ord, {_SUMMARY} FROM pages LEFT JOIN x_vec ON page_id = ord GROUP BY page_id""")
-def add_documents_stream_query(spark, sf_dir):
-    path = scratch_path(spark, "stream-index")
-    source = table(spark, sf_dir, "pages")
+_GROWN_SQL = f""",
+  extra AS (SELECT (SELECT count(*) FROM documents) + row_number() OVER (ORDER BY page_id) - 1
+      AS id, html FROM pages),
+  {grams_sql('x', 'extra', 'id', 'html')}, {vectors_sql('x')},
+  both_docs AS (SELECT doc_id AS ord FROM documents UNION ALL SELECT id FROM extra),
+  both_vec AS (SELECT * FROM doc_vec UNION ALL SELECT * FROM x_vec)
+  SELECT b.ord, 'doc_' || CAST(b.ord AS VARCHAR) AS id, CAST(count(w) AS INTEGER) AS n_terms
+  FROM both_docs b LEFT JOIN both_vec v ON b.ord = v.ord GROUP BY b.ord"""
+
+
+def _listed(index):
+    return index.documents.select("ord", "id").join(index.vectors, "ord").select(
+        "ord", "id", F.size("term_ids").alias("n_terms"))
+
+
+def _page_docs(pages):
+    return pages.select("page_id", F.col("html").alias("content"), F.col("url").alias("source"))
+
 
-    def prepare(pages):
-        return pages.select(
-            F.col("page_id").alias("ord"),
-            F.concat(F.lit("doc_"), F.col("page_id").cast("string")).alias("id"),
-            F.col("html").alias("content"), F.col("url").alias("source"),
-            F.create_map().cast("map<string,string>").alias("metadata"))
+@_f.add("index_save_add_load", DOCS_SQL + _GROWN_SQL)
+def index_save_add_load(spark, sf_dir):
+    """Build, save, load, add, save to the same place, load."""
+    path = scratch_path(spark, "grown-index")
+    retrieval.save(retrieval.build_index(_docs(spark, sf_dir)), path)
+    loaded = retrieval.load(spark, path)
+    retrieval.save(retrieval.add_documents(loaded, _page_docs(table(spark, sf_dir, "pages")),
+                                           ["page_id"]), path)
+    return _listed(retrieval.load(spark, path))
 
+
+def _streamed_index(spark, sf_dir):
+    """A saved index that a stream has added the pages to."""
+    path = scratch_path(spark, "stream-index")
+    retrieval.save(_index(spark, sf_dir), path)
     query = add_documents_stream(
-        spark, sf_dir, source.schema, _index(spark, sf_dir).vocabulary, path,
-        f"{path}-progress", name_filter="pages.parquet", prepare=prepare)
+        spark, sf_dir, table(spark, sf_dir, "pages").schema, path, f"{path}-progress", ["page_id"],
+        name_filter="pages.parquet", prepare=_page_docs)
     query.awaitTermination()
-    return _vector_summary(spark.read.parquet(f"{path}/vectors"), "ord")
+    return retrieval.load(spark, path)
+
+
+@_f.add("add_documents_stream", DOCS_SQL + _GROWN_SQL)
+def add_documents_stream_query(spark, sf_dir):
+    return _listed(_streamed_index(spark, sf_dir))
+
+
+@_f.add("stream_into_index", DOCS_SQL + f""",
+  {grams_sql('q', 'benchmark', 'item_id', 'text')}, {vectors_sql('q')},
+  extra AS (SELECT (SELECT count(*) FROM documents) + row_number() OVER (ORDER BY page_id) - 1
+      AS id, html FROM pages),
+  {grams_sql('x', 'extra', 'id', 'html')}, {vectors_sql('x')},
+  both_docs AS (SELECT doc_id AS ord FROM documents UNION ALL SELECT id FROM extra),
+  both_vec AS (SELECT * FROM doc_vec UNION ALL SELECT * FROM x_vec),
+  scored AS (SELECT item_id AS query_id, b.ord, {r("coalesce(s, 0e0)")} AS score
+    FROM benchmark CROSS JOIN both_docs b LEFT JOIN (
+      SELECT q_vec.ord AS query_id, both_vec.ord, sum(q_vec.w * both_vec.w) AS s
+      FROM q_vec JOIN both_vec USING (term) GROUP BY ALL) p
+      ON p.query_id = item_id AND p.ord = b.ord)
+  SELECT query_id, CAST(rk AS INTEGER) AS rank, 'doc_' || CAST(ord AS VARCHAR) AS id, score
+  FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord) AS rk
+    FROM scored) WHERE rk <= 5""")
+def stream_into_index(spark, sf_dir):
+    """Search a saved index after a stream has added to it."""
+    index = _streamed_index(spark, sf_dir)
+    return retrieval.search(index, _questions(spark, sf_dir), 5).select(
+        "query_id", "rank", "id", "score")
 
 
 CONTEXT = """string_agg('Source: ' || source || chr(10) || text,

@@ -2,29 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tallyloom.operators import tfidf
+from tallyloom.operators import retrieval, tfidf
+from tallyloom.sources import versions
 
 
 def add_documents_stream(
     spark: SparkSession,
     source: str,
     schema,
-    vocabulary: DataFrame,
     index_path: str,
     checkpoint: str,
+    order_cols: list[str],
     file_format: str = "parquet",
     name_filter: str | None = None,
     prepare=None,
     max_features: int = tfidf.MAX_FEATURES,
 ) -> StreamingQuery:
-    """Append the documents of every new file below ``source`` to the index at ``index_path``.
+    """Append the documents of every new file below ``source`` to the index saved at ``index_path``.
 
-    Rows need ``(ord, id, content, source, metadata)``, possibly after ``prepare``. A batch
-    writes its own folder in overwrite mode, so a batch that runs twice after a failure is
-    there once.
+    Rows need ``(content, source[, id, metadata])`` and the columns they are ordered by, possibly
+    after ``prepare``. Numbers go on at what the index held before the batch. A batch writes its
+    own folder, so one that runs twice after a failure is there once; readers see its documents
+    as soon as both its tables are written. Batches go to the version that is current when the
+    stream starts: a later save reads them, and a new stream follows it.
     """
     reader = spark.readStream.schema(schema).format(file_format)
     if name_filter:
@@ -32,14 +35,19 @@ def add_documents_stream(
     rows = reader.load(source)
     if prepare is not None:
         rows = prepare(rows)
+    folder = versions.current(spark, index_path)
+    vocabulary = versions.read(spark, folder, "vocabulary").drop("batch")
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        docs = batch.select("ord", "id", "content", "source", "metadata")
-        docs.write.mode("overwrite").parquet(f"{index_path}/documents/batch={batch_id}")
-        written = batch.sparkSession.read.schema(docs.schema).parquet(
-            f"{index_path}/documents/batch={batch_id}")
+        session = batch.sparkSession
+        before = versions.read(session, folder, "documents").filter(F.col("batch") < batch_id)
+        base = before.agg(F.count("*")).scalar()
+        versions.add_batch(retrieval.number_documents(batch, order_cols, base), folder,
+                           "documents", batch_id)
+        written = versions.read(session, folder, "documents").filter(
+            F.col("batch") == batch_id).drop("batch")
         vectors = tfidf.transform(written, vocabulary, "ord", "content", max_features)
-        vectors.write.mode("overwrite").parquet(f"{index_path}/vectors/batch={batch_id}")
+        versions.add_batch(vectors, folder, "vectors", batch_id)
 
     return (
         rows.writeStream.foreachBatch(append)

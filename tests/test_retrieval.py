@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import text as tx, vectors as vec
 from tallyloom.operators import knn as nn, rag, retrieval, tfidf, vector_store
 from tallyloom.plans import answers
+from tallyloom.sources import versions
 from tallyloom.streaming.ingest import add_documents_stream
 
 
@@ -229,8 +230,11 @@ def test_vector_store(spark, tmp_path):
     vector_store.save(store, path, 2, "l2")
     back, dim, metric = vector_store.load(spark, path)
     assert (back.count(), dim, metric) == (2, 2, "l2")
-    store.write.mode("append").parquet(path + "/vectors")
-    with pytest.raises(ValueError, match="does not match"):
+    # what was loaded may be extended and saved in the same place
+    vector_store.save(vector_store.add(back, rows, ["name"]), path, 2, "l2")
+    assert vector_store.load(spark, path)[0].count() == 4
+    versions.add_batch(store, versions.current(spark, path), "vectors", 0)
+    with pytest.raises(ValueError, match="holds 6 vectors"):
         vector_store.load(spark, path)
     assert vector_store.clear(store).count() == 0
     writes = spark.createDataFrame([("d", [1.0], 1), ("d", [2.0], 2), ("e", [3.0], 1)],
@@ -282,6 +286,21 @@ def test_index_save_load_and_add(spark, index, questions, tmp_path):
     q = spark.createDataFrame([(9, "42 42 42 42")], "query_id bigint, query string")
     assert retrieval.search(more, q, 1).first()["content"] == "42 42 42 42"
     assert more.vectors.count() == len(TEXTS) + 2
+    retrieval.save(more, str(tmp_path))
+    saved = retrieval.load(spark, str(tmp_path))
+    assert sorted(r["id"] for r in saved.documents.collect()) == sorted(
+        f"doc_{i}" for i in range(len(TEXTS) + 2))
+    # a save that fails leaves what was there
+    broken = retrieval.Index(saved.documents, saved.vectors.withColumn(
+        "weights", F.raise_error(F.lit("lost")).cast("array<double>")), saved.vocabulary)
+    with pytest.raises(Exception, match="lost"):
+        retrieval.save(broken, str(tmp_path))
+    assert retrieval.search(retrieval.load(spark, str(tmp_path)), q, 1).first()["content"] == "42 42 42 42"
+
+
+def test_nothing_saved_is_an_error(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        retrieval.load(spark, str(tmp_path))
 
 
 def test_empty_index_is_an_error(docs):
@@ -346,16 +365,21 @@ def test_encoder_plug_in_feeds_knn(spark, docs):
 
 def test_stream_adds_new_files_once(spark, index, tmp_path):
     source, target, progress = (str(tmp_path / n) for n in ("in", "ix", "progress"))
-    docs = index.documents
-    docs.filter("ord < 10").coalesce(1).write.parquet(source)
+    docs = index.documents.drop("id").withColumnRenamed("ord", "place")
+    docs.filter("place < 10").coalesce(1).write.parquet(source)
+    retrieval.save(index, target)
+    n = len(TEXTS)
 
     def run():
-        add_documents_stream(spark, source, docs.schema, index.vocabulary, target, progress
+        add_documents_stream(spark, source, docs.drop("ord").schema, target, progress, ["place"]
                              ).awaitTermination()
-        return spark.read.parquet(target + "/vectors")
-
-    assert run().count() == 10
-    assert run().count() == 10
-    docs.filter("ord >= 10").coalesce(1).write.mode("append").parquet(source)
-    got = {r["ord"]: r["term_ids"] for r in run().collect()}
-    assert got == {r["ord"]: r["term_ids"] for r in index.vectors.collect()}
+        return retrieval.load(spark, target)
+
+    assert run().vectors.count() == n + 10
+    assert run().documents.count() == n + 10
+    docs.filter("place >= 10").coalesce(1).write.mode("append").parquet(source)
+    after = run()
+    terms = {r["ord"]: r["term_ids"] for r in index.vectors.collect()}
+    got = {r["ord"]: r["term_ids"] for r in after.vectors.collect()}
+    assert got == {**terms, **{n + i: terms[i] for i in range(n)}}
+    assert sorted(r["id"] for r in after.documents.collect()) == sorted(f"doc_{i}" for i in range(2 * n))
