@@ -285,7 +285,8 @@ def toxicity(
     """
     key = F.col(f"`{id_col}`")
     known = (labels.select(key.alias("_id"), F.col(f"`{label_col}`").cast("int").alias("label"))
-             .filter("label IN (0, 1)").groupBy("_id").agg(F.max("label").alias("label")))
+             .filter("label IN (0, 1)").groupBy("_id").agg(F.max("label").alias("label"))
+             .hint("merge"))  # labels grow with the documents: one plan for all sizes
     taught = docs.select(key.alias(id_col), F.col(f"`{text_col}`").alias(text_col)).filter(train).join(
         known, key == F.col("_id"))
     words = session.settle(word_counts(taught, text_col, "label"), "words")
