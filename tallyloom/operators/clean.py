@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tallyloom.functions.numeric import round_even
@@ -15,13 +16,23 @@ def validate_columns(df: DataFrame, required: list[str] | None = None) -> DataFr
     """Raise if a required column is missing; looks at the schema only."""
     missing = [c for c in (required or SALES_COLUMNS) if c not in df.columns]
     if missing:
-        raise ValueError(f"Missing required columns: {missing}")
+        raise ValueError(f"the table lacks the columns {missing}")
     return df
 
 
 def with_input_ordinal(df: DataFrame, name: str = "_ord") -> DataFrame:
-    """Place of a row in the input; call straight after a scan."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+    """Place of a row in the input; call straight after a scan.
+
+    For files: the file's name, the start of the split and a running number, so the order is that
+    of the files whatever the size of the splits and however they are packed into tasks. Rows
+    that do not come from files are numbered as they are.
+    """
+    running = F.monotonically_increasing_id()
+    try:
+        split = df.select("_metadata.file_path", "_metadata.file_block_start").columns
+    except AnalysisException:
+        return df.withColumn(name, running)
+    return df.withColumn(name, F.struct(*[F.col(f"_metadata.{c}") for c in split], running.alias("row")))
 
 
 def dedup_orders(df: DataFrame, order_col: str = "_ord", key: str = "order_id") -> DataFrame:
@@ -46,8 +57,8 @@ _SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 
 def strip(c: Column) -> Column:
-    """Remove white space of any kind on both sides."""
-    return F.btrim(c, F.lit(_SPACES))
+    """Remove white space of any kind on both sides; texts without any at their ends are left alone."""
+    return F.when(c.rlike(r"^[\s\p{Z}\x1c-\x1f\x85]|[\s\p{Z}\x1c-\x1f\x85]$"), F.btrim(c, F.lit(_SPACES))).otherwise(c)
 
 
 def clean_strings(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

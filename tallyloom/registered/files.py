@@ -10,7 +10,7 @@ from tallyloom.registered.common import Family, with_sales_text
 from tallyloom.registered.texts import DOCS_SQL, _SUMMARY, _vector_summary
 from tallyloom.session import scratch_path
 from tallyloom.sources import documents, files
-from tallyloom.sources.tables import sales_text, table
+from tallyloom.sources.tables import SALES_COLUMNS, sales_text, table
 
 _f = Family()
 QUERIES, SQL = _f.queries, _f.sql
@@ -51,16 +51,61 @@ def _csv_folder(spark, sf_dir, name="nations-csv", extension="csv"):
                    lambda p: _one_file_each(nations).option("extension", extension).csv(p))
 
 
+def _odd_names(rows):
+    """Product names with quotes, commas and, in some, a quote at the very start."""
+    key = F.split("order_id", "-")[1].cast("bigint")
+    return rows.withColumn("product_name", F.when(key % 3 == 0, F.concat(
+        F.lit('"'), F.trim(F.replace("product_name", F.lit("\t"), F.lit(""))), F.lit('", 12" wide'))).otherwise(
+            F.concat("product_name", F.lit(', "XL"'))))
+
+
 def _sales_csv(spark, sf_dir):
-    return _folder(spark, sf_dir, "sales-csv",
-                   lambda p: files.write_sales_csv(sales_text(spark, sf_dir), p))
+    """Two folders of files, the second with its columns in another order."""
+    rows = _odd_names(sales_text(spark, sf_dir))
+    first = F.split("order_id", "-")[1].cast("bigint") % 4 != 0
+
+    def write(path):
+        files.write_sales_csv(rows.filter(first), f"{path}/a")
+        files.write_sales_csv(rows.filter(~first), f"{path}/b", SALES_COLUMNS[::-1])
 
+    path = _folder(spark, sf_dir, "sales-csv", write)
+    return [f"{path}/a", f"{path}/b"]
 
-@_f.add("src_csv_sales", with_sales_text(" SELECT * EXCLUDE (row_id) FROM sales_text"))
+
+@_f.add("src_csv_sales", with_sales_text("""
+  SELECT * EXCLUDE (row_id) REPLACE (CASE WHEN CAST(split_part(order_id, '-', 2) AS BIGINT) % 3 = 0
+      THEN '"' || trim(replace(product_name, chr(9), '')) || '", 12" wide'
+      ELSE product_name || ', "XL"' END AS product_name)
+  FROM sales_text"""))
 def src_csv_sales(spark, sf_dir):
     return clean.validate_columns(files.read_sales_csv(spark, _sales_csv(spark, sf_dir)))
 
 
+# ids that stand in several rows and in both folders
+_SHARED_ID = "'ORD-' || CAST(CAST(split_part(order_id, '-', 2) AS BIGINT) // 4 AS VARCHAR)"
+
+
+@_f.add("dedup_orders_files", with_sales_text(f"""
+  SELECT order_id, product_id, quantity FROM (
+    SELECT {_SHARED_ID} AS order_id, product_id, quantity, row_number() OVER (
+      PARTITION BY {_SHARED_ID}
+      ORDER BY CAST(split_part(order_id, '-', 2) AS BIGINT) % 3 <> 0, row_id) AS rn
+    FROM sales_text) WHERE rn = 1"""))
+def dedup_orders_files(spark, sf_dir):
+    """First row of each id in the order of files of unequal size, each sorted."""
+    key = F.split("order_id", "-")[1].cast("bigint")
+    rows = sales_text(spark, sf_dir).withColumn("_third", key % 3 == 0).withColumn(
+        "order_id", F.concat(F.lit("ORD-"), F.floor(key / 4).cast("string")))
+
+    def write(path):
+        for name, part in (("a", F.col("_third")), ("b", ~F.col("_third"))):
+            files.write_sales_csv(rows.filter(part).orderBy("row_id"), f"{path}/{name}")
+
+    path = _folder(spark, sf_dir, "sales-shared-ids", write)
+    read = files.read_sales_csv(spark, [f"{path}/a", f"{path}/b"], ordinal="_ord")
+    return clean.dedup_orders(read).select("order_id", "product_id", "quantity")
+
+
 @_f.add("src_sales_numeric", with_sales_text("""
   SELECT order_id, product_id, TRY_CAST(quantity AS DOUBLE) AS quantity,
     TRY_CAST(unit_price AS DOUBLE) AS unit_price,

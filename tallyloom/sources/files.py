@@ -2,26 +2,65 @@
 
 from __future__ import annotations
 
+import csv
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyloom.operators import clean, forecast
 from tallyloom.sources.tables import SALES_COLUMNS
 
-def write_sales_csv(df: DataFrame, path: str) -> None:
+# Quotes inside a quoted field are doubled.
+_QUOTES = {"quote": '"', "escape": '"'}
+
+
+def write_sales_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
     (
-        df.select(*SALES_COLUMNS).write.mode("overwrite").option("header", "true")
+        df.select(*(columns or SALES_COLUMNS)).write.mode("overwrite").option("header", "true")
+        .options(**_QUOTES)
         .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
         .csv(path)
     )
 
 
-def read_sales_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Order file, all columns as text under the names of its header.
-
-    A missing file is an error. ``multi_line`` allows line ends inside quotes, at the price
-    that a file is read by one task.
+def _header(spark: SparkSession, file: str) -> tuple[str, ...]:
+    """Names in the first line of a file, read through Hadoop's file system; compressed files too."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI.create(file))
+    stream = path.getFileSystem(conf).open(path)
+    try:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
+        text = stream if codec is None else codec.createInputStream(stream)
+        line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(text, "UTF-8")).readLine()
+    finally:
+        stream.close()
+    return tuple(next(csv.reader([(line or "").removeprefix("\ufeff")]), ()))
+
+
+def read_sales_csv(
+    spark: SparkSession, path: str | list[str], multi_line: bool = False, ordinal: str | None = None
+) -> DataFrame:
+    """Order files, all columns as text under the names of their headers.
+
+    The files may have their columns in different orders: those with one header are one scan,
+    and the scans are joined by name; a column that a file lacks is null. For that the driver
+    opens every file once and reads its first line. A missing file is an error. ``multi_line``
+    allows line ends inside quotes, at the price that a file is read by one task. ``ordinal``
+    names a column with the place of each row: file name, then position in the file.
     """
-    return spark.read.option("header", "true").option("multiLine", multi_line).csv(path)
+    by_header: dict[tuple, list[str]] = {}
+    for file in spark.read.text(path).inputFiles():
+        by_header.setdefault(_header(spark, file), []).append(file)
+    reader = spark.read.option("header", "true").option("multiLine", multi_line).options(**_QUOTES)
+    scans = []
+    for header, files in sorted(by_header.items()):
+        if header:
+            scans.append(reader.schema(", ".join(f"`{c}` string" for c in header)).csv(files))
+    if not scans:
+        return reader.csv(path)
+    if ordinal:
+        scans = [clean.with_input_ordinal(s, ordinal) for s in scans]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
 
 
 def read_sales_numeric(spark: SparkSession, path: str) -> DataFrame:

@@ -111,6 +111,40 @@ def test_quotes_in_csv(spark, tmp_path):
     assert r["product_name"] == 'Monitor 27"' and r["discount"] is None and r["quantity"] == "3"
 
 
+def test_csv_of_pandas(spark, tmp_path):
+    import pandas as pd
+    names = ['Desk "XL", black', '"', '""', 'a,b', ' lead', "tail ", 'x"y', "'"]
+    pd.DataFrame({"order_id": range(len(names)), "product_name": names, "quantity": 5}).to_csv(
+        tmp_path / "p.csv", index=False)
+    rows = files.read_sales_csv(spark, str(tmp_path / "p.csv")).collect()
+    assert [(r.order_id, r.product_name, r.quantity) for r in rows] == [
+        (str(i), n, "5") for i, n in enumerate(names)]
+
+
+def test_csv_with_headers_in_two_orders(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("order_id,quantity,region\n1,10,N\n")
+    (tmp_path / "b.csv").write_text('\ufeffquantity,"order_id"\n20,2\n')
+    (tmp_path / "c.csv").write_text("")
+    rows = files.read_sales_csv(spark, str(tmp_path), ordinal="_ord").orderBy("_ord").collect()
+    assert [(r.order_id, r.quantity, r.region) for r in rows] == [("1", "10", "N"), ("2", "20", None)]
+
+
+def test_first_row_does_not_depend_on_split_size(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("order_id,quantity\n7,1\n")
+    (tmp_path / "b.csv").write_text("order_id,quantity\n" + "".join(f"{i % 20},{100 + i}\n" for i in range(300)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    got = []
+    try:
+        for size in ("128m", "64b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            df = files.read_sales_csv(spark, str(tmp_path), ordinal="_ord")
+            got.append(sorted((r.order_id, r.quantity) for r in clean.dedup_orders(df).collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got[0] == got[1] == sorted(
+        (str(i), "1" if i == 7 else str(100 + i)) for i in range(20))
+
+
 def test_columns_go_by_the_header(spark, tmp_path):
     (tmp_path / "o.csv").write_text("quantity,order_id\n3,O-1\n")
     df = files.read_sales_csv(spark, str(tmp_path / "o.csv"))
