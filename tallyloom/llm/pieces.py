@@ -62,6 +62,17 @@ def chunk_encoder(sp: sentencepiece.SentencePieceProcessor) -> Callable[[str], l
     return encode
 
 
+def chunks_encoder(sp: sentencepiece.SentencePieceProcessor) -> Callable[[list[str]], list[list[int]]]:
+    """Function from a list of chunks to their ids, in one call of the library."""
+    one = chunk_encoder(sp)
+
+    def encode(some: list[str]) -> list[list[int]]:
+        got = sp.encode([c[1:] for c in some], num_threads=1)
+        return [ids if len(c) > 1 else one(c) for c, ids in zip(some, got)]
+
+    return encode
+
+
 def whole_tokens(sp: sentencepiece.SentencePieceProcessor) -> list[str]:
     """Vocabulary strings that are a chunk and encode alone as that one token, shown piece by piece."""
     encode = chunk_encoder(sp)

@@ -128,7 +128,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(PIECE_MODEL)
     encoded = sp_codec.encode(read(spark, sf_dir, "documents"), path)
-    return sp_codec.digests(sp_codec.decode(encoded, path))
+    return sp_codec.digests(encoded, path)
 
 
 # 6 -------------------------------------------------------------------------------------------

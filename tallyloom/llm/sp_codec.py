@@ -15,10 +15,10 @@ from tallyloom.llm import pieces
 from tallyloom.llm.common import arrow_schema, as_schema, field, map_texts, partitions, sha256_hex
 
 # Bounds of a batch of documents: code points of text, and distinct chunks.
-BATCH_CHARS = 32_000_000
-BATCH_CHUNKS = 1_000_000
-# Ids in one outgoing record batch.
-EMIT_IDS = 4_000_000
+BATCH_CHARS = 24_000_000
+BATCH_CHUNKS = 400_000
+# Chunks encoded in one call.
+ENCODE_CHUNKS = 20_000
 
 
 class _Codes(dict):
@@ -95,7 +95,17 @@ def _coded(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFra
             yield dictionary(number, list(codes))
 
     rows = docs.select(f"`{id_col}`", f"`{text_col}`").mapInArrow(run, schema)
-    return session.settle(rows, "coded")
+    return _bucketed(rows, buckets, "batch")
+
+
+def _bucketed(rows: DataFrame, n: int, by: str) -> DataFrame:
+    """``rows`` written to the shared folder in buckets, so that a later join by ``by`` need not
+    move them again."""
+    spark = rows.sparkSession
+    path = session.scratch_path(spark, "coded")
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    rows.write.bucketBy(n, by).option("path", path).saveAsTable(name)
+    return spark.table(name)
 
 
 def _segmented(dictionaries: DataFrame, model, buckets: int) -> DataFrame:
@@ -108,25 +118,26 @@ def _segmented(dictionaries: DataFrame, model, buckets: int) -> DataFrame:
     target = arrow_schema(back)
 
     def segment(batches):
-        encode = pieces.chunk_encoder(pieces.load(model.value))
-        table: dict[str, array] = {}
+        encode = pieces.chunks_encoder(pieces.load(model.value))
+        table: dict[str, bytes] = {}
         bucket = None
         for b in batches:
             for i in range(b.num_rows):
                 which, number, codes, packed = (c[i].as_py() for c in b.columns)
                 if which != bucket:
                     table, bucket = {}, which
-                lengths, ids = [], array("I")
-                for c in _unpack_chunks(packed):
-                    got = table.get(c)
-                    if got is None:
-                        got = table[c] = array("I", encode(c))
-                    lengths.append(len(got))
-                    ids += got
+                chunks = _unpack_chunks(packed)
+                new = [c for c in chunks if c not in table]
+                for start in range(0, len(new), ENCODE_CHUNKS):
+                    some = new[start:start + ENCODE_CHUNKS]
+                    table.update(zip(some, (array("I", x).tobytes() for x in encode(some))))
+                found = [table[c] for c in chunks]
+                lengths = [len(x) // 4 for x in found]
+                ids = np.frombuffer(b"".join(found), np.uint32)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([number], pa.int64()), pa.array([codes], pa.binary()),
                      pa.array([_pack(np.array(lengths, np.uint32))], pa.binary()),
-                     pa.array([_pack(np.frombuffer(ids, np.uint32))], pa.binary())], schema=target)
+                     pa.array([_pack(ids)], pa.binary())], schema=target)
 
     return (dictionaries.select("bucket", "batch", "codes", "chunks")
             .repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(segment, back))
@@ -161,8 +172,8 @@ def encode(
 
     Texts become positions in a dictionary of their batch's distinct chunks; the dictionaries
     are merged into buckets, each distinct chunk is segmented once, and the ids are joined back
-    by position. Neither texts nor single words are shuffled, only dictionaries and packed
-    positions. A model whose pieces cross whitespace is applied to whole texts instead.
+    by position. Only dictionaries and their ids are shuffled; the coded texts are written in
+    buckets by batch and stay there. A model whose pieces cross whitespace is applied to whole texts instead.
 
     Null and empty texts give no ids. Null ids, repeated rows and very long texts are kept, one
     row out per row in. Further columns are not read.
@@ -178,49 +189,28 @@ def encode(
     buckets = partitions(docs)
     coded = _coded(docs, id_col, text_col, buckets)
     tables = _segmented(coded.filter("bucket IS NOT NULL"), shipped, buckets)
-    none = F.lit(None)
-    both = coded.filter("bucket IS NULL").select(
-        "batch", F.lit(1).alias("kind"), F.col(f"`{id_col}`").alias("id"), "codes",
-        none.cast("binary").alias("lengths"), none.cast("binary").alias("ids")
-    ).unionByName(tables.select(
-        "batch", F.lit(0).alias("kind"), none.cast(field(docs, id_col).dataType).alias("id"),
-        "codes", "lengths", "ids"))
     schema = as_schema([field(docs, id_col), ("ids", "array<int>")])
     target = arrow_schema(schema)
 
-    def emit(keys: list, lists: list[np.ndarray]) -> pa.RecordBatch:
+    def join(own: pa.Table, segmented: pa.Table) -> pa.Table:
+        parts = [tuple(map(_unpack, x)) for x in zip(*(c.to_pylist() for c in segmented.columns[1:]))]
+        table = _positions(parts)
+        lists = [_lookup(table, _unpack(x.as_py())) for x in own.column(2)]
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(keys, target.field(0).type),
-             pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists), pa.int32()))
-             .cast(target.field(1).type)], schema=target)
+        values = np.concatenate(lists) if lists else np.zeros(0, np.int32)
+        return pa.Table.from_arrays(
+            [own.column(1).cast(target.field(0).type),
+             pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)).cast(target.field(1).type)],
+            schema=target)
 
-    def join(batches):
-        batch, parts, table = None, [], None
-        for b in batches:
-            keys, lists, n = [], [], 0
-            for number, kind, key, codes, lengths, ids in zip(*(c.to_pylist() for c in b.columns)):
-                if number != batch:
-                    batch, parts, table = number, [], None
-                if kind == 0:
-                    parts.append((_unpack(codes), _unpack(lengths), _unpack(ids)))
-                    continue
-                if table is None:
-                    table = _positions(parts)
-                    parts = []
-                keys.append(key)
-                lists.append(_lookup(table, _unpack(codes)))
-                n += len(lists[-1])
-                if n >= EMIT_IDS:
-                    yield emit(keys, lists)
-                    keys, lists, n = [], [], 0
-            if keys:
-                yield emit(keys, lists)
-
-    return (both.repartition("batch").sortWithinPartitions("batch", "kind")
-            .mapInArrow(join, schema))
+    texts = coded.filter("bucket IS NULL").select("batch", f"`{id_col}`", "codes")
+    return texts.groupBy("batch").cogroup(tables.groupBy("batch")).applyInArrow(join, schema)
 
 
+def _lists(column: pa.Array) -> Iterator[list[int] | None]:
+    """Lists of an Arrow column one at a time: as Python integers they take much memory."""
+    for x in column:
+        yield None if not x.is_valid else x.values.to_numpy(zero_copy_only=False).tolist()
 
 
 def decode(
@@ -236,7 +226,7 @@ def decode(
         sp = pieces.load(shipped.value)
         for b in batches:
             lists = b.column(1).cast(target.field(1).type)
-            texts = [None if x is None else sp.decode(x) for x in lists.to_pylist()]
+            texts = [None if x is None else sp.decode(x) for x in _lists(lists)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).cast(target.field(0).type), lists, pa.array(texts, pa.string())],
                 schema=target)
@@ -244,25 +234,28 @@ def decode(
     return rows.select(f"`{id_col}`", f"`{ids_col}`").mapInArrow(run, schema)
 
 
-def digests(rows: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", text_col: str = "text"
-            ) -> DataFrame:
+def digests(rows: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256): hex digests of the ids, as decimals with commas
-    between, and of the text; null lists and texts as empty ones."""
+    between, and of the text that ``decode`` gives; null lists as empty ones."""
+    shipped = rows.sparkSession.sparkContext.broadcast(pieces.model_bytes(model_path))
     schema = as_schema([field(rows, id_col), ("n_tokens", "long"), ("ids_sha256", "string"),
                         ("decoded_sha256", "string")])
     target = arrow_schema(schema)
 
     def run(batches):
-        decimal = _Decimals()
+        sp, decimal = pieces.load(shipped.value), _Decimals()
         for b in batches:
-            lists, texts = b.column(1).to_pylist(), b.column(2).to_pylist()
+            n, of_ids, of_text = [], [], []
+            for x in _lists(b.column(1)):
+                x = x or []
+                n.append(len(x))
+                of_ids.append(sha256_hex(b",".join(map(decimal.__getitem__, x))))
+                of_text.append(sha256_hex(sp.decode(x)))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).cast(target.field(0).type),
-                 pa.array([len(x or ()) for x in lists], pa.int64()),
-                 pa.array([sha256_hex(b",".join(map(decimal.__getitem__, x or ()))) for x in lists]),
-                 pa.array([sha256_hex(t or "") for t in texts])], schema=target)
+                [b.column(0).cast(target.field(0).type), pa.array(n, pa.int64()),
+                 pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], schema=target)
 
-    return rows.select(f"`{id_col}`", f"`{ids_col}`", f"`{text_col}`").mapInArrow(run, schema)
+    return rows.select(f"`{id_col}`", f"`{ids_col}`").mapInArrow(run, schema)
 
 
 class _Decimals(dict):

@@ -46,7 +46,7 @@ def test_whole_tokens_are_proven_one_by_one():
 def test_codec_matches_the_library(spark, docs, monkeypatch):
     # small bounds: many batches and many buckets
     monkeypatch.setattr(sp_codec, "BATCH_CHUNKS", 7)
-    monkeypatch.setattr(sp_codec, "EMIT_IDS", 50)
+    monkeypatch.setattr(sp_codec, "ENCODE_CHUNKS", 3)
     rows = sp_codec.decode(sp_codec.encode(docs, PATH), PATH)
     got = sorted((str(r.doc_id), list(r.ids), r.text) for r in rows.collect())
     want = sorted((str(r.doc_id), *expected(r.text)) for r in docs.collect())
