@@ -14,12 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyloom import session
 from tallyloom.llm.common import arrow_schema, as_schema, field
 from tallyloom.llm.components import components
+from tallyloom.llm.word_hashes import WordHashes, mixed
 
 SHINGLE = 5
 PERCENT = 80
@@ -27,42 +27,36 @@ PERCENT = 80
 CELL_BITS = 20
 PARTS = 64
 # Longest k, and what verifying a candidate costs in list entries read.
-MAX_MATCHES = 8
+MAX_MATCHES = 3
 VERIFY_COST = 20.0
-# Word hashes a worker remembers.
-REMEMBERED = 400_000
+# Documents in one outgoing record batch of entries hold about so many.
+EMIT_ENTRIES = 200_000
+# Ratio of neighbouring size classes, within which entries of a list meet.
+SIZE_STEP = 1.05
+# Bits of the broadcast filter that keeps texts of no interest out of a shuffle.
+FILTER_BITS = 24
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def words_of(text: str) -> list[bytes]:
-    """Words split at ASCII white space, A-Z lowered."""
-    return text.encode().lower().split()
+def shingles(words: np.ndarray) -> np.ndarray:
+    """Sorted distinct hashes of the shingles; fewer words than SHINGLE are one shingle."""
+    if not len(words):
+        return words
+    width = min(SHINGLE, len(words))
+    out = np.full(len(words) - width + 1, width, np.uint64)
+    for k in range(width):
+        out = out * _PRIME + words[k:len(words) - width + 1 + k]
+    return np.unique(mixed(out))
 
 
-def shingles(words: list[bytes], hashes: dict) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles; fewer words than SHINGLE are one shingle."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    width = min(SHINGLE, len(h))
-    out = np.full(len(h) - width + 1, width, np.uint64)
-    for k in range(width):
-        out = (out ^ h[k:len(h) - width + 1 + k]) * _PRIME
-        out ^= out >> np.uint64(31)
-    return np.unique(out)
+def digest(words: np.ndarray) -> bytes:
+    """Name of a sequence of words."""
+    return hashlib.blake2b(words.tobytes(), digest_size=16).digest()
 
 
-def digest(words: list[bytes]) -> bytes:
-    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+def cells_of(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
 def least_shared(n: int) -> int:
@@ -70,16 +64,14 @@ def least_shared(n: int) -> int:
     return -(-PERCENT * n // 100)
 
 
-def choose_matches(counts: np.ndarray) -> int:
-    """k of a document whose shingles, in global order, have these estimated counts.
+def choose_matches(counts: np.ndarray, n: int) -> int:
+    """k of a document of n shingles, the first of which have these estimated counts.
 
     Lists read: the counts of the prefix. Candidates: each needs k of those entries.
     """
-    n = len(counts)
     base = n - least_shared(n)
-    most = min(MAX_MATCHES, n - base)
-    read = np.cumsum(counts[:base + most])[base:]
-    k = np.arange(1, most + 1)
+    read = np.cumsum(counts)[base:]
+    k = np.arange(1, len(read) + 1)
     return int(np.argmin(read + VERIFY_COST * read / k)) + 1
 
 
@@ -93,18 +85,17 @@ def _nodes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     target = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen, size = _Hashes(), {}, 1 << CELL_BITS
+        hashes, seen, size = WordHashes(), {}, 1 << CELL_BITS
         cells, waiting, held = np.zeros(size, np.uint32), [], 0
         for b in batches:
             nodes, ns = [], []
-            for text in b.column(1).to_pylist():
-                words = words_of(text or "")
-                node = digest(words) if words else None
-                n = seen.get(node) if words else 0
+            for words in hashes.of_texts(b.column(1)):
+                node = digest(words) if len(words) else None
+                n = seen.get(node) if len(words) else 0
                 if n is None:
-                    own = shingles(words, hashes)
+                    own = shingles(words)
                     n = seen[node] = len(own)
-                    waiting.append((own >> np.uint64(64 - CELL_BITS)).astype(np.int64))
+                    waiting.append(cells_of(own))
                     held += n
                     if held > size:
                         cells += np.bincount(np.concatenate(waiting), minlength=size).astype(np.uint32)
@@ -128,42 +119,77 @@ def _nodes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return session.settle(docs.select(f"`{id_col}`", f"`{text_col}`").mapInArrow(run, schema), "nodes")
 
 
-def _sketch(rows: DataFrame) -> np.ndarray:
-    """Sum of the tasks' sketches, in two steps, so that no task reads those of all others.
-
-    Its size is fixed by CELL_BITS. The counts only order shingles and estimate costs.
-    """
+def _merged(rows: DataFrame, merge: np.ufunc, dtype, size: int) -> np.ndarray:
+    """One array out of (part, cells) rows, in two steps, so that no task reads those of all
+    others. PARTS rows of fixed size reach the driver."""
     schema = as_schema([("part", "int"), ("cells", "binary")])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for part, cells in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                cells = np.frombuffer(cells, np.uint32)
-                total[part] = total[part] + cells if part in total else cells
+                cells = np.frombuffer(cells, dtype)
+                total[part] = merge(total[part], cells) if part in total else cells
         if total:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(total), pa.int32()),
                  pa.array([c.tobytes() for c in total.values()], pa.binary())],
                 schema=arrow_schema(schema))
 
-    # summed where they are read first: a task's input holds the sketches of many writers
-    own = rows.filter("part IS NOT NULL").select("part", "cells").mapInArrow(add, schema)
-    summed = own.repartition(PARTS, "part").mapInArrow(add, schema)
-    out = np.zeros((PARTS, (1 << CELL_BITS) // PARTS), np.uint32)
-    for part, cells in summed.collect():  # PARTS rows
-        out[part] = np.frombuffer(cells, np.uint32)
+    # merged where they are read first: a task's input holds the arrays of many writers
+    merged = rows.mapInArrow(add, schema).repartition(PARTS, "part").mapInArrow(add, schema)
+    out = np.zeros((PARTS, size // PARTS), dtype)
+    for part, cells in merged.collect():
+        out[part] = np.frombuffer(cells, dtype)
     return out.ravel()
 
 
+def _sketch(nodes: DataFrame) -> np.ndarray:
+    """Sum of the tasks' sketches. The counts only order shingles and estimate costs."""
+    return _merged(nodes.filter("part IS NOT NULL").select("part", "cells"), np.add, np.uint32,
+                   1 << CELL_BITS)
+
+
+def _bit(nodes: np.ndarray) -> np.ndarray:
+    """Place in the filter of digests, given as rows of bytes."""
+    return nodes[:, :4].copy().view(np.uint32).ravel() >> np.uint32(32 - FILTER_BITS)
+
+
+def _as_bytes(nodes: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(nodes.to_pylist()), np.uint8).reshape(-1, 16)
+
+
+def _filter(nodes: DataFrame) -> np.ndarray:
+    """Bits that are set for the nodes; others may share a bit, which costs their texts a shuffle."""
+    schema = as_schema([("part", "int"), ("cells", "binary")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << FILTER_BITS, bool)
+        for b in batches:
+            bits[_bit(_as_bytes(b.column(0)))] = True
+        if bits.any():
+            parts = [p.tobytes() for p in np.split(np.packbits(bits), PARTS)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())],
+                schema=arrow_schema(schema))
+
+    return _merged(nodes.mapInArrow(run, schema), np.bitwise_or, np.uint8, (1 << FILTER_BITS) // 8)
+
+
 def _entries(docs: DataFrame, text_col: str, sketch) -> DataFrame:
-    """(token, node, n, k, place) of each document's prefix, once per task for exact copies."""
-    schema = as_schema([("token", "long"), ("node", "binary"), ("packed", "long")])
+    """(token, node, packed, last) of each document's prefix, once per task for exact copies.
+
+    ``packed`` holds n, k and the token's place; ``last`` where the prefix ends in the global order.
+    """
+    schema = as_schema([("token", "long"), ("node", "binary"), ("packed", "long"), ("last", "long")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen, counts = _Hashes(), set(), sketch.value
+        hashes, seen = WordHashes(), set()
+        # the upper half of a float32 keeps the order of the counts and sorts by radix
+        counts = sketch.value
+        ranks = (counts.astype(np.float32).view(np.uint32) >> 16).astype(np.uint16)
         for b in batches:
-            tokens, nodes, packed, held = [], [], [], 0
+            tokens, nodes, packed, last, held = [], [], [], [], 0
 
             def emit():
                 sizes = [len(t) for t in tokens]
@@ -171,49 +197,79 @@ def _entries(docs: DataFrame, text_col: str, sketch) -> DataFrame:
                 return pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(tokens).view(np.int64)),
                      pa.array(nodes, pa.binary()).take(pa.array(which)),
-                     pa.array(np.concatenate(packed))], schema=arrow_schema(schema))
+                     pa.array(np.concatenate(packed)), pa.array(np.repeat(last, sizes), pa.int64())],
+                    schema=arrow_schema(schema))
 
-            for text in b.column(0).to_pylist():
-                words = words_of(text or "")
+            for words in hashes.of_texts(b.column(0)):
                 node = digest(words)
-                if not words or node in seen:
+                if not len(words) or node in seen:
                     continue
                 seen.add(node)
-                own = shingles(words, hashes)
-                often = counts[(own >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
-                order = np.lexsort((own, often))
-                k = choose_matches(often[order].astype(np.float64))
-                prefix = order[:len(own) - least_shared(len(own)) + k]
+                own = shingles(words)
+                cells = cells_of(own)
+                rank = ranks[cells]
+                order = np.argsort(rank, kind="stable")  # ties by hash: own is sorted
+                first = order[:len(own) - least_shared(len(own)) + MAX_MATCHES]
+                k = choose_matches(counts[cells[first]].astype(np.float64), len(own))
+                prefix = first[:len(own) - least_shared(len(own)) + k]
                 tokens.append(own[prefix])
                 nodes.append(node)
+                end = prefix[-1]
+                last.append(int(rank[end]) << 47 | int(own[end]) >> 17)
                 packed.append((len(own) << 32 | k << 28) + np.arange(len(prefix), dtype=np.int64))
                 held += len(prefix)
-                if held > 200_000:
+                if held > EMIT_ENTRIES:
                     yield emit()
-                    tokens, nodes, packed, held = [], [], [], 0
+                    tokens, nodes, packed, last, held = [], [], [], [], 0
             if tokens:
                 yield emit()
 
     return docs.select(f"`{text_col}`").mapInArrow(run, schema)
 
 
-def _n(packed: Column) -> Column:
-    return F.shiftright(packed, 32)
+def _unpacked(lists: DataFrame) -> DataFrame:
+    """Columns of the entries: n, k and place in the document's prefix."""
+    return lists.select(
+        "token", "node", "last", F.shiftright("packed", 32).alias("n"),
+        F.shiftright("packed", 28).bitwiseAND(F.lit(15)).alias("k"),
+        F.col("packed").bitwiseAND(F.lit((1 << 28) - 1)).alias("place"))
+
 
+def _least(n: Column) -> Column:
+    """``least_shared`` of a column."""
+    return F.ceil(PERCENT * n / 100)
 
-def _k(packed: Column) -> Column:
-    return F.shiftright(packed, 28).bitwiseAND(F.lit(15))
 
+def _largest_partner(n: Column, m: Column) -> Column:
+    """Most shingles of a set that is similar enough to one of n shingles when they share m."""
+    return F.floor((100 + PERCENT) * m / PERCENT) - n
 
-def _place(packed: Column) -> Column:
-    return packed.bitwiseAND(F.lit((1 << 28) - 1))
 
+def _bounded(entries: DataFrame) -> DataFrame:
+    """Entries (token, node, n, k, place, last, component) of lists with more than one component, with
+    ``m`` and ``live``.
+
+    Of two sets, take the one whose prefix ends first in the global order: each of its prefix
+    tokens that the other has is in the other's prefix too. So if u of them stand in no list with
+    another component, the two share at most m = n - u shingles. ``live`` is the token's place
+    among the others of the prefix.
+    """
+    by_token, by_node = Window.partitionBy("token"), Window.partitionBy("node")
+    prefix = F.col("n") - _least(F.col("n")) + F.col("k")
+    return session.settle(
+        entries.withColumn("_least", F.min("component").over(by_token))
+        .withColumn("_most", F.max("component").over(by_token))
+        .filter("_least < _most").drop("_least", "_most")
+        .withColumn("m", F.col("n") - (prefix - F.count("*").over(by_node)))
+        .withColumn("live", F.row_number().over(by_node.orderBy("place")) - 1), "lists")
 
-def _possible(p: Column, q: Column) -> Column:
-    """Whether two sets with a token at these places can share enough: at most all before it in
-    the shorter part, itself, and all behind it in the shorter part."""
-    most = F.least(_place(p), _place(q)) + 1 + F.least(_n(p) - _place(p) - 1, _n(q) - _place(q) - 1)
-    return (100 + PERCENT) * most >= PERCENT * (_n(p) + _n(q))
+
+def _possible(lo: Column, hi: Column) -> Column:
+    """Whether two sets with a token in common can share enough, ``lo`` being the one whose prefix
+    ends first: at most all that either has before it, the token, and all that either has behind it."""
+    before = F.least(lo["live"], hi["place"])
+    behind = F.least(lo["m"] - lo["live"], hi["n"] - hi["place"])
+    return (100 + PERCENT) * (before + behind) >= PERCENT * (lo["n"] + hi["n"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -239,80 +295,105 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         .mapInArrow(run, schema)
 
 
-def _sets(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
-    """(node, set) of the wanted nodes, one row each, the set as sorted hashes."""
+def _sets(docs: DataFrame, text_col: str, pairs: DataFrame) -> DataFrame:
+    """(node, set) of the nodes in (a, b) pairs, one row each, the set as sorted hashes."""
     schema = as_schema([("node", "binary"), ("text", "string")])
     out = as_schema([("node", "binary"), ("set", "binary")])
+    wanted = session.settle(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "wanted")
+    shipped = docs.sparkSession.sparkContext.broadcast(_filter(wanted))  # 1 << FILTER_BITS bits
 
     def name(batches):
-        seen = set()
+        seen, hashes, bits = set(), WordHashes(), np.unpackbits(shipped.value)
         for b in batches:
-            nodes, texts = [], []
-            for text in b.column(0).to_pylist():
-                words = words_of(text or "")
-                node = digest(words) if words else None
-                if words and node not in seen:
+            nodes, at = [], []
+            for i, words in enumerate(hashes.of_texts(b.column(0))):
+                node = digest(words) if len(words) else None
+                if node is not None and node not in seen:
                     seen.add(node)
                     nodes.append(node)
-                    texts.append(text)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(texts, pa.string())],
-                                             schema=arrow_schema(schema))
+                    at.append(i)
+            if not nodes:
+                continue
+            keep = np.flatnonzero(bits[_bit(_as_bytes(pa.array(nodes, pa.binary())))])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([nodes[i] for i in keep], pa.binary()),
+                 b.column(0).take(pa.array([at[i] for i in keep], pa.int64())).cast(pa.string())],
+                schema=arrow_schema(schema))
 
     def hashed(batches):
-        hashes = _Hashes()
+        hashes = WordHashes()
         for b in batches:
-            made = [shingles(words_of(t), hashes).tobytes() for t in b.column(1).to_pylist()]
+            made = [shingles(words).tobytes() for words in hashes.of_texts(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.binary()), pa.array(made, pa.binary())],
                                              schema=arrow_schema(out))
 
+    # texts meet their node's name once: the join's partitioning serves to drop copies as well
     named = docs.select(f"`{text_col}`").mapInArrow(name, schema).join(wanted, "node", "left_semi")
-    return named.mapInArrow(hashed, out).dropDuplicates(["node"])
+    return session.settle(named.dropDuplicates(["node"]).mapInArrow(hashed, out), "sets")
 
 
 def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                   ) -> tuple[DataFrame, DataFrame]:
     """(nodes, components): settled (id, node, n) rows, and (node, component) of linked nodes.
 
-    Candidates are looked for in two rounds. First every token list is a star around its
-    smallest node, so a list of many near copies costs one pair per entry. Then only lists with
-    more than one component go on, and only pairs across components: links within one cannot
-    change it. No list, however long, is turned into all its pairs unless its documents are
-    still unlinked, and no pair of different components that may link is left out.
+    Candidates are looked for in two rounds. First every token list is a star around the node
+    that shares most of its own prefix, so a list of many near copies costs one pair per entry.
+    Then only lists with more than one component go on, and only pairs across components: links
+    within one cannot change it. What a document has for itself bounds what it can share, so
+    documents of a list only meet where sizes and bounds allow a link. No pair of different
+    components that may link is left out.
     """
     spark = docs.sparkSession
     nodes = _nodes(docs, id_col, text_col)
     sketch = spark.sparkContext.broadcast(_sketch(nodes))  # 4 << CELL_BITS bytes
     by_token = Window.partitionBy("token")
-    lists = session.settle(
+    shared = session.settle(
         _entries(docs, text_col, sketch)
-        .withColumn("pivot", F.min(F.struct("node", "packed")).over(by_token))
-        .withColumn("last", F.max("node").over(by_token))
-        .filter("pivot.node < last").drop("last").distinct(), "lists")
+        .withColumn("_least", F.min("node").over(by_token)).withColumn("_most", F.max("node").over(by_token))
+        .filter("_least < _most").drop("_least", "_most").distinct(), "lists")
+    lists = _bounded(_unpacked(shared).withColumn("component", F.col("node")))
+    entry = F.struct("node", "n", "m", "k", "place", "live", "last", "component")
+
+    # round one: stars around the node with the fewest tokens of its own
+    star = lists.select(entry.alias("x"), F.min(F.struct(
+        ((F.col("n") - F.col("m")) / F.col("n")).alias("own"), entry.alias("entry"))).over(by_token)["entry"].alias("y"))
+    x, y = F.col("x"), F.col("y")
     stars = session.settle(
-        lists.filter((F.col("node") != F.col("pivot.node")) & _possible(F.col("packed"), F.col("pivot.packed")))
-        .select(F.col("pivot.node").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    sets = session.settle(_sets(docs, text_col, lists.select("node").distinct()), "sets")
-    links = session.settle(_verified(stars, sets), "links")
+        star.filter(x["node"] != y["node"]).filter(
+            ((x["last"] <= y["last"]) & _possible(x, y)) | ((y["last"] <= x["last"]) & _possible(y, x)))
+        .select(F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b"))
+        .distinct(), "stars")
+    links = session.settle(_verified(stars, _sets(docs, text_col, stars)), "links")
     known = session.settle(components(links), "components")
 
-    # round two: lists whose entries are in more than one component
-    placed = lists.select("token", "node", "packed").join(known, "node", "left").withColumn(
-        "component", F.coalesce("component", "node"))
-    open_lists = session.settle(
-        placed.withColumn("least", F.min("component").over(by_token))
-        .withColumn("most", F.max("component").over(by_token))
-        .filter("least < most").drop("least", "most"), "lists")
-    x = open_lists.select("token", F.col("node").alias("a"), F.col("packed").alias("pa"),
-                          F.col("component").alias("ca"))
-    y = open_lists.select("token", F.col("node").alias("b"), F.col("packed").alias("pb"),
-                          F.col("component").alias("cb"))
-    across = (
-        x.join(y, "token").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
-                                  & _possible(F.col("pa"), F.col("pb")))
-        .groupBy("a", "b").agg(F.count("*").alias("shared"),
-                               F.min(F.least(_k(F.col("pa")), _k(F.col("pb")))).alias("k"))
-        .filter("shared >= k").join(stars, ["a", "b"], "left_anti"))
-    more = session.settle(_verified(across, sets), "links")
+    # round two: pairs across components, by the set whose prefix ends first
+    entries = _bounded(lists.drop("component", "m", "live").join(known, "node", "left").withColumn(
+        "component", F.coalesce("component", "node")))
+
+    # A set x of m shingles that may be shared, o of which have to be, lacks at most m - o of them
+    # in its partner y: of its first m - o + k live tokens, y has at least k.
+    def step(n: Column) -> Column:
+        return F.floor(F.log(n.cast("double")) / F.log(F.lit(SIZE_STEP)) + 1e-9).cast("int")
+
+    def overlap(n: Column, other: Column) -> Column:
+        return F.ceil(PERCENT * (n + other) / (100 + PERCENT))
+
+    n, m = F.col("n"), F.col("m")
+    least, most = _least(n), F.least(_largest_partner(n, m), F.floor(100 * n / PERCENT))
+    smallest = F.greatest(F.ceil(F.pow(F.lit(SIZE_STEP), F.col("size")) - 1e-6), least)  # of a class
+    lower = entries.filter(most >= least).withColumn("size", F.explode(F.sequence(step(least), step(most)))) \
+        .filter(F.col("live") < m - overlap(n, smallest) + F.col("k")).select("token", "size", entry.alias("x"))
+    upper = entries.select("token", step(n).alias("size"), entry.alias("y"))
+    matches = F.least(x["k"], y["k"])
+    across = session.settle(
+        lower.join(upper, ["token", "size"])
+        .filter((x["component"] != y["component"]) & (x["last"] <= y["last"])
+                & (x["live"] < x["m"] - overlap(x["n"], y["n"]) + matches) & _possible(x, y))
+        .groupBy(F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b"))
+        .agg(F.count("*").alias("shared"), F.min(matches).alias("k"))
+        # pairs that a star has seen need no second look
+        .filter("shared >= k").select("a", "b").join(stars, ["a", "b"], "left_anti"), "pairs")
+    more = session.settle(_verified(across, _sets(docs, text_col, across)), "links")
     joined = known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
     return nodes.filter("part IS NULL").drop("part", "cells"), components(joined)
 
