@@ -79,7 +79,7 @@ def interaction(
         out = out.withColumn("_pair", key)
         first = (source or df).groupBy(key.alias("_pair")).agg(
             F.min(F.struct(*order)).alias("_first"))
-        codes = settle(ordered.positions(first, [], ["_first"]).select(
+        codes = settle(ordered.positions(first, [], ["_first"], unique=True).select(
             "_pair", F.col("_pos").alias("category_region_group")
         ), "codes")
         out = out.join(codes, "_pair").drop("_pair")
@@ -134,14 +134,16 @@ def aggregations(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
 def _for_groups(df, group_cols, order_cols, build) -> DataFrame:
     """Apply ``build(df, keys, suffix)`` on positioned rows, once per grouping column.
 
-    A null group has no values, as rows without a key belong to no group.
+    A null group has no values, as rows without a key belong to no group. The default order ends
+    with the row id, which tells rows apart.
     """
+    unique, order_cols = not order_cols, _order(order_cols)
     if not group_cols:
-        return build(ordered.positions(df, [], order_cols), [], "").drop("_pos")
+        return build(ordered.positions(df, [], order_cols, unique=unique), [], "").drop("_pos")
     out = df
     for g in group_cols:
         grouped = out.filter(F.col(g).isNotNull())
-        done = build(ordered.positions(grouped, [g], order_cols), [g], f"_{g}").drop("_pos")
+        done = build(ordered.positions(grouped, [g], order_cols, unique=unique), [g], f"_{g}").drop("_pos")
         out = done.unionByName(out.filter(F.col(g).isNull()), allowMissingColumns=True)
     return out
 
@@ -152,13 +154,13 @@ def _order(order_cols):
 
 def lag(df, value_col="quantity", lags=None, group_cols=None, order_cols=None) -> DataFrame:
     """Earlier values by row order; each grouping column gives its own features."""
-    return _for_groups(df, group_cols, _order(order_cols), lambda d, k, s: ordered.lag_roll(
+    return _for_groups(df, group_cols, order_cols, lambda d, k, s: ordered.lag_roll(
         d, k, value_col, lags or LAGS, [], s))
 
 
 def rolling(df, value_col="quantity", windows=None, group_cols=None, order_cols=None):
     """Mean, std and max of the last n rows; shorter windows at the start."""
-    return _for_groups(df, group_cols, _order(order_cols), lambda d, k, s: ordered.lag_roll(
+    return _for_groups(df, group_cols, order_cols, lambda d, k, s: ordered.lag_roll(
         d, k, value_col, [], windows or WINDOWS, s))
 
 
@@ -168,7 +170,7 @@ def _span_alphas(value_col, spans, suffix):
 
 def ewma(df, value_col="quantity", spans=None, group_cols=None, order_cols=None) -> DataFrame:
     """Exponentially weighted means with factor 2/(span+1)."""
-    return _for_groups(df, group_cols, _order(order_cols), lambda d, k, s: ordered.ewm(
+    return _for_groups(df, group_cols, order_cols, lambda d, k, s: ordered.ewm(
         d, k, value_col, _span_alphas(value_col, spans or SPANS, s)))
 
 
@@ -201,7 +203,7 @@ def all_features(
     out = base = df
     if lags or rolling_ or ewma_:
         # numbering writes the rows, so the families below read them instead of the input plan
-        out = base = ordered.positions(df, [], order)
+        out = base = ordered.positions(df, [], order, unique=not order_cols)
         if ewma_:
             out = ordered.ewm(out, [], "quantity", _span_alphas("quantity", SPANS, ""))
         if lags or rolling_:

@@ -16,35 +16,48 @@ from tallyloom.session import settle
 
 BLOCK = 1024
 
+# Gaps in a column: rows of a run in which the last value before a row is looked up.
+RUN = 1 << 20
+# Exponents in a block stay below the range of doubles: so much per row at most (what came before
+# then no longer shows), and so many rows of that.
+_FADED = 60.0
+_SHORT = 10
 
-def _ranged(df: DataFrame, cols: list[str], partitions: int | None) -> DataFrame:
+
+def _ranged(
+    df: DataFrame, cols: list[str], partitions: int | None, unique: bool = False
+) -> DataFrame:
     """Rows sorted over all partitions, with ``_mid`` = partition · 2³³ + place in it.
 
-    The input is written with a running number first. The number is the last sort column,
-    so even many exact copies of a row spread over the ranges, and a task that runs again
-    reads the same rows.
+    Rows go to ranges by the sort columns alone if these tell rows apart, so a task that runs
+    again sends them the same way. Else the input is written with a running number first, the
+    last sort column, so that even many exact copies of a row spread over the ranges.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = settle(df.withColumn("_tie", F.monotonically_increasing_id()), "input")
+    if not unique:
+        df = settle(df.withColumn("_tie", F.monotonically_increasing_id()), "input")
+        cols = [*cols, "_tie"]
     ranged = (
-        rows.repartitionByRange(n, *cols, "_tie")
-        .sortWithinPartitions(*cols, "_tie").drop("_tie")
+        df.repartitionByRange(n, *cols).sortWithinPartitions(*cols).drop("_tie")
         .withColumn("_mid", F.monotonically_increasing_id())
     )
     return settle(ranged, "ranged")
 
 
 def positions(
-    df: DataFrame, keys: list[str], order_cols: list[str], partitions: int | None = None
+    df: DataFrame, keys: list[str], order_cols: list[str], partitions: int | None = None,
+    unique: bool = False,
 ) -> DataFrame:
     """Add ``_pos``: 0-based place of a row inside its key, by ``order_cols``.
 
     One range shuffle on (keys, order_cols), so neither a hot key nor a hot date is sorted in
     one task. The place is the offset of the (key, partition) run plus the place inside the
     run. The table of runs has one row per partition and key change; it is written too, so
-    the planner joins it by its true size. Keys must not be null.
+    the planner joins it by its true size. Keys must not be null. ``unique`` says that the order
+    columns tell rows apart, which saves a copy of the input; a few rows that are alike in them
+    all the same only stay together.
     """
-    ranged = _ranged(df, [*keys, *order_cols], partitions)
+    ranged = _ranged(df, [*keys, *order_cols], partitions, unique)
     run = F.shiftright("_mid", 33).alias("_run")
     runs = ranged.groupBy(*keys, run).agg(
         F.count("*").alias("_len"), F.min("_mid").alias("_first")
@@ -116,8 +129,12 @@ def ewm(
 
     Inside a block the mean is a running sum of x scaled by (1−a)^−j; the value that a block
     hands to the next ones decays by (1−a) per row, and it is handed on until it would
-    underflow, so no block waits for the one before. Values must not be null.
+    underflow, so no block waits for the one before.
+
+    A column with nulls goes through ``_ewm_with_gaps``.
     """
+    if not df.filter(F.col(value_col).isNull()).isEmpty():
+        return _ewm_with_gaps(df, keys, value_col, alphas, pos_col, block)
     out = df
     by_size: dict[int, dict[str, float]] = {}
     for name, a in alphas.items():
@@ -174,3 +191,78 @@ def ewm(
             results.append((from_before + own).alias(name))
         out = joined.select(*cols, *results)
     return out
+
+
+def _last_before(df: DataFrame, keys: list[str], value_col: str, pos_col: str) -> DataFrame:
+    """Add ``_prev``: place of the last row before this one, in its key, that has a value.
+
+    Looked up inside runs of RUN rows, and over the table of runs for what lies before them.
+    """
+    at = F.when(F.col(value_col).isNotNull(), F.col(pos_col))
+    rows = df.withColumn("_run", F.floor(F.col(pos_col) / RUN))
+    over_runs = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_run")
+    runs = rows.groupBy(*keys, "_run").agg(F.max(at).alias("_max")).select(
+        *keys, "_run", F.max("_max").over(over_runs.rowsBetween(Window.unboundedPreceding, -1)).alias("_old"))
+    inside = Window.partitionBy(*keys, "_run").orderBy(pos_col).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("_in", F.max(at).over(inside)).join(runs, [*keys, "_run"]).withColumn(
+        "_prev", F.coalesce("_in", "_old")).drop("_run", "_in", "_old")
+
+
+def _scan(rows: DataFrame, keys: list[str], n: int, size: int, last: int) -> DataFrame:
+    """``_y{i}`` of yₜ = exp(l)·yₜ₋₁ + b for the ``n`` pairs of columns ``_l{i}``, ``_b{i}``, starting at 0.
+
+    ``_p`` numbers the rows of a key without holes, up to ``last``. Inside a block the values are a
+    scaled running sum; the blocks' ends are a sequence of the same kind, with fewer rows, that is
+    scanned in the same way.
+    """
+    blocks = rows.withColumn("_blk", F.floor(F.col("_p") / size))
+    w = Window.partitionBy(*keys, "_blk").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+    out = blocks.withColumns({f"_s{i}": F.sum(f"_l{i}").over(w) for i in range(n)})
+    out = out.withColumns({
+        f"_y{i}": F.exp(f"_s{i}") * F.sum(F.col(f"_b{i}") * F.exp(-F.col(f"_s{i}"))).over(w) for i in range(n)})
+    if last >= size:
+        ends = _block_ends(out, keys, n)
+        after = _scan(ends, keys, n, _SHORT, last // size).select(
+            *keys, (F.col("_p") + 1).alias("_blk"), *[F.col(f"_y{i}").alias(f"_c{i}") for i in range(n)])
+        out = out.join(after, [*keys, "_blk"], "left").withColumns({
+            f"_y{i}": F.col(f"_y{i}") + F.exp(f"_s{i}") * F.coalesce(f"_c{i}", F.lit(0.0)) for i in range(n)}
+        ).drop(*[f"_c{i}" for i in range(n)])
+    return out.drop("_blk", *[f"_s{i}" for i in range(n)])
+
+
+def _block_ends(out: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """What each block does to a value that comes in: its factor, and what it adds."""
+    return out.groupBy(*keys, F.col("_blk").alias("_p")).agg(
+        *[F.greatest(F.sum(f"_l{i}"), F.lit(-_FADED)).alias(f"_l{i}") for i in range(n)],
+        *[F.max_by(f"_y{i}", out["_p"]).alias(f"_b{i}") for i in range(n)])
+
+
+def _ewm_with_gaps(
+    df: DataFrame, keys: list[str], value_col: str, alphas: dict[str, float], pos_col: str, block: int
+) -> DataFrame:
+    """``ewm`` of a column with nulls: a null keeps the mean, and the weight of the past fades on.
+
+    After a gap of g rows yₜ = (w·yₜ₋₁ + a·xₜ) / (w + a) with w = (1−a)^(g+1). There is no mean
+    before the first value.
+    """
+    names = list(alphas)
+    x = F.col(value_col).cast("double")
+    rows = _last_before(df, keys, value_col, pos_col).withColumn("_p", F.col(pos_col))
+    first, steps = F.col("_prev").isNull(), F.col(pos_col) - F.col("_prev")
+    size = block
+    new = {}
+    for i, (name, a) in enumerate(alphas.items()):
+        if not 0 < a <= 1:
+            raise ValueError(f"smoothing factor must be in (0, 1], got {a}")
+        decay = -math.log1p(-a) if a < 1 else math.inf
+        size = max(1, min(size, int(500 / decay))) if a < 1 else min(size, _SHORT)
+        old = F.exp(-decay * steps) if a < 1 else F.lit(0.0)
+        log_old = -decay * steps if a < 1 else F.lit(-_FADED)
+        factor = F.greatest(log_old - F.log(old + a), F.lit(-_FADED))
+        new[f"_l{i}"] = F.when(x.isNull() | first, F.lit(0.0)).otherwise(factor)
+        new[f"_b{i}"] = F.when(x.isNull(), F.lit(0.0)).when(first, x).otherwise(x * a / (old + a))
+    last = df.agg(F.max(pos_col).alias("last")).first()["last"] or 0
+    done = _scan(rows.withColumns(new), keys, len(names), size, last)
+    known = F.col("_prev").isNotNull() | F.col(value_col).isNotNull()
+    return done.select(*df.columns, *[
+        F.when(known, F.col(f"_y{i}")).alias(name) for i, name in enumerate(names)])

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tallyloom.operators.clean import DATE_COLUMNS, NUMERIC_COLUMNS
+from tallyloom.operators.forecast import METHODS
+
 # Allowed ranges of a request.
 ASK_RANGES = {"num_retrieval": (1, 20), "max_tokens": (50, 2000), "temperature": (0.0, 1.0)}
 ASK_DEFAULTS = {"num_retrieval": 5, "max_tokens": 256, "temperature": 0.7}
@@ -33,9 +36,18 @@ def split_ask(df: DataFrame) -> DataFrame:
 
 
 def split_forecast(df: DataFrame) -> DataFrame:
+    """Add ``rejected`` as ``split_ask`` does. ``methods`` is an array of method names, null or
+    empty for all; dates and values are columns of the order table."""
     d = _with_defaults(df, FORECAST_DEFAULTS)
+    if "methods" not in d.columns:
+        d = d.withColumn("methods", F.lit(None).cast("array<string>"))
     checks = [_out_of(n, lo, hi) for n, (lo, hi) in FORECAST_RANGES.items()]
     checks.append(F.when(~F.col("freq").isin(FREQUENCIES), F.lit("freq")))
+    known = F.array(*[F.lit(m) for m in METHODS])
+    unknown = F.exists(F.coalesce("methods", known), lambda m: m.isNull() | ~m.isin(*METHODS))
+    checks.append(F.when(unknown, F.lit("methods")))
+    checks.append(F.when(~F.col("date_col").isin(DATE_COLUMNS), F.lit("date_col")))
+    checks.append(F.when(~F.col("value_col").isin(NUMERIC_COLUMNS), F.lit("value_col")))
     return d.withColumn("rejected", F.concat_ws(",", *checks))
 
 

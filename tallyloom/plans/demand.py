@@ -16,23 +16,53 @@ def forecast_job(orders: DataFrame, periods: int = 7, freq: str = "D",
     return forecast.predict(clean.numeric_only(orders), periods, freq=freq, methods=methods, **kw)
 
 
+def _points_by_columns(orders: DataFrame) -> DataFrame:
+    """Daily sums ``(date_col, value_col, t, y)`` of every value column by every date column that
+    the orders have, in one pass over them."""
+    dates = [c for c in clean.DATE_COLUMNS if c in orders.columns]
+    values = [c for c in clean.NUMERIC_COLUMNS if c in orders.columns]
+    by_date = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("date_col"), F.to_date(c).alias("t")) for c in dates]))
+    sums = (
+        orders.select(by_date.alias("_d"), *[F.col(v).cast("double").alias(v) for v in values])
+        .select("_d.*", *values).filter(F.col("t").isNotNull()).groupBy("date_col", "t")
+        .agg(*[F.coalesce(F.sum(v), F.lit(0.0)).alias(v) for v in values]))
+    return sums.select("date_col", "t", F.inline(F.array(*[
+        F.struct(F.lit(v).alias("value_col"), F.col(v).alias("y")) for v in values])))
+
+
 def forecast_requests_job(orders: DataFrame, asked: DataFrame) -> DataFrame:
-    """Forecast per accepted request ``(request_id, periods, freq)`` on one order table.
+    """Forecast per accepted request ``(request_id, periods, freq, methods, date_col, value_col)``,
+    defaults for what is missing, on one order table.
 
-    The orders are read once. The three grids are forecast for the longest horizon, at most
-    3 · 365 · 4 rows that every task may have; requests pick their rows.
+    The orders are read once, for daily sums of all columns that may be asked for. The grids are
+    forecast for the longest horizon, at most 3 frequencies · 6 column pairs · 365 rows that every
+    task may have; requests pick their rows, methods and the mean of these.
     """
-    ok = requests.accepted(requests.split_forecast(asked)).select("request_id", "periods", "freq")
+    ok = requests.accepted(requests.split_forecast(asked)).select(
+        "request_id", "periods", "freq", "methods", "date_col", "value_col")
     top = requests.FORECAST_RANGES["periods"][1]
-    points = settle(series.daily(clean.numeric_only(orders), []), "daily")
+    points = settle(_points_by_columns(clean.numeric_only(orders)), "daily")
+    pair = ["date_col", "value_col"]
     tables = [
-        forecast.forecast_points(points, [], top, f).withColumn("freq", F.lit(f))
+        forecast.forecast_points(points, pair, top, f).withColumn("freq", F.lit(f))
         for f in requests.FREQUENCIES
     ]
-    every = reduce(DataFrame.unionByName, tables)
+    names = list(forecast.METHODS.values())
+    every = reduce(DataFrame.unionByName, tables).groupBy("freq", *pair, "step", "t").agg(
+        *[F.max(F.when(F.col("method") == n, F.col("yhat"))).alias(n) for n in names])
+    chosen = F.filter(F.array(*[
+        F.struct(F.lit(n).alias("method"), F.col(n).alias("yhat"), F.lit(m).alias("name"))
+        for m, n in forecast.METHODS.items()]), lambda v: (
+            F.coalesce(F.size("methods"), F.lit(0)) <= 0) | F.array_contains("methods", v["name"]))
+    mean = F.aggregate(F.col("_c"), F.lit(0.0), lambda a, v: a + v["yhat"]) / F.size("_c")
+    values = F.transform("_c", lambda v: F.struct(v["method"].alias("method"), v["yhat"].alias("yhat")))
+    all_rows = F.when(F.size("_c") > 1, F.concat(values, F.array(F.struct(
+        F.lit(forecast.ENSEMBLE).alias("method"), mean.alias("yhat"))))).otherwise(values)
     return (
-        ok.join(F.broadcast(every), "freq").filter(F.col("step") <= F.col("periods"))
-        .select("request_id", "freq", "method", "step", "t", "yhat")
+        ok.join(F.broadcast(every), ["freq", *pair]).filter(F.col("step") <= F.col("periods"))
+        .withColumn("_c", chosen)
+        .select("request_id", "freq", *pair, "step", "t", F.inline(all_rows))
     )
 
 

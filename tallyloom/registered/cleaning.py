@@ -114,7 +114,7 @@ def revenue(spark, sf_dir):
   FROM sales"""))
 def sort_by_date(spark, sf_dir):
     df = sales(spark, sf_dir, "order_id", "order_date", "row_id")
-    return ordered.positions(df, [], ["order_date", "row_id"]).select(
+    return ordered.positions(df, [], ["order_date", "row_id"], unique=True).select(
         "order_id", "row_id", F.col("_pos").alias("place"))
 
 
@@ -136,10 +136,18 @@ def request_split(spark, sf_dir):
 
 @_f.add("request_split_forecast", """
   SELECT event_id, concat_ws(',', CASE WHEN user_id < 1 OR user_id > 365 THEN 'periods' END,
-    CASE WHEN upper(substr(event_type, 1, 1)) NOT IN ('D', 'W', 'M') THEN 'freq' END) AS rejected
+    CASE WHEN upper(substr(event_type, 1, 1)) NOT IN ('D', 'W', 'M') THEN 'freq' END,
+    CASE WHEN event_id % 3 = 0 THEN 'methods' END,
+    CASE WHEN event_id % 5 = 0 THEN 'date_col' END,
+    CASE WHEN event_id % 7 = 0 THEN 'value_col' END) AS rejected
   FROM events""")
 def request_split_forecast(spark, sf_dir):
+    key = F.col("event_id")
     asked = table(spark, sf_dir, "events").select(
         "event_id", F.col("user_id").alias("periods"),
-        F.upper(F.substring("event_type", 1, 1)).alias("freq"))
+        F.upper(F.substring("event_type", 1, 1)).alias("freq"),
+        F.when(key % 3 == 0, F.array(F.lit("sma"), F.lit("bogus")))
+        .when(key % 3 == 1, F.array(F.lit("es"))).alias("methods"),
+        F.when(key % 5 == 0, "ship_date").alias("date_col"),
+        F.when(key % 7 == 0, "order_id").alias("value_col"))
     return requests.split_forecast(asked).select("event_id", "rejected")

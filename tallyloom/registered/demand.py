@@ -259,6 +259,15 @@ def forecast_revenue(spark, sf_dir):
     return shown(forecast.of_revenue(df, series_key=["region"]), default=3)
 
 
+def six(expr: str) -> str:
+    """Six significant digits, as text: errors relative to empty days are near 1e10."""
+    return f"printf('%.5e', {expr})"
+
+
+def _six(c):
+    return F.format_string("%.5e", c)
+
+
 def _scores_sql(key):
     k = f"{key}, " if key else ""
     kk = f"test.{key}, " if key else ""
@@ -277,14 +286,18 @@ def _scores_sql(key):
             UNION ALL SELECT {k}'trend', y, trend FROM p
             UNION ALL SELECT {k}'ensemble', y, (sma + es + trend) / 3 FROM p),
           m AS (SELECT {k}method, avg(abs(y - f)) AS mae, sqrt(avg((y - f) * (y - f))) AS rmse,
-            1 - sum((y - f) * (y - f)) / (var_pop(y) * count(y)) AS r2 FROM s {group})""")
+            1 - sum((y - f) * (y - f)) / (var_pop(y) * count(y)) AS r2,
+            avg(abs((y - f) / (y + 1e-8))) * 100 AS mape FROM s {group})""")
 
 
 @_f.add("forecast_evaluate", with_sales(_scores_sql("category") + f"""
-  SELECT category, method, {r('mae')} AS mae, {r('rmse')} AS rmse, {r('r2')} AS r2 FROM m"""))
+  SELECT category, method, {r('mae')} AS mae, {r('rmse')} AS rmse, {r('r2')} AS r2,
+    {six('mape')} AS mape FROM m"""))
 def forecast_evaluate(spark, sf_dir):
     df = sales(spark, sf_dir, "order_date", "quantity", "category")
-    return shown(forecast.evaluate(df, series_key=["category"]).drop("mape"))
+    out = forecast.evaluate(df, series_key=["category"])
+    return shown(out.drop("mape")).join(out.select("category", "method", _six(F.col("mape")).alias("mape")),
+                                        ["category", "method"])
 
 
 def _named(sql, name):
@@ -298,8 +311,8 @@ def _named(sql, name):
             .replace(" f AS (", f" f_{name} AS (").replace("FROM st\n", f"FROM st_{name}\n"))
 
 
-def _chain(key, value, name, freq="D", periods=7):
-    return _named(daily_sql(key, value) + grid_sql(key, freq) + levels_sql(key)
+def _chain(key, value, name, freq="D", periods=7, source="sales"):
+    return _named(daily_sql(key, value, source) + grid_sql(key, freq) + levels_sql(key)
                   + steps_sql(key, periods, freq), name)
 
 
@@ -321,16 +334,18 @@ def _summary_sql():
             {r('yhat')} FROM f_c
           UNION ALL SELECT 'metrics', '', method, 'mae', {r('mae')} FROM m
           UNION ALL SELECT 'metrics', '', method, 'rmse', {r('rmse')} FROM m
-          UNION ALL SELECT 'metrics', '', method, 'r2', {r('r2')} FROM m""")
+          UNION ALL SELECT 'metrics', '', method, 'r2', {r('r2')} FROM m
+          UNION ALL SELECT 'metrics', '', method, 'mape', CAST({six('mape')} AS DOUBLE) FROM m""")
 
 
 @_f.add("forecast_summary", _summary_sql())
 def forecast_summary(spark, sf_dir):
     df = sales(spark, sf_dir, "order_date", "quantity", "unit_price", "discount", "category")
-    # mape divides by zero days plus 1e-8: numbers near 1e10 that no two engines sum alike
-    out = demand.summary(df, 7).filter(F.col("item") != "mape")
+    out = demand.summary(df, 7)
     money = F.col("section") == "revenue_forecast"
-    value = F.when(money, round_even(F.col("value"), 2)).otherwise(round_even(F.col("value"), 6))
+    value = F.when(money, round_even(F.col("value"), 2)).when(
+        F.col("item") == "mape", _six(F.col("value")).cast("double")).otherwise(
+            round_even(F.col("value"), 6))
     return out.withColumn("value", value + F.lit(0.0))
 
 
@@ -361,20 +376,53 @@ def forecast_job(spark, sf_dir):
     return shown(demand.forecast_job(sales_text(spark, sf_dir)))
 
 
-@_f.add("forecast_requests", with_sales(
-    "".join(_chain(None, "quantity", f.lower(), f, 24) for f in NEXT) + f""",
-    asked AS (SELECT c_custkey AS request_id, c_nationkey AS periods,
-      CASE c_custkey % 3 WHEN 0 THEN 'D' WHEN 1 THEN 'W' ELSE 'M' END AS freq FROM customer),
-    every AS (SELECT 'D' AS freq, * FROM f_d UNION ALL SELECT 'W', * FROM f_w
-      UNION ALL SELECT 'M', * FROM f_m)
-    SELECT request_id, freq, method, CAST(step AS INTEGER) AS step, t, {r('yhat')} AS yhat
-    FROM asked JOIN every USING (freq) WHERE periods BETWEEN 1 AND 365 AND step <= periods"""))
+def _requests_sql():
+    chains, every = "", []
+    for f in NEXT:
+        for d, source in (("order_date", "sales"), ("delivery_date", "delivered")):
+            for v in ("quantity", "unit_price"):
+                name = f"{f}_{d}_{v}".lower()
+                chains += _chain(None, v, name, f, 24, source)
+                every.append(f"""SELECT '{f}' AS freq, '{d}' AS date_col, '{v}' AS value_col, step, t,
+                  max(yhat) FILTER (method = 'sma') AS sma, max(yhat) FILTER (method = 'trend') AS trend,
+                  max(yhat) FILTER (method = 'exponential_smoothing') AS es FROM f_{name} GROUP BY step, t""")
+    rows = " UNION ALL ".join(
+        f"SELECT request_id, freq, date_col, value_col, step, t, '{name}' AS method, {value} AS yhat FROM j WHERE {cond}"
+        for name, value, cond in (
+            ("sma", "sma", "list_contains(ms, 'sma')"),
+            ("exponential_smoothing", "es", "list_contains(ms, 'es')"),
+            ("trend", "trend", "list_contains(ms, 'trend')"),
+            ("ensemble", """(CASE WHEN list_contains(ms, 'sma') THEN sma ELSE 0 END
+               + CASE WHEN list_contains(ms, 'es') THEN es ELSE 0 END
+               + CASE WHEN list_contains(ms, 'trend') THEN trend ELSE 0 END) / len(ms)""", "len(ms) > 1")))
+    return with_sales(f""", delivered AS (SELECT * REPLACE (delivery_date AS order_date) FROM sales)
+      {chains}, asked AS (SELECT c_custkey AS request_id, c_nationkey AS periods,
+        CASE c_custkey % 3 WHEN 0 THEN 'D' WHEN 1 THEN 'W' ELSE 'M' END AS freq,
+        CASE c_custkey % 4 WHEN 0 THEN ['sma', 'es', 'trend'] WHEN 1 THEN ['sma']
+          WHEN 2 THEN ['trend', 'es'] ELSE ['bogus', 'sma'] END AS ms,
+        CASE WHEN c_custkey % 7 = 0 THEN 'delivery_date' ELSE 'order_date' END AS date_col,
+        CASE c_custkey % 5 WHEN 0 THEN 'unit_price' WHEN 1 THEN 'nope' ELSE 'quantity' END AS value_col
+        FROM customer),
+      every AS ({" UNION ALL ".join(every)}),
+      j AS (SELECT * FROM asked JOIN every USING (freq, date_col, value_col)
+        WHERE periods BETWEEN 1 AND 365 AND step <= periods AND NOT list_contains(ms, 'bogus'))
+      SELECT request_id, freq, date_col, value_col, method, CAST(step AS INTEGER) AS step, t,
+        {r('yhat')} AS yhat FROM ({rows})""")
+
+
+@_f.add("forecast_requests", _requests_sql())
 def forecast_requests(spark, sf_dir):
-    key = F.col("c_custkey") % 3
+    key = F.col("c_custkey")
+    every = F.lit(None).cast("array<string>")
     asked = table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("request_id"), F.col("c_nationkey").alias("periods"),
-        F.when(key == 0, "D").when(key == 1, "W").otherwise("M").alias("freq"))
-    orders = sales(spark, sf_dir, "order_date", "quantity", "unit_price")
+        key.alias("request_id"), F.col("c_nationkey").alias("periods"),
+        F.when(key % 3 == 0, "D").when(key % 3 == 1, "W").otherwise("M").alias("freq"),
+        F.when(key % 4 == 0, every).when(key % 4 == 1, F.array(F.lit("sma")))
+        .when(key % 4 == 2, F.array(F.lit("trend"), F.lit("es")))
+        .otherwise(F.array(F.lit("bogus"), F.lit("sma"))).alias("methods"),
+        F.when(key % 7 == 0, "delivery_date").alias("date_col"),
+        F.when(key % 5 == 0, "unit_price").when(key % 5 == 1, "nope").alias("value_col"))
+    orders = sales(spark, sf_dir, "order_date", "delivery_date", "quantity", "unit_price")
     return shown(demand.forecast_requests_job(orders, asked))
 
 

@@ -209,6 +209,35 @@ def ewma_features_by_group(spark, sf_dir):
     return shown(_off_edge(df.drop("order_date", "quantity", "supplier_id")))
 
 
+def _ewma_gaps_sql() -> str:
+    """Every value against those up to a reach before it, weights from running sums of logarithms."""
+    ctes, names = [], []
+    for n, reach in zip(features.SPANS, (160, 620)):
+        a = f"(2e0 / {n + 1})"
+        ctes.append(f"""f{n} AS (SELECT vi, CASE WHEN vi = 0 THEN 0e0 ELSE ln(w / (w + {a})) END AS l,
+            CASE WHEN vi = 0 THEN q ELSE q * {a} / (w + {a}) END AS b
+          FROM (SELECT *, pow(1 - {a}, p - pp) AS w FROM v)),
+        s{n} AS (SELECT *, sum(l) OVER (ORDER BY vi) AS s FROM f{n}),
+        e{n} AS (SELECT x.vi, sum(exp(x.s - y.s) * y.b) AS e FROM s{n} x JOIN s{n} y
+          ON y.vi BETWEEN x.vi - {reach} AND x.vi GROUP BY x.vi)""")
+        names.append(f"{r(f'coalesce(e{n}.e, -1e0) + {OFF_EDGE}')} AS quantity_ewma_{n}")
+    return with_sales(f""", o AS (SELECT row_id, CASE WHEN l_orderkey % 7 <> 0 THEN quantity END AS q,
+        row_number() OVER (ORDER BY order_date, row_id) - 1 AS p FROM sales),
+      v AS (SELECT p, q, lag(p) OVER (ORDER BY p) AS pp, row_number() OVER (ORDER BY p) - 1 AS vi
+        FROM o WHERE q IS NOT NULL),
+      {', '.join(ctes)},
+      c AS (SELECT row_id, count(q) OVER (ORDER BY p) - 1 AS vi FROM o)
+    SELECT row_id, {', '.join(names)} FROM c LEFT JOIN e7 USING (vi) LEFT JOIN e30 USING (vi)""")
+
+
+@_f.add("ewma_features_gaps", _ewma_gaps_sql())
+def ewma_features_gaps(spark, sf_dir):
+    """Every seventh order has no quantity."""
+    df = _sales(spark, sf_dir, "order_id", "order_date", "quantity").withColumn(
+        "quantity", F.when(F.split("order_id", "-")[1].cast("bigint") % 7 != 0, F.col("quantity")))
+    return shown(_off_edge(features.ewma(df).drop("order_id", "order_date", "quantity").fillna(-1.0)))
+
+
 @_f.add("target_lead", with_sales("""
   , d AS (SELECT order_date AS t, sum(quantity) AS s, max(quantity) AS m FROM sales
     GROUP BY order_date)
@@ -245,21 +274,23 @@ def feature_select(spark, sf_dir):
     return shown(wide.select("row_id", *[c for c in names if c in wanted]), {"revenue_per_unit": 4})
 
 
-@_f.add("all_features", with_sales(f"""
-  , cat AS (SELECT category, avg(quantity) AS category_qty_mean FROM sales GROUP BY category)
-  SELECT row_id, CAST(month(order_date) AS INTEGER) AS month, {r('category_qty_mean')}
-    AS category_qty_mean, {r('quantity * discount')} AS qty_discount_interaction,
-    {r('ln(1 + unit_price)')} AS unit_price_log,
-    coalesce(lag(quantity, 14) OVER w, 0e0) AS quantity_lag_14,
-    {r('avg(quantity) OVER w14')} AS quantity_rolling_mean_14
-  FROM sales JOIN cat USING (category) WINDOW w AS (ORDER BY order_date, row_id),
-    w14 AS (ORDER BY order_date, row_id ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)"""))
+_ALL_SQL = "SELECT * FROM " + " JOIN ".join(f"({part}) AS p{i}" if i == 0 else f"({part}) AS p{i} USING (row_id)"
+    for i, part in enumerate([
+        _ewma_sql(None), _ordered_sql(_lag_body().replace("-1e0", "0e0")), _rolling_sql(None),
+        SQL["temporal_features"], SQL["cat_agg_features"], SQL["region_agg_features"],
+        SQL["supplier_agg_feature"], SQL["price_features"], SQL["interaction_features"]]))
+
+
+@_f.add("all_features", _ALL_SQL)
 def all_features(spark, sf_dir):
+    """All features of all families."""
     df = _sales(spark, sf_dir, "order_date", "quantity", "unit_price", "discount", "category",
                 "region", "supplier_id")
-    wide, _ = features.all_features(df)
-    return shown(wide.select("row_id", "month", "category_qty_mean", "qty_discount_interaction",
-                             "unit_price_log", "quantity_lag_14", "quantity_rolling_mean_14"))
+    wide, names = features.all_features(df)
+    places = {"revenue_per_unit": 4, "qty_price_interaction": 4}
+    for key in ("category", "region"):
+        places |= {f"{key}_revenue_sum": 2, f"{key}_revenue_mean": 3}
+    return shown(_off_edge(wide.select("row_id", *names)), places)
 
 
 @_f.add("split_random", with_sales("""
@@ -286,5 +317,5 @@ def standard_scale(spark, sf_dir):
     AS place FROM sales"""))
 def row_positions_by_product(spark, sf_dir):
     df = _sales(spark, sf_dir, "order_date", "product_id")
-    return ordered.positions(df, ["product_id"], ["order_date", "row_id"]).select(
+    return ordered.positions(df, ["product_id"], ["order_date", "row_id"], unique=True).select(
         "row_id", F.col("_pos").alias("place"))

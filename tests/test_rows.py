@@ -100,6 +100,26 @@ def test_grouped_features_skip_rows_without_key(spark, rows, frame):
     assert len(got) == len(frame)
 
 
+@pytest.mark.parametrize("block", [8, 64])
+@pytest.mark.parametrize("missing", ["some", "first", "long", "all", "most"])
+def test_exponential_means_over_gaps(spark, block, missing):
+    n = 400
+    i = np.arange(n)
+    empty = {"some": i % 7 == 3, "first": i < 30, "long": (i > 50) & (i < 390), "all": i >= 0,
+             "most": i % 97 != 5}[missing]
+    values = pd.Series(np.where(empty, np.nan, np.sin(i) * 50 + i))
+    df = spark.createDataFrame(
+        [(k, int(p), None if np.isnan(v) else float(v)) for k in ("a", "b") for p, v in enumerate(values)],
+        "k string, _pos bigint, quantity double").repartition(3)
+    spans = {"e1": 1, "e2": 2, "e7": 7, "e900": 900}
+    got = ordered.ewm(df, ["k"], "quantity", {k: 2 / (s + 1) for k, s in spans.items()}, block=block)
+    got = got.toPandas().sort_values(["k", "_pos"]).reset_index(drop=True)
+    for key in ("a", "b"):
+        part = got[got.k == key].reset_index(drop=True)
+        for name, span in spans.items():
+            same(part[name], values.ewm(span=span, adjust=False).mean())
+
+
 def test_smoothing_factor_is_checked(spark, rows):
     with pytest.raises(ValueError):
         ordered.ewm(rows.withColumn("_pos", F.lit(0)), [], "quantity", {"x": 0.0})

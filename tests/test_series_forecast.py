@@ -9,7 +9,7 @@ import pytest
 from conftest import make
 from pyspark.sql import functions as F
 
-from tallyloom.operators import forecast, metrics, series
+from tallyloom.operators import clean, forecast, metrics, series
 from tallyloom.plans import demand
 
 A = 2 * 0.3 / 1.3
@@ -207,6 +207,18 @@ def test_job_and_requests(spark, orders):
         "request_id int, periods int, freq string")
     got = demand.forecast_requests_job(text, asked).toPandas()
     assert got.groupby("request_id").size().to_dict() == {1: 12, 5: 8, 6: 28}
+    asked = spark.createDataFrame(
+        [(1, ["sma"], None, None), (2, ["trend", "es"], "order_date", "unit_price"), (3, ["nope"], None, None),
+         (4, None, "status", None), (5, [], None, "order_id"), (6, [], None, "quantity")],
+        "request_id int, methods array<string>, date_col string, value_col string")
+    got = demand.forecast_requests_job(text, asked.withColumn("periods", F.lit(2))).toPandas()
+    assert got.groupby("request_id").method.unique().map(sorted).to_dict() == {
+        1: ["sma"], 2: ["ensemble", "exponential_smoothing", "trend"],
+        6: ["ensemble", "exponential_smoothing", "sma", "trend"]}
+    two = got[(got.request_id == 2) & (got.step == 1)].set_index("method")["yhat"]
+    direct = forecast.predict(clean.numeric_only(text), 1, value_col="unit_price", methods=["es", "trend"])
+    for r in direct.collect():
+        assert two[r["method"]] == pytest.approx(r["yhat"])
 
 
 def test_summary_sections(spark, orders):
