@@ -44,18 +44,33 @@ def _strip_accents_exact(texts: pd.Series) -> pd.Series:
     return texts.map(lambda s: s if s is None or s.isascii() else _plain(s))
 
 
-def strip_accents(c: Column, exact: bool = False) -> Column:
-    """Remove accents.
+@lru_cache(maxsize=1)
+def _longer_class() -> str:
+    """Character class of those whose plain form is more than one character, by the same rule."""
+    ranges: list[list[int]] = []
+    for cp in range(0x80, 0x20000):
+        if not 0xD800 <= cp <= 0xDFFF and len(_plain(chr(cp))) > 1:
+            if ranges and ranges[-1][1] == cp - 1:
+                ranges[-1][1] = cp
+            else:
+                ranges.append([cp, cp])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
+
+
+def strip_accents(c: Column, exact: bool = True) -> Column:
+    """Remove accents and expand ligatures, fractions and the like.
 
-    The JVM-side form covers all characters with a one-character plain form. ``exact`` also
-    expands the few with longer ones (ligatures, fractions) in an Arrow UDF.
+    Characters with a one-character plain form are translated on the JVM side. Only texts that
+    hold one with a longer form (``exact``) go through an Arrow function; with ``exact=False``
+    such characters stay.
     """
-    if exact:
-        return _strip_accents_exact(c)
-    return F.translate(c, *_accent_table())
+    plain = F.translate(c, *_accent_table())
+    if not exact:
+        return plain
+    return F.coalesce(_strip_accents_exact(F.when(c.rlike(_longer_class()), c)), plain)
 
 
-def words(c: Column, exact_accents: bool = False) -> Column:
+def words(c: Column, exact_accents: bool = True) -> Column:
     return F.regexp_extract_all(strip_accents(F.lower(c), exact_accents), F.lit(WORD), F.lit(1))
 
 

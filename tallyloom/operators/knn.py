@@ -1,29 +1,36 @@
 """Exact nearest neighbours.
 
-Each task scores its vectors against a block of queries by one matrix product per Arrow
-batch and keeps its k best per query; only those are shuffled and ranked. No pair of a
-query and a vector is ever a row.
+Queries are written in blocks of bounded size to the shared folder. Each task holds a bounded part
+of its vectors, takes one block of queries after the other, scores both by a matrix product and
+hands on its k best per query; only those are shuffled and ranked. Vectors are read once and never
+shuffled, and no pair of a query and a vector is ever a row. The plan is the same for one query
+and for very many.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as ds
+from pyarrow import fs
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tallyloom.session import scratch_path
+
 METRICS = ("cosine", "l2")
 
-# A query block goes to every task only up to this many rows (at 1000 dimensions 32 MB).
+# Rows of a block of queries, about.
 QUERY_BLOCK = 4096
-VECTOR_BLOCK = 16_384
+# Numbers in one dense matrix, and bytes of vectors that a task holds.
 _CELLS = 2_000_000
+_HELD_BYTES = 64_000_000
 SCORE_PLACES = 6
 
 
 def check_metric(metric: str) -> str:
     m = metric.lower().strip()
     if m not in METRICS:
-        raise ValueError("metric must be one of: cosine, l2")
+        raise ValueError(f"{metric!r} is no metric; choose {' or '.join(METRICS)}")
     return m
 
 
@@ -43,28 +50,62 @@ def _dense(column: pa.Array, dim: int) -> np.ndarray:
     return flat.astype(np.float64).reshape(len(lengths), dim)
 
 
-def _sparse(ids: pa.Array, weights: pa.Array, dim: int) -> np.ndarray:
+def _sparse(ids: pa.Array, weights: pa.Array, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(dense rows over the sorted ``terms`` alone, squared lengths of the whole rows)"""
     cols, lengths = _offsets(ids)
     vals, _ = _offsets(weights)
-    out = np.zeros((len(lengths), dim))
-    out[np.repeat(np.arange(len(lengths)), lengths), cols] = vals
-    return out
+    rows = np.repeat(np.arange(len(lengths)), lengths)
+    out = np.zeros((len(lengths), len(terms)))
+    if len(terms):
+        at = np.minimum(np.searchsorted(terms, cols), len(terms) - 1)
+        known = terms[at] == cols
+        out[rows[known], at[known]] = vals[known]
+    return out, np.bincount(rows, weights=vals * vals, minlength=len(lengths))
+
+
+def _rows(columns: list[pa.Array], dim: int | None, terms: np.ndarray | None):
+    if terms is not None:
+        return _sparse(*columns, terms)
+    m = _dense(columns[0], dim)
+    return m, (m**2).sum(1)
+
 
+def _unit(m: np.ndarray, squares: np.ndarray) -> np.ndarray:
+    return m / np.sqrt(np.where(squares == 0, 1.0, squares))[:, None]
 
-def _unit(m: np.ndarray) -> np.ndarray:
-    norm = np.linalg.norm(m, axis=1, keepdims=True)
-    return m / np.where(norm == 0, 1.0, norm)
+
+class _Queries:
+    """Part of a block: ids, rows (of unit length for cosine) and what scoring them needs."""
+
+    def __init__(self, ids: np.ndarray, columns: list[pa.Array], metric: str, dim: int | None):
+        self.ids, self.metric, self.dim = ids, metric, dim
+        self.terms = np.unique(_offsets(columns[0])[0]) if len(columns) == 2 else None
+        self.rows, self.squares = _rows(columns, dim, self.terms)
+        if metric == "cosine":
+            self.rows = _unit(self.rows, self.squares)
+
+    def scores(self, columns: list[pa.Array]) -> np.ndarray:
+        """Queries × vectors, larger is better; rounded so that ties are ties everywhere."""
+        m, squares = _rows(columns, self.dim, self.terms)
+        if self.metric == "cosine":
+            s = self.rows @ _unit(m, squares).T
+        else:
+            s = -np.maximum(self.squares[:, None] + squares[None, :] - 2.0 * (self.rows @ m.T), 0.0)
+        scale = 10.0**SCORE_PLACES
+        return np.rint(s * scale) / scale + 0.0
 
 
-def _scores(queries: np.ndarray, vectors: np.ndarray, metric: str) -> np.ndarray:
-    """Queries × vectors, larger is better; rounded so that ties are ties everywhere."""
-    if metric == "cosine":
-        s = _unit(queries) @ _unit(vectors).T
-    else:
-        sq = (queries**2).sum(1)[:, None] + (vectors**2).sum(1)[None, :]
-        s = -np.maximum(sq - 2.0 * (queries @ vectors.T), 0.0)
-    scale = 10.0**SCORE_PLACES
-    return np.rint(s * scale) / scale + 0.0
+def _parts(table: pa.Table, names: list[str], metric: str, dim: int | None) -> list[_Queries]:
+    """A block cut so that no part's matrix has more than about _CELLS numbers."""
+    if not table.num_rows:
+        return []
+    table = table.combine_chunks()
+    ids = table.column("query_id").to_numpy().astype(np.int64)
+    columns = [table.column(n).combine_chunks() for n in names]
+    width = len(np.unique(_offsets(columns[0])[0])) if len(names) == 2 else dim
+    step = max(1, _CELLS // max(1, width))
+    return [_Queries(ids[i:i + step], [c.slice(i, step) for c in columns], metric, dim)
+            for i in range(0, len(ids), step)]
 
 
 def _best(q: np.ndarray, o: np.ndarray, s: np.ndarray, k: int):
@@ -79,25 +120,22 @@ def _best(q: np.ndarray, o: np.ndarray, s: np.ndarray, k: int):
 class _TopK:
     """Running k best per query over batches of vectors."""
 
-    def __init__(self, queries: np.ndarray, k: int, metric: str):
-        self.queries, self.k, self.metric = queries, k, metric
+    def __init__(self, queries: _Queries, k: int):
+        self.queries, self.k = queries, k
         self.q = np.empty(0, np.int64)
         self.o = np.empty(0, np.int64)
         self.s = np.empty(0, np.float64)
 
     def add_batch(self, batch: pa.RecordBatch, names: list[str]) -> None:
         """Score a batch in slices, so that neither matrix grows with the batch."""
-        if not len(self.queries):
-            return
-        dim = self.queries.shape[1]
-        step = max(1, _CELLS // max(dim, len(self.queries)))
+        n, width = self.queries.rows.shape
+        step = max(1, _CELLS // max(1, width, n))
         for i in range(0, batch.num_rows, step):
             part = batch.slice(i, step)
             ords = part.column("ord").to_numpy(zero_copy_only=False).astype(np.int64)
-            self.add(ords, _matrix([part.column(n) for n in names], dim))
+            self.add(ords, self.queries.scores([part.column(c) for c in names]))
 
-    def add(self, ords: np.ndarray, vectors: np.ndarray) -> None:
-        s = _scores(self.queries, vectors, self.metric)
+    def add(self, ords: np.ndarray, s: np.ndarray) -> None:
         n = s.shape[1]
         if n > self.k:
             least = np.partition(s, n - self.k, axis=1)[:, n - self.k]
@@ -110,79 +148,16 @@ class _TopK:
         )
 
 
-def _vector_columns(sparse: bool) -> list[str]:
-    return ["term_ids", "weights"] if sparse else ["embedding"]
-
-
-def _matrix(columns: list[pa.Array], dim: int) -> np.ndarray:
-    return _sparse(*columns, dim) if len(columns) == 2 else _dense(columns[0], dim)
-
-
-def _rows_to_matrix(rows, sparse: bool, dim: int) -> np.ndarray:
-    if sparse:
-        out = np.zeros((len(rows), dim))
-        for i, r in enumerate(rows):
-            out[i, r["term_ids"]] = r["weights"]
-        return out
-    for r in rows:
-        if len(r["embedding"]) != dim:
-            raise ValueError(f"vector dimension mismatch: expected {dim}, got {len(r['embedding'])}")
-    return np.array([r["embedding"] for r in rows], dtype=np.float64).reshape(len(rows), dim)
-
-
-def _partial_shared(queries, vectors, rows, k, metric, dim, sparse) -> DataFrame:
-    """Small query set: every task gets the query matrix."""
-    spark = vectors.sparkSession
-    shared = spark.sparkContext.broadcast((
-        np.array([r["query_id"] for r in rows], dtype=np.int64),
-        _rows_to_matrix(rows, sparse, dim),
-    ))
-    names = _vector_columns(sparse)
-
-    def score(batches):
-        ids, matrix = shared.value
-        top = _TopK(matrix, k, metric)
-        for batch in batches:
-            top.add_batch(batch, names)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids[top.q]), pa.array(top.o), pa.array(top.s)],
-            names=["query_id", "ord", "score"],
-        )
-
-    return vectors.select(F.col("ord").cast("bigint"), *names).mapInArrow(
-        score, "query_id bigint, ord bigint, score double"
-    )
-
-
-def _partial_blocks(queries, vectors, k, metric, dim, sparse, query_block, vector_block):
-    """Many queries: blocks of queries meet blocks of vectors, each pair of blocks one group."""
-    names = _vector_columns(sparse)
-    n_q = max(1, -(-queries.count() // query_block))
-    n_v = max(1, -(-vectors.count() // vector_block))
-
-    def spread(df, key, mine, n_mine, other, n_other):
-        return df.withColumn(mine, F.pmod(F.xxhash64(key), F.lit(n_mine)).cast("int")).withColumn(
-            other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))
-        )
-
-    q = spread(queries.select(F.col("query_id").cast("bigint"), *names),
-               "query_id", "_qb", n_q, "_vb", n_v)
-    v = spread(vectors.select(F.col("ord").cast("bigint"), *names), "ord", "_vb", n_v, "_qb", n_q)
-
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        if left.num_rows:
-            matrix = _matrix([left.column(n).combine_chunks() for n in names], dim)
-        else:
-            matrix = np.zeros((0, dim))
-        top = _TopK(matrix, k, metric)
-        ids = left.column("query_id").to_numpy().astype(np.int64)
-        for batch in right.to_batches():
-            top.add_batch(batch, names)
-        return pa.table({"query_id": ids[top.q], "ord": top.o, "score": top.s})
-
-    return q.groupBy("_qb", "_vb").cogroup(v.groupBy("_qb", "_vb")).applyInArrow(
-        score, "query_id bigint, ord bigint, score double"
-    )
+def _written_blocks(queries: DataFrame, names: list[str], rows: int) -> tuple[str, int]:
+    """Folder with the queries in ``_block=<n>`` folders, and their number."""
+    spark = queries.sparkSession
+    known = queries.select(F.col("query_id").cast("bigint").alias("query_id"), *names).filter(
+        "query_id IS NOT NULL")
+    n = max(1, -(-known.count() // rows))
+    path = scratch_path(spark, "queries")
+    known.withColumn("_block", F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int")) \
+        .repartition(n, "_block").write.partitionBy("_block").parquet(path)
+    return path, n
 
 
 def knn(
@@ -193,31 +168,51 @@ def knn(
     dim: int | None = None,
     sparse: bool = False,
     query_block: int = QUERY_BLOCK,
-    vector_block: int = VECTOR_BLOCK,
 ) -> DataFrame:
     """k nearest vectors per query: ``(query_id, rank, ord, score)``.
 
     ``queries`` has ``query_id`` and ``vectors`` has ``ord``, both whole numbers, next to
     ``embedding`` (or ``term_ids, weights`` when sparse). cosine scores fall, l2 scores are
     squared distances and rise; ties go to the smaller ``ord``. k is at least 1 and at most
-    the number of vectors; vectors with score 0 count.
+    the number of vectors; vectors with score 0 count. A query without an id has no result.
     """
     m = check_metric(metric)
     k = max(int(k), 1)
-    names = _vector_columns(sparse)
-    rows = queries.select("query_id", *names).limit(query_block + 1).collect()
-    if dim is None:
-        if sparse:
-            raise ValueError("sparse vectors need dim")
-        dim = len(rows[0]["embedding"]) if rows else 1
-    few = len(rows) <= query_block
-    if few:
-        partial = _partial_shared(queries, vectors, rows, k, m, dim, sparse)
-    else:
-        partial = _partial_blocks(queries, vectors, k, m, dim, sparse, query_block, vector_block)
+    names = ["term_ids", "weights"] if sparse else ["embedding"]
+    if dim is None and not sparse:
+        first = queries.filter("query_id IS NOT NULL").select(F.size("embedding").alias("n")).first()
+        dim = first["n"] if first else 1
+    path, n_blocks = _written_blocks(queries, names, query_block)
+
+    def best(held: list[pa.RecordBatch]):
+        store, base = fs.FileSystem.from_uri(path)
+        for i in range(n_blocks):
+            folder = f"{base}/_block={i}"
+            if store.get_file_info(folder).type == fs.FileType.NotFound:
+                continue
+            block = ds.dataset(folder, filesystem=store, format="parquet").to_table(["query_id", *names])
+            for part in _parts(block, names, m, dim):
+                top = _TopK(part, k)
+                for batch in held:
+                    top.add_batch(batch, names)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(part.ids[top.q]), pa.array(top.o), pa.array(top.s)],
+                    names=["query_id", "ord", "score"])
+
+    def score(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= _HELD_BYTES:
+                yield from best(held)
+                held, size = [], 0
+        if held:
+            yield from best(held)
+
+    partial = vectors.select(F.col("ord").cast("bigint"), *names).mapInArrow(
+        score, "query_id bigint, ord bigint, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("ord"))
     top = partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    score = F.col("score") if m == "cosine" else -F.col("score") + 0.0
-    top = top.select("query_id", "rank", "ord", score.alias("score"))
-    # at most query_block · k short rows: small enough to send to every task
-    return F.broadcast(top) if few else top
+    distance = F.col("score") if m == "cosine" else -F.col("score") + 0.0
+    return top.select("query_id", "rank", "ord", distance.alias("score"))

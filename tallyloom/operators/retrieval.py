@@ -57,7 +57,7 @@ def add_documents(index: Index, docs: DataFrame, order_cols: list[str]) -> Index
     """Add documents with the fitted vocabulary; numbers go on at the index size."""
     base = index.documents.agg(F.count("*")).scalar()
     named = number_documents(docs, order_cols, base)
-    new = tfidf.transform(named, index.vocabulary, "ord", "content", index.max_features)
+    new = tfidf.transform(named, index.vocabulary, "ord", "content")
     return Index(
         index.documents.unionByName(named), index.vectors.unionByName(new),
         index.vocabulary, index.metric, index.max_features,
@@ -83,7 +83,7 @@ def load(spark: SparkSession, path: str, metric: str = "cosine",
 
 def embed_queries(index: Index, queries: DataFrame) -> DataFrame:
     """``queries (query_id, query)`` → ``(query_id, term_ids, weights)``."""
-    return tfidf.transform(queries, index.vocabulary, "query_id", "query", index.max_features)
+    return tfidf.transform(queries, index.vocabulary, "query_id", "query")
 
 
 def match(index: Index, queries: DataFrame, k: int = 5) -> DataFrame:

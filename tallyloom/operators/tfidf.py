@@ -14,83 +14,89 @@ from tallyloom.session import settle
 
 MAX_FEATURES = 1000
 
-# Most rows of a term table that every task may be sent.
-BROADCAST_TERMS = 100_000
+# Column of the array of a text's words.
+_W = "_words"
 
 
-def _words(
-    docs: DataFrame, text_col: str, exact_accents: bool, keep: list[str], pairs: bool
-) -> DataFrame:
-    """One row ``(keep…, a[, b])`` per word; b is the word after it, null at the end.
+def tokens(docs: DataFrame, key: str, text_col: str, exact_accents: bool = True) -> DataFrame:
+    """``(key, _words)``: every text as the array of its words, null as none."""
+    return docs.select(key, words(F.coalesce(F.col(text_col), F.lit("")), exact_accents).alias(_W))
+
 
-    Words get a projection of their own, and the outer explode keeps the planner from
-    adding a filter on the array below it: either would run the regex again.
+def _pairs(split: DataFrame, keep: list[str]) -> DataFrame:
+    """One row ``(keep…, a, b)`` per word; b is the word after it, null at the end.
+
+    The outer explode keeps the planner from adding a filter on the array below it, which
+    would work the array out again.
     """
-    split = words(F.coalesce(F.col(text_col), F.lit("")), exact_accents)
-    split_docs = docs.select(*keep, split.alias("_w"))
-    if not pairs:
-        out = split_docs.select(*keep, F.explode_outer("_w").alias("a"))
-    else:
-        out = split_docs.select(*keep, with_next(F.col("_w")).alias("_z")).select(
-            *keep, F.explode_outer("_z").alias("_p")
-        ).select(*keep, F.col("_p.a").alias("a"), F.col("_p.b").alias("b"))
-    return out.filter(F.col("a").isNotNull())
+    rows = split.select(*keep, F.explode_outer(with_next(F.col(_W))).alias("_p"))
+    return rows.select(*keep, F.col("_p.a").alias("a"), F.col("_p.b").alias("b")).filter(
+        F.col("a").isNotNull())
 
 
 def _pair_text():
     return F.concat("a", F.lit(" "), "b")
 
 
-def top_terms(
-    docs: DataFrame, text_col: str = "content", max_features: int = MAX_FEATURES,
-    exact_accents: bool = False, broadcast_terms: int = BROADCAST_TERMS,
-) -> DataFrame:
-    """``(term, corpus_count)`` of the most frequent words and pairs, ties by term.
-
-    Words are counted first. A pair is at most as frequent as either of its words, so only
-    pairs of words that reach the count of the last kept word can be among the top; the
-    others are not counted, which keeps the table of all distinct pairs out of the shuffle.
-    All counts combine on the map side, so a term that is everywhere does not pile up.
-    """
+def _top_terms(split: DataFrame, max_features: int) -> DataFrame:
+    """The most frequent words and pairs of ``(…, _words)`` rows."""
     single = settle(
-        _words(docs, text_col, exact_accents, [], False).groupBy(F.col("a").alias("term"))
-        .agg(F.count("*").alias("corpus_count")), "words",
+        split.select(F.explode_outer(_W).alias("term")).filter(F.col("term").isNotNull())
+        .groupBy("term").agg(F.count("*").alias("corpus_count")), "words",
     )
     order = [F.desc("corpus_count"), F.asc("term")]
     last = single.orderBy(*order).limit(max_features).agg(
         F.count("*").alias("n"), F.min("corpus_count").alias("least")
     ).first()
     least = last["least"] if last["n"] == max_features else 0
-    frequent = single.filter(F.col("corpus_count") >= least)
-    both = _words(docs, text_col, exact_accents, [], True).filter(F.col("b").isNotNull())
-    if frequent.limit(broadcast_terms + 1).count() <= broadcast_terms:
-        for c in ("a", "b"):
-            both = both.join(F.broadcast(frequent.select(F.col("term").alias(c))), c, "left_semi")
+    frequent = settle(single.filter(F.col("corpus_count") >= least), "words")
+    both = _pairs(split, []).filter(F.col("b").isNotNull())
+    for c in ("a", "b"):
+        both = both.join(frequent.select(F.col("term").alias(c)), c, "left_semi")
     pairs = both.groupBy("a", "b").agg(F.count("*").alias("corpus_count")).select(
         _pair_text().alias("term"), "corpus_count")
     return frequent.unionByName(pairs).orderBy(*order).limit(max_features)
 
 
-def _numbered_top(docs, text_col, max_features, exact_accents) -> DataFrame:
+def top_terms(
+    docs: DataFrame, text_col: str = "content", max_features: int = MAX_FEATURES,
+    exact_accents: bool = True,
+) -> DataFrame:
+    """``(term, corpus_count)`` of the most frequent words and pairs, ties by term.
+
+    Words are counted first. A pair is at most as frequent as either of its words, so only
+    pairs of words that reach the count of the last kept word can be among the top; the
+    others are not counted, which keeps the table of all distinct pairs out of the shuffle.
+    All counts combine on the map side, so a term that is everywhere does not pile up. The
+    tables of terms are written, so the planner joins them by their true size.
+    """
+    split = settle(docs.select(words(F.coalesce(F.col(text_col), F.lit("")), exact_accents).alias(_W)),
+                   "tokens")
+    return _top_terms(split, max_features)
+
+
+def _numbered_top(split: DataFrame, max_features: int) -> DataFrame:
     """Kept terms with ``term_id`` in term order, written once."""
     by_term = Window.orderBy("term")  # at most max_features rows
-    top = top_terms(docs, text_col, max_features, exact_accents)
+    top = _top_terms(split, max_features)
     return settle(top.withColumn("term_id", F.row_number().over(by_term) - 1), "terms")
 
 
+def _counts(split: DataFrame, numbered: DataFrame, key: str) -> DataFrame:
+    grams = _pairs(split, [key]).select(key, F.explode(F.array(F.col("a"), _pair_text())).alias("term"))
+    known = numbered.select("term", "term_id")
+    return grams.join(known, "term").groupBy(key, "term_id").agg(F.count("*").alias("tf"))
+
+
 def term_counts(
     docs: DataFrame, numbered: DataFrame, key: str = "ord", text_col: str = "content",
-    max_features: int = MAX_FEATURES, exact_accents: bool = False,
+    exact_accents: bool = True,
 ) -> DataFrame:
     """``(key, term_id, tf)`` for the known terms of every text.
 
     Unknown terms go before the shuffle; a text's own terms are counted on the map side.
     """
-    both = _words(docs, text_col, exact_accents, [key], True)
-    grams = both.select(key, F.explode(F.array(F.col("a"), _pair_text())).alias("term"))
-    known = numbered.select("term", "term_id")
-    known = F.broadcast(known) if max_features <= BROADCAST_TERMS else known
-    return grams.join(known, "term").groupBy(key, "term_id").agg(F.count("*").alias("tf"))
+    return _counts(tokens(docs, key, text_col, exact_accents), numbered, key)
 
 
 def _vocabulary(docs: DataFrame, numbered: DataFrame, seen: DataFrame) -> DataFrame:
@@ -104,18 +110,17 @@ def _vocabulary(docs: DataFrame, numbered: DataFrame, seen: DataFrame) -> DataFr
 
 
 def _fit_counts(docs, key, text_col, max_features, exact_accents):
-    """(vocabulary, term counts per text), both written once."""
-    numbered = _numbered_top(docs, text_col, max_features, exact_accents)
-    counts = settle(
-        term_counts(docs, numbered, key, text_col, max_features, exact_accents), "counts"
-    )
+    """(vocabulary, term counts per text), both written once; texts are split once."""
+    split = settle(tokens(docs, key, text_col, exact_accents), "tokens")
+    numbered = _numbered_top(split, max_features)
+    counts = settle(_counts(split, numbered, key), "counts")
     seen = counts.groupBy("term_id").agg(F.count("*").alias("doc_count"))
-    return _vocabulary(docs, numbered, seen), counts
+    return _vocabulary(split, numbered, seen), counts
 
 
 def fit(
     docs: DataFrame, key: str = "ord", text_col: str = "content",
-    max_features: int = MAX_FEATURES, exact_accents: bool = False,
+    max_features: int = MAX_FEATURES, exact_accents: bool = True,
 ) -> DataFrame:
     """Vocabulary ``(term, term_id, corpus_count, doc_count, idf)``, written once."""
     return _fit_counts(docs, key, text_col, max_features, exact_accents)[0]
@@ -123,21 +128,18 @@ def fit(
 
 def fit_transform(
     docs: DataFrame, key: str = "ord", text_col: str = "content",
-    max_features: int = MAX_FEATURES, exact_accents: bool = False,
+    max_features: int = MAX_FEATURES, exact_accents: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """(vocabulary, vectors); the term counts are written once and serve both."""
     vocab, counts = _fit_counts(docs, key, text_col, max_features, exact_accents)
-    return vocab, vectors(docs, counts, vocab, key, max_features)
+    return vocab, vectors(docs, counts, vocab, key)
 
 
 def vectors(
     docs: DataFrame, counts: DataFrame, vocab: DataFrame, key: str = "ord",
-    max_features: int = MAX_FEATURES,
 ) -> DataFrame:
     """``(key, term_ids, weights)`` for every row of ``docs``; weights have unit length."""
-    idf = vocab.select("term_id", "idf")
-    idf = F.broadcast(idf) if max_features <= BROADCAST_TERMS else idf
-    w = counts.join(idf, "term_id").withColumn("weight", F.col("tf") * F.col("idf"))
+    w = counts.join(vocab.select("term_id", "idf"), "term_id").withColumn("weight", F.col("tf") * F.col("idf"))
     rows = w.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("term_id", "weight"))).alias("_v"),
         F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_norm"),
@@ -155,8 +157,8 @@ def vectors(
 
 def transform(
     docs: DataFrame, vocab: DataFrame, key: str = "ord", text_col: str = "content",
-    max_features: int = MAX_FEATURES, exact_accents: bool = False,
+    exact_accents: bool = True,
 ) -> DataFrame:
     """Vectors of texts on a fitted vocabulary; unknown terms do not count."""
-    counts = term_counts(docs, vocab, key, text_col, max_features, exact_accents)
-    return vectors(docs, counts, vocab, key, max_features)
+    counts = term_counts(docs, vocab, key, text_col, exact_accents)
+    return vectors(docs, counts, vocab, key)

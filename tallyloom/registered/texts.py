@@ -72,7 +72,7 @@ def _questions(spark, sf_dir):
 _INDEXES: dict = {}
 
 
-def _index(spark, sf_dir):
+def shared_index(spark, sf_dir):
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _INDEXES:
         path = scratch_path(spark, "document-index")
@@ -93,6 +93,16 @@ def tfidf_fit(spark, sf_dir):
     return shown(tfidf.fit(_docs(spark, sf_dir)))
 
 
+@_f.add("tfidf_expanded", FIT_SQL + " SELECT term, corpus_count FROM kept")
+def tfidf_expanded(spark, sf_dir):
+    """The terms are the same when texts are written with ligatures and full-width letters."""
+    docs = _docs(spark, sf_dir)
+    odd = F.col("content")
+    for plain, other in (("ff", "ﬀ"), ("fi", "ﬁ"), ("fl", "ﬂ"), ("st", "ﬆ"), ("a", "ａ"), ("nj", "ǌ")):
+        odd = F.replace(odd, F.lit(plain), F.lit(other))
+    return tfidf.top_terms(docs.withColumn("content", odd))
+
+
 @_f.add("build_index", DOCS_SQL + f"""
   SELECT d.ord, CAST(term_id AS INTEGER) AS term_id, {r('w')} AS weight
   FROM doc_vec d JOIN vocab USING (term)""")
@@ -126,7 +136,7 @@ def embed_documents(spark, sf_dir):
 def tfidf_transform(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), F.col("text").alias("content"))
-    return _vector_summary(tfidf.transform(turns, _index(spark, sf_dir).vocabulary), "ord")
+    return _vector_summary(tfidf.transform(turns, shared_index(spark, sf_dir).vocabulary), "ord")
 
 
 @_f.add("embed_query", DOCS_SQL + f""", {grams_sql('q', 'benchmark', 'item_id', 'text')},
@@ -134,7 +144,7 @@ def tfidf_transform(spark, sf_dir):
   FROM benchmark LEFT JOIN q_vec ON item_id = ord GROUP BY item_id""")
 def embed_query(spark, sf_dir):
     return _vector_summary(
-        retrieval.embed_queries(_index(spark, sf_dir), _questions(spark, sf_dir)), "query_id")
+        retrieval.embed_queries(shared_index(spark, sf_dir), _questions(spark, sf_dir)), "query_id")
 
 
 _RESULTS = """ SELECT query_id, CAST(rk AS INTEGER) AS rank, 'doc_' || CAST(ord AS VARCHAR) AS id,
@@ -148,7 +158,7 @@ def _results(df):
 
 @_f.add("search", search_sql(5) + _RESULTS)
 def search(spark, sf_dir):
-    return _results(retrieval.search(_index(spark, sf_dir), _questions(spark, sf_dir), 5))
+    return _results(retrieval.search(shared_index(spark, sf_dir), _questions(spark, sf_dir), 5))
 
 
 TURNS = "(SELECT conv_id * 1000 + turn AS id, text FROM conversations)"
@@ -158,7 +168,7 @@ TURNS = "(SELECT conv_id * 1000 + turn AS id, text FROM conversations)"
 def batch_search(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"))
-    return _results(retrieval.search(_index(spark, sf_dir), turns, 3))
+    return _results(retrieval.search(shared_index(spark, sf_dir), turns, 3))
 
 
 @_f.add("semantic_search", search_sql(1) + _RESULTS)
@@ -170,7 +180,7 @@ def semantic_search(spark, sf_dir):
 @_f.add("rank_results", search_sql(10) + """
   SELECT query_id, CAST(rk AS INTEGER) AS rank, ord, score FROM top""")
 def rank_results(spark, sf_dir):
-    return retrieval.match(_index(spark, sf_dir), _questions(spark, sf_dir), 10)
+    return retrieval.match(shared_index(spark, sf_dir), _questions(spark, sf_dir), 10)
 
 
 @_f.add("add_documents", DOCS_SQL + f""",
@@ -184,7 +194,7 @@ def rank_results(spark, sf_dir):
 def add_documents(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select(
         "page_id", F.col("html").alias("content"), F.col("url").alias("source"))
-    index = retrieval.add_documents(_index(spark, sf_dir), pages, ["page_id"])
+    index = retrieval.add_documents(shared_index(spark, sf_dir), pages, ["page_id"])
     names = index.documents.select("ord", "id")
     return _vector_summary(index.vectors.join(names, "ord").withColumn(
         "ord_id", F.struct("ord", "id")), "ord_id").select("ord_id.*", "n_terms", "weight_sum")
@@ -223,7 +233,7 @@ def index_save_add_load(spark, sf_dir):
 def _streamed_index(spark, sf_dir):
     """A saved index that a stream has added the pages to."""
     path = scratch_path(spark, "stream-index")
-    retrieval.save(_index(spark, sf_dir), path)
+    retrieval.save(shared_index(spark, sf_dir), path)
     query = add_documents_stream(
         spark, sf_dir, table(spark, sf_dir, "pages").schema, path, f"{path}-progress", ["page_id"],
         name_filter="pages.parquet", prepare=_page_docs)
@@ -276,7 +286,7 @@ def prompts_sql(k: int, extra: str = "") -> str:
   SELECT query_id, query, prompt, num_retrieved FROM prompts""")
 def build_prompt(spark, sf_dir):
     questions = _questions(spark, sf_dir)
-    results = retrieval.search(_index(spark, sf_dir), questions, 5)
+    results = retrieval.search(shared_index(spark, sf_dir), questions, 5)
     return rag.build_prompts(results, questions).select(
         "query_id", "query", "prompt", "num_retrieved")
 
@@ -342,7 +352,7 @@ def rag_sql(k, answer=_ANSWER, extra=""):
 
 @_f.add("rag_query", rag_sql(5))
 def rag_query(spark, sf_dir):
-    return _answered(rag.answer(_index(spark, sf_dir), _questions(spark, sf_dir), 5, 500))
+    return _answered(rag.answer(shared_index(spark, sf_dir), _questions(spark, sf_dir), 5, 500))
 
 
 @_f.add("rag_batch_query", rag_sql(3))
@@ -361,7 +371,7 @@ def ask_job(spark, sf_dir):
         "max_tokens": (50 + F.col("query_id") * 10).cast("int"),
         "temperature": F.lit(0.7),
     })
-    return _answered(answers.ask_job(_index(spark, sf_dir), asked))
+    return _answered(answers.ask_job(shared_index(spark, sf_dir), asked))
 
 
 @_f.add("src_doc_list", """SELECT md5(text) AS content, source, lang, doc_id AS ord FROM documents""")

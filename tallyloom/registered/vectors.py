@@ -62,7 +62,7 @@ def knn_l2(spark, sf_dir):
 def topk_knn(spark, sf_dir):
     """The same search by blocks of queries and vectors, as used beyond the block size."""
     v = _vectors(spark, sf_dir)
-    return nn.knn(_as_queries(v), v, 20, "cosine", query_block=128, vector_block=256)
+    return nn.knn(_as_queries(v), v, 20, "cosine", query_block=128)
 
 
 @_f.add("knn_by_label_centre", f"""WITH {V_SQL},

@@ -19,7 +19,6 @@ def add_documents_stream(
     file_format: str = "parquet",
     name_filter: str | None = None,
     prepare=None,
-    max_features: int = tfidf.MAX_FEATURES,
 ) -> StreamingQuery:
     """Append the documents of every new file below ``source`` to the index saved at ``index_path``.
 
@@ -46,7 +45,7 @@ def add_documents_stream(
                            "documents", batch_id)
         written = versions.read(session, folder, "documents").filter(
             F.col("batch") == batch_id).drop("batch")
-        vectors = tfidf.transform(written, vocabulary, "ord", "content", max_features)
+        vectors = tfidf.transform(written, vocabulary, "ord", "content")
         versions.add_batch(vectors, folder, "vectors", batch_id)
 
     return (

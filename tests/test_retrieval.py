@@ -91,11 +91,10 @@ def test_exact_accents_expand_ligatures(spark):
 
 
 @pytest.mark.parametrize("limit", [1, 3, 7, 13, 40, 1000])
-@pytest.mark.parametrize("broadcast_terms", [100_000, 2])
-def test_top_terms_with_ties(spark, docs, limit, broadcast_terms):
+def test_top_terms_with_ties(spark, docs, limit):
     b = Brute(TEXTS, limit)
     got = {r["term"]: r["corpus_count"] for r in
-           tfidf.top_terms(docs, max_features=limit, broadcast_terms=broadcast_terms).collect()}
+           tfidf.top_terms(docs, max_features=limit).collect()}
     assert got == {t: b.total[t] for t in b.vocab}
 
 
@@ -130,7 +129,7 @@ def test_fit_and_transform(spark, docs, limit):
     new = spark.createDataFrame([(1, "beta gamma unseen"), (2, "unseen"), (3, None)],
                                 "ord bigint, content string")
     out = {r["ord"]: dense(r, len(b.vocab)) for r in
-           tfidf.transform(new, vocab, max_features=limit).collect()}
+           tfidf.transform(new, vocab).collect()}
     np.testing.assert_allclose(out[1], b.embed("beta gamma unseen"), atol=1e-12)
     assert not out[2].any() and not out[3].any()
 
@@ -169,8 +168,10 @@ def vector_frames(spark, q, v):
 
 @pytest.mark.parametrize("metric", ["cosine", "l2"])
 @pytest.mark.parametrize("k", [1, 5, 45, 1000])
-@pytest.mark.parametrize("blocks", [{}, {"query_block": 4, "vector_block": 50}])
-def test_knn(spark, vector_set, metric, k, blocks):
+@pytest.mark.parametrize("blocks", [{}, {"query_block": 4}])
+def test_knn(spark, vector_set, metric, k, blocks, monkeypatch):
+    if blocks:  # three blocks of queries, and vectors in several parts
+        monkeypatch.setattr(nn, "_HELD_BYTES", 500)
     q, v = vector_set
     qs, vs = vector_frames(spark, q, v)
     rows = nn.knn(qs, vs, k, metric, **blocks).collect()
@@ -184,14 +185,38 @@ def test_knn(spark, vector_set, metric, k, blocks):
 def test_knn_small_slices(spark, vector_set, monkeypatch):
     monkeypatch.setattr(nn, "_CELLS", 100)
     q, v = vector_set
-    top = nn._TopK(np.asarray(q, float), 6, "cosine")
     import pyarrow as pa
+    rows = pa.array([list(map(float, r)) for r in q])
+    top = nn._TopK(nn._Queries(np.arange(len(q)), [rows], "cosine", 8), 6)
     batch = pa.record_batch({"ord": np.arange(len(v)), "embedding": [list(map(float, r)) for r in v]})
     top.add_batch(batch, ["embedding"])
     want = brute_top(q, v, 6, "cosine")
     assert list(top.o) == [want[(i, r + 1)][0] for i in range(len(q)) for r in range(6)]
 
 
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_sparse_knn_in_a_wide_space(spark, metric):
+    """Term ids far beyond what a dense matrix could hold."""
+    rng = np.random.default_rng(4)
+    wide = [{int(t): float(rng.integers(1, 9)) for t in rng.choice(40, 4, replace=False)} for _ in range(60)]
+    def rows(key, some):
+        return spark.createDataFrame(
+            [(i, [t * 50_000_000 for t in sorted(d)], [d[t] for t in sorted(d)]) for i, d in enumerate(some)],
+            f"{key} bigint, term_ids array<int>, weights array<double>")
+    q, v = wide[:7] + [{}], wide[5:]
+    dense_rows = [[[d.get(t, 0.0) for t in range(40)] for d in some] for some in (q, v)]
+    got = nn.knn(rows("query_id", q), rows("ord", v).repartition(3), 6, metric, sparse=True, query_block=3)
+    assert {(r["query_id"], r["rank"]): (r["ord"], pytest.approx(r["score"], abs=2e-6)) for r in got.collect()} \
+        == brute_top(*dense_rows, 6, metric)
+
+
+def test_query_without_an_id_is_left_out(spark, vector_set):
+    q, v = vector_set
+    qs, vs = vector_frames(spark, q, v)
+    odd = qs.limit(1).withColumn("query_id", F.lit(None).cast("bigint"))
+    assert {r["query_id"] for r in nn.knn(qs.limit(2).union(odd), vs, 3).collect()} == {0, 1}
+
+
 def test_knn_limits(spark, vector_set):
     q, v = vector_set
     qs, vs = vector_frames(spark, q, v)
