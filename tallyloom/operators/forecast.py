@@ -225,7 +225,7 @@ def save_baseline(g: DataFrame, path: str, window_size: int = DEFAULT_WINDOW,
     g.write.mode("overwrite").parquet(f"{path}/series")
     spark = g.sparkSession
     if spark.read.parquet(f"{path}/series").isEmpty():
-        raise ValueError("No trained model to save: the series is empty")
+        raise ValueError("nothing was fitted: the series has no rows")
     spark.createDataFrame(
         [(window_size, alpha)], "window_size int, alpha double"
     ).write.mode("overwrite").parquet(f"{path}/params")

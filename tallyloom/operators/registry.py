@@ -43,7 +43,7 @@ def get(log: DataFrame, model_type: str, name: str) -> DataFrame:
     """The entry of one model; raises if there is none."""
     entry = latest(log.filter((F.col("type") == model_type) & (F.col("name") == name)))
     if entry.isEmpty():
-        raise ValueError(f"Model '{name}' not found in registry")
+        raise ValueError(f"no model {model_type}/{name} is registered")
     return entry
 
 

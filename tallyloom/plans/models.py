@@ -15,6 +15,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyloom.operators import forecast, forest, registry
+from tallyloom.session import remove
 
 
 def _log_path(root: str) -> str:
@@ -87,7 +88,11 @@ def load_forest(spark: SparkSession, root: str, name: str) -> tuple[PipelineMode
     return forest.load(entry["path"]), json.loads(entry["metadata"])["feature_names"]
 
 
-def delete(spark: SparkSession, root: str, model_type: str, name: str) -> None:
-    """Take a model out of the registry; an unknown name is an error. Its bytes stay."""
+def delete(spark: SparkSession, root: str, model_type: str, name: str, keep_bytes: bool = False) -> None:
+    """Take a model out of the registry, then delete its bytes and those of its earlier saves; an
+    unknown name is an error. Whoever is reading the model meanwhile loses it (``keep_bytes``
+    leaves the folders)."""
     entry = _entry(spark, root, model_type, name)
     _event(spark, root, model_type, name, entry["path"], None, "delete")
+    if not keep_bytes:
+        remove(spark, f"{root}/{model_type}/{name}")

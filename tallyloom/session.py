@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,6 +50,36 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+# Lists that note the folders written while a ``scratch`` is open.
+_SCRATCH: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Delete, at the end, the intermediate tables that operators have written meanwhile.
+
+    For callers that have used or written their result by then: what is lazily read from those
+    tables later is lost.
+
+        with scratch(spark):
+            features.all_features(orders)[0].write.parquet(path)
+    """
+    written: list[str] = []
+    _SCRATCH.append(written)
+    try:
+        yield written
+    finally:
+        _SCRATCH.remove(written)
+        for path in written:
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> bool:
+    """Delete a folder through Hadoop's file system; whether there was one."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def settle(df: DataFrame, name: str = "rows") -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table.
 
@@ -57,4 +89,6 @@ def settle(df: DataFrame, name: str = "rows") -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    for written in _SCRATCH:
+        written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

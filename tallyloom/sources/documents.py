@@ -8,10 +8,11 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-# Known suffixes with the type each has in the metadata, and the text that
-# stands for a PDF when no extractor is given.
+# Known suffixes with the type each has in the metadata, the text that stands for a
+# PDF when no extractor is given, and what the error of another suffix begins with.
 SUFFIX_TYPES = {".txt": "text", ".pdf": "pdf", ".json": "json"}
 PDF_PLACEHOLDER = "[PDF Content Placeholder] - "
+UNKNOWN_SUFFIX = "Unsupported file format: "
 
 
 def _name(path: Column) -> Column:
@@ -137,7 +138,7 @@ def _documents(files: DataFrame, make_extractor) -> DataFrame:
         F.when(kind == ".json", F.col("_json.error")).when(kind == ".pdf", pdf_error)
         .when((kind == ".txt") & ~valid, F.lit("not valid utf-8"))
         .when(~kind.isin(list(SUFFIX_TYPES)),
-              F.concat(F.lit("Unsupported file format: "), kind)).alias("error"),
+              F.concat(F.lit(UNKNOWN_SUFFIX), kind)).alias("error"),
     )
 
 

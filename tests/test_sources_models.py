@@ -175,7 +175,7 @@ def test_registry(spark, tmp_path):
         spark, ("baseline", "m", '{"v":1}', "2024-01-01"), ("baseline", "m", '{"v":2}', "2024-02-01"),
         ("baseline", "old", None, "2024-01-05")))
     assert registry.get(log, "baseline", "m").first()["metadata"] == '{"v":2}'
-    with pytest.raises(ValueError, match="not found"):
+    with pytest.raises(ValueError, match="is registered"):
         registry.get(log, "random_forest", "m")
     names = {(r["type"], r["name"]) for r in registry.list_models(log).collect()}
     assert names == {("baseline", "m"), ("baseline", "old"), ("random_forest", None)}
@@ -230,7 +230,7 @@ def test_model_life_cycle(spark, planted, tmp_path):
     rows, names, model = planted
     root = str(tmp_path)
     assert models.log(spark, root).count() == 0
-    with pytest.raises(ValueError, match="not found"):
+    with pytest.raises(ValueError, match="is registered"):
         models.load_forest(spark, root, "f")
     models.save_forest(model, names, root, "f", {"test_r2": 0.9}, {"by": "me"})
     again, features = models.load_forest(spark, root, "f")
@@ -248,6 +248,7 @@ def test_model_life_cycle(spark, planted, tmp_path):
     models.delete(spark, root, "baseline", "b")
     left = {(r["type"], r["name"]) for r in registry.list_models(models.log(spark, root)).collect()}
     assert left == {("baseline", None), ("random_forest", "f")}
+    assert not (tmp_path / "baseline" / "b").exists() and (tmp_path / "random_forest" / "f").exists()
     with pytest.raises(ValueError):
         models.delete(spark, root, "baseline", "b")
 
