@@ -36,6 +36,17 @@ def as_schema(fields: list) -> T.StructType:
     return T.StructType(out)
 
 
+# Rows that a worker turns into Python objects at a time.
+SLICE_ROWS = 1_000
+
+
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches: texts as Python objects take several times their bytes."""
+    for b in batches:
+        for start in range(0, b.num_rows, SLICE_ROWS):
+            yield b.slice(start, SLICE_ROWS)
+
+
 def map_texts(
     df: DataFrame, text_col: str, keep: list[str], make: Callable, fields: list
 ) -> DataFrame:
@@ -49,7 +60,7 @@ def map_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for b in batches:
+        for b in sliced(batches):
             rows = [work(t or "") for t in b.column(len(keep)).to_pylist()]
             made = list(zip(*rows)) if rows else [()] * len(fields)
             arrays = [b.column(i).cast(target.field(i).type) for i in range(len(keep))]
@@ -59,26 +70,6 @@ def map_texts(
     return df.select(*[f"`{k}`" for k in keep], f"`{text_col}`").mapInArrow(run, schema)
 
 
-def replace_column(df: DataFrame, column: str, make: Callable) -> DataFrame:
-    """All columns of ``df``, in order, with ``column`` given new values.
-
-    ``make()`` runs once per task and returns a function from the old value (null stays null)
-    to the new one.
-    """
-    at = df.columns.index(column)
-    target = arrow_schema(df.schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = make()
-        for b in batches:
-            arrays = [b.column(i).cast(target.field(i).type) for i in range(b.num_columns)]
-            arrays[at] = pa.array([t if t is None else work(t) for t in arrays[at].to_pylist()],
-                                  target.field(at).type)
-            yield pa.RecordBatch.from_arrays(arrays, schema=target)
-
-    return df.mapInArrow(run, df.schema)
-
-
 def partitions(df: DataFrame) -> int:
     """Shuffle partitions the session asks for."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

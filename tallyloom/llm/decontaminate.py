@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tallyloom.llm.common import arrow_schema, as_schema, blocks, field
+from tallyloom.llm.common import arrow_schema, as_schema, blocks, field, sliced
 
 WINDOW = 10
 # Windows of one broadcast block; a window is at most WINDOW words.
@@ -147,7 +147,7 @@ def contamination(
     def step(shipped):
         def run(batches):
             scanner = Scanner(*shipped.value)
-            for b in batches:
+            for b in sliced(batches):
                 counts, spans, items = [], [], []
                 for before, had, text in zip(*(b.column(i).to_pylist() for i in (2, 3, 4))):
                     words = words_of(text or "")
@@ -194,7 +194,7 @@ def decontaminated(
     def step(shipped):
         def run(batches):
             scanner = Scanner(*shipped.value)
-            for b in batches:
+            for b in sliced(batches):
                 keep, texts = [], []
                 for text in b.column(at).to_pylist():
                     words = words_of(text or "")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyloom import session
-from tallyloom.llm.common import arrow_schema, as_schema, field
+from tallyloom.llm.common import arrow_schema, as_schema, field, sliced
 from tallyloom.llm.components import components
 from tallyloom.llm.word_hashes import WordHashes, mixed
 
@@ -87,7 +87,7 @@ def _nodes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen, size = WordHashes(), {}, 1 << CELL_BITS
         cells, waiting, held = np.zeros(size, np.uint32), [], 0
-        for b in batches:
+        for b in sliced(batches):
             nodes, ns = [], []
             for words in hashes.of_texts(b.column(1)):
                 node = digest(words) if len(words) else None
@@ -188,7 +188,7 @@ def _entries(docs: DataFrame, text_col: str, sketch) -> DataFrame:
         # the upper half of a float32 keeps the order of the counts and sorts by radix
         counts = sketch.value
         ranks = (counts.astype(np.float32).view(np.uint32) >> 16).astype(np.uint16)
-        for b in batches:
+        for b in sliced(batches):
             tokens, nodes, packed, last, held = [], [], [], [], 0
 
             def emit():
@@ -277,7 +277,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     schema = as_schema([("a", "binary"), ("b", "binary")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             keep = []
             for p, q in zip(b.column(2), b.column(3)):
                 p, q = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
@@ -304,7 +304,7 @@ def _sets(docs: DataFrame, text_col: str, pairs: DataFrame) -> DataFrame:
 
     def name(batches):
         seen, hashes, bits = set(), WordHashes(), np.unpackbits(shipped.value)
-        for b in batches:
+        for b in sliced(batches):
             nodes, at = [], []
             for i, words in enumerate(hashes.of_texts(b.column(0))):
                 node = digest(words) if len(words) else None
@@ -322,7 +322,7 @@ def _sets(docs: DataFrame, text_col: str, pairs: DataFrame) -> DataFrame:
 
     def hashed(batches):
         hashes = WordHashes()
-        for b in batches:
+        for b in sliced(batches):
             made = [shingles(words).tobytes() for words in hashes.of_texts(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.binary()), pa.array(made, pa.binary())],
                                              schema=arrow_schema(out))

@@ -134,12 +134,12 @@ def cleaned(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     import pyarrow as pa
 
-    from tallyloom.llm.common import arrow_schema
+    from tallyloom.llm.common import arrow_schema, sliced
 
     at, target = docs.columns.index(text_col), arrow_schema(docs.schema)
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             texts = [t or "" for t in b.column(at).to_pylist()]
             keep = [judge(t)[-1] for t in texts]
             arrays = [b.column(i).cast(target.field(i).type) for i in range(b.num_columns)]

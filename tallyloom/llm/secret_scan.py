@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tallyloom.llm.common import arrow_schema, as_schema, field
+from tallyloom.llm.common import arrow_schema, as_schema, field, sliced
 
 # Kind, expression, group whose length counts, least length.
 BASE_RULES = (
@@ -219,7 +219,7 @@ def secrets(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = scanner(rules)
-        for b in batches:
+        for b in sliced(batches):
             found = scan([t or "" for t in b.column(1).to_pylist()])
             spans = [[{"kind": k, "start": s, "end": e} for s, e, k in f] for f in found]
             yield pa.RecordBatch.from_arrays(
@@ -245,7 +245,7 @@ def redacted(docs: DataFrame, text_col: str = "text", rules=RULES) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = scanner(rules)
-        for b in batches:
+        for b in sliced(batches):
             arrays = [b.column(i).cast(target.field(i).type) for i in range(b.num_columns)]
             texts = arrays[at].to_pylist()
             found = scan([t or "" for t in texts])

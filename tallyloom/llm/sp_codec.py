@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallyloom import session
 from tallyloom.llm import pieces
-from tallyloom.llm.common import arrow_schema, as_schema, field, map_texts, partitions, sha256_hex
+from tallyloom.llm.common import arrow_schema, as_schema, field, map_texts, partitions, sha256_hex, sliced
 
 # Bounds of a batch of documents: code points of text, and distinct chunks.
 BATCH_CHARS = 24_000_000
@@ -71,7 +71,7 @@ def _coded(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         codes, chars = _Codes(), 0
-        for b in batches:
+        for b in sliced(batches):
             ids, texts = b.column(0).cast(target.field(1).type), b.column(1)
             start, packed = 0, []
             for i, t in enumerate(texts):
@@ -224,7 +224,7 @@ def decode(
 
     def run(batches):
         sp = pieces.load(shipped.value)
-        for b in batches:
+        for b in sliced(batches):
             lists = b.column(1).cast(target.field(1).type)
             texts = [None if x is None else sp.decode(x) for x in _lists(lists)]
             yield pa.RecordBatch.from_arrays(
@@ -244,7 +244,7 @@ def digests(rows: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: s
 
     def run(batches):
         sp, decimal = pieces.load(shipped.value), _Decimals()
-        for b in batches:
+        for b in sliced(batches):
             n, of_ids, of_text = [], [], []
             for x in _lists(b.column(1)):
                 x = x or []

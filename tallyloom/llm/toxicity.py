@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyloom import session
-from tallyloom.llm.common import arrow_schema, as_schema, blocks, field
+from tallyloom.llm.common import arrow_schema, as_schema, blocks, field, sliced
 
 ORDER = 5            # bytes of an n-gram; packed into one long
 DISCOUNT = 0.75
@@ -72,7 +72,7 @@ def word_counts(rows: DataFrame, text_col: str, label_col: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), *made],
                                               schema=arrow_schema(schema))
 
-        for b in batches:
+        for b in sliced(batches):
             for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 counts[label].update(words_of(text or ""))
                 if len(counts[0]) + len(counts[1]) > HELD_WORDS:
@@ -155,7 +155,7 @@ def distinct_words(docs: DataFrame, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for b in batches:
+        for b in sliced(batches):
             for text in b.column(0).to_pylist():
                 seen.update(words_of(text or ""))
                 if len(seen) > HELD_WORDS:
@@ -215,7 +215,7 @@ def evidence(docs: DataFrame, table: DataFrame, id_col: str, text_col: str) -> D
     def step(shipped):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             get = shipped.value.get
-            for b in batches:
+            for b in sliced(batches):
                 totals, sizes = [], []
                 for text, before in zip(b.column(3).to_pylist(), b.column(1).to_pylist()):
                     words = words_of(text or "")

@@ -19,7 +19,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, functions as F
 
 from tallyloom import session
-from tallyloom.llm.common import arrow_schema, as_schema, field, partitions
+from tallyloom.llm.common import arrow_schema, as_schema, field, partitions, sliced
 
 # Fixed values of the format.
 VERSION = "WARC/1.1"
@@ -130,7 +130,7 @@ def write_archives(
         store, base = _open(folder)
         store.create_dir(base, recursive=True)
         out, path, at = None, None, 0
-        for b in batches:
+        for b in sliced(batches):
             made: list[list] = [[] for _ in target]
             for page, url, payload, sha1, first in zip(*(c.to_pylist() for c in b.columns)):
                 if out is None:
