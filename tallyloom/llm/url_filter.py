@@ -21,6 +21,9 @@ ROUNDS = 10
 # A host is blocked if its distrust exceeds this many times its trust.
 DISTRUST_RATIO = 1.0
 
+# Parts that the pages of one host are dealt into for the joins with tables of hosts.
+PARTS = 16
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Links of a page to a host: an href or src with an absolute or scheme-relative address.
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?(?:https?:)?//([^/?#"'\s<>]+)"""
@@ -42,8 +45,21 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
             F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1))
 
 
+def with_host_columns(pages: DataFrame, hosts: DataFrame) -> DataFrame:
+    """``pages`` with the columns of ``hosts``, null where a host is not in it.
+
+    The pages of a host go to PARTS places by their ``part``, and each row of ``hosts`` to all of
+    these, so a host with a third of the pages is not one task's work. Joins that follow each other
+    use the same places.
+    """
+    parts = hosts.withColumnRenamed("host", "_host").withColumn(
+        "_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return pages.join(parts, (F.col("host") == F.col("_host")) & (F.col("part") == F.col("_part")), "left") \
+        .drop("_host", "_part")
+
+
 def by_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """``pages`` with rule and rule_verdict of the longest rule that fits ``host`` and ``path``.
+    """(host, path, part, …) rows with rule and rule_verdict of the longest rule that fits.
 
     Rules are looked up once per distinct host, for the host and all its parent domains. Of rules
     of equal length the blocking one wins, then the first in text order.
@@ -57,14 +73,13 @@ def by_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
         .join(rules, "rule_host")
         .groupBy("host").agg(F.sort_array(F.collect_set(F.struct(
             (-F.length(rule)).alias("shorter"), (F.col("verdict") != "block").alias("softer"),
-            rule.alias("rule"), "rule_path", "verdict"))).alias("_rules"))
-        .withColumnRenamed("host", "_host"))
+            rule.alias("rule"), "rule_path", "verdict"))).alias("_rules")))
     first = F.get(F.filter("_rules", lambda r: F.startswith(F.col("path"), r["rule_path"])), F.lit(0))
-    return (pages.join(fitting, F.col("host") == F.col("_host"), "left")
+    return (with_host_columns(pages, fitting)
             .withColumn("_first", first)
             .withColumn("rule", F.col("_first.rule"))
             .withColumn("rule_verdict", F.col("_first.verdict"))
-            .drop("_host", "_rules", "_first"))
+            .drop("_rules", "_first"))
 
 
 def host_edges(pages: DataFrame, html_col: str = "html") -> DataFrame:
@@ -125,17 +140,16 @@ def filter_urls(
     kept, one row out per row in; an empty table gives none. Further columns are not read.
     """
     host, path = host_and_path(F.col(f"`{url_col}`"))
-    judged = by_rules(pages.select(F.col(f"`{id_col}`").alias(id_col), host.alias("host"),
-                                   path.alias("path")), rules)
+    split = pages.select(F.col(f"`{id_col}`").alias(id_col), host.alias("host"), path.alias("path"))
+    judged = by_rules(split.withColumn("part", F.pmod(F.xxhash64(id_col, "path"), F.lit(PARTS)).cast("int")), rules)
     seeds = (judged.filter("host != ''").groupBy("host").agg(
         F.count(F.when(F.col("rule_verdict") == "allow", 1)).alias("allowed"),
         F.count(F.when(F.col("rule_verdict") == "block", 1)).alias("blocked")))
     edges = session.settle(host_edges(
         pages.select(host.alias("host"), F.col(f"`{html_col}`").alias(html_col)), html_col), "edges")
-    scores = spread(session.settle(seeds, "seeds"), edges, rounds=rounds) \
-        .withColumnRenamed("host", "_host")
+    scores = spread(session.settle(seeds, "seeds"), edges, rounds=rounds)
     by_host = F.when(F.col("distrust") > DISTRUST_RATIO * F.col("trust"), "block").otherwise("allow")
-    return judged.join(scores, F.col("host") == F.col("_host"), "left").select(
+    return with_host_columns(judged, scores).select(
         id_col, "host", "path", "rule", F.coalesce("rule_verdict", by_host).alias("verdict"),
         F.coalesce("trust", F.lit(0.0)).alias("trust"),
         F.coalesce("distrust", F.lit(0.0)).alias("distrust"))

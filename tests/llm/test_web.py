@@ -153,7 +153,7 @@ def test_filter_urls(spark):
 def test_longest_rule_and_ties(spark):
     rules = url_filter.rules_table(spark, [("allow", "a.com", "/x"), ("block", "com", "/xaa"), ("allow", "com", "/"), ("block", "b.com", "")])
     pages = spark.createDataFrame([("a.com", "/xaa"), ("a.com", "/x"), ("b.com", ""), ("b.com", "/"), ("c.b.com", "/")], "host string, path string")
-    got = {(r.host, r.path): r.rule for r in url_filter.by_rules(pages, rules).collect()}
+    got = {(r.host, r.path): r.rule for r in url_filter.by_rules(pages.withColumn("part", F.lit(3)), rules).collect()}
     assert got == {("a.com", "/xaa"): "com/xaa", ("a.com", "/x"): "a.com/x", ("b.com", ""): "b.com", ("b.com", "/"): "b.com", ("c.b.com", "/"): "b.com"}
 
 
