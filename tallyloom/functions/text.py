@@ -16,14 +16,15 @@ def _plain(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
 
 
-@lru_cache(maxsize=1)
-def _accent_table() -> tuple[str, str]:
-    """(from, to) for ``translate``, by rule from the Unicode data.
+# Stands in, for a moment, for a character with a longer plain form.
+_LONGER = "\ue000"
 
-    Characters whose plain form is one other character are mapped; combining marks have no
-    counterpart at the end of ``to`` and are therefore deleted.
-    """
-    source, target, deleted = [], [], []
+
+@lru_cache(maxsize=1)
+def _accent_table() -> tuple[str, str, str, str]:
+    """By rule from the Unicode data: characters whose plain form is one other character, those
+    forms, characters with a longer plain form, and combining marks, which have none."""
+    source, target, deleted, longer = [], [], [], []
     for cp in range(0x80, 0x20000):
         if 0xD800 <= cp <= 0xDFFF:
             continue
@@ -36,7 +37,9 @@ def _accent_table() -> tuple[str, str]:
             target.append(plain)
         elif not plain:
             deleted.append(c)
-    return "".join(source + deleted), "".join(target)
+        else:
+            longer.append(c)
+    return "".join(source), "".join(target), "".join(longer), "".join(deleted)
 
 
 @F.pandas_udf(T.StringType())
@@ -44,19 +47,6 @@ def _strip_accents_exact(texts: pd.Series) -> pd.Series:
     return texts.map(lambda s: s if s is None or s.isascii() else _plain(s))
 
 
-@lru_cache(maxsize=1)
-def _longer_class() -> str:
-    """Character class of those whose plain form is more than one character, by the same rule."""
-    ranges: list[list[int]] = []
-    for cp in range(0x80, 0x20000):
-        if not 0xD800 <= cp <= 0xDFFF and len(_plain(chr(cp))) > 1:
-            if ranges and ranges[-1][1] == cp - 1:
-                ranges[-1][1] = cp
-            else:
-                ranges.append([cp, cp])
-    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
-
-
 def strip_accents(c: Column, exact: bool = True) -> Column:
     """Remove accents and expand ligatures, fractions and the like.
 
@@ -64,10 +54,12 @@ def strip_accents(c: Column, exact: bool = True) -> Column:
     hold one with a longer form (``exact``) go through an Arrow function; with ``exact=False``
     such characters stay.
     """
-    plain = F.translate(c, *_accent_table())
+    source, target, longer, deleted = _accent_table()
     if not exact:
-        return plain
-    return F.coalesce(_strip_accents_exact(F.when(c.rlike(_longer_class()), c)), plain)
+        return F.translate(c, source + deleted, target)
+    plain = F.translate(c, source + longer + deleted, target + _LONGER * len(longer))
+    return F.when(F.contains(plain, F.lit(_LONGER)), _strip_accents_exact(
+        F.when(F.contains(plain, F.lit(_LONGER)), c))).otherwise(plain)
 
 
 def words(c: Column, exact_accents: bool = True) -> Column:
