@@ -10,6 +10,7 @@ import pytest
 from conftest import make
 from pyspark.sql import functions as F
 
+from tallyloom import session
 from tallyloom.operators import clean, features, ordered, requests
 from tallyloom.sources.tables import SALES_COLUMNS
 
@@ -120,6 +121,29 @@ def test_exponential_means_over_gaps(spark, block, missing):
             same(part[name], values.ewm(span=span, adjust=False).mean())
 
 
+def test_scratch_is_deleted(spark, rows, tmp_path):
+    """Intermediate tables written inside go; the result stays, and so do tables written before."""
+    import os
+
+    kept = session.settle(rows, "kept")
+    with session.scratch(spark) as written:
+        features.ewma(features.lag(rows)).write.parquet(str(tmp_path / "features"))
+        folders = [w.removeprefix("file:") for w in written]
+        assert folders and all(os.path.isdir(f) for f in folders)
+    assert not any(os.path.exists(f) for f in folders)
+    assert spark.read.parquet(str(tmp_path / "features")).count() == rows.count() == kept.count()
+    features.lag(rows).collect()
+    assert len(written) == len(folders)
+
+
+def test_unique_order_saves_a_copy(spark, rows):
+    with session.scratch(spark) as written:
+        ordered.positions(rows, [], ["order_date", "row_id"], unique=True).collect()
+    with session.scratch(spark) as more:
+        ordered.positions(rows, [], ["order_date", "row_id"]).collect()
+    assert len(written) == len(more) - 1 == 2
+
+
 def test_smoothing_factor_is_checked(spark, rows):
     with pytest.raises(ValueError):
         ordered.ewm(rows.withColumn("_pos", F.lit(0)), [], "quantity", {"x": 0.0})
