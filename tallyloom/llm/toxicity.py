@@ -4,7 +4,8 @@ Two models, one of words in toxic and one in ordinary training texts, give each
 probability byte by byte. Each is interpolated by absolute discounting with one backoff model
 that both share, made of continuation counts of both classes, so that an expression that is rare
 in either is judged by what both know. A text's score compares its two log-likelihoods,
-normalised by length.
+normalised by length. Whether all words count in it, or those beyond a margin, and which margin,
+is chosen on the training rows by folds of them.
 """
 
 from __future__ import annotations
@@ -23,9 +24,11 @@ from tallyloom.llm.common import arrow_schema, as_schema, blocks, field, sliced
 
 ORDER = 5            # bytes of an n-gram; packed into one long
 DISCOUNT = 0.75
-# A word counts as evidence by what its log-likelihood ratio has beyond this margin, in nats:
-# below it, the ratio is within what the sampling of rare n-grams brings about.
-MARGIN = 5.0
+# What a word's log-likelihood ratio counts for, in nats. None is the plain comparison: all words,
+# for and against. With a margin a word counts by what it has beyond; below, the ratio may be what
+# the sampling of rare n-grams brings about. The choice is made on folds of the training rows.
+MARGINS = (None, 0.0, 0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 4.0, 5.0, 6.0)
+FOLDS = 2
 # Bytes added to a text's length, so that one odd word does not decide a very short text.
 PRIOR_BYTES = 100
 # Rows of one broadcast block of n-grams or of expressions.
@@ -59,30 +62,33 @@ def packed_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out[np.repeat(before, lengths) + at], which
 
 
-def word_counts(rows: DataFrame, text_col: str, label_col: str) -> DataFrame:
-    """(word, ordinary, toxic): counts over all texts, summed up in the tasks first."""
-    schema = as_schema([("word", "binary"), ("ordinary", "long"), ("toxic", "long")])
+def word_counts(rows: DataFrame, text_col: str, label_col: str, fold_col: str) -> DataFrame:
+    """(word, ordinary, toxic, fold): counts over all texts of a fold, summed up in the tasks first."""
+    schema = as_schema([("word", "binary"), ("ordinary", "long"), ("toxic", "long"), ("fold", "int")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = Counter(), Counter()
+        counts: dict[int, tuple[Counter, Counter]] = {}
 
         def emit():
-            words = list(counts[0].keys() | counts[1].keys())
-            made = [pa.array([c[w] for w in words], pa.int64()) for c in counts]
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), *made],
-                                              schema=arrow_schema(schema))
+            for fold, own in counts.items():
+                words = list(own[0].keys() | own[1].keys())
+                made = [pa.array([c[w] for w in words], pa.int64()) for c in own]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(words, pa.binary()), *made, pa.array([fold] * len(words), pa.int32())],
+                    schema=arrow_schema(schema))
 
         for b in sliced(batches):
-            for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                counts[label].update(words_of(text or ""))
-                if len(counts[0]) + len(counts[1]) > HELD_WORDS:
-                    yield emit()
-                    counts = Counter(), Counter()
-        if counts[0] or counts[1]:
-            yield emit()
+            for text, label, fold in zip(*(b.column(i).to_pylist() for i in range(3))):
+                counts.setdefault(fold, (Counter(), Counter()))[label].update(words_of(text or ""))
+                if sum(len(c) for own in counts.values() for c in own) > HELD_WORDS:
+                    yield from emit()
+                    counts = {}
+        yield from emit()
 
-    return (rows.select(f"`{text_col}`", F.col(label_col).cast("int")).mapInArrow(run, schema)
-            .groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")))
+    return (rows.select(f"`{text_col}`", F.col(label_col).cast("int"), F.col(fold_col).cast("int"))
+            .mapInArrow(run, schema).groupBy("word", "fold")
+            .agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+            .select("word", "ordinary", "toxic", "fold"))
 
 
 def gram_counts(words: DataFrame) -> DataFrame:
@@ -170,7 +176,7 @@ def distinct_words(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def expressions(words: DataFrame, ratios: DataFrame) -> DataFrame:
-    """(word, evidence) of the words whose log-likelihood ratio exceeds MARGIN.
+    """(word, total) of the words: their log-likelihood ratios.
 
     The words pass through the model block by block and gather their sums.
     """
@@ -200,16 +206,21 @@ def expressions(words: DataFrame, ratios: DataFrame) -> DataFrame:
         keys, values = t.column("key").to_numpy(), t.column("ratio").to_numpy()
         order = np.argsort(keys)
         rows = rows.mapInArrow(step(sc.broadcast((keys[order], values[order]))), schema)
-    return rows.filter(F.col("total") > MARGIN).select("word", (F.col("total") - MARGIN).alias("evidence"))
+    return rows
+
 
+def weighed(totals: np.ndarray, margin: float | None) -> np.ndarray:
+    """What words of these log-likelihood ratios count for."""
+    return totals if margin is None else np.maximum(totals - margin, 0.0)
 
-def evidence(docs: DataFrame, table: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, evidence): sum over a whole text's words by its length in bytes.
+
+def evidence(docs: DataFrame, table: DataFrame, keep: str, text_col: str, margins: tuple) -> DataFrame:
+    """(keep, evidence): for each margin the sum over a whole text's words by its length in bytes.
 
     The texts pass through the table of expressions block by block; nothing is shuffled.
     """
     sc = docs.sparkSession.sparkContext
-    schema = as_schema([field(docs, id_col), ("total", "double"), ("size", "long"), ("text", "string")])
+    schema = as_schema([field(docs, keep), ("totals", "array<double>"), ("size", "long"), ("text", "string")])
     target = arrow_schema(schema)
 
     def step(shipped):
@@ -219,41 +230,42 @@ def evidence(docs: DataFrame, table: DataFrame, id_col: str, text_col: str) -> D
                 totals, sizes = [], []
                 for text, before in zip(b.column(3).to_pylist(), b.column(1).to_pylist()):
                     words = words_of(text or "")
-                    totals.append(before + math.fsum(filter(None, map(get, words))))
+                    found = np.fromiter(filter(None, map(get, words)), float)
+                    totals.append([x + float(weighed(found, m).sum()) for x, m in zip(before, margins)])
                     sizes.append(sum(map(len, words)) + len(words))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).cast(target.field(0).type), pa.array(totals, pa.float64()),
+                    [b.column(0).cast(target.field(0).type), pa.array(totals, target.field(1).type),
                      pa.array(sizes, pa.int64()), b.column(3).cast(pa.string())], schema=target)
         return run
 
-    rows = docs.select(f"`{id_col}`", F.lit(0.0).alias("total"), F.lit(0).cast("long").alias("size"),
-                       F.col(f"`{text_col}`").alias("text"))
+    rows = docs.select(f"`{keep}`", F.array(*[F.lit(0.0)] * len(margins)).alias("totals"),
+                       F.lit(0).cast("long").alias("size"), F.col(f"`{text_col}`").alias("text"))
     for t in blocks(table, ["word"], BLOCK_ROWS):
-        shipped = sc.broadcast(dict(zip(t.column("word").to_pylist(), t.column("evidence").to_pylist())))
+        shipped = sc.broadcast(dict(zip(t.column("word").to_pylist(), t.column("total").to_pylist())))
         rows = rows.mapInArrow(step(shipped), schema)
-    return rows.select(f"`{id_col}`", (F.col("total") / (F.col("size") + PRIOR_BYTES)).alias("evidence"))
+    return rows.select(f"`{keep}`", F.transform("totals", lambda x: x / (F.col("size") + PRIOR_BYTES)).alias("evidence"))
 
 
 def scaled(e: Column) -> Column:
     """Evidence on the logarithmic scale that the calibration uses, 0 for none."""
-    return F.log1p(e * 1000.0)
+    return F.signum(e) * F.log1p(F.abs(e) * 1000.0)
 
 
-def calibrate(rows: DataFrame) -> tuple[float, float]:
-    """(slope, intercept) of a logistic curve over the scaled evidence of (evidence, label) rows.
+def calibrate(rows: DataFrame) -> tuple[float, float, float]:
+    """(slope, intercept, loss) of a logistic curve over the scaled evidence of (evidence, label) rows.
 
     The rows are summed into BINS bins by class; the curve is fitted to those sums with a small
-    ridge. Without both classes the curve is flat at the known one.
+    ridge; ``loss`` is its mean log-loss. Without both classes the curve is flat at the known one.
     """
     x = scaled(F.col("evidence"))
-    bins = rows.select(F.least(F.floor(x * (BINS / 8.0)), F.lit(BINS - 1)).alias("bin"), "label").groupBy(
+    bins = rows.select(F.greatest(F.least(F.floor(x * (BINS / 8.0)), F.lit(BINS - 1)), F.lit(-BINS)).alias("bin"), "label").groupBy(
         "bin").agg(F.count(F.when(F.col("label") == 0, 1)).alias("ordinary"),
-                   F.count(F.when(F.col("label") == 1, 1)).alias("toxic")).collect()  # at most BINS rows
+                   F.count(F.when(F.col("label") == 1, 1)).alias("toxic")).collect()  # at most 2 * BINS rows
     at = np.array([(b.bin + 0.5) * 8.0 / BINS if b.bin else 0.0 for b in bins])
     n = np.array([(b.ordinary, b.toxic) for b in bins], float).reshape(-1, 2)
     totals = n.sum(axis=0)
     if not totals.all():
-        return 0.0, 0.0 if not totals.any() else math.copysign(5.0, totals[1] - totals[0])
+        return 0.0, 0.0 if not totals.any() else math.copysign(5.0, totals[1] - totals[0]), 0.0
     n /= totals.sum()
     slope, intercept = 1.0, 0.0
     for _ in range(100):
@@ -267,7 +279,28 @@ def calibrate(rows: DataFrame) -> tuple[float, float]:
         slope, intercept = slope + step[0], intercept + step[1]
         if np.abs(step).max() < 1e-9:
             break
-    return float(slope), float(intercept)
+    x = slope * at + intercept
+    loss = (n[:, 1] * np.logaddexp(0.0, -x) + n[:, 0] * np.logaddexp(0.0, x)).sum()
+    return float(slope), float(intercept), float(loss)
+
+
+def choose_margin(taught: DataFrame, words: DataFrame) -> float | None:
+    """The one of MARGINS whose calibrated evidence has the least log-loss on the training rows,
+    each scored by models of the other folds. Of equal ones the first; no other row is looked at.
+
+    ``taught`` holds (text, label, fold), ``words`` their counts by fold. All training rows are used.
+    """
+    scored = None
+    for fold in range(FOLDS):
+        other = words.filter(F.col("fold") != fold).select("word", "ordinary", "toxic")
+        ratios = session.settle(model(session.settle(gram_counts(other), "grams")), "model")
+        table = expressions(words.filter(F.col("fold") == fold), ratios)
+        own = evidence(taught.filter(F.col("fold") == fold), table, "label", "text", MARGINS)
+        scored = own if scored is None else scored.union(own)
+    scored = session.settle(scored, "folds")
+    losses = [calibrate(scored.select(F.col("evidence")[i].alias("evidence"), "label"))[2]
+              for i in range(len(MARGINS))]
+    return MARGINS[int(np.argmin(losses))]
 
 
 def toxicity(
@@ -278,7 +311,8 @@ def toxicity(
     condition on the id, selects.
 
     Counts are taken over all of those; nothing but texts and labels is used. A document with
-    several labels has the largest; null labels teach nothing. Null and empty texts have no
+    several labels has the largest; null labels teach nothing. Exact copies are in one fold when the
+    margin is chosen. Null and empty texts have no
     evidence and get the score of none. Null ids and repeated rows are scored, one row out per
     row in. Without training rows of both classes the score is constant. Long texts are
     scored whole. Further columns are not read.
@@ -287,13 +321,21 @@ def toxicity(
     known = (labels.select(key.alias("_id"), F.col(f"`{label_col}`").cast("int").alias("label"))
              .filter("label IN (0, 1)").groupBy("_id").agg(F.max("label").alias("label"))
              .hint("merge"))  # labels grow with the documents: one plan for all sizes
-    taught = docs.select(key.alias(id_col), F.col(f"`{text_col}`").alias(text_col)).filter(train).join(
-        known, key == F.col("_id"))
-    words = session.settle(word_counts(taught, text_col, "label"), "words")
+    taught = session.settle(
+        docs.select(key.alias(id_col), F.col(f"`{text_col}`").alias(text_col)).filter(train)
+        .join(known, key == F.col("_id")).select(
+            F.col(f"`{text_col}`").alias("text"), "label",
+            F.pmod(F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))), F.lit(FOLDS)).cast("int").alias("fold")),
+        "taught")
+    words = session.settle(word_counts(taught, "text", "label", "fold"), "words")
+    margin = choose_margin(taught, words)
     ratios = session.settle(model(session.settle(gram_counts(words), "grams")), "model")
-    table = session.settle(expressions(distinct_words(docs, text_col), ratios), "expressions")
-    rows = session.settle(evidence(docs, table, id_col, text_col), "evidence")
-    slope, intercept = calibrate(rows.filter(train).join(known, key == F.col("_id")))
+    table = expressions(distinct_words(docs, text_col), ratios)
+    if margin is not None:
+        table = table.filter(F.col("total") > margin)
+    rows = session.settle(evidence(docs, table, id_col, text_col, (margin,)).select(
+        key, F.col("evidence")[0].alias("evidence")), "evidence")
+    slope, intercept, _ = calibrate(rows.filter(train).join(known, key == F.col("_id")))
     score = 1 / (1 + F.exp(-(slope * scaled(F.col("evidence")) + intercept)))
     return rows.select(key, score.alias("score")).withColumn(
         "predicted", (F.col("score") >= threshold).cast("int"))
