@@ -1,4 +1,4 @@
-"""N-gram Jaccard self-join with adaptive multi-match prefixes, and the groups it links.
+"""N-gram Jaccard self-join with adaptive multi-match prefixes: its links and the groups they make.
 
 A document is the set of its distinct word shingles, in one global order from rare to frequent.
 Two sets with a Jaccard similarity of at least the threshold share at least k shingles within
@@ -246,21 +246,17 @@ def _largest_partner(n: Column, m: Column) -> Column:
 
 
 def _bounded(entries: DataFrame) -> DataFrame:
-    """Entries (token, node, n, k, place, last, component) of lists with more than one component, with
-    ``m`` and ``live``.
+    """Entries (token, node, n, k, place, last) of lists with more than one node, with ``m`` and ``live``.
 
     Of two sets, take the one whose prefix ends first in the global order: each of its prefix
     tokens that the other has is in the other's prefix too. So if u of them stand in no list with
-    another component, the two share at most m = n - u shingles. ``live`` is the token's place
+    another node, the two share at most m = n - u shingles. ``live`` is the token's place
     among the others of the prefix.
     """
-    by_token, by_node = Window.partitionBy("token"), Window.partitionBy("node")
+    by_node = Window.partitionBy("node")
     prefix = F.col("n") - _least(F.col("n")) + F.col("k")
     return session.settle(
-        entries.withColumn("_least", F.min("component").over(by_token))
-        .withColumn("_most", F.max("component").over(by_token))
-        .filter("_least < _most").drop("_least", "_most")
-        .withColumn("m", F.col("n") - (prefix - F.count("*").over(by_node)))
+        entries.withColumn("m", F.col("n") - (prefix - F.count("*").over(by_node)))
         .withColumn("live", F.row_number().over(by_node.orderBy("place")) - 1), "lists")
 
 
@@ -334,14 +330,12 @@ def _sets(docs: DataFrame, text_col: str, pairs: DataFrame) -> DataFrame:
 
 def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                   ) -> tuple[DataFrame, DataFrame]:
-    """(nodes, components): settled (id, node, n) rows, and (node, component) of linked nodes.
-
-    Candidates are looked for in two rounds. First every token list is a star around the node
-    that shares most of its own prefix, so a list of many near copies costs one pair per entry.
-    Then only lists with more than one component go on, and only pairs across components: links
-    within one cannot change it. What a document has for itself bounds what it can share, so
-    documents of a list only meet where sizes and bounds allow a link. No pair of different
-    components that may link is left out.
+    """(nodes, links): settled (id, node, n) rows, and (a, b), a < b, of nodes that are similar enough.
+
+    A node stands for all rows of one word sequence, so the nodes are the membership and the links
+    are those between distinct texts, all of them, within groups as well. What a document has for
+    itself bounds what it can share, so documents of a list only meet where sizes and bounds allow
+    a link, and are verified if they share the smaller of their two k.
     """
     spark = docs.sparkSession
     nodes = _nodes(docs, id_col, text_col)
@@ -351,24 +345,9 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         _entries(docs, text_col, sketch)
         .withColumn("_least", F.min("node").over(by_token)).withColumn("_most", F.max("node").over(by_token))
         .filter("_least < _most").drop("_least", "_most").distinct(), "lists")
-    lists = _bounded(_unpacked(shared).withColumn("component", F.col("node")))
-    entry = F.struct("node", "n", "m", "k", "place", "live", "last", "component")
-
-    # round one: stars around the node with the fewest tokens of its own
-    star = lists.select(entry.alias("x"), F.min(F.struct(
-        ((F.col("n") - F.col("m")) / F.col("n")).alias("own"), entry.alias("entry"))).over(by_token)["entry"].alias("y"))
+    entries = _bounded(_unpacked(shared))
+    entry = F.struct("node", "n", "m", "k", "place", "live", "last")
     x, y = F.col("x"), F.col("y")
-    stars = session.settle(
-        star.filter(x["node"] != y["node"]).filter(
-            ((x["last"] <= y["last"]) & _possible(x, y)) | ((y["last"] <= x["last"]) & _possible(y, x)))
-        .select(F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b"))
-        .distinct(), "stars")
-    links = session.settle(_verified(stars, _sets(docs, text_col, stars)), "links")
-    known = session.settle(components(links), "components")
-
-    # round two: pairs across components, by the set whose prefix ends first
-    entries = _bounded(lists.drop("component", "m", "live").join(known, "node", "left").withColumn(
-        "component", F.coalesce("component", "node")))
 
     # A set x of m shingles that may be shared, o of which have to be, lacks at most m - o of them
     # in its partner y: of its first m - o + k live tokens, y has at least k.
@@ -385,17 +364,32 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .filter(F.col("live") < m - overlap(n, smallest) + F.col("k")).select("token", "size", entry.alias("x"))
     upper = entries.select("token", step(n).alias("size"), entry.alias("y"))
     matches = F.least(x["k"], y["k"])
-    across = session.settle(
+    pairs = session.settle(
         lower.join(upper, ["token", "size"])
-        .filter((x["component"] != y["component"]) & (x["last"] <= y["last"])
+        .filter((x["node"] != y["node"]) & (x["last"] <= y["last"])
                 & (x["live"] < x["m"] - overlap(x["n"], y["n"]) + matches) & _possible(x, y))
         .groupBy(F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b"))
-        .agg(F.count("*").alias("shared"), F.min(matches).alias("k"))
-        # pairs that a star has seen need no second look
-        .filter("shared >= k").select("a", "b").join(stars, ["a", "b"], "left_anti"), "pairs")
-    more = session.settle(_verified(across, _sets(docs, text_col, across)), "links")
-    joined = known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
-    return nodes.filter("part IS NULL").drop("part", "cells"), components(joined)
+        # prefixes that end at one place meet both ways round: a token must not count twice
+        .agg(F.greatest(F.count(F.when(x["node"] < y["node"], 1)),
+                        F.count(F.when(x["node"] > y["node"], 1))).alias("shared"), F.min(matches).alias("k"))
+        .filter("shared >= k").select("a", "b"), "pairs")
+    links = session.settle(_verified(pairs, _sets(docs, text_col, pairs)), "links")
+    return nodes.filter("part IS NULL").drop("part", "cells"), links
+
+
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_links) of every document: how many other rows are exact copies or similar enough.
+
+    Rows as in ``jaccard_groups``; texts without a word have no links.
+    """
+    nodes, links = similar_links(docs, id_col, text_col)
+    copies = session.settle(nodes.filter("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("copies")), "copies")
+    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.join(copies, F.col("b") == F.col("node")).groupBy("a").agg(F.sum("copies").alias("near"))
+    counts = copies.join(near, F.col("node") == F.col("a"), "left").select(
+        F.col("node").alias("_node"), (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
+    return nodes.join(counts, F.col("node") == F.col("_node"), "left").select(
+        F.col(f"`{id_col}`"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -407,7 +401,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     all of a group are null. Very long texts are one set. An empty table gives none. Shingles are compared by
     64-bit hashes. Further columns are not read.
     """
-    nodes, grouped = similar_links(docs, id_col, text_col)
+    nodes, links = similar_links(docs, id_col, text_col)
+    grouped = components(links)
     key = F.col(f"`{id_col}`")
     by_node = nodes.filter("node IS NOT NULL").groupBy("node").agg(F.min(key).alias("first"))
     named = by_node.join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))

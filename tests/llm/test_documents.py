@@ -307,6 +307,26 @@ def test_jaccard_groups(spark, near_copies, monkeypatch, bits, most):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == jaccard_by_hand(near_copies)
 
 
+@pytest.mark.parametrize("most", [8, 1])
+def test_jaccard_links_are_all_there(spark, near_copies, monkeypatch, most):
+    """Every pair of similar texts, within groups too, and the number of links per document."""
+    monkeypatch.setattr(jaccard_join, "MAX_MATCHES", most)
+    docs = frame(spark, near_copies).repartition(5)
+    sets = []
+    for t in near_copies:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({i: i + 32 for i in range(65, 91)}))
+        sets.append((tuple(w), {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()))
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2)
+             if sets[i][1] and sets[j][1] and 100 * len(sets[i][1] & sets[j][1]) >= 80 * len(sets[i][1] | sets[j][1])]
+    nodes, links = jaccard_join.similar_links(docs)
+    name = {r.doc_id: r.node for r in nodes.collect()}
+    got = [(r.a, r.b) for r in links.collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == {tuple(sorted((name[i], name[j]))) for i, j in pairs if sets[i][0] != sets[j][0]}
+    counts = {r.doc_id: r.n_links for r in jaccard_join.jaccard_links(docs).collect()}
+    assert counts == {i: sum(i in p for p in pairs) for i in range(len(sets))}
+
+
 def test_jaccard_null_and_repeated_ids(spark):
     text = "one two three four five six seven eight"
     docs = spark.createDataFrame([(None, text), (5, text), (5, text), (3, text + " nine"), (None, "alone it is"), (8, None)],
