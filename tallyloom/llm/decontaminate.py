@@ -186,34 +186,32 @@ def decontaminated(
     percent of their words hit are removed.
 
     A cut may bring words together that form a test window again; such windows are cut as well,
-    until none is left (within a block of the benchmark; across blocks the passes follow each
-    other). Null texts stay null.
+    until none is left. All blocks of the benchmark scan the same text before it is cut, and the
+    share is judged once, on the words that all cuts took. Null texts stay null.
     """
+    shipped = _benchmark_blocks(benchmark, item_col, item_text_col, size)
     at, target = docs.columns.index(text_col), arrow_schema(docs.schema)
 
-    def step(shipped):
-        def run(batches):
-            scanner = Scanner(*shipped.value)
-            for b in sliced(batches):
-                keep, texts = [], []
-                for text in b.column(at).to_pylist():
-                    words = words_of(text or "")
-                    n, lost = len(words), 0
-                    while True:
-                        hit, _ = scanner.scan(words)
-                        if not hit.any():
-                            break
-                        lost += int(hit.sum())
-                        text = remove_words(text, _spans(hit))
-                        words = words_of(text)
-                    keep.append(100 * lost <= max_hit_pct * n)
-                    texts.append(text)
-                arrays = [b.column(i).cast(target.field(i).type) for i in range(b.num_columns)]
-                arrays[at] = pa.array(texts, target.field(at).type)
-                yield pa.RecordBatch.from_arrays(arrays, schema=target).filter(pa.array(keep, pa.bool_()))
-        return run
-
-    for block in _benchmark_blocks(benchmark, item_col, item_text_col, size):
-        docs = docs.mapInArrow(step(block), docs.schema)
-    return docs
-
+    def run(batches):
+        scanners = [Scanner(*block.value) for block in shipped]
+        for b in sliced(batches):
+            keep, texts = [], []
+            for text in b.column(at).to_pylist():
+                words = words_of(text or "")
+                n, lost = len(words), 0
+                while True:
+                    hit = np.zeros(len(words), bool)
+                    for scanner in scanners:
+                        hit |= scanner.scan(words)[0]
+                    if not hit.any():
+                        break
+                    lost += int(hit.sum())
+                    text = remove_words(text, _spans(hit))
+                    words = words_of(text)
+                keep.append(100 * lost <= max_hit_pct * n)
+                texts.append(text)
+            arrays = [b.column(i).cast(target.field(i).type) for i in range(b.num_columns)]
+            arrays[at] = pa.array(texts, target.field(at).type)
+            yield pa.RecordBatch.from_arrays(arrays, schema=target).filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

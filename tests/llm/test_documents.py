@@ -170,6 +170,20 @@ def test_decontaminated(spark, leaks):
     assert decontaminate.decontaminated(docs, none).count() == docs.count()
 
 
+def test_decontaminated_is_the_same_in_blocks(spark, leaks, monkeypatch):
+    """Passages whose windows lie in different blocks, and documents judged over all blocks."""
+    texts, items = leaks
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    passage = items[4][1].split()
+    extra = [f"before it {' '.join(passage[:15])} and after it " + "x " * 30,
+             " ".join(passage) + " y" * 16, " ".join(passage[:12] + passage[:10] + passage[12:]) + " z" * 60]
+    docs = frame(spark, texts + extra)
+    whole = {r.doc_id: r.text for r in decontaminate.decontaminated(docs, benchmark).collect()}
+    monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", 7)
+    assert {r.doc_id: r.text for r in decontaminate.decontaminated(docs, benchmark).collect()} == whole
+    assert len(texts) in whole and len(texts) + 1 not in whole
+
+
 # toxicity ------------------------------------------------------------------------------------
 
 def test_word_grams():
