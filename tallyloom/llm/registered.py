@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyloom import session
 from tallyloom.llm import (
-    chat_format, decontaminate, jaccard_join, quality, secret_scan, sp_codec, token_counts, toxicity, url_filter,
-    warc,
+    chat_format, decontaminate, jaccard_join, line_dedup, periodic_runs, quality, resampling, secret_scan, sp_codec,
+    token_counts, toxicity, url_filter, warc,
 )
+from tallyloom.llm.common import arrow_schema, as_schema, sliced
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
@@ -369,3 +373,171 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", F.size("turns").cast("long").alias("n_turns"),
         F.sha2(turns, 256).alias("turns_sha256"), F.length(learnt).cast("long").alias("loss_chars"),
         F.sha2(learnt, 256).alias("loss_sha256"), "formatted_chars")
+
+
+# 11 ------------------------------------------------------------------------------------------
+
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes: each byte is taken in, then eight bits are shifted out."""
+    byte = f"CAST('0x' || substr(hex(encode({text})), 2 * i + 1, 2) AS UBIGINT)"
+    steps = f"flatten(list_transform(range(strlen({text})), lambda i: [{byte}, 0, 0, 0, 0, 0, 0, 0]))"
+    return (f"xor(list_reduce(list_concat([4294967295::UBIGINT], {steps}), "
+            "lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295)")
+
+
+def _features_sql(table: str) -> str:
+    return f"""
+  SELECT rid, w AS g FROM {table} UNION ALL SELECT rid, w || ' ' || w2 FROM {table} WHERE w2 IS NOT NULL
+  UNION ALL SELECT rid, w || ' ' || w2 || ' ' || w3 FROM {table} WHERE w3 IS NOT NULL"""
+
+
+def _words_sql(table: str) -> str:
+    return f"""
+  SELECT rid, w, lead(w) OVER o AS w2, lead(w, 2) OVER o AS w3
+  FROM (SELECT rid, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM {table})
+  WINDOW o AS (PARTITION BY rid ORDER BY i)"""
+
+
+_RESAMPLING_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_TEST_WORDS} AS ws FROM documents),
+b AS (SELECT row_number() OVER () AS rid, {_TEST_WORDS} AS ws FROM benchmark),
+dw AS ({_words_sql('d')}), bw AS ({_words_sql('b')}),
+df AS ({_features_sql('dw')}), bf AS ({_features_sql('bw')}),
+codes AS (
+  SELECT g, CAST({_crc32_sql('g')} % {resampling.BUCKETS} AS BIGINT) AS bucket
+  FROM (SELECT g FROM df UNION SELECT g FROM bf)),
+s AS (SELECT bucket, count(*)::DOUBLE AS s FROM df JOIN codes USING (g) GROUP BY bucket),
+t AS (SELECT bucket, count(*)::DOUBLE AS t FROM bf JOIN codes USING (g) GROUP BY bucket),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln(
+    (coalesce(t, 0) + 1) * ((SELECT coalesce(sum(s), 0) FROM s) + {resampling.BUCKETS})
+    / ((coalesce(s, 0) + 1) * ((SELECT coalesce(sum(t), 0) FROM t) + {resampling.BUCKETS})))) AS BIGINT) AS gain
+  FROM s FULL JOIN t USING (bucket)),
+weights AS (
+  SELECT rid, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS weight
+  FROM df JOIN codes USING (g) JOIN gains USING (bucket) GROUP BY rid),
+scored AS (
+  SELECT rid, doc_id, len(ws) AS n, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((
+      CAST('0x' || substr(sha256('{resampling.SEED}:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE)
+      / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM d LEFT JOIN weights USING (rid)),
+ranks AS (
+  SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n
+  FROM scored WHERE n >= {resampling.MIN_WORDS})
+SELECT doc_id, n_features, weight, score, rank
+FROM scored LEFT JOIN (
+  SELECT rid, rank FROM ranks WHERE rank <= {resampling.PERCENT} * n // 100) USING (rid)"""
+
+
+@query("op11_importance_resampling", _RESAMPLING_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).select(
+        "doc_id", "n_features", "weight", "score", "rank")
+
+
+# 12 ------------------------------------------------------------------------------------------
+
+_RUNS_SQL = f"""
+WITH d AS (
+  SELECT rid, doc_id, ws, len(ws) AS n, h, h // 10 AS g
+  FROM (SELECT row_number() OVER () AS rid, doc_id, {_QUALITY_WORDS.format("coalesce(text, '')")} AS ws,
+    CAST({_crc32_sql("CAST(doc_id AS VARCHAR)")} AS BIGINT) AS h FROM documents)),
+c AS (
+  SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a FROM d),
+words AS (
+  SELECT rid, i, CASE WHEN a IS NULL OR i < a THEN ws[i + 1] ELSE ws[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1] END AS w
+  FROM (SELECT rid, ws, n, g, a, unnest(range(n)) AS i FROM c)),
+same AS (
+  SELECT x.rid, y.i - x.i AS q, x.i, x.i - row_number() OVER (PARTITION BY x.rid, y.i - x.i ORDER BY x.i) AS island
+  FROM words x JOIN words y ON x.rid = y.rid AND x.w = y.w AND x.i < y.i),
+runs AS (
+  SELECT rid, start, length, min(q) AS period
+  FROM (SELECT rid, q, min(i) AS start, count(*) + q AS length FROM same GROUP BY rid, q, island)
+  WHERE length >= greatest({periodic_runs.MIN_WORDS}, {periodic_runs.MIN_PERIODS} * q) GROUP BY rid, start, length),
+best AS (
+  SELECT * FROM runs x QUALIFY row_number() OVER (PARTITION BY rid ORDER BY length::DOUBLE / period DESC, start, period) = 1),
+listed AS (
+  SELECT rid, count(*) AS n_runs,
+    string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs
+  FROM runs GROUP BY rid),
+gone AS (SELECT DISTINCT rid, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (
+  SELECT rid, string_agg(w, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (rid, i) GROUP BY rid)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, length * 1000 // period AS exponent_milli,
+  sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM d LEFT JOIN listed USING (rid) LEFT JOIN best USING (rid) LEFT JOIN kept USING (rid)"""
+
+
+def repeated(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) in which one document of ten goes on periodically from some word on.
+
+    Which and how follows from the CRC of the id: with h the CRC, g = h // 10, n words and h % 10 = 0, each
+    word i from a = g % n on becomes word a + (i − a) % p with p = 1 + (n − a) // (3 + g % 8).
+    """
+    schema = as_schema([("doc_id", docs.schema["doc_id"].dataType.simpleString()), ("text", "string")])
+    target = arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            texts = []
+            for h, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                if h is not None and h % 10 == 0:
+                    words = periodic_runs.words_of(text or "")
+                    if words:
+                        g, n = h // 10, len(words)
+                        a = g % n
+                        p = 1 + (n - a) // (3 + g % 8)
+                        text = b" ".join(words[:a] + [words[a + i % p] for i in range(n - a)]).decode()
+                texts.append(text)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).cast(target.field(0).type), pa.array(texts, pa.string())], schema=target)
+
+    return docs.select("doc_id", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"), "text") \
+        .mapInArrow(run, schema)
+
+
+@query("op12_periodic_runs", _RUNS_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(repeated(read(spark, sf_dir, "documents")))
+
+    def better(best, x):  # exact: length over period, crosswise; the list is in order of start and period
+        return F.when(best.isNull() | (x["length"] * best["period"] > best["length"] * x["period"]), x).otherwise(best)
+
+    run_type = found.schema["runs"].dataType.elementType
+    found = found.withColumn("best", F.aggregate("runs", F.lit(None).cast(run_type), better))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(
+        r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","),
+        r["period"].cast("string"), F.lit("\n"))), "")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"), F.col("best.period").alias("period"),
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256"))
+
+
+# 13 ------------------------------------------------------------------------------------------
+
+_LINES_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (
+  SELECT rid, doc_id, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT rid, doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM d)),
+hot AS (
+  SELECT k, max(doc_id) AS keeper FROM l WHERE length(k) >= {line_dedup.MIN_CHARS}
+  GROUP BY k HAVING count(DISTINCT doc_id) >= {line_dedup.MIN_DOCS}),
+judged AS (SELECT rid, i, line, coalesce(doc_id <> keeper, false) AS gone FROM l LEFT JOIN hot USING (k))
+SELECT doc_id, n_lines, n_dropped, kept_sha256
+FROM d JOIN (
+  SELECT rid, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+  FROM judged GROUP BY rid) USING (rid)"""
+
+
+@query("op13_line_dedup", _LINES_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    kept = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))
+    return kept.select("doc_id", "n_lines", "n_dropped",
+                       F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
