@@ -132,11 +132,10 @@ class WaveletMatrix:
     def successor(self, lo: np.ndarray, hi: np.ndarray, x: np.ndarray) -> np.ndarray:
         """The smallest value from x on in rows lo … hi−1, n if there is none."""
         out = np.full(len(x), self.n, np.int64)
-        x = np.minimum(x, self.n - 1)
-        k = self._below(lo, hi, x)
-        some = np.flatnonzero(k < hi - lo)
+        k = self._below(lo, hi, np.minimum(x, self.n - 1))
+        some = np.flatnonzero((k < hi - lo) & (x < self.n))
         out[some] = self._nth(lo[some], hi[some], k[some])
-        return np.where(out >= x, out, self.n)
+        return out
 
 
 def _candidates(s: Stretches, tree: WaveletMatrix) -> tuple[np.ndarray, np.ndarray]:

@@ -91,4 +91,4 @@ def test_queries_match_sql(spark, sf, name):
 
 def test_every_operator_has_a_query():
     numbers = sorted(int(n[2:].split("_")[0]) for n in registered.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
