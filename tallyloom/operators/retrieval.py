@@ -64,6 +64,26 @@ def add_documents(index: Index, docs: DataFrame, order_cols: list[str]) -> Index
     )
 
 
+def append(spark: SparkSession, path: str, docs: DataFrame, order_cols: list[str],
+           seen: tuple[str, int] | None = None) -> int:
+    """Add documents to the index saved at ``path``; several may do so at once.
+
+    Documents and vectors show together. Numbers go on at what the index holds when the addition
+    takes effect: who finds another addition there first numbers again. ``seen`` as in ``versions.change``.
+    """
+    def make(draft: versions.Draft) -> None:
+        base = draft.read("documents").agg(F.count("*")).scalar()
+        named = draft.add("documents", number_documents(docs, order_cols, base))
+        draft.add("vectors", tfidf.transform(named, draft.read("vocabulary"), "ord", "content"))
+
+    return versions.change(spark, path, make, seen)
+
+
+def compact(spark: SparkSession, path: str) -> int:
+    """Join the parts that additions have left; documents are laid out by number."""
+    return versions.compact(spark, path, {"documents": ["ord"]})
+
+
 def save(index: Index, path: str) -> None:
     """Replace the index at ``path``, which may be the one that ``index`` was loaded from.
 
@@ -76,7 +96,7 @@ def save(index: Index, path: str) -> None:
 
 def load(spark: SparkSession, path: str, metric: str = "cosine",
          max_features: int = tfidf.MAX_FEATURES) -> Index:
-    """The saved index with all that streams have added to it so far."""
+    """The saved index with all that was added to it so far."""
     docs, vectors, vocab = versions.load(spark, path, "documents", "vectors", "vocabulary")
     return Index(docs, vectors, vocab, metric, max_features)
 

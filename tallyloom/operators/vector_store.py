@@ -37,9 +37,13 @@ def size(store: DataFrame) -> DataFrame:
 
 def add(store: DataFrame, new: DataFrame, order_cols: list[str]) -> DataFrame:
     """Append vectors; ``ord`` goes on at the store's size, missing ids become ``vec_{ord}``."""
-    base = size(store).scalar()
+    return store.select("ord", "id", "embedding", "metadata").unionByName(
+        _numbered(new, order_cols, size(store).scalar()))
+
+
+def _numbered(new: DataFrame, order_cols: list[str], base) -> DataFrame:
     numbered = ordered.positions(new, [], order_cols).withColumn("ord", base + F.col("_pos"))
-    return store.select("ord", "id", "embedding", "metadata").unionByName(_rows(numbered, "vec_"))
+    return _rows(numbered, "vec_")
 
 
 def _rows(numbered: DataFrame, prefix: str) -> DataFrame:
@@ -76,6 +80,22 @@ def save(store: DataFrame, path: str, dim: int, metric: str = "cosine") -> None:
     versions.save(spark, path, {"vectors": rows, "meta": about})
 
 
+def append(spark: SparkSession, path: str, new: DataFrame, order_cols: list[str]) -> int:
+    """Add vectors to the store saved at ``path``; several may do so at once, and none is lost.
+
+    Vectors and description show together. Numbers go on at the store's size when the addition takes
+    effect: who finds another addition there first numbers again.
+    """
+    def make(draft: versions.Draft) -> None:
+        about = draft.read("meta").first()
+        # l2: of the right length, otherwise as they are
+        rows = draft.add("vectors", prepare(
+            _numbered(new, order_cols, F.lit(about["n"])), about["embedding_dim"], "l2"))
+        draft.replace("meta", draft.read("meta").withColumn("n", F.col("n") + rows.count()))
+
+    return versions.change(spark, path, make)
+
+
 def load(spark: SparkSession, path: str) -> tuple[DataFrame, int, str]:
     """(vectors, dimension, metric); the row count must be the described one."""
     store, about = versions.load(spark, path, "vectors", "meta")

@@ -8,7 +8,7 @@ from tallyloom.operators import rag, retrieval, tfidf
 from tallyloom.plans import answers
 from tallyloom.registered.common import Family, r, shown
 from tallyloom.session import scratch_path
-from tallyloom.sources import documents
+from tallyloom.sources import documents, versions
 from tallyloom.sources.tables import table
 from tallyloom.streaming.ingest import add_documents_stream
 
@@ -268,6 +268,33 @@ def stream_into_index(spark, sf_dir):
         "query_id", "rank", "id", "score")
 
 
+@_f.add("index_compacted", DOCS_SQL + f""",
+  page AS (SELECT page_id, html, url FROM pages),
+  {grams_sql('x', 'page', 'page_id', 'html')}, {vectors_sql('x')},
+  both_vec AS (SELECT 0 AS page, ord, w FROM doc_vec UNION ALL SELECT 1, ord, w FROM x_vec),
+  both_docs AS (SELECT 0 AS page, doc_id AS ord, source FROM documents
+    UNION ALL SELECT 1, page_id, url FROM page)
+  SELECT source, page, {_SUMMARY}, CAST(1 AS INTEGER) AS parts
+  FROM both_docs LEFT JOIN both_vec USING (page, ord) GROUP BY page, ord, source""")
+def index_compacted(spark, sf_dir):
+    """A stream adds the pages file by file, then the parts of the index are joined and the old ones deleted."""
+    path, pages = scratch_path(spark, "stream-index"), scratch_path(spark, "page-files")
+    table(spark, sf_dir, "pages").repartition(3, "page_id").write.parquet(pages)
+    retrieval.save(shared_index(spark, sf_dir), path)
+    add_documents_stream(
+        spark, pages, table(spark, sf_dir, "pages").schema, path, f"{path}-progress", ["page_id"],
+        prepare=_page_docs, files_per_batch=1).awaitTermination()
+    retrieval.compact(spark, path)
+    versions.vacuum(spark, path, older_than=0)
+    index = retrieval.load(spark, path)
+    parts = len(versions.state(spark, path)[1]["tables"]["documents"])
+    rows = index.documents.select("ord", "source", F.map_contains_key("metadata", F.lit("lang")).alias("given")) \
+        .join(index.vectors, "ord").withColumn("key", F.struct(
+            "ord", "source", F.when(F.col("given"), 0).otherwise(1).alias("page")))
+    return _vector_summary(rows, "key").select(
+        "key.source", "key.page", "n_terms", "weight_sum", F.lit(parts).alias("parts"))
+
+
 CONTEXT = """string_agg('Source: ' || source || chr(10) || text,
     chr(10) || '---' || chr(10) ORDER BY rk)"""
 PROMPT = f"""'{rag.PROMPT_HEAD}' || chr(10) || chr(10) || 'CONTEXT:' || chr(10) || {CONTEXT}

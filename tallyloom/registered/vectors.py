@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 
 from tallyloom.functions import vectors as vec
@@ -151,6 +153,23 @@ def replace_index(spark, sf_dir):
     return store.select("ord", "id", F.col("metadata")["label"].alias("label"))
 
 
+@_f.add("index_two_savers", """SELECT 'v' || CAST(vec_id AS VARCHAR) AS id, CAST(label AS VARCHAR) AS label,
+    count(*) OVER () AS n, count(*) OVER () AS places FROM embeddings""")
+def index_two_savers(spark, sf_dir):
+    """Two writers add to one saved store at once; both additions are there, numbered without a gap."""
+    path = scratch_path(spark, "index")
+    rows = _new_rows(spark, sf_dir).withColumn("id", F.concat(F.lit("v"), F.col("vec_id").cast("string")))
+    third = F.col("vec_id") % 3
+    vector_store.save(vector_store.create(rows.filter(third == 0), ["vec_id"]), path, 64)
+    with ThreadPoolExecutor(2) as writers:
+        list(writers.map(
+            lambda i: vector_store.append(spark, path, rows.filter(third == i), ["vec_id"]), (1, 2)))
+    store, _, _ = vector_store.load(spark, path)
+    return store.select("id", F.col("metadata")["label"].alias("label"),
+                        store.agg(F.count("*")).scalar().alias("n"),
+                        store.agg(F.max("ord") + 1).scalar().alias("places"))
+
+
 @_f.add("store_clear", _STORE)
 def store_clear(spark, sf_dir):
     """A cleared store numbers from 0 again."""

@@ -4,6 +4,7 @@ import random
 import re
 import unicodedata
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import text as tx, vectors as vec
 from tallyloom.operators import knn as nn, rag, retrieval, tfidf, vector_store
 from tallyloom.plans import answers
-from tallyloom.sources import versions
+from tallyloom.sources import commits, versions
 from tallyloom.streaming.ingest import add_documents_stream
 
 
@@ -258,7 +259,7 @@ def test_vector_store(spark, tmp_path):
     # what was loaded may be extended and saved in the same place
     vector_store.save(vector_store.add(back, rows, ["name"]), path, 2, "l2")
     assert vector_store.load(spark, path)[0].count() == 4
-    versions.add_batch(store, versions.current(spark, path), "vectors", 0)
+    versions.change(spark, path, lambda draft: draft.add("vectors", store))
     with pytest.raises(ValueError, match="holds 6 vectors"):
         vector_store.load(spark, path)
     assert vector_store.clear(store).count() == 0
@@ -408,3 +409,103 @@ def test_stream_adds_new_files_once(spark, index, tmp_path):
     got = {r["ord"]: r["term_ids"] for r in after.vectors.collect()}
     assert got == {**terms, **{n + i: terms[i] for i in range(n)}}
     assert sorted(r["id"] for r in after.documents.collect()) == sorted(f"doc_{i}" for i in range(2 * n))
+
+
+# what several writers do to a saved set --------------------------------------------------------
+
+def rows_of(spark, lo, hi):
+    return spark.range(lo, hi).select(
+        F.format_string("n%03d", "id").alias("id"), F.array(F.col("id").cast("float")).alias("embedding"))
+
+
+def test_two_savers_at_once_lose_nothing(spark, tmp_path):
+    path = str(tmp_path / "ix")
+    vector_store.save(vector_store.create(rows_of(spark, 0, 5), ["id"]), path, 1, "l2")
+    with ThreadPoolExecutor(4) as pool:
+        numbers = list(pool.map(
+            lambda i: vector_store.append(spark, path, rows_of(spark, 10 * i, 10 * i + 3), ["id"]), range(1, 5)))
+    assert sorted(numbers) == [2, 3, 4, 5]
+    store, _, _ = vector_store.load(spark, path)
+    got = store.orderBy("ord").collect()
+    assert [r["ord"] for r in got] == list(range(17))
+    assert sorted(r["id"] for r in got) == sorted(
+        f"n{i:03}" for i in [*range(5), *(10 * k + j for k in range(1, 5) for j in range(3))])
+
+
+def test_a_writer_overtaken_starts_again(spark, tmp_path):
+    path, tries = str(tmp_path / "s"), []
+    versions.save(spark, path, {"t": spark.range(2)})
+
+    def make(draft):
+        tries.append(draft.read("t").count())
+        if len(tries) < 3:  # another one is faster, twice
+            versions.change(spark, path, lambda d: d.add("t", spark.range(1)))
+        draft.add("t", draft.read("t").agg(F.count("*").alias("id")))
+
+    assert versions.change(spark, path, make) == 4
+    assert tries == [2, 3, 4]
+    assert sorted(r["id"] for r in versions.load(spark, path, "t")[0].collect()) == [0, 0, 0, 1, 4]
+    assert len(commits.names(spark, f"{path}/data")) == 4  # the parts of the lost tries are gone
+
+
+def test_a_number_is_given_out_once(spark, tmp_path):
+    folder = str(tmp_path / "log")
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda i: commits.append(spark, folder, 7, {"by": i}), range(16)))
+    assert won.count(True) == 1
+    assert commits.last(spark, folder) == (7, {"by": won.index(True)})
+    assert commits.names(spark, str(tmp_path / "none")) == []
+    assert [n for n, _ in commits.names(spark, folder) if n.endswith(".tmp")] == []
+
+
+def test_what_is_no_record_is_an_error(spark, tmp_path):
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / f"{1:020d}.json").write_text("{")
+    with pytest.raises(ValueError):
+        versions.save(spark, str(tmp_path), {"t": spark.range(1)})
+
+
+def test_a_reader_sees_documents_with_their_vectors_only(spark, index, tmp_path, monkeypatch):
+    path, seen = str(tmp_path), []
+    retrieval.save(index, path)
+    n = index.documents.count()
+    transform = tfidf.transform
+
+    def between(*args):  # the documents are written, the vectors are not
+        now = retrieval.load(spark, path)
+        seen.append((now.documents.count(), now.vectors.count()))
+        return transform(*args)
+
+    monkeypatch.setattr(retrieval.tfidf, "transform", between)
+    docs = index.documents.drop("id").withColumnRenamed("ord", "place")
+    assert retrieval.append(spark, path, docs, ["place"], ("s", 0)) == 2
+    assert seen == [(n, n)]
+    now = retrieval.load(spark, path)
+    assert (now.documents.count(), now.vectors.count()) == (2 * n, 2 * n)
+    # the same batch again, after a failure elsewhere
+    assert retrieval.append(spark, path, docs, ["place"], ("s", 0)) == 2
+    assert retrieval.load(spark, path).documents.count() == 2 * n
+
+
+def test_compaction_and_vacuum(spark, index, tmp_path):
+    path = str(tmp_path)
+    retrieval.save(index, path)
+    docs = index.documents.drop("id").withColumnRenamed("ord", "place")
+    for i in range(3):
+        retrieval.append(spark, path, docs.filter(F.col("place") % 3 == i), ["place"], ("s", i))
+    old = retrieval.load(spark, path)
+    before = [sorted(map(str, t.collect())) for t in (old.documents, old.vectors)]
+    assert len(versions.state(spark, path)[1]["tables"]["documents"]) == 4
+    retrieval.compact(spark, path)
+    assert versions.vacuum(spark, path, 3600) == []  # a reader may still be at the old parts
+    assert [sorted(map(str, t.collect())) for t in (old.documents, old.vectors)] == before
+    now = retrieval.load(spark, path)
+    assert [sorted(map(str, t.collect())) for t in (now.documents, now.vectors)] == before
+    record = versions.state(spark, path)[1]
+    assert {k: len(v) for k, v in record["tables"].items()} == {"documents": 1, "vectors": 1, "vocabulary": 1}
+    assert record["seen"] == {"s": 2}
+    assert len(versions.vacuum(spark, path, 0)) == 8
+    assert len(commits.numbers(spark, f"{path}/log")) == 1
+    now = retrieval.load(spark, path)
+    assert [sorted(map(str, t.collect())) for t in (now.documents, now.vectors)] == before
+    assert retrieval.append(spark, path, docs, ["place"], ("s", 2)) == 5  # in already
