@@ -50,12 +50,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-# Lists that note the folders written while a ``scratch`` is open.
-_SCRATCH: list[list[str]] = []
+# Lists that note the (folder, table of the catalog or None) written while a ``scratch`` is open.
+_SCRATCH: list[list[tuple[str, str | None]]] = []
+
+
+def note(path: str, table: str | None = None) -> None:
+    """Leave a folder, and the table of the catalog that lies there, to the open ``scratch``es."""
+    for written in _SCRATCH:
+        written.append((path, table))
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[list[str]]:
+def scratch(spark: SparkSession) -> Iterator[list]:
     """Delete, at the end, the intermediate tables that operators have written meanwhile.
 
     For callers that have used or written their result by then: what is lazily read from those
@@ -64,13 +70,15 @@ def scratch(spark: SparkSession) -> Iterator[list[str]]:
         with scratch(spark):
             features.all_features(orders)[0].write.parquet(path)
     """
-    written: list[str] = []
+    written: list[tuple[str, str | None]] = []
     _SCRATCH.append(written)
     try:
         yield written
     finally:
         _SCRATCH.remove(written)
-        for path in written:
+        for path, table in written:
+            if table:
+                spark.sql(f"DROP TABLE IF EXISTS `{table}`")
             remove(spark, path)
 
 
@@ -89,6 +97,5 @@ def settle(df: DataFrame, name: str = "rows") -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    for written in _SCRATCH:
-        written.append(path)
+    note(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

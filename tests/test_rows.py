@@ -128,7 +128,7 @@ def test_scratch_is_deleted(spark, rows, tmp_path):
     kept = session.settle(rows, "kept")
     with session.scratch(spark) as written:
         features.ewma(features.lag(rows)).write.parquet(str(tmp_path / "features"))
-        folders = [w.removeprefix("file:") for w in written]
+        folders = [w.removeprefix("file:") for w, _ in written]
         assert folders and all(os.path.isdir(f) for f in folders)
     assert not any(os.path.exists(f) for f in folders)
     assert spark.read.parquet(str(tmp_path / "features")).count() == rows.count() == kept.count()
