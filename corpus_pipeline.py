@@ -15,7 +15,7 @@ ORACLE_SQL = None
 
 
 def _counted(docs: DataFrame) -> DataFrame:
-    """``n_chars`` brought up to date with the text."""
+    """``n_chars``, which the documents must have, brought up to date with the text."""
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
@@ -27,12 +27,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def jaccard_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked documents: the one with the smallest id.
 
-    Of rows with one id a single one stays. Rows without an id stay, one for each text.
+    Unlike texts under one id all stay, a null id is the largest, and rows alike in id and text are one.
     """
-    groups = jaccard_join.jaccard_groups(docs)
-    keep = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id IS NULL").dropDuplicates(["text"])).select(*docs.columns)
+    return jaccard_join.first_of_groups(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

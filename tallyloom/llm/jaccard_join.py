@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tallyloom import session
 from tallyloom.llm.common import arrow_schema, as_schema, field, sliced
@@ -76,12 +76,13 @@ def choose_matches(counts: np.ndarray, n: int) -> int:
 
 
 def _nodes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Settled rows: (id, node, n) per document, and (part, cells) with the sketch of each task.
+    """Settled rows: (_id, key, node, n) per document, and (part, cells) with the sketch of each task.
 
-    ``node`` is a digest of the word sequence: exact copies are one node, counted once per task.
+    ``node`` is a digest of the word sequence: exact copies are one node, counted once per task. ``key``
+    hashes the text and tells rows of one id apart.
     """
-    schema = as_schema([field(docs, id_col), ("node", "binary"), ("n", "long"),
-                        ("part", "int"), ("cells", "binary")])
+    schema = as_schema([("_id", field(docs, id_col).dataType.simpleString()), ("key", "long"),
+                        ("node", "binary"), ("n", "long"), ("part", "int"), ("cells", "binary")])
     target = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +90,7 @@ def _nodes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         cells, waiting, held = np.zeros(size, np.uint32), [], 0
         for b in sliced(batches):
             nodes, ns = [], []
-            for words in hashes.of_texts(b.column(1)):
+            for words in hashes.of_texts(b.column(2)):
                 node = digest(words) if len(words) else None
                 n = seen.get(node) if len(words) else 0
                 if n is None:
@@ -104,7 +105,7 @@ def _nodes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 ns.append(n)
             k = len(nodes)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).cast(target.field(0).type), pa.array(nodes, pa.binary()),
+                [b.column(0).cast(target.field(0).type), b.column(1), pa.array(nodes, pa.binary()),
                  pa.array(ns, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
                 schema=target)
         if waiting:
@@ -112,11 +113,13 @@ def _nodes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         if seen:
             parts = [p.tobytes() for p in np.split(cells, PARTS)]
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(PARTS, target.field(0).type), pa.nulls(PARTS, pa.binary()),
-                 pa.nulls(PARTS, pa.int64()), pa.array(range(PARTS), pa.int32()),
+                [pa.nulls(PARTS, target.field(0).type), pa.nulls(PARTS, pa.int64()),
+                 pa.nulls(PARTS, pa.binary()), pa.nulls(PARTS, pa.int64()), pa.array(range(PARTS), pa.int32()),
                  pa.array(parts, pa.binary())], schema=target)
 
-    return session.settle(docs.select(f"`{id_col}`", f"`{text_col}`").mapInArrow(run, schema), "nodes")
+    text = F.col(f"`{text_col}`")
+    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.xxhash64(text).alias("key"), text.alias("_text"))
+    return session.settle(rows.mapInArrow(run, schema), "nodes")
 
 
 def _merged(rows: DataFrame, merge: np.ufunc, dtype, size: int) -> np.ndarray:
@@ -330,12 +333,17 @@ def _sets(docs: DataFrame, text_col: str, pairs: DataFrame) -> DataFrame:
 
 def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                   ) -> tuple[DataFrame, DataFrame]:
-    """(nodes, links): settled (id, node, n) rows, and (a, b), a < b, of nodes that are similar enough.
+    """(nodes, links): settled (_id, key, node, n) rows, and (a, b), a < b, of nodes that are similar enough.
 
     A node stands for all rows of one word sequence, so the nodes are the membership and the links
     are those between distinct texts, all of them, within groups as well. What a document has for
     itself bounds what it can share, so documents of a list only meet where sizes and bounds allow
     a link, and are verified if they share the smaller of their two k.
+
+    Null and empty texts and texts without a word have no node and no link. Exact copies, repeated rows and rows
+    with null or equal ids are rows of one node. Very long texts are one set each. Without rows there are no
+    links. Further columns are not read, and an id column may have any name. Shingles are told apart by
+    64-bit hashes.
     """
     spark = docs.sparkSession
     nodes = _nodes(docs, id_col, text_col)
@@ -389,7 +397,15 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     counts = copies.join(near, F.col("node") == F.col("a"), "left").select(
         F.col("node").alias("_node"), (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
     return nodes.join(counts, F.col("node") == F.col("_node"), "left").select(
-        F.col(f"`{id_col}`"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+        F.col("_id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component, first), one row per node: ``first`` is the row that stands for it, the one with the
+    smallest id, null last, and among equal ids with the smallest key."""
+    first = F.min(F.struct(F.col("_id").isNull().alias("unnamed"), "_id", "key")).alias("first")
+    by_node = nodes.filter("node IS NOT NULL").groupBy("node").agg(first)
+    return by_node.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -402,12 +418,31 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     64-bit hashes. Further columns are not read.
     """
     nodes, links = similar_links(docs, id_col, text_col)
-    grouped = components(links)
-    key = F.col(f"`{id_col}`")
-    by_node = nodes.filter("node IS NOT NULL").groupBy("node").agg(F.min(key).alias("first"))
-    named = by_node.join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = session.settle(named.groupBy("component").agg(F.min("first").alias("least")), "least")
+    named = _components(nodes, links)
+    least = session.settle(named.groupBy("component").agg(F.min("first")["_id"].alias("least")), "least")
     where = named.join(least, "component").select(F.col("node").alias("_node"), "least")
     return nodes.join(where, F.col("node") == F.col("_node"), "left").select(
-        key, F.col("n").alias("n_shingles"),
-        F.when(F.col("node").isNull(), key).otherwise(F.col("least")).alias("component_id"))
+        F.col("_id").alias(id_col), F.col("n").alias("n_shingles"),
+        F.when(F.col("node").isNull(), F.col("_id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of linked documents, with all columns: the one with the smallest id.
+
+    Texts that do not link are never taken for each other, whatever their ids: of rows with one id and unlike
+    texts each group keeps its own. A null id is the largest. Of rows alike in id and text one stays, the
+    first by their other columns that have an order. Texts without a word, null ones too, are no group:
+    one row stays for each of them and id. Very long texts are one set. An empty table stays empty.
+    """
+    nodes, links = similar_links(docs, id_col, text_col)
+    first = _components(nodes, links).groupBy("component").agg(F.min("first").alias("first"))
+    keep = first.select("first._id", "first.key").union(
+        nodes.filter("node IS NULL").select("_id", "key").distinct()).select(
+            F.col("_id").alias("_kept_id"), F.col("key").alias("_kept_key"))
+    key = F.col("_text_key")
+    kept = docs.withColumn("_text_key", F.xxhash64(F.col(f"`{text_col}`"))).join(
+        keep, F.col(f"`{id_col}`").eqNullSafe(F.col("_kept_id")) & (key == F.col("_kept_key")), "left_semi")
+    rest = [F.col(f"`{f.name}`") for f in docs.schema.fields
+            if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    place = F.row_number().over(Window.partitionBy(F.col(f"`{id_col}`"), key).orderBy(*rest))
+    return kept.withColumn("_copy", place).filter("_copy = 1").drop("_copy", "_text_key")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import public_tokenizers
@@ -266,6 +267,7 @@ FROM p JOIN firsts USING (h)"""
 @query("op8_warc", _WARC_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = session.scratch_path(spark, "warc")
+    session.note(folder)
     index = warc.write_archives(read(spark, sf_dir, "pages"), folder)
     return warc.read_archives(index, folder, payloads=False).select(
         F.col("page").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
@@ -275,20 +277,15 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 # 9 -------------------------------------------------------------------------------------------
 
 def _url_sql() -> str:
-    """The same rounds, one common table per round."""
+    """The same rounds as a recursion, to where the last change has to be below the tolerance."""
     rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in url_filter.RULES)
     fold = f"translate({{}}, '{url_filter.UPPER}', '{url_filter.LOWER}')"
     link = url_filter.LINK.replace("'", "''")
-    rounds = "".join(f""",
-s{k + 1} AS (
-  SELECT host, {1 - url_filter.DAMPING!r}::DOUBLE * trusted + {url_filter.DAMPING}::DOUBLE * coalesce(t, 0e0) AS trust,
-    {1 - url_filter.DAMPING!r}::DOUBLE * blamed + {url_filter.DAMPING}::DOUBLE * coalesce(d, 0e0) AS distrust
-  FROM hosts LEFT JOIN (
-    SELECT "to" AS host, sum(arcs.t * trust) AS t, sum(arcs.d * distrust) AS d
-    FROM arcs JOIN s{k} ON "from" = host GROUP BY "to") USING (host))"""
-                     for k in range(url_filter.ROUNDS))
+    damping = f"{url_filter.DAMPING}::DOUBLE"
+    rest = f"{1 - url_filter.DAMPING!r}::DOUBLE"
+    last = math.ceil(math.log(url_filter.TOLERANCE) / math.log(url_filter.DAMPING))
     return f"""
-WITH rules(v, rule_host, rule_path) AS (VALUES {rules}),
+WITH RECURSIVE rules(v, rule_host, rule_path) AS (VALUES {rules}),
 p AS (
   SELECT row_number() OVER () AS rid, page_id, html, coalesce(substr(url, nullif(instr(url, '://'), 0) + 3), '') AS rest
   FROM pages),
@@ -318,10 +315,19 @@ arcs AS (
   SELECT src AS "from", dst AS "to", links / sum(links) OVER (PARTITION BY src) AS t, 0e0 AS d FROM edges
   UNION ALL
   SELECT dst, src, 0e0, links / sum(links) OVER (PARTITION BY dst) FROM edges),
-s0 AS (SELECT host, trusted AS trust, blamed AS distrust FROM hosts){rounds}
+s AS (
+  SELECT 0 AS k, host, trusted AS trust, blamed AS distrust FROM hosts
+  UNION ALL
+  SELECT k + 1, host, {rest} * any_value(trusted) + {damping} * coalesce(sum(t), 0e0),
+    {rest} * any_value(blamed) + {damping} * coalesce(sum(d), 0e0)
+  FROM (
+    SELECT k, "to" AS host, trusted, blamed, arcs.t * trust AS t, arcs.d * distrust AS d
+    FROM s JOIN arcs ON "from" = s.host JOIN hosts ON hosts.host = "to"
+    UNION ALL SELECT k, s.host, trusted, blamed, 0e0, 0e0 FROM s JOIN hosts ON hosts.host = s.host)
+  WHERE k < {last} GROUP BY k, host)
 SELECT page_id, host, path, rule,
   coalesce(v, CASE WHEN distrust > {url_filter.DISTRUST_RATIO} * trust THEN 'block' ELSE 'allow' END) AS verdict
-FROM judged LEFT JOIN s{url_filter.ROUNDS} USING (host)"""
+FROM judged LEFT JOIN (SELECT * FROM s WHERE k = {last}) USING (host)"""
 
 
 @query("op9_url_filters", _url_sql())
@@ -345,6 +351,8 @@ def _chat_sql() -> str:
     marks = len(before) + len(after) + len(template.end)
     learnt = ", ".join(f"'{r}'" for r in template.loss_roles)
     order = "ORDER BY turn NULLS FIRST, role, text"
+    # the state machine of the template as an expression over the roles
+    roles = f"string_agg(role || ',', '' {order})"
     return f"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -354,7 +362,8 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(coalesce(sum(length(text)) FILTER (role IN ({learnt})), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' {order}) FILTER (role IN ({learnt})), '')) AS loss_sha256,
   CAST(sum({marks} + length({escaped.format('role')}) + length({escaped.format('text')})) AS BIGINT)
-    AS formatted_chars
+    AS formatted_chars,
+  regexp_full_match({roles}, '(system,)?user,(assistant,user,)*(assistant,)?') AS valid
 FROM rows GROUP BY conv_id"""
 
 
@@ -372,7 +381,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chats.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"),
         F.sha2(turns, 256).alias("turns_sha256"), F.length(learnt).cast("long").alias("loss_chars"),
-        F.sha2(learnt, 256).alias("loss_sha256"), "formatted_chars")
+        F.sha2(learnt, 256).alias("loss_sha256"), "formatted_chars", "valid")
 
 
 # 11 ------------------------------------------------------------------------------------------

@@ -40,37 +40,48 @@ RULES = BASE_RULES + MORE_RULES
 _FEW = 16  # alternatives that a trigram may have at one place
 
 
+def _fold(code: int) -> str:
+    """The character as the index has it: only A-Z are folded."""
+    return chr(code + 32 if 65 <= code <= 90 else code)
+
+
 def _strings(node) -> list[set[str] | None]:
-    """A sequence of parsed items as the places of a match: a set of lower-case characters per
-    place, or None where anything of any length may stand."""
+    """A sequence of parsed items as the places of a match: a set of ASCII characters in lower case
+    per place, or None where anything of any length may stand."""
     places: list[set[str] | None] = []
     for op, value in node:
         if op is C.LITERAL:
-            places.append({chr(value).lower()})
+            places.append({_fold(value)} if value < 128 else None)
         elif op is C.IN:
             got: set[str] = set()
             for kind, v in value:
-                if kind is C.LITERAL:
-                    got.add(chr(v).lower())
-                elif kind is C.RANGE and v[1] - v[0] < _FEW:
-                    got |= {chr(i).lower() for i in range(v[0], v[1] + 1)}
-                else:
+                if kind is C.LITERAL and v < 128:
+                    got.add(_fold(v))
+                elif kind is C.RANGE and v[1] < 128 and v[1] - v[0] < _FEW:
+                    got |= {_fold(i) for i in range(v[0], v[1] + 1)}
+                else:  # a class, a negation, characters beyond ASCII: no set that holds all
                     got = set()
                     break
             places.append(got if 0 < len(got) <= _FEW else None)
         elif op in (C.MAX_REPEAT, C.MIN_REPEAT):
             low, high, inner = value
             one = _strings(inner)
-            places += (one * low)[:_FEW]
-            if high != low:
+            many = one * min(low, _FEW)
+            places += many[:_FEW]
+            if high != low or len(one) * low > _FEW:  # more of the same may follow here
                 places.append(None)
-        elif op is C.SUBPATTERN:
+        elif op is C.SUBPATTERN and not _has_flags(value):
             places += _strings(value[-1])
         else:
             places.append(None)
     return places
 
 
+def _has_flags(group) -> bool:
+    """Whether a group switches flags, which change what its characters match."""
+    return bool(group[1] or group[2])
+
+
 def trigram_query(node) -> tuple:
     """Boolean query of a parsed expression: ("and", …), ("or", …), a trigram, or ("any",).
 
@@ -86,7 +97,7 @@ def trigram_query(node) -> tuple:
 
     for item in node:
         op, value = item
-        inner = value[-1] if op is C.SUBPATTERN else None
+        inner = value[-1] if op is C.SUBPATTERN and not _has_flags(value) else None
         if op is C.BRANCH or inner is not None and any(o is C.BRANCH for o, _ in inner):
             close()
             options = value[1] if op is C.BRANCH else None
@@ -116,14 +127,15 @@ def _of_places(places: list[set[str] | None]) -> list[tuple]:
         three = places[i:i + 3]
         if all(three) and np.prod([len(p) for p in three]) <= _FEW:
             grams = sorted(a + b + c for a in three[0] for b in three[1] for c in three[2])
-            grams = [g for g in grams if g.isascii()]
             out.append(("gram", grams[0]) if len(grams) == 1 else
                        ("or", *(("gram", g) for g in grams)))
     return out
 
 
 def rule_query(pattern: str) -> tuple:
-    return trigram_query(parser.parse(pattern))
+    """Query that every text with a match fulfils; a pattern with flags is left to a full scan."""
+    parsed = parser.parse(pattern)
+    return ("any",) if parsed.state.flags & ~re.UNICODE else trigram_query(parsed)
 
 
 def grams_of(query: tuple) -> set[str]:
@@ -240,7 +252,12 @@ def redact_text(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 
 def redacted(docs: DataFrame, text_col: str = "text", rules=RULES) -> DataFrame:
-    """All rows and columns, the secrets in the text replaced; null text stays null."""
+    """All rows and columns, the secrets in the text replaced by their kind.
+
+    Null texts stay null, empty ones empty. Of overlapping spans the first in order names the whole run.
+    Repeated rows and null ids stay as they are; an empty table stays empty; a very long text is one row
+    of one task. Columns of any other name pass through.
+    """
     at, target = docs.columns.index(text_col), arrow_schema(docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -100,10 +100,11 @@ def _coded(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFra
 
 def _bucketed(rows: DataFrame, n: int, by: str) -> DataFrame:
     """``rows`` written to the shared folder in buckets, so that a later join by ``by`` need not
-    move them again."""
+    move them again. Buckets take a table of the catalog; a ``session.scratch`` drops it."""
     spark = rows.sparkSession
     path = session.scratch_path(spark, "coded")
     name = path.rsplit("/", 1)[1].replace("-", "_")
+    session.note(path, table=name)
     rows.write.bucketBy(n, by).option("path", path).saveAsTable(name)
     return spark.table(name)
 

@@ -17,7 +17,9 @@ RULES = (
     ("block", "net", "/es/"), ("block", "net", "/fr/"),
 )
 DAMPING = 0.85
-ROUNDS = 10
+# PageRank stops when no host's share of trust or of distrust changed by more in a round. All shares of a
+# kind add up to at most 1, and changes shrink by DAMPING a round: at most 128 rounds.
+TOLERANCE = 1e-9
 # A host is blocked if its distrust exceeds this many times its trust.
 DISTRUST_RATIO = 1.0
 
@@ -91,12 +93,16 @@ def host_edges(pages: DataFrame, html_col: str = "html") -> DataFrame:
             .groupBy("src", "dst").agg(F.count("*").alias("links")))
 
 
-def spread(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def spread(
+    seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE
+) -> DataFrame:
     """(host, trust, distrust) by personalised PageRank from (host, allowed, blocked) page counts.
 
     Trust moves along the links, distrust against them; a host hands on what it has in proportion
-    to its links, and one without links hands on nothing. Each round is one join and one
-    aggregation over the edges, and is written so that lineage stays short.
+    to its links, and one without links hands on nothing. Rounds go on until no score changes by more
+    than ``tolerance``. Each is one join and one aggregation over the edges, and is written so that lineage
+    stays short. Hosts are one row each; a null count is none, a seed need not have links, and without
+    seeds all scores are 0. Without edges a host has its own share, without hosts there are no rows.
     """
     total = seeds.agg(F.sum("allowed"), F.sum("blocked")).first()
     hosts = edges.select(F.col("src").alias("host")).union(edges.select("dst")).distinct() \
@@ -115,41 +121,48 @@ def spread(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds:
         (F.col("links") / F.col("n")).alias("d"))
     arcs = session.settle(forth.union(back), "arcs")
     scores = hosts.select("host", F.col("trusted").alias("trust"), F.col("blamed").alias("distrust"))
-    for _ in range(rounds):
+    change = None
+    while change is None or change > tolerance:
         sent = (arcs.join(scores, F.col("from") == F.col("host"))
                 .groupBy(F.col("to").alias("host"))
                 .agg(F.sum(F.col("t") * F.col("trust")).alias("t"),
                      F.sum(F.col("d") * F.col("distrust")).alias("d")))
-        scores = session.settle(hosts.join(sent, "host", "left").select(
-            "host",
-            (F.lit(1 - damping) * F.col("trusted") + F.lit(damping) * F.coalesce("t", F.lit(0.0))).alias("trust"),
-            (F.lit(1 - damping) * F.col("blamed") + F.lit(damping) * F.coalesce("d", F.lit(0.0))).alias("distrust"),
-        ), "scores")
+        trust = F.lit(1 - damping) * F.col("trusted") + F.lit(damping) * F.coalesce("t", F.lit(0.0))
+        distrust = F.lit(1 - damping) * F.col("blamed") + F.lit(damping) * F.coalesce("d", F.lit(0.0))
+        moved = F.greatest(F.abs(trust - F.col("trust")), F.abs(distrust - F.col("distrust")))
+        following = session.settle(
+            hosts.join(scores, "host").join(sent, "host", "left").select(
+                "host", trust.alias("_trust"), distrust.alias("_distrust"), moved.alias("moved")), "scores")
+        change = following.agg(F.max("moved")).first()[0] or 0.0
+        scores = following.select("host", F.col("_trust").alias("trust"), F.col("_distrust").alias("distrust"))
     return scores
 
 
 def filter_urls(
     pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url",
-    html_col: str = "html", rounds: int = ROUNDS,
+    html_col: str = "html", tolerance: float = TOLERANCE,
 ) -> DataFrame:
     """(id, host, path, rule, verdict, trust, distrust) of every page.
 
     The verdict is the rule's; without a fitting rule a page is blocked if its host's distrust
     exceeds DISTRUST_RATIO times its trust, else allowed. Null urls and urls without ``://`` have
     empty host and path, fit no rule and are allowed. Null html has no links. Repeated rows are
-    kept, one row out per row in; an empty table gives none. Further columns are not read.
+    kept, one row out per row in; an empty table gives none. Further columns are not read; an id column may
+    have any name but those of the output columns (ValueError).
     """
+    if id_col in ("host", "path", "rule", "verdict", "trust", "distrust"):
+        raise ValueError(f"the id column may not be called {id_col}")
     host, path = host_and_path(F.col(f"`{url_col}`"))
-    split = pages.select(F.col(f"`{id_col}`").alias(id_col), host.alias("host"), path.alias("path"))
-    judged = by_rules(split.withColumn("part", F.pmod(F.xxhash64(id_col, "path"), F.lit(PARTS)).cast("int")), rules)
+    split = pages.select(F.col(f"`{id_col}`").alias("_id"), host.alias("host"), path.alias("path"))
+    judged = by_rules(split.withColumn("part", F.pmod(F.xxhash64("_id", "path"), F.lit(PARTS)).cast("int")), rules)
     seeds = (judged.filter("host != ''").groupBy("host").agg(
         F.count(F.when(F.col("rule_verdict") == "allow", 1)).alias("allowed"),
         F.count(F.when(F.col("rule_verdict") == "block", 1)).alias("blocked")))
     edges = session.settle(host_edges(
-        pages.select(host.alias("host"), F.col(f"`{html_col}`").alias(html_col)), html_col), "edges")
-    scores = spread(session.settle(seeds, "seeds"), edges, rounds=rounds)
+        pages.select(host.alias("host"), F.col(f"`{html_col}`").alias("html"))), "edges")
+    scores = spread(session.settle(seeds, "seeds"), edges, tolerance=tolerance)
     by_host = F.when(F.col("distrust") > DISTRUST_RATIO * F.col("trust"), "block").otherwise("allow")
     return with_host_columns(judged, scores).select(
-        id_col, "host", "path", "rule", F.coalesce("rule_verdict", by_host).alias("verdict"),
+        F.col("_id").alias(id_col), "host", "path", "rule", F.coalesce("rule_verdict", by_host).alias("verdict"),
         F.coalesce("trust", F.lit(0.0)).alias("trust"),
         F.coalesce("distrust", F.lit(0.0)).alias("distrust"))

@@ -72,3 +72,14 @@ def test_queries_match_the_library(spark, sf):
     for r in rows:
         ids, text = expected(docs[r.doc_id])
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(",".join(map(str, ids))), sha(text))
+
+
+def test_scratch_takes_the_coded_table_along(spark, docs, tmp_path):
+    from tallyloom import session
+
+    before = {t.name for t in spark.catalog.listTables()}
+    with session.scratch(spark):
+        sp_codec.digests(sp_codec.encode(docs, PATH), PATH).write.parquet(str(tmp_path / "out"))
+        assert {t.name for t in spark.catalog.listTables()} - before
+    assert {t.name for t in spark.catalog.listTables()} == before
+    assert spark.read.parquet(str(tmp_path / "out")).count() == docs.count()

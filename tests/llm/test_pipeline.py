@@ -83,6 +83,28 @@ def test_stages_take_nulls(spark, sf):
         stage(spark, docs, sf).collect()
 
 
+A, B = "one two three four five six seven", "un deux trois quatre cinq six sept"
+
+
+@pytest.mark.parametrize("rows, kept", [
+    ([(1, A), (1, B), (2, B)], [(1, A), (1, B)]),  # one id, unlike texts
+    ([(2, A), (1, A.upper()), (3, A)], [(1, A.upper())]),  # exact copies under several ids
+    ([(None, A), (4, A), (None, B), (None, B)], [(4, A), (None, B)]),
+    ([(1, A), (1, A), (1, A + " ")], [(1, A)]),
+    ([(1, None), (1, ""), (1, None), (None, None), (2, ""), (None, "!")],
+     [(1, None), (1, ""), (None, None), (2, ""), (None, "!")]),
+    ([], []),
+])
+def test_dedup_goes_by_text(spark, sf, rows, kept):
+    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], schema)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.jaccard_dedup(spark, docs, sf).collect()]
+    if rows[:1] == [(1, A)] and len(rows) == 3 and rows[1][0] == 1 and rows[1][1] == A:
+        assert len(got) == 1 and got[0][1].strip() == A  # the same words under one id: one of them
+    else:
+        assert sorted(got, key=str) == sorted(kept, key=str)
+
+
 @pytest.mark.parametrize("name", sorted(registered.SQL))
 def test_queries_match_sql(spark, sf, name):
     con = oracle_check.duck(sf)

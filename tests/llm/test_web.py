@@ -117,15 +117,39 @@ def scores_by_hand(pages, edges):
         blocked[split(u)[0]] += v == "block"
     seed = [{h: n / max(1, sum(d.values())) for h, n in d.items()} for d in (allowed, blocked)]
     now = [dict(s) for s in seed]
-    for _ in range(url_filter.ROUNDS):
+    change = 1
+    while change > url_filter.TOLERANCE:
         nxt = [{h: (1 - url_filter.DAMPING) * s[h] for h in hosts} for s in seed]
         for (a, b), n in edges.items():
             nxt[0][b] += url_filter.DAMPING * now[0][a] * n / sum(m for (x, _), m in edges.items() if x == a)
             nxt[1][a] += url_filter.DAMPING * now[1][b] * n / sum(m for (_, y), m in edges.items() if y == b)
+        change = max(abs(x[h] - y[h]) for x, y in zip(now, nxt) for h in hosts)
         now = nxt
     return now
 
 
+def test_distrust_reaches_far_hosts(spark):
+    """A chain of 30 hosts, the last of them blocked: every host before it shares the distrust."""
+    pages = [(i, f"http://h{i}.org/", f'<a href="http://h{i + 1}.org/">x</a>') for i in range(30)] + [
+        (30, "http://h30.org/bad", None), (31, "http://alone.org/", None)]
+    rows = spark.createDataFrame(pages, "page_id long, url string, html string")
+    rules = url_filter.rules_table(spark, [("block", "h30.org", "/bad")])
+    got = {r.page_id: r for r in url_filter.filter_urls(rows, rules).collect()}
+    assert {i for i, r in got.items() if r.verdict == "block"} == set(range(31))
+    for i in range(31):
+        want = (1 - url_filter.DAMPING) * url_filter.DAMPING ** (30 - i)
+        assert got[i].distrust == pytest.approx(want, rel=1e-6) and got[i].trust == 0
+
+
+def test_page_id_may_have_any_name(spark):
+    for name in ("part", "_part", "src", "dst", "allowed", "rule_host"):
+        rows = spark.createDataFrame([(7, "http://example.com/en/", None)], f"`{name}` long, url string, html string")
+        got = url_filter.filter_urls(rows, url_filter.rules_table(spark), name).collect()
+        assert [(r[name], r.verdict) for r in got] == [(7, "block")]
+    with pytest.raises(ValueError):
+        url_filter.filter_urls(rows.withColumnRenamed("rule_host", "host"), url_filter.rules_table(spark), "host")
+
+
 def test_filter_urls(spark):
     html = [None] * len(URLS)
     html[18] = '<a href="http://evil.net/fr/">x</a> <A HREF=//evil.net>y</A> <img src=\'https://C.org/i.png\'>'
