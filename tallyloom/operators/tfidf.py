@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyloom.functions.text import with_next, words
+from tallyloom.operators import frequent
 from tallyloom.session import settle
 
 MAX_FEATURES = 1000
@@ -38,54 +39,76 @@ def _pair_text():
     return F.concat("a", F.lit(" "), "b")
 
 
-def _top_terms(split: DataFrame, max_features: int) -> DataFrame:
-    """The most frequent words and pairs of ``(…, _words)`` rows."""
+def _grams(split: DataFrame, keep: list[str]) -> DataFrame:
+    """One row ``(keep…, term)`` per word and per pair."""
+    both = _pairs(split, keep).select(*keep, F.explode(F.array(F.col("a"), _pair_text())).alias("term"))
+    return both.filter(F.col("term").isNotNull())
+
+
+def _exact_top(split: DataFrame, max_features: int) -> DataFrame:
+    """The most frequent words and pairs of written ``(…, _words)`` rows, however flat their counts.
+
+    Words are counted first. A pair is at most as frequent as either of its words, so only pairs of words
+    that reach the count of the last kept word can be among the top; the others are not counted, which
+    keeps the table of all distinct pairs out of the shuffle.
+    """
     single = settle(
         split.select(F.explode_outer(_W).alias("term")).filter(F.col("term").isNotNull())
         .groupBy("term").agg(F.count("*").alias("corpus_count")), "words",
     )
-    order = [F.desc("corpus_count"), F.asc("term")]
-    last = single.orderBy(*order).limit(max_features).agg(
+    last = _first(single, max_features).agg(
         F.count("*").alias("n"), F.min("corpus_count").alias("least")
     ).first()
     least = last["least"] if last["n"] == max_features else 0
-    frequent = settle(single.filter(F.col("corpus_count") >= least), "words")
+    frequent_words = settle(single.filter(F.col("corpus_count") >= least), "words")
     both = _pairs(split, []).filter(F.col("b").isNotNull())
     for c in ("a", "b"):
-        both = both.join(frequent.select(F.col("term").alias(c)), c, "left_semi")
+        both = both.join(frequent_words.select(F.col("term").alias(c)), c, "left_semi")
     pairs = both.groupBy("a", "b").agg(F.count("*").alias("corpus_count")).select(
         _pair_text().alias("term"), "corpus_count")
-    return frequent.unionByName(pairs).orderBy(*order).limit(max_features)
+    return _first(frequent_words.unionByName(pairs), max_features)
+
+
+def _first(terms: DataFrame, max_features: int) -> DataFrame:
+    return terms.orderBy(F.desc("corpus_count"), F.asc("term")).limit(max_features)
 
 
 def top_terms(
     docs: DataFrame, text_col: str = "content", max_features: int = MAX_FEATURES,
-    exact_accents: bool = True,
+    exact_accents: bool = True, items: int = frequent.ITEMS,
 ) -> DataFrame:
-    """``(term, corpus_count)`` of the most frequent words and pairs, ties by term.
+    """``(term, corpus_count)`` of the most frequent words and pairs, ties by term."""
+    return top_terms_found(docs, text_col, max_features, exact_accents, items)[0]
+
+
+def top_terms_found(
+    docs: DataFrame, text_col: str = "content", max_features: int = MAX_FEATURES,
+    exact_accents: bool = True, items: int = frequent.ITEMS,
+) -> tuple[DataFrame, frequent.Found]:
+    """``top_terms``, and what the summary of the terms found.
 
-    Words are counted first. A pair is at most as frequent as either of its words, so only
-    pairs of words that reach the count of the last kept word can be among the top; the
-    others are not counted, which keeps the table of all distinct pairs out of the shuffle.
-    All counts combine on the map side, so a term that is everywhere does not pile up. The
-    tables of terms are written, so the planner joins them by their true size.
+    Each task sums its terms up in a summary of ``items`` counters; only the candidates that it leaves are
+    counted, so neither the texts' words nor the table of all distinct terms is written or shuffled. If the
+    counts are too flat for the summary to tell (``candidates`` is None), all words are counted.
     """
-    split = settle(docs.select(words(F.coalesce(F.col(text_col), F.lit("")), exact_accents).alias(_W)),
-                   "tokens")
-    return _top_terms(split, max_features)
+    split = docs.select(words(F.coalesce(F.col(text_col), F.lit("")), exact_accents).alias(_W))
+    found = frequent.candidates(_grams(split, []), "term", max_features, items)
+    if found.candidates is None:
+        return _exact_top(settle(split, "tokens"), max_features), found
+    few = found.candidates.withColumnRenamed("item", "term")
+    counted = _grams(split, []).join(few, "term").groupBy("term").agg(F.count("*").alias("corpus_count"))
+    return _first(counted, max_features), found
 
 
-def _numbered_top(split: DataFrame, max_features: int) -> DataFrame:
+def _numbered(top: DataFrame) -> DataFrame:
     """Kept terms with ``term_id`` in term order, written once."""
     by_term = Window.orderBy("term")  # at most max_features rows
-    top = _top_terms(split, max_features)
     return settle(top.withColumn("term_id", F.row_number().over(by_term) - 1), "terms")
 
 
 def _counts(split: DataFrame, numbered: DataFrame, key: str) -> DataFrame:
-    grams = _pairs(split, [key]).select(key, F.explode(F.array(F.col("a"), _pair_text())).alias("term"))
     known = numbered.select("term", "term_id")
-    return grams.join(known, "term").groupBy(key, "term_id").agg(F.count("*").alias("tf"))
+    return _grams(split, [key]).join(known, "term").groupBy(key, "term_id").agg(F.count("*").alias("tf"))
 
 
 def term_counts(
@@ -110,10 +133,27 @@ def _vocabulary(docs: DataFrame, numbered: DataFrame, seen: DataFrame) -> DataFr
 
 
 def _fit_counts(docs, key, text_col, max_features, exact_accents):
-    """(vocabulary, term counts per text), both written once; texts are split once."""
-    split = settle(tokens(docs, key, text_col, exact_accents), "tokens")
-    numbered = _numbered_top(split, max_features)
-    counts = settle(_counts(split, numbered, key), "counts")
+    """(vocabulary, term counts per text), both written once.
+
+    The candidates of the summary are counted per text; these counts give the kept terms, so the texts are
+    split twice and their words are not written.
+    """
+    split = tokens(docs, key, text_col, exact_accents)
+    found = frequent.candidates(_grams(split, []), "term", max_features)
+    if found.candidates is None:
+        split = settle(split, "tokens")
+        numbered = _numbered(_exact_top(split, max_features))
+        counts = settle(_counts(split, numbered, key), "counts")
+    else:
+        few = settle(found.candidates.select(
+            F.col("item").alias("term"), F.monotonically_increasing_id().alias("term_id")), "candidates")
+        all_counts = settle(_counts(split, few, key), "counts")
+        totals = all_counts.groupBy("term_id").agg(F.sum("tf").alias("corpus_count"))
+        top = _first(few.join(totals, "term_id").withColumnRenamed("term_id", "_few"), max_features)
+        numbered = _numbered(top)
+        counts = all_counts.withColumnRenamed("term_id", "_few").join(
+            numbered.select("_few", "term_id"), "_few").select(key, "term_id", "tf")
+        numbered = numbered.drop("_few")
     seen = counts.groupBy("term_id").agg(F.count("*").alias("doc_count"))
     return _vocabulary(split, numbered, seen), counts
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyloom.operators import rag, retrieval, tfidf
+from tallyloom.operators import postings, rag, retrieval, tfidf
 from tallyloom.plans import answers
 from tallyloom.registered.common import Family, r, shown
-from tallyloom.session import scratch_path
+from tallyloom.session import scratch_path, settle
 from tallyloom.sources import documents, versions
 from tallyloom.sources.tables import table
 from tallyloom.streaming.ingest import add_documents_stream
@@ -161,6 +161,29 @@ def search(spark, sf_dir):
     return _results(retrieval.search(shared_index(spark, sf_dir), _questions(spark, sf_dir), 5))
 
 
+@_f.add("search_pruned", search_sql(5) + _RESULTS)
+def search_pruned(spark, sf_dir):
+    """The same results through the inverted file."""
+    index, path = shared_index(spark, sf_dir), scratch_path(spark, "postings")
+    postings.save(postings.build(index.vectors), path)
+    return _results(retrieval.search_pruned(index, postings.load(spark, path), _questions(spark, sf_dir), 5)[0])
+
+
+@_f.add("search_pruned_work", DOCS_SQL + f""", {grams_sql('q', 'benchmark', 'item_id', 'text')}, {vectors_sql('q')}
+  SELECT q.ord AS query_id, count(*) AS postings, true AS spared
+  FROM q_vec q JOIN doc_vec d USING (term) GROUP BY q.ord""")
+def search_pruned_work(spark, sf_dir):
+    """Postings of each question's terms, and whether fewer were read than documents times terms."""
+    index = shared_index(spark, sf_dir)
+    held = settle(postings.build(index.vectors), "postings")
+    asked = retrieval.embed_queries(index, _questions(spark, sf_dir))
+    _, work = postings.match(held, index.documents, asked, 5)
+    pairs = index.documents.agg(F.count("*")).scalar() * F.size("term_ids")
+    return work.join(asked, "query_id").select(
+        "query_id", "postings", ((F.col("postings_read") <= F.col("postings")) & (F.col("postings_read") < pairs))
+        .alias("spared"))
+
+
 TURNS = "(SELECT conv_id * 1000 + turn AS id, text FROM conversations)"
 
 
