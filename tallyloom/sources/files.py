@@ -3,13 +3,22 @@
 from __future__ import annotations
 
 import csv
+import io
+import json
+from collections.abc import Iterator
 from functools import reduce
+from urllib.parse import unquote
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyloom.operators import clean, forecast
 from tallyloom.sources.tables import SALES_COLUMNS
 
+# Files whose first lines a task reads, at least, if there are many.
+FILES_A_TASK = 200
+
 # Quotes inside a quoted field are doubled.
 _QUOTES = {"quote": '"', "escape": '"'}
 
@@ -23,18 +32,62 @@ def write_sales_csv(df: DataFrame, path: str, columns: list[str] | None = None)
     )
 
 
-def _header(spark: SparkSession, file: str) -> tuple[str, ...]:
-    """Names in the first line of a file, read through Hadoop's file system; compressed files too."""
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI.create(file))
-    stream = path.getFileSystem(conf).open(path)
+# Compressed files whose first line a task can read without Spark's readers.
+_PLAIN = (".csv", ".txt", ".gz", ".bz2", ".zst", ".lz4")
+
+
+def _names(line: str | None) -> str | None:
+    """The names in a header line as a JSON list; null for an empty file."""
+    names = next(csv.reader([(line or "").removeprefix("\ufeff").rstrip("\r\n")]), [])
+    return json.dumps(names) if names else None
+
+
+def _opened(files: DataFrame) -> DataFrame:
+    """(file, header): every task opens its share of the files and reads a line of each."""
+    def first_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            paths = b.column(0).to_pylist()
+            headers = []
+            for path in paths:
+                store, name = fs.FileSystem.from_uri(path)
+                with io.TextIOWrapper(store.open_input_stream(name, compression="detect"), "utf-8") as lines:
+                    headers.append(_names(lines.readline()))
+            yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(headers, pa.string())], ["file", "header"])
+
+    return files.mapInArrow(first_lines, "file string, header string")
+
+
+def _scanned(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, header) by Spark's own reader, which reaches every file but reads all lines."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value",
+        F.monotonically_increasing_id().alias("place"))
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            headers = [_names(line) for line in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(headers, pa.string())], ["file", "header"])
+
+    first = lines.filter("at = 0").groupBy("file").agg(F.min_by("value", "place").alias("value"))
+    return first.mapInArrow(named, "file string, header string")
+
+
+def headers(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, header) of every order file: the names in its first line as a JSON list, null if empty.
+
+    The driver lists the files; the tasks read the lines. Where a task cannot open a file by itself (a store
+    that only Spark's readers know, a compression of Hadoop's own), they come from a scan of the lines.
+    """
+    names = spark.read.text(path).inputFiles()
     try:
-        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
-        text = stream if codec is None else codec.createInputStream(stream)
-        line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(text, "UTF-8")).readLine()
-    finally:
-        stream.close()
-    return tuple(next(csv.reader([(line or "").removeprefix("\ufeff")]), ()))
+        for store in {n.partition(":")[0] for n in names}:
+            fs.FileSystem.from_uri(next(n for n in names if n.startswith(store)))
+    except (ValueError, OSError):
+        return _scanned(spark, path)
+    if not all(n.rpartition("/")[2].lower().endswith(_PLAIN) for n in names):
+        return _scanned(spark, path)
+    tasks = min(len(names), max(spark.sparkContext.defaultParallelism, len(names) // FILES_A_TASK)) or 1
+    return _opened(spark.createDataFrame([(n,) for n in names], "file string").repartition(tasks))
 
 
 def read_sales_csv(
@@ -42,20 +95,19 @@ def read_sales_csv(
 ) -> DataFrame:
     """Order files, all columns as text under the names of their headers.
 
-    The files may have their columns in different orders: those with one header are one scan,
-    and the scans are joined by name; a column that a file lacks is null. For that the driver
-    opens every file once and reads its first line. A missing file is an error. ``multi_line``
-    allows line ends inside quotes, at the price that a file is read by one task. ``ordinal``
+    The files may have their columns in different orders: those with one header are one scan, and the scans
+    are joined by name; a column that a file lacks is null. The first lines are read by the tasks; the
+    driver lists the files and gets one row per header, with the files' names. A missing file is an error.
+    ``multi_line`` allows line ends inside quotes, at the price that a file is read by one task. ``ordinal``
     names a column with the place of each row: file name, then position in the file.
     """
-    by_header: dict[tuple, list[str]] = {}
-    for file in spark.read.text(path).inputFiles():
-        by_header.setdefault(_header(spark, file), []).append(file)
+    by_header = headers(spark, path).filter("header IS NOT NULL").groupBy("header").agg(
+        F.sort_array(F.collect_list("file")).alias("files")).collect()
     reader = spark.read.option("header", "true").option("multiLine", multi_line).options(**_QUOTES)
     scans = []
-    for header, files in sorted(by_header.items()):
-        if header:
-            scans.append(reader.schema(", ".join(f"`{c}` string" for c in header)).csv(files))
+    for header, files in sorted((tuple(json.loads(h)), f) for h, f in by_header):
+        # listed as addresses, read as paths
+        scans.append(reader.schema(", ".join(f"`{c}` string" for c in header)).csv([unquote(f) for f in files]))
     if not scans:
         return reader.csv(path)
     if ordinal:

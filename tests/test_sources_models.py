@@ -1,7 +1,11 @@
 """Files, registry, forest and session helpers."""
 
+import csv
+import gzip
 import json
 import os
+import pathlib
+from urllib.parse import unquote
 
 import numpy as np
 import pytest
@@ -145,6 +149,41 @@ def test_first_row_does_not_depend_on_split_size(spark, tmp_path):
         (str(i), "1" if i == 7 else str(100 + i)) for i in range(20))
 
 
+def test_headers_of_many_files_are_read_by_the_tasks(spark, tmp_path, monkeypatch):
+    orders = [["order_id", "quantity", "region"], ["region", "order_id", "quantity"], ["quantity", "order_id"]]
+    for i in range(2_000):
+        row = {"order_id": f"O-{i}", "quantity": str(i % 7), "region": f"R,{i % 3}"}
+        names = orders[i % 3]
+        (tmp_path / f"part {i:04}.csv").write_text(
+            ",".join(names) + "\n" + ",".join(f'"{row[n]}"' for n in names) + "\n")
+
+    def opened(*_):  # what the tasks open they open in processes of their own
+        raise AssertionError("the driver opened a file")
+
+    monkeypatch.setattr(pathlib.Path, "open", opened)
+    monkeypatch.setattr(csv, "reader", opened)
+    df = files.read_sales_csv(spark, str(tmp_path))
+    assert df._jdf.queryExecution().toString().count("FileScan csv") >= 3
+    got = {r.order_id: (r.quantity, r.region) for r in df.select("order_id", "quantity", "region").collect()}
+    assert got == {f"O-{i}": (str(i % 7), None if i % 3 == 2 else f"R,{i % 3}") for i in range(2_000)}
+
+
+def test_headers_by_either_way(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.csv").write_text("x,y\n1,2\n" * 4000)
+    (tmp_path / "b é%.csv").write_text('\ufeff"y ""1""","x, z"\r\n1,2\r\n')
+    (tmp_path / "c.csv").write_text("")
+    with gzip.open(tmp_path / "d.csv.gz", "wt") as f:
+        f.write("x,y\n5,6\n")
+    want = {"a.csv": '["x", "y"]', "b é%.csv": '["y \\"1\\"", "x, z"]', "d.csv.gz": '["x", "y"]'}
+    for got in (files.headers(spark, str(tmp_path)), files._scanned(spark, str(tmp_path))):
+        assert {unquote(r.file.rpartition("/")[2]): r.header for r in got.collect() if r.header} == want
+
+    monkeypatch.setattr(files, "_PLAIN", (".none",))  # as if the tasks could not open them
+    rows = files.read_sales_csv(spark, [str(tmp_path / "a.csv"), str(tmp_path / "d.csv.gz")])
+    assert rows.filter("x = '5'").count() == 1 and rows.count() == 8_000
+    assert len(files.read_sales_csv(spark, str(tmp_path / "c.csv")).columns) == 0
+
+
 def test_columns_go_by_the_header(spark, tmp_path):
     (tmp_path / "o.csv").write_text("quantity,order_id\n3,O-1\n")
     df = files.read_sales_csv(spark, str(tmp_path / "o.csv"))
