@@ -88,6 +88,14 @@ def remove(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def copy(spark: SparkSession, source: str, target: str) -> None:
+    """Copy a small folder through Hadoop's file system."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    a, b = hadoop.Path(source), hadoop.Path(target)
+    hadoop.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, conf)
+
+
 def settle(df: DataFrame, name: str = "rows") -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table.
 

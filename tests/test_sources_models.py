@@ -192,6 +192,62 @@ def test_columns_go_by_the_header(spark, tmp_path):
         clean.validate_columns(df)
 
 
+def test_small_nodes_are_leaves(planted):
+    rows, names, _ = planted
+    train = rows.filter("split = 'train'")
+    loose = forest.train(train, names, "y", min_split=0, numTrees=6, maxDepth=8)
+    before = forest.nodes(loose).toPandas()
+    assert ((before["rows"] < 40) & (before["left"] >= 0)).any()
+    model = forest.unsplit(loose, 40)
+    after = forest.nodes(model).toPandas()
+    assert not ((after["rows"] < 40) & (after["left"] >= 0)).any()
+    small = after[after["rows"] < 40]
+    assert len(small) and np.allclose(small["prediction"], small["total"] / small["rows"])
+    # the same tree, cut: every node below large ones only is there, in the same order
+    for tree, old in before.groupby("tree"):
+        old = old.sort_values("node").reset_index(drop=True)
+        keep, stack = [], [0]
+        while stack:
+            i = stack.pop()
+            keep.append(i)
+            if old["rows"][i] >= 40 and old["left"][i] >= 0:
+                stack += [old["right"][i], old["left"][i]]
+        new = after[after["tree"] == tree].sort_values("node")
+        assert list(new["node"]) == list(range(len(keep)))
+        assert list(new["prediction"]) == list(old["prediction"][keep])
+    by_hand = tree_values(model, rows.filter("f0 IS NOT NULL" if "f0" in rows.columns else "y IS NOT NULL"))
+    got = forest.predict(model, by_hand).toPandas()
+    assert np.allclose(got["prediction"], [np.mean(v) for v in got["by_tree"]])
+    assert forest.unsplit(loose, 1) is loose
+    assert forest.importance(model, names).count() == len(names)
+
+
+def tree_values(model, df):
+    """``by_tree``: every tree asked on its own."""
+    out = df
+    for stage in model.stages[:-1]:
+        out = stage.transform(out)
+    trees = forest.forest_of(model).trees
+    for i, tree in enumerate(trees):
+        out = tree.setFeaturesCol("features").setPredictionCol(f"_t{i}").transform(out)
+    return out.withColumn("by_tree", F.array(*[f"_t{i}" for i in range(len(trees))])).drop(
+        "raw_features", "features", *[f"_t{i}" for i in range(len(trees))])
+
+
+def test_confidence_is_that_of_the_trees(planted):
+    rows, _, model = planted
+    for q in (0.16, 16.0):
+        out = forest.predict_with_confidence(model, tree_values(model, rows), q)
+        assert set(out.columns) == {*rows.columns, "by_tree", "mean", "lower", "upper"}
+        got = out.toPandas()
+        values = np.array(got["by_tree"].tolist())
+        assert np.allclose(got["mean"], values.mean(1))
+        assert np.allclose(got["lower"], np.percentile(values, q, axis=1))
+        assert np.allclose(got["upper"], np.percentile(values, 100 - q, axis=1))
+    plan = forest.predict_with_confidence(model, rows)._jdf.queryExecution().toString()
+    assert plan.split("== Optimized")[0].count("_leaves#") and "_tree_" not in plan
+
+
 def test_forecast_sinks(spark, tmp_path):
     f = spark.createDataFrame(
         [("a", "sma", 2, 2.5), ("a", "sma", 1, 1.5), ("b", "trend", 1, 0.0)],
