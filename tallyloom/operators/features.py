@@ -131,8 +131,8 @@ def aggregations(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
     return out
 
 
-def _for_groups(df, group_cols, order_cols, build) -> DataFrame:
-    """Apply ``build(df, keys, suffix)`` on positioned rows, once per grouping column.
+def _for_groups(df, value_col, group_cols, order_cols, build) -> DataFrame:
+    """Apply ``build(df, keys, suffix)`` on positioned rows, for every grouping column.
 
     A null group has no values, as rows without a key belong to no group. The default order ends
     with the row id, which tells rows apart.
@@ -140,12 +140,34 @@ def _for_groups(df, group_cols, order_cols, build) -> DataFrame:
     unique, order_cols = not order_cols, _order(order_cols)
     if not group_cols:
         return build(ordered.positions(df, [], order_cols, unique=unique), [], "").drop("_pos")
-    out = df
-    for g in group_cols:
-        grouped = out.filter(F.col(g).isNotNull())
-        done = build(ordered.positions(grouped, [g], order_cols, unique=unique), [g], f"_{g}").drop("_pos")
-        out = done.unionByName(out.filter(F.col(g).isNull()), allowMissingColumns=True)
-    return out
+    if len(group_cols) > 1:
+        return _for_all_groups(df, value_col, group_cols, order_cols, unique, build)
+    g = group_cols[0]
+    grouped = df.filter(F.col(g).isNotNull())
+    done = build(ordered.positions(grouped, [g], order_cols, unique=unique), [g], f"_{g}").drop("_pos")
+    return done.unionByName(df.filter(F.col(g).isNull()), allowMissingColumns=True)
+
+
+def _for_all_groups(df, value_col, group_cols, order_cols, unique, build) -> DataFrame:
+    """One numbering for several grouping columns.
+
+    Only (row, order, value) goes into the range shuffle, once per grouping column and under its name and
+    key; the features come back by row and are joined to the rows, which move once.
+    """
+    row = "row_id" if unique else "_row"
+    if not unique:
+        df = settle(df.withColumn(row, F.monotonically_increasing_id()), "rows")
+    parts = F.array(*[F.struct(F.lit(g).alias("_col"), F.col(g).cast("string").alias("_key")) for g in group_cols])
+    narrow = df.select(*dict.fromkeys([row, *order_cols, value_col]), F.inline(parts)).filter(
+        F.col("_key").isNotNull())
+    order = order_cols if unique else [*order_cols, row]
+    placed = ordered.positions(narrow, ["_col", "_key"], order, unique=True)
+    done = build(placed, ["_col", "_key"], "").drop("_pos")
+    names = [c for c in done.columns if c not in narrow.columns]
+    back = done.groupBy(F.col(row).alias("_of")).agg(*[
+        F.max(F.when(F.col("_col") == g, F.col(c))).alias(f"{c}_{g}") for g in group_cols for c in names])
+    out = df.join(back, F.col(row) == F.col("_of"), "left").drop("_of")
+    return out if unique else out.drop(row)
 
 
 def _order(order_cols):
@@ -154,13 +176,13 @@ def _order(order_cols):
 
 def lag(df, value_col="quantity", lags=None, group_cols=None, order_cols=None) -> DataFrame:
     """Earlier values by row order; each grouping column gives its own features."""
-    return _for_groups(df, group_cols, order_cols, lambda d, k, s: ordered.lag_roll(
+    return _for_groups(df, value_col, group_cols, order_cols, lambda d, k, s: ordered.lag_roll(
         d, k, value_col, lags or LAGS, [], s))
 
 
 def rolling(df, value_col="quantity", windows=None, group_cols=None, order_cols=None):
     """Mean, std and max of the last n rows; shorter windows at the start."""
-    return _for_groups(df, group_cols, order_cols, lambda d, k, s: ordered.lag_roll(
+    return _for_groups(df, value_col, group_cols, order_cols, lambda d, k, s: ordered.lag_roll(
         d, k, value_col, [], windows or WINDOWS, s))
 
 
@@ -170,7 +192,7 @@ def _span_alphas(value_col, spans, suffix):
 
 def ewma(df, value_col="quantity", spans=None, group_cols=None, order_cols=None) -> DataFrame:
     """Exponentially weighted means with factor 2/(span+1)."""
-    return _for_groups(df, group_cols, order_cols, lambda d, k, s: ordered.ewm(
+    return _for_groups(df, value_col, group_cols, order_cols, lambda d, k, s: ordered.ewm(
         d, k, value_col, _span_alphas(value_col, spans or SPANS, s)))
 
 

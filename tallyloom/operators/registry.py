@@ -6,8 +6,13 @@ of a key is its state. Model bytes live at ``path``, metadata is a JSON text.
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from tallyloom.session import remove
+from tallyloom.sources import commits, versions
+
 MODEL_TYPES = ["baseline", "random_forest"]
 KEY = ["type", "name"]
 
@@ -29,14 +34,16 @@ def register(log: DataFrame, entries: DataFrame) -> DataFrame:
     return log.unionByName(entries.withColumn("event", F.lit("save")).select(*COLUMNS))
 
 
-def latest(log: DataFrame) -> DataFrame:
-    """Current entry per key; deleted keys have none. Combines on the map side."""
+def newest(log: DataFrame) -> DataFrame:
+    """Last event per key, deletions too. Combines on the map side."""
     rest = [c for c in COLUMNS if c not in KEY]
-    newest = F.max_by(F.struct(*rest), F.struct("saved_at", "seq")).alias("_e")
-    return (
-        log.groupBy(*KEY).agg(newest).select(*KEY, "_e.*").filter(F.col("event") == "save")
-        .select(*[c for c in COLUMNS if c != "event"])
-    )
+    last = F.max_by(F.struct(*rest), F.struct("saved_at", "seq")).alias("_e")
+    return log.groupBy(*KEY).agg(last).select(*KEY, "_e.*").select(*COLUMNS)
+
+
+def latest(log: DataFrame) -> DataFrame:
+    """Current entry per key; deleted keys have none."""
+    return newest(log).filter(F.col("event") == "save").drop("event")
 
 
 def get(log: DataFrame, model_type: str, name: str) -> DataFrame:
@@ -90,12 +97,38 @@ def write(log: DataFrame, path: str) -> None:
     log.write.mode("append").json(path)
 
 
+def _state(path: str) -> str:
+    """Where compaction keeps the state; no file of events, as the name begins with an underscore."""
+    return f"{path}/_state"
+
+
 def scan(spark: SparkSession, path: str) -> DataFrame:
-    """Registry events at ``path``; lines that cannot be read are skipped, no folder is empty."""
-    from pyspark.errors import AnalysisException
+    """Registry events at ``path``: the state at the last compaction, and the events written since.
 
-    try:
-        raw = spark.read.schema(SCHEMA).option("mode", "PERMISSIVE").json(path)
-    except AnalysisException:
+    Lines that cannot be read are skipped; without a folder there are none. Events that the state holds
+    already may still be there: they say the same again.
+    """
+    if not commits.names(spark, path):
         return empty(spark)
-    return raw.filter(F.col("type").isNotNull() & F.col("name").isNotNull())
+    raw = spark.read.schema(SCHEMA).option("mode", "PERMISSIVE").json(path)
+    events = raw.filter(F.col("type").isNotNull() & F.col("name").isNotNull())
+    if commits.last(spark, f"{_state(path)}/log") is None:
+        return events
+    return versions.load(spark, _state(path), "state")[0].select(*COLUMNS).unionByName(events)
+
+
+def compact(spark: SparkSession, path: str, older_than: float = 3600.0) -> list[str]:
+    """Write the newest event of every key as the state; names of the event files deleted.
+
+    Deletions stay in it, so a save that is older but written later does not bring a model back. The
+    files that were there before and are older than ``older_than`` seconds go: readers that have listed
+    them may be at work until then.
+    """
+    now = time.time()
+    before = [(n, at) for n, at in commits.names(spark, path) if not n.startswith(("_", "."))]
+    versions.save(spark, _state(path), {"state": newest(scan(spark, path))})
+    versions.vacuum(spark, _state(path), older_than)
+    gone = [n for n, at in before if at <= now - older_than]
+    for n in gone:
+        remove(spark, f"{path}/{n}")
+    return gone

@@ -446,6 +446,17 @@ def forecast_lookup(spark, sf_dir):
         "category", "method", "step", "t", "yhat")
 
 
+@_f.add("forecast_lookup_many", forecast_sql(
+    "product_id", where="WHERE CAST(product_id AS BIGINT) < 1000"))
+def forecast_lookup_many(spark, sf_dir):
+    """A thousand products out of the forecasts of all."""
+    df = forecast.predict(sales(spark, sf_dir, "order_date", "quantity", "product_id"), 7, series_key=["product_id"])
+    path = scratch_path(spark, "forecast")
+    files.write_forecast(shown(df), path, ["product_id"])
+    return files.forecast_lookup(spark, path, product_id=[str(i) for i in range(1000)]).select(
+        "product_id", "method", "step", "t", "yhat")
+
+
 @_f.add("baseline_save_load", with_sales(daily_sql("category") + grid_sql("category") + """
   SELECT category, strftime(t, '%Y-%m-%d') AS t, y, CAST(7 AS INTEGER) AS window_size,
     3e-1 AS alpha FROM g"""))

@@ -279,3 +279,14 @@ def registry_scan(spark, sf_dir):
     registry.write(_log(spark, sf_dir), path)
     return registry.scan(spark, path).select(
         "type", "name", "seq", "saved_at", "event", "metadata")
+
+
+@_f.add("registry_compacted", f"WITH {_LOG_SQL} SELECT type, name, seq, saved_at, props AS metadata FROM now_there")
+def registry_compacted(spark, sf_dir):
+    """Events in three writes, compacted after the first and after the second, are the same state."""
+    path, log = scratch_path(spark, "registry"), _log(spark, sf_dir)
+    for i in range(3):
+        registry.write(log.filter(F.col("seq") % 3 == i), path)
+        if i < 2:
+            registry.compact(spark, path, older_than=0)
+    return registry.latest(registry.scan(spark, path)).select("type", "name", "seq", "saved_at", "metadata")

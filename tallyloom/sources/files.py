@@ -11,7 +11,7 @@ from urllib.parse import unquote
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyloom.operators import clean, forecast
 from tallyloom.sources.tables import SALES_COLUMNS
@@ -137,17 +137,46 @@ def forecast_json(df: DataFrame, series_key: list[str] | None = None) -> DataFra
     return arrays.groupBy(*key).agg(F.to_json(F.map_from_entries(entry)).alias("forecast"))
 
 
+# A file of forecasts holds at most so many rows, a row group about so many bytes.
+FORECAST_FILE_ROWS = 5_000_000
+FORECAST_GROUP_BYTES = 16 << 20
+
+
 def write_forecast(df: DataFrame, path: str, series_key: list[str] | None = None) -> None:
-    """Forecast table, one folder per series value, so a lookup reads its folder only."""
-    writer = df.write.mode("overwrite")
-    if series_key:
-        writer = writer.partitionBy(*series_key)
+    """Forecast table, laid out by series in files of bounded size.
+
+    A lookup reads the row groups whose range and Bloom filter admit the series; the number of files depends on
+    the rows, not on the series.
+    """
+    if not series_key:
+        df.write.mode("overwrite").parquet(path)
+        return
+    laid = df.repartitionByRange(*series_key).sortWithinPartitions(*series_key)
+    writer = laid.write.mode("overwrite").option("maxRecordsPerFile", FORECAST_FILE_ROWS).option(
+        "parquet.block.size", FORECAST_GROUP_BYTES)
+    for c in series_key:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
     writer.parquet(path)
 
 
+# Values of one test; lists of so many reach the files' filters value by value.
+_LISTED = 10
+
+
+def _any_of(name: str, values: list) -> Column:
+    """One of the values, as a balanced tree of short lists, all of which reach the files' filters."""
+    known = [v for v in values if v is not None]
+    tests = [F.col(name).isin(known[i:i + _LISTED]) for i in range(0, len(known), _LISTED)]
+    if len(known) < len(values):
+        tests.append(F.col(name).isNull())
+    while len(tests) > 1:
+        tests = [a | b for a, b in zip(tests[::2], tests[1::2])] + tests[len(tests) // 2 * 2:]
+    return tests[0] if tests else F.lit(False)
+
+
 def forecast_lookup(spark: SparkSession, path: str, **wanted) -> DataFrame:
-    """Stored forecast rows of one series; an unknown one has no rows."""
+    """Stored forecast rows of one series, or of the listed ones; unknown ones have no rows."""
     df = spark.read.parquet(path)
     for name, value in wanted.items():
-        df = df.filter(F.col(name) == value)
+        df = df.filter(_any_of(name, list(dict.fromkeys(value)) if isinstance(value, (list, tuple)) else [value]))
     return df
