@@ -385,19 +385,21 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return nodes.filter("part IS NULL").drop("part", "cells"), links
 
 
+def _n_links(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(_node, n_links): how many other rows a row of the node links with, exact copies included."""
+    copies = session.settle(nodes.filter("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("copies")), "copies")
+    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.join(copies, F.col("b") == F.col("node")).groupBy("a").agg(F.sum("copies").alias("near"))
+    return copies.join(near, F.col("node") == F.col("a"), "left").select(
+        F.col("node").alias("_node"), (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
+
+
 def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_links) of every document: how many other rows are exact copies or similar enough.
 
     Rows as in ``jaccard_groups``; texts without a word have no links.
     """
-    nodes, links = similar_links(docs, id_col, text_col)
-    copies = session.settle(nodes.filter("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("copies")), "copies")
-    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = both.join(copies, F.col("b") == F.col("node")).groupBy("a").agg(F.sum("copies").alias("near"))
-    counts = copies.join(near, F.col("node") == F.col("a"), "left").select(
-        F.col("node").alias("_node"), (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
-    return nodes.join(counts, F.col("node") == F.col("_node"), "left").select(
-        F.col("_id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return jaccard_groups(docs, id_col, text_col).select(F.col(f"`{id_col}`"), "n_links")
 
 
 def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -409,9 +411,10 @@ def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) of every document.
+    """(id, n_shingles, component_id, n_links) of every document.
 
-    The component is the smallest id that links reach. Texts without a word, null texts included,
+    The component is the smallest id that links reach; ``n_links`` counts the other rows that a row links with,
+    exact copies included. Texts without a word, null texts included,
     have no shingles and are their own component. Exact copies share their component; repeated
     rows are kept, one row out per row in. Null ids are kept, but are never the smallest unless
     all of a group are null. Very long texts are one set. An empty table gives none. Shingles are compared by
@@ -420,10 +423,12 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     nodes, links = similar_links(docs, id_col, text_col)
     named = _components(nodes, links)
     least = session.settle(named.groupBy("component").agg(F.min("first")["_id"].alias("least")), "least")
-    where = named.join(least, "component").select(F.col("node").alias("_node"), "least")
+    where = named.join(least, "component").select(F.col("node").alias("_node"), "least") \
+        .join(_n_links(nodes, links), "_node")
     return nodes.join(where, F.col("node") == F.col("_node"), "left").select(
         F.col("_id").alias(id_col), F.col("n").alias("n_shingles"),
-        F.when(F.col("node").isNull(), F.col("_id")).otherwise(F.col("least")).alias("component_id"))
+        F.when(F.col("node").isNull(), F.col("_id")).otherwise(F.col("least")).alias("component_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

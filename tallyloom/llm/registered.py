@@ -75,8 +75,9 @@ both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (
   SELECT rid AS a, rid AS b FROM d
   UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a)
-SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
-FROM d LEFT JOIN sizes USING (rid) JOIN (
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, coalesce(n_links, 0) AS n_links
+FROM d LEFT JOIN sizes USING (rid)
+LEFT JOIN (SELECT a AS rid, count(*) AS n_links FROM both_ways GROUP BY a) USING (rid) JOIN (
   SELECT a AS rid, min(doc_id) AS component_id
   FROM reach JOIN (SELECT rid AS b, doc_id FROM d) USING (b) GROUP BY a) USING (rid)"""
 

@@ -382,28 +382,56 @@ def test_jaccard_id_may_have_any_name(spark, name):
     texts = ["a b c d e f", "A b c d e f", "x y", None]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], f"{name} long, text string")
     rows = jaccard_join.jaccard_groups(docs, name).collect()
-    assert sorted(map(tuple, rows)) == [(0, 2, 0), (1, 2, 0), (2, 1, 2), (3, 0, 3)]
+    assert sorted(map(tuple, rows)) == [(0, 2, 0, 1), (1, 2, 0, 1), (2, 1, 2, 0), (3, 0, 3, 0)]
     assert sorted(r[name] for r in jaccard_join.first_of_groups(docs, name).collect()) == [0, 2, 3]
 
 
-@pytest.mark.parametrize("most", [8, 1])
-def test_jaccard_links_are_all_there(spark, near_copies, monkeypatch, most):
-    """Every pair of similar texts, within groups too, and the number of links per document."""
-    monkeypatch.setattr(jaccard_join, "MAX_MATCHES", most)
-    docs = frame(spark, near_copies).repartition(5)
+def similar_pairs(texts):
+    """(word sequences, pairs of similar texts), every pair looked at."""
     sets = []
-    for t in near_copies:
+    for t in texts:
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({i: i + 32 for i in range(65, 91)}))
         sets.append((tuple(w), {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()))
-    pairs = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2)
-             if sets[i][1] and sets[j][1] and 100 * len(sets[i][1] & sets[j][1]) >= 80 * len(sets[i][1] | sets[j][1])]
+    return [w for w, _ in sets], [
+        (i, j) for (i, (_, a)), (j, (_, b)) in itertools.combinations(enumerate(sets), 2)
+        if a and b and 100 * len(a & b) >= 80 * len(a | b)]
+
+
+def check_links(spark, docs, texts):
+    words, pairs = similar_pairs(texts)
     nodes, links = jaccard_join.similar_links(docs)
     name = {r._id: r.node for r in nodes.collect()}
     got = [(r.a, r.b) for r in links.collect()]
     assert len(got) == len(set(got))
-    assert set(got) == {tuple(sorted((name[i], name[j]))) for i, j in pairs if sets[i][0] != sets[j][0]}
+    assert set(got) == {tuple(sorted((name[i], name[j]))) for i, j in pairs if words[i] != words[j]}
     counts = {r.doc_id: r.n_links for r in jaccard_join.jaccard_links(docs).collect()}
-    assert counts == {i: sum(i in p for p in pairs) for i in range(len(sets))}
+    assert counts == {i: sum(i in p for p in pairs) for i in range(len(texts))}
+    return len(pairs)
+
+
+@pytest.mark.parametrize("most", [8, 1])
+def test_jaccard_links_are_all_there(spark, near_copies, monkeypatch, most):
+    """Every pair of similar texts, within groups too, and the number of links per document."""
+    monkeypatch.setattr(jaccard_join, "MAX_MATCHES", most)
+    check_links(spark, frame(spark, near_copies).repartition(5), near_copies)
+
+
+def edited(rng, words, times):
+    words = list(words)
+    for _ in range(times):
+        words[rng.randrange(len(words))] = f"e{rng.randrange(10 ** 6)}"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("edits", [(0, 1), (2, 4)])
+def test_links_of_large_groups(spark, edits):
+    """Groups of 300 near copies, tight and spread: no link is lost."""
+    rng = random.Random(edits[1])
+    texts = []
+    for size, length in ((300, 150), (120, 90), (5, 150)):
+        base = [f"w{rng.randrange(3000)}" for _ in range(length)]
+        texts += [edited(rng, base, rng.randint(*edits)) for _ in range(size)]
+    assert check_links(spark, frame(spark, texts).repartition(5), texts) > 300
 
 
 def test_jaccard_null_and_repeated_ids(spark):
