@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tallyloom.llm.common import map_texts
+from tallyloom.llm.common import arrow_schema, map_texts, sliced
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -15,21 +16,27 @@ MIN_WORDS = 50
 MAX_REPEATED_PCT = 50
 
 # Rules of one line, with the shares in percent that make a line fail.
-MAX_BARS_PCT = 25        # navigation: words that are only bars, like "Home | News | Contact"
+MAX_BARS_PCT = 25        # navigation: words that only separate, like "Home | News | Contact" or "Start » Sport"
 MAX_MARKED_PCT = 50      # punctuation: words with two or more symbols or exclamation marks in a row
 MAX_SAME_PCT = 50        # punctuation: words equal to the word before, in lines of some words
 SAME_FROM_WORDS = 10
-# Phrases that mark a short line as boilerplate, in lower case.
+# Phrases that mark a short line as boilerplate, in lower case: English, German, French, Spanish.
 BOILERPLATE = (
     "accept cookies", "all rights reserved", "click here", "cookie policy", "log in",
     "privacy policy", "read more", "sign in", "subscribe now", "terms of service",
+    "alle rechte vorbehalten", "cookies akzeptieren", "hier klicken", "jetzt abonnieren",
+    "cookie-richtlinie", "mehr lesen", "nutzungsbedingungen",
+    "accepter les cookies", "cliquez ici", "conditions d'utilisation", "lire la suite", "abonnez-vous",
+    "politique de confidentialité", "se connecter", "tous droits réservés",
+    "aceptar cookies", "haga clic aquí", "iniciar sesión", "leer más", "suscríbete",
+    "política de privacidad", "términos de servicio", "todos los derechos reservados",
 )
 BOILERPLATE_MAX_WORDS = 12
 # A document goes if the lines removed hold more than this percentage of its words.
 MAX_LOST_PCT = 50
 
 # The same patterns for the worker and for SQL.
-BAR = r"^\|+$"
+BAR = r"^[|¦·•»›→/>~]+$"
 MARKED = r"[#*$%&<>!]{2}"
 
 _BAR, _MARKED = re.compile(BAR), re.compile(MARKED)
@@ -45,12 +52,12 @@ def words_of(text: str) -> list[str]:
 def line_fails(words: list[str], line: str) -> bool:
     """Verdict of the line rules on a line with at least one word.
 
-    Navigation: more than MAX_BARS_PCT percent of its words are bars. Punctuation: more than
+    Navigation: more than MAX_BARS_PCT percent of its words are separators of menus or breadcrumbs. Punctuation: more than
     MAX_MARKED_PCT percent carry a run of marks, or more than MAX_SAME_PCT percent repeat the
     word before. Boilerplate: a short line with a fixed phrase.
     """
     n = len(words)
-    if "|" in line and 100 * sum(map(bool, map(_BAR.search, words))) > MAX_BARS_PCT * n:
+    if 100 * sum(map(bool, map(_BAR.search, words))) > MAX_BARS_PCT * n:
         return True
     if _MARKED.search(line) and 100 * sum(map(bool, map(_MARKED.search, words))) > MAX_MARKED_PCT * n:
         return True
@@ -130,12 +137,10 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def cleaned(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents that are kept, all columns as they are, the text without its failing lines.
 
-    Taking lines out may leave fewer than MIN_WORDS words; the verdict on the whole text holds.
+    Taking lines out may leave fewer than MIN_WORDS words; the verdict on the whole text holds. Null and
+    empty texts have too few words and go. Repeated rows and null ids are judged each for itself; an empty
+    table stays empty; a very long text is one row of one task. Columns of any other name pass through.
     """
-    import pyarrow as pa
-
-    from tallyloom.llm.common import arrow_schema, sliced
-
     at, target = docs.columns.index(text_col), arrow_schema(docs.schema)
 
     def run(batches):

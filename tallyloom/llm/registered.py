@@ -158,7 +158,7 @@ judged AS (
             > {quality.MAX_SAME_PCT} * len(ws)
     OR len(ws) <= {quality.BOILERPLATE_MAX_WORDS} AND regexp_matches(
         translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-        '{"|".join(quality.BOILERPLATE)}') AS fails
+        '{"|".join(quality.BOILERPLATE).replace("'", "''")}') AS fails
   FROM lines WHERE len(ws) > 0),
 by_line AS (
   SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines,

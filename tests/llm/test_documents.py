@@ -53,6 +53,28 @@ def test_quality_verdict(text, kept):
     assert quality.judge(text)[-1] is kept
 
 
+@pytest.mark.parametrize("line", [
+    "Home | News | Contact | About", "Start » Sport » Fußball", "Accueil › Actualités › Culture", "a · b · c · d",
+    "Inicio > Noticias > Cultura", "x / y / z", "Alle Rechte vorbehalten.", "Hier klicken, um mehr zu sehen",
+    "Tous droits réservés 2020", "Lire la suite", "Todos los derechos reservados", "Haga clic aquí", "Read more ...",
+    "&&& ### !!! $$$", "la la la la la la la la la la la",
+])
+def test_lines_that_fail(line):
+    assert quality.line_fails(quality.words_of(line), line)
+    kept, n, lost, _ = quality.clean_lines(PROSE + "\n" + line)
+    assert "\n".join(kept) == PROSE and lost == len(line.split())
+
+
+@pytest.mark.parametrize("line", [
+    "Das Haus – und der Garten – gehörten ihr allein; alle Rechte daran hatte sie sich vorbehalten, sagte sie.",
+    "Elle aimait lire la suite des aventures que son frère lui racontait chaque soir près du feu de bois.",
+    "He chose either/or, and then 3 > 2 was all that he could say about the matter on that day.",
+    "Leyó más de lo que quería.", "a",
+])
+def test_lines_that_stay(line):
+    assert not quality.line_fails(quality.words_of(line), line)
+
+
 def test_cleaned_drops_lines_and_documents(spark):
     docs = frame(spark, [PROSE + "\nHome | News | Contact", "short", None])
     rows = quality.cleaned(docs).collect()
