@@ -155,6 +155,12 @@ def _written_blocks(queries: DataFrame, names: list[str], rows: int) -> tuple[st
         "query_id IS NOT NULL")
     n = max(1, -(-known.count() // rows))
     path = scratch_path(spark, "queries")
+    try:
+        fs.FileSystem.from_uri(path)
+    except (ValueError, OSError) as e:
+        raise ValueError(
+            f"the tasks cannot read {path}: nearest neighbours need a spark.checkpoint.dir that pyarrow.fs "
+            "knows (a path, file:, hdfs:, s3:, gs: or abfs:)") from e
     known.withColumn("_block", F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int")) \
         .repartition(n, "_block").write.partitionBy("_block").parquet(path)
     return path, n

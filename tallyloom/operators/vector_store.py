@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from tallyloom.functions import vectors as vec
 from tallyloom.operators import ordered
@@ -107,8 +107,15 @@ def load(spark: SparkSession, path: str) -> tuple[DataFrame, int, str]:
 
 
 def upsert_latest(writes: DataFrame, key: str = "doc_id", write_order: str = "written") -> DataFrame:
-    """Last write per id wins; each task first reduces its own rows to one per id."""
-    w = Window.partitionBy(key).orderBy(F.desc(write_order))
+    """Last write per id wins; each task first reduces its own rows to one per id.
+
+    Of writes of one id with the same order the one with the greatest other columns counts, so the result is
+    the same on every run; maps count by their JSON text.
+    """
+    rest = [F.desc(f.name) for f in writes.schema.fields
+            if f.name not in (key, write_order) and not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    maps = [F.desc(F.to_json(f.name)) for f in writes.schema.fields if isinstance(f.dataType, T.MapType)]
+    w = Window.partitionBy(key).orderBy(F.desc(write_order), *rest, *maps)
     return writes.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 

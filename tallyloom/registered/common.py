@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tallyloom.functions.numeric import round_even
+from tallyloom.sources import commits
 
 
 class Family:
@@ -35,6 +36,11 @@ def shown(df: DataFrame, places: dict[str, int] | None = None, default: int = 6)
     return out
 
 
+def changed(spark, sf_dir: str) -> tuple:
+    """Names and times of what lies in a table folder: what was made of it is stale when they differ."""
+    return tuple(sorted(commits.names(spark, sf_dir)))
+
+
 def r(expr: str, places: int = 6) -> str:
     """SQL of the same rounding."""
     return f"(round_even(({expr}) * 1e{places}, 0) / 1e{places} + 0e0)"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators import postings, rag, retrieval, tfidf
 from tallyloom.plans import answers
-from tallyloom.registered.common import Family, r, shown
+from tallyloom.registered.common import Family, changed, r, shown
 from tallyloom.session import scratch_path, settle
 from tallyloom.sources import documents, versions
 from tallyloom.sources.tables import table
@@ -73,7 +73,7 @@ _INDEXES: dict = {}
 
 
 def shared_index(spark, sf_dir):
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, changed(spark, sf_dir))
     if key not in _INDEXES:
         path = scratch_path(spark, "document-index")
         retrieval.save(retrieval.build_index(_docs(spark, sf_dir)), path)

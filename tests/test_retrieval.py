@@ -269,6 +269,20 @@ def test_vector_store(spark, tmp_path):
     assert latest == {"d": [2.0], "e": [3.0]}
 
 
+def test_equal_writes_have_one_winner(spark):
+    rows = [("d", [1.0], {"a": "1"}, 5), ("d", [2.0], {"a": "0"}, 5), ("d", [2.0], {"a": "2"}, 5), ("d", [9.0], None, 4)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id string, embedding array<float>, m map<string,string>, written int")
+        assert [(r.embedding, r.m) for r in vector_store.upsert_latest(df).collect()] == [([2.0], {"a": "2"})]
+
+
+def test_folder_that_tasks_cannot_read_is_named(spark, monkeypatch):
+    monkeypatch.setattr(nn, "scratch_path", lambda *_: "wasbs://box@store/x")
+    one = spark.createDataFrame([(1, [1.0])], "query_id bigint, embedding array<float>")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        nn.knn(one, one.withColumnRenamed("query_id", "ord"))
+
+
 @pytest.fixture(scope="module")
 def index(docs):
     return retrieval.build_index(docs)
