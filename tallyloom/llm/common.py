@@ -6,10 +6,13 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, types as T
+import pyarrow.dataset as ds
+from pyarrow import fs
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tallyloom import session
+from tallyloom.sources import commits
 
 
 def sha256_hex(text: str | bytes) -> str:
@@ -75,23 +78,60 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def blocks(df: DataFrame, order: list[str], rows: int) -> list:
-    """The rows of ``df`` as Arrow tables of at most ``rows`` rows each, one at a time on the driver.
+# Bytes of rows that a task holds while blocks pass by.
+HELD_BYTES = 64_000_000
 
-    For side tables that every task needs: each block has a fixed largest size, the number of
-    blocks grows with the table, and the caller passes its data through one block after the
-    other. ``df`` is settled first so that all blocks are cut from the same rows.
+
+def held(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in lists of about HELD_BYTES, cut into slices of SLICE_ROWS rows."""
+    out, size = [], 0
+    for b in sliced(batches):
+        out.append(b)
+        size += b.nbytes
+        if size >= HELD_BYTES:
+            yield out
+            out, size = [], 0
+    if out:
+        yield out
+
+
+class Blocks:
+    """A side table in blocks of bounded size in the shared folder, read one after the other by the tasks.
+
+    Neither the driver nor a task holds more than one. A table that fits one block is read once per task.
     """
-    whole = session.settle(df, "blocks")
-    n = whole.count()
-    if n <= rows:
-        return [whole.toArrow()]
-    numbered = whole.sparkSession.createDataFrame(
-        whole.orderBy(*order).rdd.zipWithIndex().map(lambda x: (*x[0], x[1])),
-        as_schema([*whole.schema.fields, ("_block_row", "long")]))
-    numbered = session.settle(numbered, "blocks")
-    out = []
-    for start in range(0, n, rows):
-        part = numbered.filter(f"_block_row >= {start} AND _block_row < {start + rows}")
-        out.append(part.drop("_block_row").toArrow())
-    return out
+
+    def __init__(self, folders: list[str], columns: list[str]):
+        self.folders, self.columns = folders, columns
+
+    def each(self, make: Callable[[pa.Table], object], kept: dict):
+        """``make`` of every block in turn; ``kept``, the task's own, spares a single block the next reading."""
+        for folder in self.folders:
+            if folder in kept:
+                yield kept[folder]
+                continue
+            store, base = fs.FileSystem.from_uri(folder)
+            made = make(ds.dataset(base, filesystem=store, format="parquet").to_table(self.columns))
+            if len(self.folders) == 1:
+                kept[folder] = made
+            yield made
+
+
+def blocks(df: DataFrame, columns: list[str], rows: int) -> Blocks:
+    """``df`` written as blocks of about ``rows`` rows each; at least one, which may be empty."""
+    spark = df.sparkSession
+    path = session.scratch_path(spark, "blocks")
+    session.note(path)
+    try:
+        fs.FileSystem.from_uri(path)
+    except (ValueError, OSError) as e:
+        raise ValueError(f"the tasks cannot read {path}: pyarrow.fs does not know the folder") from e
+    df.select(*columns).write.parquet(f"{path}/whole")
+    whole = spark.read.parquet(f"{path}/whole")
+    n = -(-whole.count() // rows)
+    if n <= 1:
+        return Blocks([f"{path}/whole"], columns)
+    whole.withColumn("_block", F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int")) \
+        .repartition(n, "_block").write.partitionBy("_block").parquet(f"{path}/parts")
+    return Blocks([f"{path}/parts/{name}" for name, _ in commits.names(spark, f"{path}/parts")
+                   if name.startswith("_block=")], columns)

@@ -1,8 +1,8 @@
-"""Benchmark decontamination: a broadcast set of the test items' word n-grams, scanned and verified.
+"""Benchmark decontamination: a hash set of the test items' word n-grams, sent to all tasks, scanned and verified.
 
-The windows of all items are words numbered by a vocabulary and cut into blocks of bounded size;
-the documents pass through one block after the other, so the broadcast never grows with the
-benchmark and nothing is shuffled on the documents' side.
+The windows of all items are words numbered by a vocabulary and cut into blocks of bounded size in the shared
+folder; every task reads one block after the other and holds one at a time, so what it holds does not grow
+with the benchmark, and nothing is shuffled on the documents' side.
 """
 
 from __future__ import annotations
@@ -14,10 +14,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tallyloom.llm.common import arrow_schema, as_schema, blocks, field, sliced
+from tallyloom.llm.common import Blocks, arrow_schema, as_schema, blocks, field, held
 
 WINDOW = 10
-# Windows of one broadcast block; a window is at most WINDOW words.
+# Windows of one block; a window is at most WINDOW words.
 BLOCK_WINDOWS = 200_000
 
 # Words of UTF-8 bytes with A-Z lowered: runs of letters, digits and anything beyond ASCII.
@@ -115,12 +115,12 @@ def _mask(spans: list[int], n: int) -> np.ndarray:
     return hit
 
 
-def _benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int) -> list:
-    """Broadcast blocks; always at least one."""
-    sc = benchmark.sparkSession.sparkContext
-    return [sc.broadcast((t.column("window").to_pylist(), t.column("item").to_pylist()))
-            for t in blocks(item_windows(benchmark, id_col, text_col, size),
-                            ["window", "item"], BLOCK_WINDOWS)]
+def _benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int) -> Blocks:
+    return blocks(item_windows(benchmark, id_col, text_col, size), ["window", "item"], BLOCK_WINDOWS)
+
+
+def _scanner(block: pa.Table) -> Scanner:
+    return Scanner(block.column("window").to_pylist(), block.column("item").to_pylist())
 
 
 def contamination(
@@ -134,36 +134,39 @@ def contamination(
 
     Null and empty texts have no words and no hits; an empty benchmark hits nothing; an item with
     a null id counts for hits but is not listed. Equal items and repeated rows are all kept, one
-    row out per document. Long texts are scanned whole. Further columns are not read.
+    row out per document. Long texts are scanned whole. Further columns are not read; an id column may not
+    have the name of an output column.
     """
-    schema = as_schema([field(docs, id_col), ("n_words", "long"), ("spans", "array<int>"),
-                        ("items", "array<string>"), (text_col + "_", "string")])
+    if id_col in ("n_words", "spans", "items"):
+        raise ValueError(f"the id column may not be called {id_col}")
+    schema = as_schema([("_id", field(docs, id_col).dataType.simpleString()), ("n_words", "long"),
+                        ("spans", "array<int>"), ("items", "array<string>")])
     target = arrow_schema(schema)
-    rows = docs.select(
-        f"`{id_col}`", F.lit(0).cast("long").alias("n_words"),
-        F.array().cast("array<int>").alias("spans"), F.array().cast("array<string>").alias("items"),
-        F.col(f"`{text_col}`").alias(text_col + "_"))
-
-    def step(shipped):
-        def run(batches):
-            scanner = Scanner(*shipped.value)
-            for b in sliced(batches):
-                counts, spans, items = [], [], []
-                for before, had, text in zip(*(b.column(i).to_pylist() for i in (2, 3, 4))):
-                    words = words_of(text or "")
-                    hit, owners = scanner.scan(words)
-                    counts.append(len(words))
-                    spans.append(_spans(hit | _mask(before, len(words))))
-                    items.append(sorted({*had, *(o for o in owners if o is not None)}))
+    windows = _benchmark_blocks(benchmark, item_col, item_text_col, size)
+
+    def run(batches):
+        kept: dict = {}
+        for part in held(batches):
+            counts = [[0] * b.num_rows for b in part]
+            spans = [[[] for _ in range(b.num_rows)] for b in part]
+            items = [[set() for _ in range(b.num_rows)] for b in part]
+            for scanner in windows.each(_scanner, kept):
+                for k, b in enumerate(part):
+                    for i, text in enumerate(b.column(1).to_pylist()):
+                        words = words_of(text or "")
+                        hit, owners = scanner.scan(words)
+                        counts[k][i] = len(words)
+                        if owners:
+                            spans[k][i] = _spans(hit | _mask(spans[k][i], len(words)))
+                            items[k][i].update(o for o in owners if o is not None)
+            for k, b in enumerate(part):
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).cast(target.field(0).type), pa.array(counts, pa.int64()),
-                     pa.array(spans, target.field(2).type), pa.array(items, target.field(3).type),
-                     b.column(4).cast(pa.string())], schema=target)
-        return run
+                    [b.column(0).cast(target.field(0).type), pa.array(counts[k], pa.int64()),
+                     pa.array(spans[k], target.field(2).type),
+                     pa.array([sorted(x) for x in items[k]], target.field(3).type)], schema=target)
 
-    for block in _benchmark_blocks(benchmark, item_col, item_text_col, size):
-        rows = rows.mapInArrow(step(block), schema)
-    return rows.drop(text_col + "_")
+    return docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text")) \
+        .mapInArrow(run, schema).withColumnRenamed("_id", id_col)
 
 
 def remove_words(text: str, spans: list[int]) -> str:
@@ -187,31 +190,39 @@ def decontaminated(
 
     A cut may bring words together that form a test window again; such windows are cut as well,
     until none is left. All blocks of the benchmark scan the same text before it is cut, and the
-    share is judged once, on the words that all cuts took. Null texts stay null.
+    share is judged once, on the words that all cuts took. Null texts stay null, empty ones empty, and an
+    empty benchmark changes nothing. Repeated rows and null ids are judged each for itself; a very long text is
+    one row of one task; columns of any name pass through.
     """
-    shipped = _benchmark_blocks(benchmark, item_col, item_text_col, size)
+    windows = _benchmark_blocks(benchmark, item_col, item_text_col, size)
     at, target = docs.columns.index(text_col), arrow_schema(docs.schema)
 
     def run(batches):
-        scanners = [Scanner(*block.value) for block in shipped]
-        for b in sliced(batches):
-            keep, texts = [], []
-            for text in b.column(at).to_pylist():
-                words = words_of(text or "")
-                n, lost = len(words), 0
-                while True:
-                    hit = np.zeros(len(words), bool)
-                    for scanner in scanners:
-                        hit |= scanner.scan(words)[0]
-                    if not hit.any():
-                        break
-                    lost += int(hit.sum())
-                    text = remove_words(text, _spans(hit))
-                    words = words_of(text)
-                keep.append(100 * lost <= max_hit_pct * n)
-                texts.append(text)
-            arrays = [b.column(i).cast(target.field(i).type) for i in range(b.num_columns)]
-            arrays[at] = pa.array(texts, target.field(at).type)
-            yield pa.RecordBatch.from_arrays(arrays, schema=target).filter(pa.array(keep, pa.bool_()))
+        kept: dict = {}
+        for part in held(batches):
+            texts = [b.column(at).to_pylist() for b in part]
+            lost = [[0] * b.num_rows for b in part]
+            total = [[0] * b.num_rows for b in part]
+            open_ = [(k, i) for k, b in enumerate(part) for i in range(b.num_rows)]
+            first = True
+            while open_:
+                hits: dict = {}
+                for scanner in windows.each(_scanner, kept):
+                    for k, i in open_:
+                        words = words_of(texts[k][i] or "")
+                        if first:
+                            total[k][i] = len(words)
+                        hit = scanner.scan(words)[0]
+                        if hit.any():
+                            hits[k, i] = hits[k, i] | hit if (k, i) in hits else hit
+                for (k, i), hit in hits.items():
+                    lost[k][i] += int(hit.sum())
+                    texts[k][i] = remove_words(texts[k][i], _spans(hit))
+                open_, first = list(hits), False
+            for k, b in enumerate(part):
+                arrays = [b.column(c).cast(target.field(c).type) for c in range(b.num_columns)]
+                arrays[at] = pa.array(texts[k], target.field(at).type)
+                keep = [100 * x <= max_hit_pct * n for x, n in zip(lost[k], total[k])]
+                yield pa.RecordBatch.from_arrays(arrays, schema=target).filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

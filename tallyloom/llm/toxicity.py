@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyloom import session
-from tallyloom.llm.common import arrow_schema, as_schema, blocks, field, sliced
+from tallyloom.llm.common import arrow_schema, as_schema, blocks, field, held, sliced
 
 ORDER = 5            # bytes of an n-gram; packed into one long
 DISCOUNT = 0.75
@@ -31,7 +31,7 @@ MARGINS = (None, 0.0, 0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 4.0, 5.0, 6.0)
 FOLDS = 2
 # Bytes added to a text's length, so that one odd word does not decide a very short text.
 PRIOR_BYTES = 100
-# Rows of one broadcast block of n-grams or of expressions.
+# Rows of one block of n-grams or of expressions.
 BLOCK_ROWS = 1_000_000
 # Distinct words a worker counts before it hands them on.
 HELD_WORDS = 500_000
@@ -180,33 +180,33 @@ def expressions(words: DataFrame, ratios: DataFrame) -> DataFrame:
 
     The words pass through the model block by block and gather their sums.
     """
-    sc = words.sparkSession.sparkContext
     schema = as_schema([("word", "binary"), ("total", "double")])
+    table = blocks(ratios, ["key", "ratio"], BLOCK_ROWS)
 
-    def step(shipped):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            keys, values = shipped.value
-            for b in batches:
-                words = b.column(0).to_pylist()
-                if not words:
-                    continue
-                grams, which = packed_grams(words)
-                gained = np.zeros(len(grams))
-                if len(keys):
+    def sorted_block(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        keys, values = t.column("key").to_numpy(), t.column("ratio").to_numpy()
+        order = np.argsort(keys)
+        return keys[order], values[order]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict = {}
+        for part in held(batches):
+            totals = [np.zeros(b.num_rows) for b in part]
+            for keys, values in table.each(sorted_block, kept):
+                for k, b in enumerate(part):
+                    if not b.num_rows or not len(keys):
+                        continue
+                    grams, which = packed_grams(b.column(0).to_pylist())
+                    gained = np.zeros(len(grams))
                     for key in (grams, -1 - (grams >> 8)):
                         at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
                         gained += np.where(keys[at] == key, values[at], 0.0)
-                total = b.column(1).to_numpy() + np.bincount(which, weights=gained, minlength=len(words))
+                    totals[k] += np.bincount(which, weights=gained, minlength=b.num_rows)
+            for b, total in zip(part, totals):
                 yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.binary()), pa.array(total)],
                                                  schema=arrow_schema(schema))
-        return run
 
-    rows = words.select("word", F.lit(0.0).alias("total"))
-    for t in blocks(ratios, ["key"], BLOCK_ROWS):
-        keys, values = t.column("key").to_numpy(), t.column("ratio").to_numpy()
-        order = np.argsort(keys)
-        rows = rows.mapInArrow(step(sc.broadcast((keys[order], values[order]))), schema)
-    return rows
+    return words.select("word").mapInArrow(run, schema)
 
 
 def weighed(totals: np.ndarray, margin: float | None) -> np.ndarray:
@@ -219,31 +219,31 @@ def evidence(docs: DataFrame, table: DataFrame, keep: str, text_col: str, margin
 
     The texts pass through the table of expressions block by block; nothing is shuffled.
     """
-    sc = docs.sparkSession.sparkContext
-    schema = as_schema([field(docs, keep), ("totals", "array<double>"), ("size", "long"), ("text", "string")])
+    schema = as_schema([field(docs, keep), ("evidence", "array<double>")])
     target = arrow_schema(schema)
+    told = blocks(table, ["word", "total"], BLOCK_ROWS)
+
+    def lookup(t: pa.Table) -> dict:
+        return dict(zip(t.column("word").to_pylist(), t.column("total").to_pylist()))
 
-    def step(shipped):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            get = shipped.value.get
-            for b in sliced(batches):
-                totals, sizes = [], []
-                for text, before in zip(b.column(3).to_pylist(), b.column(1).to_pylist()):
-                    words = words_of(text or "")
-                    found = np.fromiter(filter(None, map(get, words)), float)
-                    totals.append([x + float(weighed(found, m).sum()) for x, m in zip(before, margins)])
-                    sizes.append(sum(map(len, words)) + len(words))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict = {}
+        for part in held(batches):
+            totals = [np.zeros((b.num_rows, len(margins))) for b in part]
+            sizes = [np.zeros(b.num_rows) for b in part]
+            for known in told.each(lookup, kept):
+                for k, b in enumerate(part):
+                    for i, text in enumerate(b.column(1).to_pylist()):
+                        words = words_of(text or "")
+                        found = np.fromiter(filter(None, map(known.get, words)), float)
+                        totals[k][i] += [float(weighed(found, m).sum()) for m in margins]
+                        sizes[k][i] = sum(map(len, words)) + len(words)
+            for k, b in enumerate(part):
+                each = totals[k] / (sizes[k] + PRIOR_BYTES)[:, None]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).cast(target.field(0).type), pa.array(totals, target.field(1).type),
-                     pa.array(sizes, pa.int64()), b.column(3).cast(pa.string())], schema=target)
-        return run
-
-    rows = docs.select(f"`{keep}`", F.array(*[F.lit(0.0)] * len(margins)).alias("totals"),
-                       F.lit(0).cast("long").alias("size"), F.col(f"`{text_col}`").alias("text"))
-    for t in blocks(table, ["word"], BLOCK_ROWS):
-        shipped = sc.broadcast(dict(zip(t.column("word").to_pylist(), t.column("total").to_pylist())))
-        rows = rows.mapInArrow(step(shipped), schema)
-    return rows.select(f"`{keep}`", F.transform("totals", lambda x: x / (F.col("size") + PRIOR_BYTES)).alias("evidence"))
+                    [b.column(0).cast(target.field(0).type), pa.array(list(each), target.field(1).type)], schema=target)
+
+    return docs.select(f"`{keep}`", f"`{text_col}`").mapInArrow(run, schema)
 
 
 def scaled(e: Column) -> Column:
