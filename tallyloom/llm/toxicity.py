@@ -284,11 +284,12 @@ def calibrate(rows: DataFrame) -> tuple[float, float, float]:
     return float(slope), float(intercept), float(loss)
 
 
-def choose_margin(taught: DataFrame, words: DataFrame) -> float | None:
-    """The one of MARGINS whose calibrated evidence has the least log-loss on the training rows,
-    each scored by models of the other folds. Of equal ones the first; no other row is looked at.
+def choose_margin(taught: DataFrame, words: DataFrame) -> tuple[float | None, float, float]:
+    """(margin, slope, intercept): the one of MARGINS whose calibrated evidence has the least log-loss on the
+    training rows, each scored by models of the other folds, and the curve of that evidence.
 
-    ``taught`` holds (text, label, fold), ``words`` their counts by fold. All training rows are used.
+    Of equal ones the first; no other row is looked at. ``taught`` holds (text, label, fold), ``words`` their
+    counts by fold. All training rows are used, and none is judged by a model that has seen it.
     """
     scored = None
     for fold in range(FOLDS):
@@ -298,9 +299,10 @@ def choose_margin(taught: DataFrame, words: DataFrame) -> float | None:
         own = evidence(taught.filter(F.col("fold") == fold), table, "label", "text", MARGINS)
         scored = own if scored is None else scored.union(own)
     scored = session.settle(scored, "folds")
-    losses = [calibrate(scored.select(F.col("evidence")[i].alias("evidence"), "label"))[2]
+    curves = [calibrate(scored.select(F.col("evidence")[i].alias("evidence"), "label"))
               for i in range(len(MARGINS))]
-    return MARGINS[int(np.argmin(losses))]
+    best = int(np.argmin([loss for _, _, loss in curves]))
+    return MARGINS[best], *curves[best][:2]
 
 
 def toxicity(
@@ -328,14 +330,13 @@ def toxicity(
             F.pmod(F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))), F.lit(FOLDS)).cast("int").alias("fold")),
         "taught")
     words = session.settle(word_counts(taught, "text", "label", "fold"), "words")
-    margin = choose_margin(taught, words)
+    margin, slope, intercept = choose_margin(taught, words)
     ratios = session.settle(model(session.settle(gram_counts(words), "grams")), "model")
     table = expressions(distinct_words(docs, text_col), ratios)
     if margin is not None:
         table = table.filter(F.col("total") > margin)
     rows = session.settle(evidence(docs, table, id_col, text_col, (margin,)).select(
         key, F.col("evidence")[0].alias("evidence")), "evidence")
-    slope, intercept, _ = calibrate(rows.filter(train).join(known, key == F.col("_id")))
     score = 1 / (1 + F.exp(-(slope * scaled(F.col("evidence")) + intercept)))
     return rows.select(key, score.alias("score")).withColumn(
         "predicted", (F.col("score") >= threshold).cast("int"))

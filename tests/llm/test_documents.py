@@ -271,13 +271,10 @@ def test_word_grams():
     assert list(which) == [0, 0, 0, 1, 1]
 
 
-def test_model_is_a_pair_of_distributions(spark):
-    """Ratios equal those of two Kneser-Ney models worked out by hand."""
+def ratios_by_hand(counts):
+    """Log-ratio of a gram in two Kneser-Ney models over one shared backoff, from {word: (ordinary, toxic)}."""
     import math
     from collections import Counter
-    counts = {b"abc": (3, 1), b"abd": (0, 4), b"x": (2, 0)}
-    words = spark.createDataFrame([(w, *c) for w, c in counts.items()], "word binary, ordinary long, toxic long")
-    got = {r.key: r.ratio for r in toxicity.model(toxicity.gram_counts(words)).collect()}
     grams = [Counter(), Counter()]
     for w, c in counts.items():
         for g in toxicity.packed_grams([w])[0]:
@@ -290,19 +287,79 @@ def test_model_is_a_pair_of_distributions(spark):
         lower[s >> 8] += n
         types[s >> 8] += 1
         last[s & 255] += n
+    held = [{}, {}]
+    for k in (0, 1):
+        for x, n in grams[k].items():
+            if n:
+                held[k].setdefault(x >> 8, []).append(n)
 
     def p(k, g):
-        h = [(x, n) for x, n in grams[k].items() if x >> 8 == g >> 8 and n]
+        h = held[k].get(g >> 8, [])
         s = g & 0xFFFFFFFF
         floor = (last[s & 255] + 1) / (sum(last.values()) + 256)
-        shared = (cont[s] - .75 + .75 * types[s >> 8] * floor) / lower[s >> 8]
+        shared = (cont[s] - .75 + .75 * types[s >> 8] * floor) / lower[s >> 8] if g in kinds else 1.0
         if not h:
             return shared
-        n = sum(x for _, x in h)
+        n = sum(h)
         return max(grams[k][g] - .75, 0) / n + .75 * len(h) / n * shared
 
+    return kinds, lambda g: math.log(p(1, g) / p(0, g))
+
+
+def test_model_is_a_pair_of_distributions(spark):
+    """Ratios equal those of two Kneser-Ney models worked out by hand."""
+    counts = {b"abc": (3, 1), b"abd": (0, 4), b"x": (2, 0)}
+    words = spark.createDataFrame([(w, *c) for w, c in counts.items()], "word binary, ordinary long, toxic long")
+    got = {r.key: r.ratio for r in toxicity.model(toxicity.gram_counts(words)).collect()}
+    kinds, ratio = ratios_by_hand(counts)
     for g in kinds:
-        assert got[g] + got[-1 - (g >> 8)] == pytest.approx(math.log(p(1, g) / p(0, g)), abs=1e-9)
+        assert got[g] + got[-1 - (g >> 8)] == pytest.approx(ratio(g), abs=1e-9)
+
+
+@pytest.mark.parametrize("margin", [None, 0.5])
+def test_whole_score_by_hand(spark, monkeypatch, margin):
+    """Fifty short texts: counts, models, evidence, folds, curve and verdict against plain loops."""
+    import math
+    rng = random.Random(4)
+    plain, bad = ["river", "tree", "house", "grün", "stone", "bird"], ["grumph", "zwack"]
+    texts = [" ".join(rng.choices(plain, k=rng.randint(3, 12)) + rng.choices(bad, k=2 * (i % 4 == 0))) for i in range(50)]
+    texts[7], texts[9] = "", None
+    label = {i: int(i % 4 == 0) for i in range(40)}
+    monkeypatch.setattr(toxicity, "MARGINS", (margin,))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame(list(label.items()), "doc_id long, toxic int")
+    got = {r.doc_id: (r.score, r.predicted) for r in toxicity.toxicity(docs, labels, F.col("doc_id") < 40).collect()}
+
+    def learnt(ids):
+        counts = {}
+        for i in ids:
+            for w in toxicity.words_of(texts[i] or ""):
+                counts.setdefault(w, [0, 0])[label[i]] += 1
+        kinds, ratio = ratios_by_hand(counts)
+        contexts = {g >> 8 for g in kinds}
+
+        def evidence(text):
+            words = toxicity.words_of(text or "")
+            total = 0.0
+            for w in words:
+                grams = [int(g) for g in toxicity.packed_grams([w])[0]]
+                own = sum(ratio(g) for g in grams if g >> 8 in contexts)
+                total += own if margin is None else max(own - margin, 0.0)
+            return total / (sum(map(len, words)) + len(words) + toxicity.PRIOR_BYTES)
+        return evidence
+
+    fold = {r.doc_id: r.fold for r in docs.select("doc_id", F.pmod(F.xxhash64(
+        F.coalesce("text", F.lit(""))), F.lit(toxicity.FOLDS)).alias("fold")).collect()}
+    models = {f: learnt([i for i in label if fold[i] != f]) for f in range(toxicity.FOLDS)}
+    apart = spark.createDataFrame([(models[fold[i]](texts[i]), y) for i, y in label.items()], "evidence double, label int")
+    slope, intercept, _ = toxicity.calibrate(apart)
+    whole = learnt(label)
+    for i, t in enumerate(texts):
+        e = whole(t)
+        x = slope * math.copysign(math.log1p(abs(e) * 1000), e) * (e != 0) + intercept
+        assert got[i][0] == pytest.approx(1 / (1 + math.exp(-x)), abs=1e-6), i
+        assert got[i][1] == (got[i][0] >= 0.3)
+    assert all(got[i][1] == (i % 4 == 0) for i in range(40, 50))
 
 
 def test_toxicity_learns_from_training_rows_only(spark, monkeypatch):
