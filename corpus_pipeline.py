@@ -1,4 +1,8 @@
-"""Corpus pipeline over ``documents``: stages that each apply one operator to what is left."""
+"""Corpus pipeline over ``documents``: stages that each apply one operator to what is left.
+
+All stages take null ids, repeated rows, very long texts (a text is one row of one task) and empty tables, and need
+the columns of ``documents``; further ones pass through all but the last.
+"""
 
 from __future__ import annotations
 
@@ -20,7 +24,10 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, without their failing lines."""
+    """Documents that the quality rules keep, without their failing lines.
+
+    Null, empty and short texts go; rows alike are judged each for itself.
+    """
     return _counted(quality.cleaned(docs))
 
 
@@ -33,18 +40,21 @@ def jaccard_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark spans cut out; documents that are mostly benchmark removed."""
+    """Benchmark spans cut out; documents that are mostly benchmark removed.
+
+    Null and empty texts stay as they are; rows alike stay alike.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return _counted(decontaminate.decontaminated(docs, benchmark))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets replaced by their kind."""
+    """Secrets replaced by their kind; all rows stay, null and empty texts as they are."""
     return _counted(secret_scan.redacted(docs))
 
 
 def sentencepiece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, ids, text): the ids of each document and the text they decode to."""
+    """(doc_id, ids, text): the ids of each document and the text they decode to; null texts are empty ones."""
     path = public_tokenizers.path(PIECE_MODEL)
     return sp_codec.decode(sp_codec.encode(docs, path), path)
 

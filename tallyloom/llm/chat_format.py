@@ -101,8 +101,13 @@ def format_chats(
 
 
 def read_back(chats: DataFrame, template: Template = Template(), conv_col: str = "conv_id") -> DataFrame:
-    """(conversation, valid, turns, learnt): turns as (role, text) out of the formatted text, and
-    the texts under the loss flags, all unescaped."""
+    """(conversation, valid, turns, learnt, formatted_chars): turns as (role, text) out of the formatted text,
+    and the texts under the loss flags, all unescaped.
+
+    For rows of ``format_chats`` with the same template: the turns come back as they were, null texts and
+    roles as empty ones. A null conversation id stays null, an empty table gives no rows, a conversation is one
+    row however long, and further columns are not read.
+    """
     pattern = F.lit(template.pattern())
     roles, texts = (F.regexp_extract_all("formatted", pattern, F.lit(i)) for i in (1, 2))
     return chats.select(

@@ -25,7 +25,8 @@ def components(links: DataFrame) -> DataFrame:
     Each round is two joins of the links with their smallest neighbours; a hub with very many
     links is summed up before the shuffle, and its rows are split in the join. Rounds grow with
     the logarithm of the longest path. Links are written between rounds and never reach the
-    driver, which only compares two sums.
+    driver, which only compares two sums. Links may repeat and point either way; a link of a node to itself
+    names no node, nor does one with a null end, and no links give no rows. Nodes may be of any type with an order.
     """
     def sums(df):
         return df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

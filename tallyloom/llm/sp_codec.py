@@ -218,7 +218,12 @@ def decode(
     rows: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids",
     text_col: str = "text",
 ) -> DataFrame:
-    """(id, ids, text): the library's text of each list of ids; null lists give null texts."""
+    """(id, ids, text): the library's text of each list of ids; null lists give null texts.
+
+    Empty lists give empty texts, a list of any length is one row of one task, an id that the model does not know
+    ends the job. Null ids and repeated rows come out as they came in, an empty table gives none. Further
+    columns are not read.
+    """
     shipped = rows.sparkSession.sparkContext.broadcast(pieces.model_bytes(model_path))
     schema = as_schema([field(rows, id_col), field(rows, ids_col), (text_col, "string")])
     target = arrow_schema(schema)
@@ -237,7 +242,11 @@ def decode(
 
 def digests(rows: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256): hex digests of the ids, as decimals with commas
-    between, and of the text that ``decode`` gives; null lists as empty ones."""
+    between, and of the text that ``decode`` gives; null lists as empty ones.
+
+    A list of any length is one row of one task. Null ids and repeated rows come out as they came in, an empty
+    table gives none. Further columns are not read.
+    """
     shipped = rows.sparkSession.sparkContext.broadcast(pieces.model_bytes(model_path))
     schema = as_schema([field(rows, id_col), ("n_tokens", "long"), ("ids_sha256", "string"),
                         ("decoded_sha256", "string")])

@@ -181,7 +181,9 @@ def read_archives(index: DataFrame, folder: str, payloads: bool = True) -> DataF
     text, all but the payload out of the records' own fields. The index rows are sorted by file and place, split
     over tasks by ranges, and neighbouring records are read at once. A response whose payload
     does not match its digest raises. A revisit has no payload of its own (null). A record that
-    is listed twice is read twice. ``payloads=False`` leaves the payload column null.
+    is listed twice is read twice. ``payloads=False`` leaves the payload column null. Urls come back as header
+    fields hold them: without white space at their ends, control characters percent-encoded; a null url is
+    null again. An empty index gives no rows; further columns of it are not read.
     """
     schema = as_schema(READ)
     target = arrow_schema(schema)
