@@ -82,19 +82,6 @@ def partitions(df: DataFrame) -> int:
 HELD_BYTES = 64_000_000
 
 
-def held(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
-    """Batches in lists of about HELD_BYTES, cut into slices of SLICE_ROWS rows."""
-    out, size = [], 0
-    for b in sliced(batches):
-        out.append(b)
-        size += b.nbytes
-        if size >= HELD_BYTES:
-            yield out
-            out, size = [], 0
-    if out:
-        yield out
-
-
 class Blocks:
     """A side table in blocks of bounded size in the shared folder, read one after the other by the tasks.
 
@@ -104,6 +91,19 @@ class Blocks:
     def __init__(self, folders: list[str], columns: list[str]):
         self.folders, self.columns = folders, columns
 
+    def past(self, batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+        """The rows that all blocks are to see before the next ones: about HELD_BYTES, in slices of SLICE_ROWS
+        rows; if there is one block only, one slice at a time."""
+        out, size = [], 0
+        for b in sliced(batches):
+            out.append(b)
+            size += b.nbytes
+            if size >= HELD_BYTES or len(self.folders) == 1:
+                yield out
+                out, size = [], 0
+        if out:
+            yield out
+
     def each(self, make: Callable[[pa.Table], object], kept: dict):
         """``make`` of every block in turn; ``kept``, the task's own, spares a single block the next reading."""
         for folder in self.folders:

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tallyloom.llm.common import Blocks, arrow_schema, as_schema, blocks, field, held
+from tallyloom.llm.common import Blocks, arrow_schema, as_schema, blocks, field
 
 WINDOW = 10
 # Windows of one block; a window is at most WINDOW words.
@@ -146,7 +146,7 @@ def contamination(
 
     def run(batches):
         kept: dict = {}
-        for part in held(batches):
+        for part in windows.past(batches):
             counts = [[0] * b.num_rows for b in part]
             spans = [[[] for _ in range(b.num_rows)] for b in part]
             items = [[set() for _ in range(b.num_rows)] for b in part]
@@ -199,7 +199,7 @@ def decontaminated(
 
     def run(batches):
         kept: dict = {}
-        for part in held(batches):
+        for part in windows.past(batches):
             texts = [b.column(at).to_pylist() for b in part]
             lost = [[0] * b.num_rows for b in part]
             total = [[0] * b.num_rows for b in part]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyloom import session
-from tallyloom.llm.common import arrow_schema, as_schema, blocks, field, held, sliced
+from tallyloom.llm.common import arrow_schema, as_schema, blocks, field, sliced
 
 ORDER = 5            # bytes of an n-gram; packed into one long
 DISCOUNT = 0.75
@@ -190,7 +190,7 @@ def expressions(words: DataFrame, ratios: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict = {}
-        for part in held(batches):
+        for part in table.past(batches):
             totals = [np.zeros(b.num_rows) for b in part]
             for keys, values in table.each(sorted_block, kept):
                 for k, b in enumerate(part):
@@ -228,7 +228,7 @@ def evidence(docs: DataFrame, table: DataFrame, keep: str, text_col: str, margin
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict = {}
-        for part in held(batches):
+        for part in told.past(batches):
             totals = [np.zeros((b.num_rows, len(margins))) for b in part]
             sizes = [np.zeros(b.num_rows) for b in part]
             for known in told.each(lookup, kept):
