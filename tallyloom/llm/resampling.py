@@ -1,7 +1,8 @@
 """Target-distribution importance resampling over hashed n-gram buckets.
 
-A text's separators are collapsed to single spaces; overlapped scans with boundary lookarounds then
-emit the span of every run of 1 to 3 words, and the CRC of a span's bytes names its bucket. Bucket
+A text's separators are collapsed to single spaces; an overlapped scan with boundary lookarounds then emits,
+at the start of every word, the spans of the runs of 1 to 3 words there, and the CRC of a span's bytes names its
+bucket. Bucket
 counts of the documents and of the target texts give each bucket a gain, a document weighs the sum
 of its gains, and seeded Gumbel noise turns the largest scores into a draw without replacement.
 """
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 from operator import itemgetter
 from zlib import crc32
 
@@ -19,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from tallyloom import session
-from tallyloom.llm.common import arrow_schema, as_schema, field, sliced
+from tallyloom.llm.common import arrow_schema, as_schema, sliced
 from tallyloom.operators import ordered
 
 LONGEST = 3
@@ -34,8 +36,9 @@ ACCURACY = 10_000
 _CLEAN = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32
     for b in range(256))
-# Runs of n words of a cleaned text, from the start of a word to the end of one.
-_RUNS = [rb"(?<![^ ])[^ ]+" + rb" [^ ]+" * n + rb"(?![^ ])" for n in range(LONGEST)]
+# From the start of a word to the end of one: group LONGEST is the word, each group around it has one word more
+# as far as the cleaned text goes.
+_RUNS = rb"(?<![^ ])" + rb"(" * LONGEST + rb"[^ ]+)" + rb"(?: [^ ]+)?)" * (LONGEST - 1) + rb"(?![^ ])"
 
 OUTPUT = ("n_words", "n_features", "weight", "score", "rank")
 
@@ -47,14 +50,16 @@ def cleaned(text: str) -> bytes:
 
 def scanner(buckets: int = BUCKETS):
     """Function from a text to (number of words, bucket of each feature)."""
-    runs = [regex.compile(p) for p in _RUNS]
-    span = itemgetter(0)
+    runs = regex.compile(_RUNS)
+    spans = itemgetter(*range(LONGEST, 0, -1))
 
     def scan(text: str) -> tuple[int, np.ndarray]:
-        data = cleaned(text)
-        found = [np.fromiter(map(crc32, map(span, run.finditer(data, overlapped=True))), np.uint32)
-                 for run in runs]
-        return len(found[0]), np.concatenate(found) % np.uint32(buckets)
+        matches = runs.finditer(cleaned(text), overlapped=True)
+        codes = np.fromiter(map(crc32, chain.from_iterable(map(spans, matches))), np.uint32).reshape(-1, LONGEST)
+        n = len(codes)
+        # the last words have no run as long as asked
+        found = [codes[:max(0, n - k), k] for k in range(LONGEST)]
+        return n, np.concatenate(found) % np.uint32(buckets)
 
     return scan
 

@@ -2,7 +2,6 @@
 
 import collections
 import hashlib
-import itertools
 import math
 import random
 import re
@@ -10,7 +9,6 @@ import zlib
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from tallyloom.llm import line_dedup, periodic_runs, registered, resampling
 
