@@ -132,15 +132,17 @@ def _vocabulary(docs: DataFrame, numbered: DataFrame, seen: DataFrame) -> DataFr
     return settle(vocab, "vocabulary")
 
 
-def _fit_counts(docs, key, text_col, max_features, exact_accents):
+def _fit_counts(docs, key, text_col, max_features, exact_accents, by_summary):
     """(vocabulary, term counts per text), both written once.
 
-    The candidates of the summary are counted per text; these counts give the kept terms, so the texts are
-    split twice and their words are not written.
+    By default the words are written once and counted exactly, which is faster while the table of distinct words
+    is small beside the texts. ``by_summary``: the candidates of the summary are counted per text and these
+    counts give the kept terms, so the texts are split twice and neither their words nor all distinct ones are
+    written or shuffled.
     """
     split = tokens(docs, key, text_col, exact_accents)
-    found = frequent.candidates(_grams(split, []), "term", max_features)
-    if found.candidates is None:
+    found = frequent.candidates(_grams(split, []), "term", max_features) if by_summary else None
+    if found is None or found.candidates is None:
         split = settle(split, "tokens")
         numbered = _numbered(_exact_top(split, max_features))
         counts = settle(_counts(split, numbered, key), "counts")
@@ -160,18 +162,18 @@ def _fit_counts(docs, key, text_col, max_features, exact_accents):
 
 def fit(
     docs: DataFrame, key: str = "ord", text_col: str = "content",
-    max_features: int = MAX_FEATURES, exact_accents: bool = True,
+    max_features: int = MAX_FEATURES, exact_accents: bool = True, by_summary: bool = False,
 ) -> DataFrame:
     """Vocabulary ``(term, term_id, corpus_count, doc_count, idf)``, written once."""
-    return _fit_counts(docs, key, text_col, max_features, exact_accents)[0]
+    return _fit_counts(docs, key, text_col, max_features, exact_accents, by_summary)[0]
 
 
 def fit_transform(
     docs: DataFrame, key: str = "ord", text_col: str = "content",
-    max_features: int = MAX_FEATURES, exact_accents: bool = True,
+    max_features: int = MAX_FEATURES, exact_accents: bool = True, by_summary: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """(vocabulary, vectors); the term counts are written once and serve both."""
-    vocab, counts = _fit_counts(docs, key, text_col, max_features, exact_accents)
+    vocab, counts = _fit_counts(docs, key, text_col, max_features, exact_accents, by_summary)
     return vocab, vectors(docs, counts, vocab, key)
 
 

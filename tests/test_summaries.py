@@ -69,14 +69,14 @@ def test_fitting_falls_back_to_the_exact_way(spark, monkeypatch):
     docs = spark.createDataFrame(
         [(i, " ".join(random.Random(i).sample(words, 500))) for i in range(4)] + [(4, None), (5, "w0003")],
         "ord long, content string")
-    want = sorted(map(str, tfidf.fit(docs, max_features=40).collect()))
-    _, vectors = tfidf.fit_transform(docs, max_features=40)
+    want = sorted(map(str, tfidf.fit(docs, max_features=40, by_summary=True).collect()))
+    _, vectors = tfidf.fit_transform(docs, max_features=40, by_summary=True)
     want_vectors = sorted((r.ord, list(r.term_ids), [round(w, 9) for w in r.weights]) for r in vectors.collect())
     first = frequent.candidates
     monkeypatch.setattr(frequent, "candidates", lambda v, c, k: first(v, c, k, 48))
     assert frequent.candidates(docs, "content", 1).rows == 5
-    assert sorted(map(str, tfidf.fit(docs, max_features=40).collect())) == want
-    _, vectors = tfidf.fit_transform(docs, max_features=40)
+    assert sorted(map(str, tfidf.fit(docs, max_features=40, by_summary=True).collect())) == want
+    _, vectors = tfidf.fit_transform(docs, max_features=40, by_summary=True)
     assert sorted((r.ord, list(r.term_ids), [round(w, 9) for w in r.weights]) for r in vectors.collect()) == want_vectors
 
 
