@@ -34,15 +34,14 @@ def _one_file_each(df):
 
 
 def _text_folder(spark, sf_dir):
-    """Pages, one text file each, on ten shelves (sub-folders)."""
-    pages = table(spark, sf_dir, "pages").select("html", (F.col("page_id") % 10).alias("shelf"))
-    return _folder(spark, sf_dir, "pages-text",
-                   lambda p: _one_file_each(pages).partitionBy("shelf").text(p))
+    """Pages, one text file each, on shelves (sub-folders)."""
+    pages = table(spark, sf_dir, "pages").select(F.col("html").alias("text"))
+    return _folder(spark, sf_dir, "pages-text", lambda p: files.write_each(pages, p, ".txt"))
 
 
 def _json_folder(spark, sf_dir):
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
-    return _folder(spark, sf_dir, "labels-json", lambda p: _one_file_each(labels).json(p))
+    labels = table(spark, sf_dir, "labels").select(F.to_json(F.struct("doc_id", "quality", "toxic")).alias("text"))
+    return _folder(spark, sf_dir, "labels-json", lambda p: files.write_each(labels, p, ".json"))
 
 
 def _csv_folder(spark, sf_dir, name="nations-csv", extension="csv"):

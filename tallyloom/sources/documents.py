@@ -14,6 +14,10 @@ SUFFIX_TYPES = {".txt": "text", ".pdf": "pdf", ".json": "json"}
 PDF_PLACEHOLDER = "[PDF Content Placeholder] - "
 UNKNOWN_SUFFIX = "Unsupported file format: "
 
+# Speed only: a scan is joined to no fewer tasks a core, and no more than so many of Spark's go into one.
+FEW_TASKS = 4
+PACKS = 16
+
 
 def _name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
@@ -59,6 +63,15 @@ def _glob(suffixes: list[str]) -> str:
     return "*.{" + ",".join(parts) + "}"
 
 
+def _in_fewer_tasks(df: DataFrame) -> DataFrame:
+    """A scan of very many small files in tasks of more files each.
+
+    Spark counts every file as 4 MB at least, which makes a task of 32; up to PACKS of these go into one.
+    """
+    packs = df.rdd.getNumPartitions()
+    return df.coalesce(max(FEW_TASKS * df.sparkSession.sparkContext.defaultParallelism, -(-packs // PACKS)))
+
+
 def scan_files(
     spark: SparkSession, paths: str | list[str], recursive: bool = False,
     suffixes: list[str] | None = None,
@@ -70,16 +83,16 @@ def scan_files(
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
     if suffixes:
         reader = reader.option("pathGlobFilter", _glob(suffixes))
-    return reader.load(paths).select("path", "content")
+    return _in_fewer_tasks(reader.load(paths).select("path", "content"))
 
 
 def text_documents(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
     df = spark.read.text(path, wholetext=True, recursiveFileLookup=recursive)
     p = F.col("_metadata.file_path")
-    return df.select(
+    return _in_fewer_tasks(df.select(
         _newlines(F.col("value")).alias("content"), p.alias("source"),
         _metadata(p, F.lit("text")).alias("metadata"),
-    )
+    ))
 
 
 def json_documents(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:

@@ -11,6 +11,7 @@ from urllib.parse import unquote
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyloom.operators import clean, forecast
@@ -18,6 +19,8 @@ from tallyloom.sources.tables import SALES_COLUMNS
 
 # Files whose first lines a task reads, at least, if there are many.
 FILES_A_TASK = 200
+# Small files that a task writes, about, into one sub-folder.
+FILES_A_SHELF = 500
 
 # Quotes inside a quoted field are doubled.
 _QUOTES = {"quote": '"', "escape": '"'}
@@ -32,6 +35,38 @@ def write_sales_csv(df: DataFrame, path: str, columns: list[str] | None = None)
     )
 
 
+def write_each(rows: DataFrame, path: str, suffix: str) -> None:
+    """Every row of ``rows (text)`` as a file with this one line (null: an empty one), on shelves (sub-folders).
+
+    A task opens the files of one shelf itself, so their number grows with the rows and no commit of the driver
+    moves them one by one. A file gets its name when it is whole, the same when the task runs again.
+    """
+    spark = rows.sparkSession
+    shelves = max(spark.sparkContext.defaultParallelism, -(-rows.count() // FILES_A_SHELF))
+    try:
+        store, base = fs.FileSystem.from_uri(path)
+    except (ValueError, OSError) as e:
+        raise ValueError(f"the tasks cannot write {path}: it must be a folder that pyarrow.fs knows "
+                         "(a path, file:, hdfs:, s3:, gs: or abfs:)") from e
+    store.create_dir(base, recursive=True)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, task = fs.FileSystem.from_uri(path)[0], TaskContext.get()
+        shelf, place = f"{base}/shelf={task.partitionId()}", 0
+        at.create_dir(shelf, recursive=True)
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                name = f"{place:05}{suffix}"
+                unfinished = f"{shelf}/.{name}-{task.taskAttemptId()}"
+                with at.open_output_stream(unfinished) as f:
+                    f.write((text or b"") + b"\n")
+                at.move(unfinished, f"{shelf}/{name}")
+                place += 1
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    rows.select(F.col("text").cast("binary")).repartition(shelves).mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
 # Compressed files whose first line a task can read without Spark's readers.
 _PLAIN = (".csv", ".txt", ".gz", ".bz2", ".zst", ".lz4")
 

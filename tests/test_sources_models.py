@@ -184,6 +184,24 @@ def test_headers_by_either_way(spark, tmp_path, monkeypatch):
     assert len(files.read_sales_csv(spark, str(tmp_path / "c.csv")).columns) == 0
 
 
+def test_files_written_by_the_tasks(spark, tmp_path, monkeypatch):
+    """One file a row on shelves of bounded size, read in fewer tasks than Spark deals them to, all rows as before."""
+    monkeypatch.setattr(files, "FILES_A_SHELF", 20)
+    monkeypatch.setattr(documents, "FEW_TASKS", 1)
+    texts = [None, "", "a\nb", 'é "x"'] + [f"text {i}" for i in range(1196)]
+    path = str(tmp_path / "each")
+    files.write_each(spark.createDataFrame([(t,) for t in texts], "text string"), path, ".txt")
+    found = [p for p in pathlib.Path(path).rglob("*") if p.is_file()]
+    assert len(found) == len(texts) and len({p.parent for p in found}) == 60
+    assert not [p for p in found if p.suffix != ".txt"]  # neither checksums nor unfinished files
+    plain = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).rdd.getNumPartitions()
+    for read in (documents.load_files(spark, path, recursive=True), documents.text_documents(spark, path, True)):
+        assert read.rdd.getNumPartitions() < plain
+        assert sorted(r.content for r in read.collect()) == sorted(f"{t or ''}\n" for t in texts)
+    files.write_each(spark.createDataFrame([], "text string"), f"{path}-none", ".txt")
+    assert documents.text_documents(spark, f"{path}-none", True).count() == 0
+
+
 def test_columns_go_by_the_header(spark, tmp_path):
     (tmp_path / "o.csv").write_text("quantity,order_id\n3,O-1\n")
     df = files.read_sales_csv(spark, str(tmp_path / "o.csv"))
