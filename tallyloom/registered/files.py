@@ -8,7 +8,7 @@ from tallyloom.operators import clean, registry
 from tallyloom.plans import answers
 from tallyloom.registered.common import Family, with_sales_text
 from tallyloom.registered.texts import DOCS_SQL, _SUMMARY, _vector_summary
-from tallyloom.session import scratch_path
+from tallyloom.session import scratch_path, settle
 from tallyloom.sources import documents, files
 from tallyloom.sources.tables import SALES_COLUMNS, sales_text, table
 
@@ -175,7 +175,8 @@ def src_dispatch(spark, sf_dir):
   UNION ALL SELECT 'failed', count(*) FROM nation""")
 def src_documents(spark, sf_dir):
     asked = [_text_folder(spark, sf_dir), _json_folder(spark, sf_dir), _csv_folder(spark, sf_dir)]
-    docs = documents.load_files(spark, asked, recursive=True, only_known=False)
+    docs = settle(documents.load_files(spark, asked, recursive=True, only_known=False).select(
+        "source", "error"), "read-files")  # the files are read once for both states
     state = [("good", documents.good(docs)), ("failed", documents.failed(docs))]
     parts = [df.agg(F.count("*").alias("n")).select(F.lit(s).alias("state"), "n")
              for s, df in state]
