@@ -7,6 +7,7 @@ from collections import Counter
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.errors import PythonException
 from pyspark.sql import functions as F
@@ -523,3 +524,45 @@ def test_compaction_and_vacuum(spark, index, tmp_path):
     now = retrieval.load(spark, path)
     assert [sorted(map(str, t.collect())) for t in (now.documents, now.vectors)] == before
     assert retrieval.append(spark, path, docs, ["place"], ("s", 2)) == 5  # in already
+
+
+def test_only_candidates_are_scored_in_doubles(monkeypatch):
+    """The k best of sparse rows, copies and near ties among them, without the whole product in doubles."""
+    rng = np.random.default_rng(1)
+
+    def sparse(n, terms):
+        ids = [np.sort(rng.choice(300, terms, replace=False)) for _ in range(n)]
+        return ids, [rng.random(terms) for _ in range(n)]
+
+    (qi, qw), (vi, vw) = sparse(40, 12), sparse(3_000, 60)
+    for i in range(2_000, 2_030):  # copies of one row, and rows that are off by less than a score shows
+        vi[i], vw[i] = vi[7], vw[7] + (i % 2) * 1e-9
+    place = rng.permutation(3_000)
+
+    def full(ids, weights):
+        m = np.zeros((len(ids), 300))
+        for r, (i, w) in enumerate(zip(ids, weights)):
+            m[r, i] = w
+        return m / np.sqrt((m**2).sum(1))[:, None]
+
+    want = np.round(full(qi, qw) @ full(vi, vw).T, 6)
+
+    scores = nn._Queries.scores
+
+    def some(self, vectors, squares=None, which=()):
+        assert 0 < len(which) < 4, "all pairs were scored in doubles"
+        return scores(self, vectors, squares, which)
+
+    monkeypatch.setattr(nn._Queries, "scores", some)
+    columns = [pa.array(qi, pa.list_(pa.int32())), pa.array(qw, pa.list_(pa.float64()))]
+    for k in (1, 5, 40):
+        top = nn._TopK(nn._Queries(np.arange(40), columns, "cosine", None), k)
+        for i in range(0, 3_000, 1_000):
+            names = ["ord", "term_ids", "weights"]
+            top.add_batch(pa.RecordBatch.from_arrays([
+                pa.array(place[i:i + 1_000]), pa.array(vi[i:i + 1_000], pa.list_(pa.int32())),
+                pa.array(vw[i:i + 1_000], pa.list_(pa.float64()))], names), names[1:])
+        for q in range(40):
+            order = np.lexsort((place, -want[q]))[:k]
+            assert top.o[top.q == q].tolist() == place[order].tolist()
+            assert np.allclose(top.s[top.q == q], want[q][order], atol=1e-9)
