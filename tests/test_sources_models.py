@@ -202,6 +202,16 @@ def test_files_written_by_the_tasks(spark, tmp_path, monkeypatch):
     assert documents.text_documents(spark, f"{path}-none", True).count() == 0
 
 
+def test_states_of_files_take_one_reading(spark, sf):
+    """Good and failed files are told apart in rows that are written once, not by reading the files for each."""
+    from tallyloom.registered import files as queries
+
+    df = queries.src_documents(spark, sf)
+    assert "binaryFile" not in df._jdf.queryExecution().toString()
+    want = sum(spark.read.parquet(f"{sf}/{t}.parquet").count() for t in ("pages", "labels"))
+    assert {r.state: r.n for r in df.collect()} == {"good": want, "failed": 25}
+
+
 def test_columns_go_by_the_header(spark, tmp_path):
     (tmp_path / "o.csv").write_text("quantity,order_id\n3,O-1\n")
     df = files.read_sales_csv(spark, str(tmp_path / "o.csv"))
