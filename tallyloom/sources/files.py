@@ -30,7 +30,7 @@ _QUOTES = {"quote": '"', "escape": '"'}
 
 
 def write_sales_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
-    """Order files, compressed (a sixth of the text) and of bounded size."""
+    """Order files, compressed and of bounded size."""
     (
         df.select(*(columns or SALES_COLUMNS)).write.mode("overwrite").option("header", "true")
         .options(**_QUOTES)
