@@ -35,6 +35,12 @@ EMIT_ENTRIES = 200_000
 SIZE_STEP = 1.05
 # Bits of the broadcast filter that keeps texts of no interest out of a shuffle.
 FILTER_BITS = 24
+# A list of so many entries may be that of a large group: its nodes meet so many of them first.
+MANY = 8
+STARS = 4
+# Nodes of a group that meet those of another such block, and shingles that a task lays out for them at a time.
+BLOCK_NODES = 128
+BLOCK_SHINGLES = 1 << 16
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -233,7 +239,7 @@ def _entries(docs: DataFrame, text_col: str, sketch) -> DataFrame:
 def _unpacked(lists: DataFrame) -> DataFrame:
     """Columns of the entries: n, k and place in the document's prefix."""
     return lists.select(
-        "token", "node", "last", F.shiftright("packed", 32).alias("n"),
+        "token", "node", "component", "last", F.shiftright("packed", 32).alias("n"),
         F.shiftright("packed", 28).bitwiseAND(F.lit(15)).alias("k"),
         F.col("packed").bitwiseAND(F.lit((1 << 28) - 1)).alias("place"))
 
@@ -251,6 +257,8 @@ def _largest_partner(n: Column, m: Column) -> Column:
 def _bounded(entries: DataFrame) -> DataFrame:
     """Entries (token, node, n, k, place, last) of lists with more than one node, with ``m`` and ``live``.
 
+    A list of one component counts as one of one node: it tells of no partner that is looked for.
+
     Of two sets, take the one whose prefix ends first in the global order: each of its prefix
     tokens that the other has is in the other's prefix too. So if u of them stand in no list with
     another node, the two share at most m = n - u shingles. ``live`` is the token's place
@@ -331,30 +339,47 @@ def _sets(docs: DataFrame, text_col: str, pairs: DataFrame) -> DataFrame:
     return session.settle(named.dropDuplicates(["node"]).mapInArrow(hashed, out), "sets")
 
 
-def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
-                  ) -> tuple[DataFrame, DataFrame]:
-    """(nodes, links): settled (_id, key, node, n) rows, and (a, b), a < b, of nodes that are similar enough.
-
-    A node stands for all rows of one word sequence, so the nodes are the membership and the links
-    are those between distinct texts, all of them, within groups as well. What a document has for
-    itself bounds what it can share, so documents of a list only meet where sizes and bounds allow
-    a link, and are verified if they share the smaller of their two k.
-
-    Null and empty texts and texts without a word have no node and no link. Exact copies, repeated rows and rows
-    with null or equal ids are rows of one node. Very long texts are one set each. Without rows there are no
-    links. Further columns are not read, and an id column may have any name. Shingles are told apart by
-    64-bit hashes.
-    """
-    spark = docs.sparkSession
-    nodes = _nodes(docs, id_col, text_col)
-    sketch = spark.sparkContext.broadcast(_sketch(nodes))  # 4 << CELL_BITS bytes
+def _lists(docs: DataFrame, text_col: str, sketch) -> DataFrame:
+    """Entries of lists with more than one node, once each; ``many`` where a list has MANY entries or more."""
     by_token = Window.partitionBy("token")
-    shared = session.settle(
+    return session.settle(
         _entries(docs, text_col, sketch)
         .withColumn("_least", F.min("node").over(by_token)).withColumn("_most", F.max("node").over(by_token))
+        .withColumn("many", F.count("*").over(by_token) >= MANY)
         .filter("_least < _most").drop("_least", "_most").distinct(), "lists")
-    entries = _bounded(_unpacked(shared))
-    entry = F.struct("node", "n", "m", "k", "place", "live", "last")
+
+
+def _grouped(docs: DataFrame, text_col: str, lists: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(groups, sets, rest): (node, component) of nodes that verified links join, the sets of at least these, and the
+    entries, with ``component``, of lists that may tell of more links.
+
+    Every node of a long list is held against STARS nodes of the list, the first in as many orders of all nodes by
+    how few of their shingles no long list has, as such lie amid a group. So a large group takes some pairs a
+    node, not one for any two of its nodes. Long lists of one component only are done with; links between
+    components, which these pairs miss, are left to the lists of ``rest``.
+    """
+    by_token = Window.partitionBy("token")
+    n, k = F.shiftright("packed", 32), F.shiftright("packed", 28).bitwiseAND(F.lit(15))
+    own = n - _least(n) + k - F.count("*").over(Window.partitionBy("node"))
+    stars = F.array(*[F.min(F.struct("own", F.xxhash64(F.lit(i), "node").alias("_at"), "node")).over(by_token)["node"]
+                      for i in range(STARS)])
+    met = lists.filter("many").withColumn("own", own).withColumn("stars", stars) \
+        .withColumn("star", F.explode(F.array_distinct("stars"))).filter("star != node") \
+        .groupBy(F.least("node", "star").alias("a"), F.greatest("node", "star").alias("b")) \
+        .agg(F.count("*").alias("shared"), F.min(k).alias("k"))
+    pairs = session.settle(met.filter("shared >= k").select("a", "b"), "star-pairs")
+    sets = _sets(docs, text_col, pairs)
+    groups = session.settle(components(_verified(pairs, sets)), "groups")
+    entries = lists.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = entries.filter("many").withColumn("_least", F.min("component").over(by_token)) \
+        .withColumn("_most", F.max("component").over(by_token)).filter("_least < _most").drop("_least", "_most")
+    return groups, sets, entries.filter("NOT many").union(mixed)
+
+
+def _between(docs: DataFrame, text_col: str, rest: DataFrame) -> DataFrame:
+    """(a, b), a < b, of nodes of unlike components that are similar enough, out of the lists where both are."""
+    entries = _bounded(_unpacked(rest))
+    entry = F.struct("node", "component", "n", "m", "k", "place", "live", "last")
     x, y = F.col("x"), F.col("y")
 
     # A set x of m shingles that may be shared, o of which have to be, lacks at most m - o of them
@@ -374,22 +399,116 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     matches = F.least(x["k"], y["k"])
     pairs = session.settle(
         lower.join(upper, ["token", "size"])
-        .filter((x["node"] != y["node"]) & (x["last"] <= y["last"])
+        .filter((x["component"] != y["component"]) & (x["last"] <= y["last"])
                 & (x["live"] < x["m"] - overlap(x["n"], y["n"]) + matches) & _possible(x, y))
         .groupBy(F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b"))
         # prefixes that end at one place meet both ways round: a token must not count twice
         .agg(F.greatest(F.count(F.when(x["node"] < y["node"], 1)),
                         F.count(F.when(x["node"] > y["node"], 1))).alias("shared"), F.min(matches).alias("k"))
         .filter("shared >= k").select("a", "b"), "pairs")
-    links = session.settle(_verified(pairs, _sets(docs, text_col, pairs)), "links")
-    return nodes.filter("part IS NULL").drop("part", "cells"), links
+    return session.settle(_verified(pairs, _sets(docs, text_col, pairs)), "links")
+
+
+def _found(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(nodes, groups, sets, links): the settled rows, the groups of ``_grouped`` with their sets, and the links
+    between nodes that are not of one group."""
+    nodes = _nodes(docs, id_col, text_col)
+    sketch = docs.sparkSession.sparkContext.broadcast(_sketch(nodes))  # 4 << CELL_BITS bytes
+    groups, sets, rest = _grouped(docs, text_col, _lists(docs, text_col, sketch))
+    return nodes.filter("part IS NULL").drop("part", "cells"), groups, sets, _between(docs, text_col, rest)
+
+
+def _similar(sets: list[np.ndarray], at: int) -> np.ndarray:
+    """Which of the first ``at`` sets are similar enough to which of all: a matrix of bits.
+
+    Shingles are laid out as columns, so many at a time.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    tokens, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    kept = times[column] > 1
+    row, column = row[kept], column[kept]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    shared = np.zeros((at, len(sets)))
+    for start in range(0, len(tokens), BLOCK_SHINGLES):
+        lo, hi = np.searchsorted(column, [start, start + BLOCK_SHINGLES])
+        if lo < hi:
+            laid = np.zeros((len(sets), min(BLOCK_SHINGLES, len(tokens) - start)), np.float32)
+            laid[row[lo:hi], column[lo:hi] - start] = 1
+            shared += laid[:at] @ laid.T
+    return (100 + PERCENT) * shared >= PERCENT * (sizes[:at, None] + sizes[None, :])
+
+
+def _inside(groups: DataFrame, sets: DataFrame, copies: DataFrame | None = None) -> DataFrame:
+    """Links (a, b), a < b, of nodes of one group; with ``copies (node, copies)`` instead (node, near), one or more
+    rows a node, that add up to the copies of all nodes of its group that it links with.
+
+    Nodes of a group are dealt to blocks of about BLOCK_NODES. Two blocks at a time meet in one task, as
+    the sides of a product, so that a task holds two blocks and no pair is a row unless asked for.
+    """
+    counted = copies is not None
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    blocks = groups.groupBy("component").agg(F.ceil(F.count("*") / F.lit(BLOCK_NODES)).alias("blocks"))
+    rows = groups.join(blocks, "component").withColumn("block", block).join(sets, "node")
+    rows = rows.join(copies, "node") if counted else rows.withColumn("copies", F.lit(1).cast("long"))
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1), lambda o: F.struct(
+        F.least(F.col("block"), o).alias("lo"), F.greatest(F.col("block"), o).alias("hi")))
+    schema = as_schema([("node", "binary"), ("near", "long")] if counted else [("a", "binary"), ("b", "binary")])
+
+    def meet(table: pa.Table) -> pa.Table:
+        lo, hi = table["lo"][0].as_py(), table["hi"][0].as_py()
+        side = table["block"].to_numpy()
+        table = table.take(pa.array(np.argsort(side, kind="stable")))
+        at = int((side == lo).sum())
+        sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in table["set"].combine_chunks()]
+        like = _similar(sets, at) if at else np.zeros((0, len(sets)), bool)
+        nodes = table["node"].combine_chunks().cast(pa.binary())
+        like[np.arange(at), np.arange(at)] = False
+        if lo < hi:
+            like[:, :at] = False
+        if counted:
+            n = table["copies"].to_numpy()
+            near = np.zeros(len(sets), np.int64)
+            near[:at] += like @ n
+            if lo < hi:
+                near[at:] += n[:at] @ like[:, at:]
+            return pa.Table.from_arrays([nodes, pa.array(near)], schema=arrow_schema(schema))
+        p, q = np.nonzero(like if lo < hi else np.triu(like))
+        a, b = nodes.take(pa.array(p)).to_pylist(), nodes.take(pa.array(q)).to_pylist()
+        both = [(min(i, j), max(i, j)) for i, j in zip(a, b)]
+        return pa.Table.from_arrays([pa.array([i for i, _ in both], pa.binary()),
+                                     pa.array([j for _, j in both], pa.binary())], schema=arrow_schema(schema))
+
+    return rows.withColumn("_o", F.explode(others)).select(
+        "component", "_o.lo", "_o.hi", "block", "node", "set", "copies") \
+        .groupBy("component", "lo", "hi").applyInArrow(meet, schema)
+
+
+def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
+                  ) -> tuple[DataFrame, DataFrame]:
+    """(nodes, links): settled (_id, key, node, n) rows, and (a, b), a < b, of nodes that are similar enough.
+
+    A node stands for all rows of one word sequence, so the nodes are the membership and the links
+    are those between distinct texts, all of them, within groups as well. What a document has for
+    itself bounds what it can share, so documents of a list only meet where sizes and bounds allow
+    a link, and are verified if they share the smaller of their two k. Nodes of a large group meet in blocks.
+
+    Null and empty texts and texts without a word have no node and no link. Exact copies, repeated rows and rows
+    with null or equal ids are rows of one node. Very long texts are one set each. Without rows there are no
+    links. Further columns are not read, and an id column may have any name. Shingles are told apart by
+    64-bit hashes.
+    """
+    nodes, groups, sets, links = _found(docs, id_col, text_col)
+    return nodes, session.settle(links.union(_inside(groups, sets)), "links")
 
 
-def _n_links(nodes: DataFrame, links: DataFrame) -> DataFrame:
+def _n_links(nodes: DataFrame, groups: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
     """(_node, n_links): how many other rows a row of the node links with, exact copies included."""
     copies = session.settle(nodes.filter("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("copies")), "copies")
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = both.join(copies, F.col("b") == F.col("node")).groupBy("a").agg(F.sum("copies").alias("near"))
+    apart = both.join(copies, F.col("b") == F.col("node")).select("a", F.col("copies").alias("near"))
+    near = apart.union(_inside(groups, sets, copies)).groupBy("a").agg(F.sum("near").alias("near"))
     return copies.join(near, F.col("node") == F.col("a"), "left").select(
         F.col("node").alias("_node"), (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
 
@@ -402,9 +521,11 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return jaccard_groups(docs, id_col, text_col).select(F.col(f"`{id_col}`"), "n_links")
 
 
-def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+def _components(nodes: DataFrame, groups: DataFrame, links: DataFrame) -> DataFrame:
     """(node, component, first), one row per node: ``first`` is the row that stands for it, the one with the
-    smallest id, null last, and among equal ids with the smallest key."""
+    smallest id, null last, and among equal ids with the smallest key. A node of ``groups`` is with the
+    first of its group."""
+    links = links.union(groups.select(F.col("component").alias("a"), F.col("node").alias("b")))
     first = F.min(F.struct(F.col("_id").isNull().alias("unnamed"), "_id", "key")).alias("first")
     by_node = nodes.filter("node IS NOT NULL").groupBy("node").agg(first)
     return by_node.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -420,11 +541,11 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     all of a group are null. Very long texts are one set. An empty table gives none. Shingles are compared by
     64-bit hashes. Further columns are not read.
     """
-    nodes, links = similar_links(docs, id_col, text_col)
-    named = _components(nodes, links)
+    nodes, groups, sets, links = _found(docs, id_col, text_col)
+    named = _components(nodes, groups, links)
     least = session.settle(named.groupBy("component").agg(F.min("first")["_id"].alias("least")), "least")
     where = named.join(least, "component").select(F.col("node").alias("_node"), "least") \
-        .join(_n_links(nodes, links), "_node")
+        .join(_n_links(nodes, groups, sets, links), "_node")
     return nodes.join(where, F.col("node") == F.col("_node"), "left").select(
         F.col("_id").alias(id_col), F.col("n").alias("n_shingles"),
         F.when(F.col("node").isNull(), F.col("_id")).otherwise(F.col("least")).alias("component_id"),
@@ -439,8 +560,8 @@ def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first by their other columns that have an order. Texts without a word, null ones too, are no group:
     one row stays for each of them and id. Very long texts are one set. An empty table stays empty.
     """
-    nodes, links = similar_links(docs, id_col, text_col)
-    first = _components(nodes, links).groupBy("component").agg(F.min("first").alias("first"))
+    nodes, groups, _, links = _found(docs, id_col, text_col)
+    first = _components(nodes, groups, links).groupBy("component").agg(F.min("first").alias("first"))
     keep = first.select("first._id", "first.key").union(
         nodes.filter("node IS NULL").select("_id", "key").distinct()).select(
             F.col("_id").alias("_kept_id"), F.col("key").alias("_kept_key"))
