@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from tallyloom.session import settle
+
 # Known suffixes with the type each has in the metadata, the text that stands for a
 # PDF when no extractor is given, and what the error of another suffix begins with.
 SUFFIX_TYPES = {".txt": "text", ".pdf": "pdf", ".json": "json"}
@@ -17,6 +22,8 @@ UNKNOWN_SUFFIX = "Unsupported file format: "
 # Speed only: a scan is joined to no fewer tasks a core, and no more than so many of Spark's go into one.
 FEW_TASKS = 4
 PACKS = 16
+# Files that a task reads, about, and files and bytes that it hands on at once.
+FILES_A_TASK, BATCH_FILES, BATCH_BYTES = 512, 256, 16 << 20
 
 
 def _name(path: Column) -> Column:
@@ -72,14 +79,133 @@ def _in_fewer_tasks(df: DataFrame) -> DataFrame:
     return df.coalesce(max(FEW_TASKS * df.sparkSession.sparkContext.defaultParallelism, -(-packs // PACKS)))
 
 
+def _roots(spark: SparkSession, paths: list[str]) -> list[tuple[str, str]] | None:
+    """Every path as Spark's readers print it and as an address; None if there is none, or pyarrow.fs cannot reach it."""
+    out = []
+    for p in paths:
+        if re.search(r"[*?\[\]{}\\]", p):  # a pattern, for Spark to resolve
+            return None
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not store.exists(path):
+            return None
+        whole = store.makeQualified(path)
+        uri = whole.toUri()
+        address = uri.getPath() if uri.getScheme() == "file" else uri.toString()
+        try:
+            _opened(address)
+        except (ValueError, OSError):
+            return None
+        out.append((whole.toString(), address))
+    return list(dict.fromkeys(out))
+
+
+def _opened(address: str) -> tuple[fs.FileSystem, str]:
+    return (fs.LocalFileSystem(), address) if address.startswith("/") else fs.FileSystem.from_uri(address)
+
+
+def _hidden(f: fs.FileInfo) -> bool:
+    """Files and folders that Spark's readers leave out; empty files are among them."""
+    name, folder = f.base_name, f.type == fs.FileType.Directory
+    if folder and name.startswith(("_metadata", "_common_metadata")):
+        return False
+    return name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_") or (
+        not folder and f.size == 0)
+
+
+_LISTED = "path string, root string, address string, inside string, folder boolean"
+
+
+def _listed(spark: SparkSession, roots: list[tuple[str, str]]) -> DataFrame:
+    """Settled (path, root, address, inside) of all files below the roots, as Spark's recursive lookup finds them.
+
+    Tasks list the folders, one level after the other; the driver gets the folders alone.
+    """
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for root, address, inside in zip(*(b.column(i).to_pylist() for i in range(3))):
+                store, base = _opened(address)
+                at = base.rstrip("/") + inside
+                info = store.get_file_info(at or "/")
+                found = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(at or "/"))
+                found = [(f, inside if f is info else f"{inside}/{f.base_name}") for f in found
+                         if not _hidden(f)]
+                for k in range(0, len(found), 10_000):
+                    part = found[k:k + 10_000]
+                    names = [n for _, n in part]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([root.rstrip("/") + n for n in names], pa.string()), pa.array([root] * len(part)),
+                         pa.array([address] * len(part)), pa.array(names, pa.string()),
+                         pa.array([f.type == fs.FileType.Directory for f, _ in part])],
+                        names=["path", "root", "address", "inside", "folder"])
+
+    levels, folders = [], [(root, address, "") for root, address in roots]
+    while folders:
+        tasks = min(len(folders), FEW_TASKS * spark.sparkContext.defaultParallelism)
+        asked = spark.createDataFrame(folders, "root string, address string, inside string").repartition(tasks)
+        level = settle(asked.mapInArrow(listed, _LISTED), "listed")
+        levels.append(level.filter("NOT folder"))
+        folders = [tuple(r) for r in level.filter("folder").select("root", "address", "inside").collect()]
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.unionByName(level)
+    names = [r.rstrip("/") + "/" for r, _ in roots]
+    if any(a != b and a.startswith(b) for a in names for b in names):
+        out = out.dropDuplicates(["path"])
+    return out.drop("folder")
+
+
+def _contents(listed: DataFrame) -> DataFrame:
+    """Listed files as ``(path, content binary)``."""
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stores: dict[str, tuple[fs.FileSystem, str]] = {}
+        paths, blobs, size = [], [], 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(blobs, pa.binary())],
+                                              ["path", "content"])
+
+        for b in batches:
+            for path, address, inside in zip(*(b.column(c).to_pylist() for c in ("path", "address", "inside"))):
+                store, base = stores.setdefault(address, _opened(address))
+                with store.open_input_stream(base.rstrip("/") + inside if inside else base, compression=None) as f:
+                    blob = f.read()
+                if blobs and size + len(blob) > BATCH_BYTES:
+                    yield batch()
+                    paths, blobs, size = [], [], 0
+                paths.append(path)
+                blobs.append(blob)
+                size += len(blob)
+                if len(blobs) >= BATCH_FILES:
+                    yield batch()
+                    paths, blobs, size = [], [], 0
+        if blobs:
+            yield batch()
+
+    spark = listed.sparkSession
+    tasks = max(FEW_TASKS * spark.sparkContext.defaultParallelism, -(-listed.count() // FILES_A_TASK))
+    return listed.select("path", "address", "inside").repartition(tasks, "path").mapInArrow(
+        read, "path string, content binary")
+
+
+def _with_suffixes(listed: DataFrame, suffixes: list[str]) -> DataFrame:
+    return listed.filter(F.lower(_name(F.col("path"))).rlike(
+        "(" + "|".join(re.escape(s) for s in suffixes) + ")$"))
+
+
 def scan_files(
     spark: SparkSession, paths: str | list[str], recursive: bool = False,
     suffixes: list[str] | None = None,
 ) -> DataFrame:
     """Files as ``(path, content binary)``; sub-folders only when ``recursive``.
 
-    With suffixes only such files are listed, so no other file is opened.
+    With suffixes only such files are read. Folders with all below them are listed by tasks, so that the driver holds
+    no file's name; patterns, and stores that pyarrow.fs does not know, are left to Spark's reader.
     """
+    roots = _roots(spark, [paths] if isinstance(paths, str) else paths) if recursive else None
+    if roots:
+        listed = _listed(spark, roots)
+        return _contents(_with_suffixes(listed, suffixes) if suffixes else listed)
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
     if suffixes:
         reader = reader.option("pathGlobFilter", _glob(suffixes))
@@ -164,11 +290,14 @@ def load_files(
     Files of other types are left out when a folder is listed (``only_known``) and become
     error rows when they were asked for by name; of those only the path is read.
     """
-    files = scan_files(spark, paths, recursive, list(SUFFIX_TYPES))
+    roots = _roots(spark, [paths] if isinstance(paths, str) else paths) if recursive else None
+    listed = _listed(spark, roots) if roots else None
+    files = _contents(_with_suffixes(listed, list(SUFFIX_TYPES))) if roots else scan_files(
+        spark, paths, recursive, list(SUFFIX_TYPES))
     known = _documents(files.withColumn("_suffix", suffix(F.col("path"))), make_extractor)
     if only_known:
         return known
-    other = scan_files(spark, paths, recursive).select(
+    other = (listed if roots else scan_files(spark, paths, recursive)).select(
         "path", suffix(F.col("path")).alias("_suffix"), F.lit(None).cast("binary").alias("content"))
     return known.unionByName(
         _documents(other.filter(~F.col("_suffix").isin(list(SUFFIX_TYPES))), None))
