@@ -67,13 +67,26 @@ def test_lags_by_groups(spark, monkeypatch, ranges, n, rows):
     with session.scratch(spark) as written:
         got = features.lag(df, lags=[2, 20], group_cols=["kind", "region"])
         got = got.toPandas().sort_values(["order_date", "row_id"]).reset_index(drop=True)
-        assert len(written) == 1  # the rows themselves, with what was worked out of them
+        assert len(written) == 2  # the rows with what was worked out of them, and the ids that come twice
     assert len(got) == n
     for g in ("kind", "region"):
         for k in (2, 20):
             same(got[f"quantity_lag_{k}_{g}"], want.groupby(g)["quantity"].shift(k))
 
 
+def test_rows_of_one_id_have_the_largest_lags(spark):
+    df = make(spark, frame(200).assign(row_id=lambda f: [None if i == 5 else f"{i // 2:06d}" for i in range(200)]), SCHEMA)
+    lone = df.selectExpr("monotonically_increasing_id() row_id", "order_date", "region", "kind", "quantity")
+    assert features.lag(lone, lags=[1], group_cols=["kind", "region"]).count() == 200
+    got = features.lag(df, lags=[1], group_cols=["kind", "region"]).toPandas()
+    assert len(got) == 200
+    for _, rows in got.groupby("row_id"):
+        for c in ("quantity_lag_1_kind", "quantity_lag_1_region"):
+            assert rows[c].nunique(dropna=False) == 1
+    assert got[got.row_id.isna()][["quantity_lag_1_kind", "quantity_lag_1_region"]].isna().all().all()
+    assert got["quantity_lag_1_region"].notna().sum() > 150
+
+
 def test_all_features_with_and_without_gaps(spark):
     """A missing quantity goes the longer way, to the same columns."""
     want = frame(500)[["row_id", "order_date", "quantity"]]
